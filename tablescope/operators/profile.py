@@ -108,12 +108,15 @@ def _null(t: str):
     return F.lit(None).cast(t)
 
 
-def column_facts(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+def column_facts(
+    df: DataFrame, approx: bool = False, accuracy: int = 10000, specs: list[ColumnSpec] | None = None
+) -> DataFrame:
     """Per-column counts, moments and extremes; long form, one row per column.
 
-    With ``approx`` also approximate distinct counts and quartiles.
+    With ``approx`` also approximate distinct counts and quartiles.  Only the
+    columns of ``specs`` (default: all) are aggregated, so only they are read.
     """
-    specs = column_specs(df)
+    specs = specs if specs is not None else column_specs(df)
     parts = []
     for group in _groups(specs):
         aggs, structs = [F.count(F.lit(1)).alias("_rows")], []
@@ -126,10 +129,18 @@ def column_facts(df: DataFrame, approx: bool = False, accuracy: int = 10000) ->
                 aggs += [
                     F.avg(c).cast("double").alias(f"mean{k}"),
                     F.stddev_samp(d).alias(f"std{k}"),
-                    F.min(c).cast("double").alias(f"min{k}"),
-                    F.max(c).cast("double").alias(f"max{k}"),
+                    F.min(c).alias(f"min{k}"),
+                    F.max(c).alias(f"max{k}"),
                 ]
-                fields.update(mean=F.col(f"mean{k}"), std=F.col(f"std{k}"), min_num=F.col(f"min{k}"), max_num=F.col(f"max{k}"))
+                lo, hi = F.col(f"min{k}"), F.col(f"max{k}")
+                fields.update(
+                    mean=F.col(f"mean{k}"),
+                    std=F.col(f"std{k}"),
+                    min_num=lo.cast("double"),
+                    max_num=hi.cast("double"),
+                    min_text=lo.cast("string"),
+                    max_text=hi.cast("string"),
+                )
                 if approx:
                     aggs.append(F.percentile_approx(d, list(QUANTILE_POINTS), accuracy).alias(f"pq{k}"))
                     fields.update(
@@ -545,6 +556,7 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
         structs = [
             F.struct(
                 F.lit(s.ordinal).alias("ordinal"),
+                F.lit(s.name).alias("column_name"),
                 F.col("_rows").alias("count"),
                 F.col(f"u{s.ordinal}").cast("bigint").alias("unique_count"),
             )
@@ -559,3 +571,44 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def quantiles(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """``ordinal, column_name, q25, median, q75`` of the numeric columns.
+
+    Exact by default (distributed rank selection, see ``exact_quantiles``);
+    ``approx`` uses ``percentile_approx`` sketches in one aggregate.
+    """
+    specs = [s for s in column_specs(df) if s.stat_class == "numeric"]
+    spark = _spark(df)
+    names = _specs_frame(df, specs).select("ordinal", "column_name")
+    if not specs:
+        return spark.createDataFrame([], "ordinal int, column_name string, q25 double, median double, q75 double")
+    if approx:
+        qf = column_facts(df, approx=True, accuracy=accuracy, specs=specs).select("ordinal", "q25", "median", "q75")
+    else:
+        groups = [(g, _checkpointed(f)) for g, f in value_frequencies(df, specs)]
+        qf = _quantile_frame(spark, exact_quantiles(groups))
+    return names.join(F.broadcast(qf), "ordinal").select("ordinal", "column_name", "q25", "median", "q75").orderBy("ordinal")
+
+
+def numeric_stats(df: DataFrame) -> DataFrame:
+    """``ordinal, column_name, mean, std, min_num, max_num`` of the numeric columns."""
+    specs = column_specs(df)
+    return (
+        _specs_frame(df, specs)
+        .join(F.broadcast(column_facts(df, specs=[s for s in specs if s.stat_class == "numeric"])), "ordinal")
+        .select("ordinal", "column_name", "mean", "std", "min_num", "max_num")
+        .orderBy("ordinal")
+    )
+
+
+def temporal_range(df: DataFrame) -> DataFrame:
+    """``ordinal, column_name, min_text, max_text`` of the date and time columns."""
+    specs = column_specs(df)
+    return (
+        _specs_frame(df, specs)
+        .join(F.broadcast(column_facts(df, specs=[s for s in specs if s.stat_class == "temporal"])), "ordinal")
+        .select("ordinal", "column_name", "min_text", "max_text")
+        .orderBy("ordinal")
+    )

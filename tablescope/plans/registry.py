@@ -2,7 +2,9 @@
 
 Every query reads the driver's tables (or data Spark derives from them) in
 full.  NULLs are introduced the same way in the query and the oracle, with
-``nullif`` on a column that has none.
+``nullif`` on a column that has none.  Floating results are rounded with
+the shared formula of ``functions.numeric`` so query and oracle agree to
+the last digit shown.
 """
 
 from __future__ import annotations
@@ -12,10 +14,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_half_up
-from ..operators import profile as pr
+from ..functions.numeric import round_half_up, round_sql
+from ..functions.text import curate
+from ..operators import correlate, overview, profile as pr, speech, summarize, values
+from ..session import scratch_path
+from ..sources import files
+from ..streaming import transcripts
+from . import questions, report
 
 STAT_DIGITS = 6
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +47,109 @@ def events_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", "user_id", F.expr("nullif(event_type, 'error')").alias("event_type"), "value", "props")
 
 
+def lineitem_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(*[F.expr("nullif(l_discount, 0.0)").alias(c) if c == "l_discount" else F.col(c) for c in li.columns])
+
+
 def rounded(df: DataFrame, columns: list[str], digits: int = STAT_DIGITS) -> DataFrame:
     return df.select(*[round_half_up(F.col(c), digits).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+# -------------------------------------------------------------------- sources
+def q_scan_parquet(spark, sf_dir):
+    return files.open_source(spark, f"{sf_dir}/lineitem.parquet").df
+
+
+def q_scan_csv(spark, sf_dir):
+    # A CSV copy of ``orders`` written by Spark in the shared scratch folder,
+    # then read back with delimiter, header and types inferred.
+    path = scratch_path(spark, "orders-csv") + ".csv"
+    table(spark, sf_dir, "orders").write.option("header", True).option(
+        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"
+    ).csv(path)
+    return files.open_source(spark, path, fmt="csv").df
+
+
+def q_scan_json(spark, sf_dir):
+    path = scratch_path(spark, "orders-json") + ".json"
+    table(spark, sf_dir, "orders").write.json(path)
+    return files.open_source(spark, path, fmt="json").df
+
+
+def q_list_tables(spark, sf_dir):
+    tables = files.open_table_set(spark, sf_dir)
+    return overview.table_counts(spark, {name: src.df for name, src in tables.items()})
+
+
+def q_screen_files(spark, sf_dir):
+    found = speech.audio_files(spark, sf_dir, glob="*.parquet")
+    return speech.screen_audio(found).select("file_name", "length", "status", "error")
+
+
+def q_report_sections(spark, sf_dir):
+    src = files.open_source(spark, f"{sf_dir}/orders.parquet")
+    path = report.write_report(src, scratch_path(spark, "report"), order_by=["o_orderkey"])
+    return report.read_report(spark, path).select("seq", "type")
+
+
+def q_report_read(spark, sf_dir):
+    src = files.open_source(spark, f"{sf_dir}/orders.parquet")
+    path = report.write_report(src, scratch_path(spark, "report"), order_by=["o_orderkey"])
+    return report.read_report(spark, path)
+
+
 # ------------------------------------------------------------------ profiling
+def q_row_count(spark, sf_dir):
+    return overview.row_count(table(spark, sf_dir, "lineitem"))
+
+
+def q_overview(spark, sf_dir):
+    return overview.overview(files.open_source(spark, f"{sf_dir}/orders.parquet"))
+
+
+def q_schema_info(spark, sf_dir):
+    parts = []
+    for name in TABLES:
+        parts.append(pr.schema_info(table(spark, sf_dir, name)).select(F.lit(name).alias("table_name"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_sample_rows(spark, sf_dir):
+    return overview.sample_rows(table(spark, sf_dir, "orders"), 10, order_by=["o_orderkey"])
+
+
+def q_sample_preview(spark, sf_dir):
+    return overview.sample_preview(table(spark, sf_dir, "documents"), 10, order_by=["doc_id"])
+
+
+def q_distinct_counts(spark, sf_dir):
+    return pr.distinct_counts(lineitem_with_nulls(spark, sf_dir))
+
+
+def q_numeric_stats(spark, sf_dir):
+    return rounded(pr.numeric_stats(lineitem_with_nulls(spark, sf_dir)), ["mean", "std"])
+
+
+def q_quantiles(spark, sf_dir):
+    return rounded(pr.quantiles(lineitem_with_nulls(spark, sf_dir)), ["q25", "median", "q75"])
+
+
+def q_top_values(spark, sf_dir):
+    return values.top_values(orders_with_nulls(spark, sf_dir))
+
+
+def q_temporal_range(spark, sf_dir):
+    return pr.temporal_range(events_with_nulls(spark, sf_dir))
+
+
+def q_statistics(spark, sf_dir):
+    return rounded(pr.statistics(orders_with_nulls(spark, sf_dir)), ["mean", "std", "median", "q25", "q75"])
+
+
 def q_null_columns(spark, sf_dir):
     return pr.null_columns(events_with_nulls(spark, sf_dir))
 
@@ -52,12 +158,178 @@ def q_null_totals(spark, sf_dir):
     return pr.null_totals(events_with_nulls(spark, sf_dir))
 
 
-def q_statistics(spark, sf_dir):
-    return rounded(pr.statistics(orders_with_nulls(spark, sf_dir)), ["mean", "std", "median", "q25", "q75"])
+def q_completeness(spark, sf_dir):
+    return pr.completeness(events_with_nulls(spark, sf_dir))
+
+
+def q_null_severity(spark, sf_dir):
+    return pr.null_severity(events_with_nulls(spark, sf_dir))
+
+
+def q_cardinality(spark, sf_dir):
+    return pr.cardinality(orders_with_nulls(spark, sf_dir))
+
+
+def q_value_counts(spark, sf_dir):
+    return values.value_counts(orders_with_nulls(spark, sf_dir), "o_orderstatus")
+
+
+def q_value_counts_priority(spark, sf_dir):
+    return values.value_counts(table(spark, sf_dir, "orders"), "o_orderpriority", top_n=3)
+
+
+def q_correlations(spark, sf_dir):
+    return correlate.correlations(lineitem_with_nulls(spark, sf_dir))
+
+
+def q_strong_correlations(spark, sf_dir):
+    return correlate.strong_correlations(correlate.correlations(lineitem_with_nulls(spark, sf_dir)))
+
+
+def q_summarize(spark, sf_dir):
+    return summarize.summarize(lineitem_with_nulls(spark, sf_dir))
+
+
+def q_summarize_exact(spark, sf_dir):
+    s = summarize.summarize(lineitem_with_nulls(spark, sf_dir))
+    return rounded(
+        s.select("column_name", "column_type", "min", "max", "avg", "std", "count", "null_percentage"), ["avg", "std"]
+    )
+
+
+def q_full_report(spark, sf_dir):
+    tables = {n: files.open_source(spark, f"{sf_dir}/{n}.parquet") for n in ("orders", "customer")}
+    return report.full_report_table(report.full_report(tables))
+
+
+# -------------------------------------------------------------------- queries
+SQL_FILTER = "SELECT * FROM lineitem WHERE l_quantity > 45"
+SQL_JOIN = (
+    "SELECT n.n_name, count(*) AS order_count, "
+    + round_sql("sum(o.o_totalprice)", 2)
+    + " AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey "
+    "JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name"
+)
+
+
+def _all_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    return {n: table(spark, sf_dir, n) for n in TABLES}
+
+
+def q_sql_filter(spark, sf_dir):
+    return questions.run_sql(spark, SQL_FILTER, _all_tables(spark, sf_dir))
+
+
+def q_sql_join(spark, sf_dir):
+    return questions.run_sql(spark, SQL_JOIN, _all_tables(spark, sf_dir))
+
+
+def q_grouped_average(spark, sf_dir):
+    g = questions.grouped_average(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
+    return rounded(g, ["avg_l_extendedprice"])
+
+
+def q_pair_correlation(spark, sf_dir):
+    return questions.pair_correlation(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", digits=6)
+
+
+def q_filtered_summary(spark, sf_dir):
+    s = questions.filtered_summary(orders_with_nulls(spark, sf_dir), "o_orderdate", 1996)
+    return rounded(s, ["mean", "std", "median", "q25", "q75"])
+
+
+# ----------------------------------------------------------------------- text
+def q_curate_transcripts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", curate(F.col("text")).alias("curated_prompt"))
+
+
+def q_curate_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", curate(F.col("text")).alias("curated_prompt"))
+
+
+def q_curate_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "conversations").schema
+    sink = scratch_path(spark, "curated")
+    q = transcripts.start_curate_stream(
+        spark, sf_dir, schema, "text", sink, sink + "-checkpoint", glob="conversations.parquet"
+    )
+    q.awaitTermination()
+    return spark.read.schema(schema.add("curated_prompt", "string")).parquet(sink).select("conv_id", "turn", "curated_prompt")
+
+
+def stt_responses(spark, sf_dir) -> DataFrame:
+    """Speech-to-text style JSON responses built by Spark from ``conversations``.
+
+    Some responses lack the language (NULL or empty), some carry no
+    alternative; all fields are derived from the row.
+    """
+    c = table(spark, sf_dir, "conversations")
+    language = F.expr("CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'fr' END")
+    alternative = F.struct(F.col("text").alias("transcript"), ((F.col("conv_id") % 100) / 100.0).alias("confidence"))
+    alternatives = F.when(F.col("turn") % 7 == 6, F.array().cast("array<struct<transcript:string,confidence:double>>")).otherwise(
+        F.array(alternative)
+    )
+    channel = F.struct(language.alias("detected_language"), alternatives.alias("alternatives"))
+    body = F.struct(
+        F.struct(F.array(channel).alias("channels")).alias("results"),
+        F.struct((F.length("text") / 12.5).alias("duration")).alias("metadata"),
+    )
+    return c.select("conv_id", "turn", F.to_json(body).alias("response"))
+
+
+def q_flatten_stt(spark, sf_dir):
+    flat = speech.flatten_stt(stt_responses(spark, sf_dir), "response")
+    return flat.select("conv_id", "turn", "transcript", "confidence", "language", "duration_seconds", "status", "error")
+
+
+def q_transcribe_results(spark, sf_dir):
+    flat = speech.flatten_stt(stt_responses(spark, sf_dir), "response")
+    return flat.where(F.col("status") == "complete").select(
+        "conv_id", "turn", "transcript", "curated_prompt", "confidence", "language", "duration_seconds"
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "scan_parquet": q_scan_parquet,
+    "scan_csv": q_scan_csv,
+    "scan_json": q_scan_json,
+    "list_tables": q_list_tables,
+    "row_count": q_row_count,
+    "overview": q_overview,
+    "schema_info": q_schema_info,
+    "sample_rows": q_sample_rows,
+    "sample_preview": q_sample_preview,
+    "distinct_counts": q_distinct_counts,
+    "numeric_stats": q_numeric_stats,
+    "quantiles": q_quantiles,
+    "top_values": q_top_values,
+    "temporal_range": q_temporal_range,
+    "statistics": q_statistics,
     "null_columns": q_null_columns,
     "null_totals": q_null_totals,
-    "statistics": q_statistics,
+    "completeness": q_completeness,
+    "null_severity": q_null_severity,
+    "cardinality": q_cardinality,
+    "value_counts": q_value_counts,
+    "value_counts_priority": q_value_counts_priority,
+    "correlations": q_correlations,
+    "strong_correlations": q_strong_correlations,
+    "summarize": q_summarize,
+    "summarize_exact": q_summarize_exact,
+    "full_report": q_full_report,
+    "report_sections": q_report_sections,
+    "report_read": q_report_read,
+    "sql_filter": q_sql_filter,
+    "sql_join": q_sql_join,
+    "grouped_average": q_grouped_average,
+    "pair_correlation": q_pair_correlation,
+    "filtered_summary": q_filtered_summary,
+    "curate_transcripts": q_curate_transcripts,
+    "curate_documents": q_curate_documents,
+    "curate_stream": q_curate_stream,
+    "flatten_stt": q_flatten_stt,
+    "transcribe_results": q_transcribe_results,
+    "screen_files": q_screen_files,
 }

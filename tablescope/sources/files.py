@@ -215,7 +215,7 @@ def type_date_strings(df: DataFrame) -> DataFrame:
         c = col(name)
         checks += [
             F.count(c).alias(f"n{i}"),
-            F.count_if(c.rlike(_DATE_TEXT) & F.try_to_date(c, F.lit("yyyy-MM-dd")).isNotNull()).alias(f"d{i}"),
+            F.count_if(c.rlike(_DATE_TEXT) & F.try_to_date(c, "yyyy-MM-dd").isNotNull()).alias(f"d{i}"),
             F.count_if(c.rlike(_TIMESTAMP_TEXT) & c.try_cast("timestamp_ntz").isNotNull()).alias(f"t{i}"),
         ]
     row = df.agg(*checks).first()
