@@ -64,7 +64,12 @@ def screen_audio(files: DataFrame, length: str = "length", min_bytes: int = MIN_
 
 
 def audio_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``path, file_name, length`` of audio files, listed without reading content."""
+    """``path, file_name, length`` of audio files, listed without reading content.
+
+    Spark's file sources skip zero-byte files, so an empty upload never
+    appears here; ``screen_audio`` still flags length 0 when the lengths come
+    from another table (upload metadata).
+    """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import col, quote
+from ..functions.numeric import col
 
 FORMATS = ("csv", "parquet", "json")
 _SUFFIXES = {"csv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json", "ndjson": "json"}
@@ -280,7 +280,8 @@ def table_entries(spark: SparkSession, directory: str) -> list[tuple[str, str, s
             continue
         fmt = known[0]
         entry = r.entry
-        name = entry if r.is_dir else entry.rsplit(".", 1)[0]
+        # ``t.parquet`` may be one file or a directory of part files
+        name = entry.rsplit(".", 1)[0] if suffix_format(entry) else entry
         out.append((name, f"{root}/{entry}", fmt))
     return sorted(out)
 
@@ -297,5 +298,6 @@ def default_table(tables: dict[str, Source]) -> Source:
 
 
 def register_all(tables: dict[str, Source]) -> None:
+    """Register every table of a set as a temporary view under its name."""
     for name, src in tables.items():
-        src.df.createOrReplaceTempView(quote(name).strip("`") if name.isidentifier() else name)
+        src.df.createOrReplaceTempView(name)
