@@ -2,7 +2,8 @@
 
 The steps run in this order, each over the whole text:
 
-1. delete every filler word or phrase below as a whole word, any case;
+1. delete every filler word or phrase below as a whole word, any case
+   (one regular-expression pass, see ``FILLER_PATTERN``);
 2. collapse runs of white space to one blank and trim;
 3. drop white space before a comma, merge ``,<space>*,`` into one comma (a
    single left-to-right pass, so ``, , ,`` becomes ``,,``), drop a leading
@@ -46,12 +47,17 @@ def _quoted(word: str) -> str:
     return r"\Q" + word + r"\E"
 
 
+# One pass with an alternation removes exactly what one pass per word would:
+# every entry is a whole word or phrase, no two entries share a word, and
+# deleting a whole word leaves two non-word characters side by side, so an
+# earlier deletion can neither create nor break a later match.
+FILLER_PATTERN = r"(?iU)\b(?:" + "|".join(_quoted(w) for w in FILLER_WORDS) + r")\b"
+
+
 def curate(text: Column | str) -> Column:
     """Cleaned prompt of a transcript column (NULL stays NULL)."""
     original = F.col(text) if isinstance(text, str) else text
-    r = original
-    for word in FILLER_WORDS:
-        r = F.regexp_replace(r, F.lit(r"(?iU)\b" + _quoted(word) + r"\b"), F.lit(""))
+    r = F.regexp_replace(original, F.lit(FILLER_PATTERN), F.lit(""))
     r = F.trim(F.regexp_replace(r, F.lit(rf"(?U){_WS}+"), F.lit(" ")))
     r = F.regexp_replace(r, F.lit(rf"(?U){_WS}+,"), F.lit(","))
     r = F.regexp_replace(r, F.lit(rf"(?U),{_WS}*,"), F.lit(","))

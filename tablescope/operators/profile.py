@@ -1,21 +1,21 @@
 """Column profiles of a table in a fixed number of Spark jobs.
 
-Jobs per table (columns are processed in groups of ``GROUP`` so that no
-aggregate grows with the width of the table; with Parquet each group reads
-only its own columns):
-
-* facts: one global aggregate per group - row count, non-null count, mean,
-  sample standard deviation, min and max.  Partial aggregation happens on the
-  map side, the final merge sees one small buffer per task.
-* frequencies: one ``GROUPING SETS`` aggregate per group - one row per
-  (column, value) with its count.  Hot values are combined map-side before
-  the shuffle.  The table is checkpointed and yields exact distinct counts,
-  top values and the input of the exact quantiles.
+Jobs per table:
+
+* facts: one global aggregate per group of ``GROUP`` columns - row count,
+  non-null count, mean, sample standard deviation, min and max.  Partial
+  aggregation happens on the map side; the final merge sees one small buffer
+  per task.  With Parquet each group reads only its own columns.
+* frequencies: one scan unpivots the columns into a narrow long table
+  ``(ord, value slots)`` and groups it - one row per distinct value of each
+  column.  Hot values are combined map-side before the shuffle.  A second,
+  tiny aggregate keyed by column gives exact distinct counts and top values.
 * quantiles: the numeric part of the frequency table is range-partitioned on
   (column, value) and checkpointed; per-partition counts (one row per
   partition and column) locate each wanted rank, and only the partitions that
-  hold a wanted rank are scanned again.  No task ever holds all the values of
-  a column, unlike a global ``percentile``.
+  hold a wanted rank are read again.  No task ever holds all the values of
+  a column, unlike a global ``percentile``.  The same table gives the numeric
+  columns' exact distinct counts.
 """
 
 from __future__ import annotations
@@ -162,56 +162,76 @@ def column_facts(
 
 
 # ------------------------------------------------------------------ frequencies
-def value_frequencies(df: DataFrame, specs: list[ColumnSpec] | None = None) -> list[tuple[list[ColumnSpec], DataFrame]]:
-    """Per group of groupable columns, a table ``(_ord, v<ordinal>..., freq)``.
+_SLOTS = [("vi", "bigint"), ("vf", "double"), ("vs", "string"), ("vb", "binary")]
 
-    One row per distinct value of each column (NULL included as a value),
-    from one ``GROUPING SETS`` aggregate: one scan and one shuffle per group.
+
+def _slot_struct(s: ColumnSpec):
+    """One column's value in the slot of its kind (the others NULL).
+
+    Integral numbers keep their exact value in ``vi``; floating numbers go to
+    ``vf``; decimals to ``vs`` as exact text (same scale within a column);
+    booleans, text and date / time values to ``vs`` as text (ISO text orders
+    like the values); binary to ``vb``.
     """
-    specs = [s for s in (specs or column_specs(df)) if s.groupable]
-    out = []
-    for group in _groups(specs):
-        aliases = [f"v{s.ordinal}" for s in group]
-        sel = df.select(*[col(s.name).alias(a) for s, a in zip(group, aliases)])
-        ord_expr = F.coalesce(*[F.when(F.grouping(a) == 0, F.lit(s.ordinal)) for s, a in zip(group, aliases)])
-        freq = sel.groupingSets([[a] for a in aliases], *aliases).agg(
-            F.count(F.lit(1)).alias("freq"), ord_expr.alias("_ord")
-        )
-        out.append((group, freq))
-    return out
+    c, dt = col(s.name), s.dtype
+    vals = {"vi": None, "vf": None, "vs": None, "vb": None}
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        vals["vi"] = c.cast("bigint")
+    elif isinstance(dt, (T.FloatType, T.DoubleType)):
+        vals["vf"] = c.cast("double")
+    elif isinstance(dt, T.BinaryType):
+        vals["vb"] = c
+    else:
+        vals["vs"] = text_of(c, dt)
+    return F.struct(
+        F.lit(s.ordinal).alias("ord"),
+        *[(vals[n] if vals[n] is not None else _null(t)).alias(n) for n, t in _SLOTS],
+    )
+
 
+def value_frequencies(df: DataFrame, specs: list[ColumnSpec] | None = None) -> DataFrame:
+    """Narrow long table ``(ord, vi, vf, vs, vb, freq)``: one row per distinct non-NULL value.
 
-def distinct_and_top(groups: list[tuple[list[ColumnSpec], DataFrame]]) -> DataFrame:
-    """Exact distinct count, top value and its frequency per column.
+    One scan unpivots the columns (one generated row per column and input
+    row), NULLs are dropped before the shuffle, and the grouping on the
+    narrow key combines map-side, so a hot value costs one row per task.
+    Nested, interval and map columns are left out (see ``_counts_only``).
+    """
+    specs = [s for s in (specs or column_specs(df)) if s.groupable and s.stat_class != "counts"]
+    spark = _spark(df)
+    if not specs:
+        return spark.createDataFrame([], "ord int, vi bigint, vf double, vs string, vb binary, freq bigint")
+    present = F.col("vi").isNotNull() | F.col("vf").isNotNull() | F.col("vs").isNotNull() | F.col("vb").isNotNull()
+    return (
+        df.select(F.inline(F.array(*[_slot_struct(s) for s in specs])))
+        .where(present)
+        .groupBy("ord", "vi", "vf", "vs", "vb")
+        .agg(F.count(F.lit(1)).alias("freq"))
+    )
+
+
+def distinct_and_top(freq: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
+    """Exact distinct count, top value (as text) and its frequency per column.
 
     The top value excludes NULL; a tie on frequency goes to the larger value.
+    A second, tiny aggregate keyed by column.
     """
-    parts = []
-    for group, freq in groups:
-        aggs, structs = [], []
-        for s in group:
-            k, v = s.ordinal, F.col(f"v{s.ordinal}")
-            here = (F.col("_ord") == k) & v.isNotNull()
-            aggs.append(F.count_if(here).alias(f"u{k}"))
-            if s.stat_class in ("scalar", "temporal"):
-                best = F.max(F.when(here, F.struct(F.col("freq").alias("f"), v.alias("v"))))
-                aggs.append(best.alias(f"t{k}"))
-                top_value, top_freq = text_of(F.col(f"t{k}.v"), s.dtype), F.col(f"t{k}.f")
-            else:
-                top_value, top_freq = _null("string"), _null("bigint")
-            structs.append(
-                F.struct(
-                    F.lit(k).alias("ordinal"),
-                    F.col(f"u{k}").cast("bigint").alias("unique_count"),
-                    top_value.alias("top_value"),
-                    top_freq.cast("bigint").alias("top_frequency"),
-                )
-            )
-        parts.append(freq.agg(*aggs).select(F.inline(F.array(*structs))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    want = [s.ordinal for s in specs]
+    best = F.max(F.struct(F.col("freq").alias("f"), "vi", "vf", "vs", "vb"))
+    top_text = F.coalesce(
+        F.col("t.vs"), F.col("t.vi").cast("string"), F.col("t.vf").cast("string"), F.col("t.vb").cast("string")
+    )
+    return (
+        freq.where(F.col("ord").isin(want))
+        .groupBy("ord")
+        .agg(F.count(F.lit(1)).alias("unique_count"), best.alias("t"))
+        .select(
+            F.col("ord").alias("ordinal"),
+            F.col("unique_count").cast("bigint").alias("unique_count"),
+            top_text.alias("top_value"),
+            F.col("t.f").cast("bigint").alias("top_frequency"),
+        )
+    )
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -220,40 +240,50 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------- quantiles
-def exact_quantiles(
-    groups: list[tuple[list[ColumnSpec], DataFrame]], points: tuple[float, ...] = QUANTILE_POINTS
-) -> dict[int, list[float | None]]:
-    """Interpolated quantiles (``QUANTILE_CONT``) of the numeric columns.
+def numeric_long(freq: DataFrame) -> DataFrame:
+    """``(ord, v double, freq)`` rows of numeric values from the frequency table.
 
-    Returns ``{ordinal: [value per point]}`` for a handful of numbers per
-    column; the values themselves never leave the executors.
+    Values were grouped by their exact value, so the row count per column
+    is its exact distinct count.
     """
-    longs = []
-    numeric_ords = []
-    for group, freq in groups:
-        nums = [s for s in group if s.stat_class == "numeric"]
-        if not nums:
-            continue
-        numeric_ords += [s.ordinal for s in nums]
-        v = F.coalesce(*[F.when(F.col("_ord") == s.ordinal, F.col(f"v{s.ordinal}").cast("double")) for s in nums])
-        longs.append(
-            freq.where(F.col("_ord").isin([s.ordinal for s in nums]))
-            .select(F.col("_ord").alias("ord"), v.alias("v"), F.col("freq"))
-            .where(F.col("v").isNotNull())
-        )
-    result: dict[int, list[float | None]] = {k: [None] * len(points) for k in numeric_ords}
-    if not longs:
-        return result
-    long = longs[0]
-    for p in longs[1:]:
-        long = long.unionByName(p)
+    v = F.coalesce(F.col("vi").cast("double"), F.col("vf"), F.col("vs").cast("double"))
+    return freq.select("ord", v.alias("v"), "freq")
+
+
+@dataclass
+class NumericSummary:
+    """Exact distinct counts and interpolated quantiles per numeric column."""
+
+    distinct: dict[int, int]
+    quantiles: dict[int, list[float | None]]
+
+
+def exact_quantiles(
+    df: DataFrame, specs: list[ColumnSpec], points: tuple[float, ...] = QUANTILE_POINTS
+) -> NumericSummary:
+    """Interpolated quantiles (``QUANTILE_CONT``) and distinct counts of the numeric columns.
+
+    The narrow frequency table is range-partitioned on (column, value),
+    sorted within partitions and checkpointed (so partition ids stay fixed
+    even if an executor is lost).  Counts per (partition, column) - one row
+    each - locate every wanted rank; only the partitions holding one are
+    read again, and a running sum inside them picks the values.  Just a
+    handful of numbers per column reach the driver.
+    """
+    specs = [s for s in specs if s.stat_class == "numeric"]
+    ords = [s.ordinal for s in specs]
+    out = NumericSummary({k: 0 for k in ords}, {k: [None] * len(points) for k in ords})
+    if not specs:
+        return out
+    long = numeric_long(value_frequencies(df, specs))
     ranged = _checkpointed(long.repartitionByRange("ord", "v").sortWithinPartitions("ord", "v"))
     ranged = ranged.withColumn("pid", F.spark_partition_id())
     # One row per (partition, column): bounded by partitions + columns.
-    sizes = ranged.groupBy("pid", "ord").agg(F.sum("freq").alias("n")).collect()
+    sizes = ranged.groupBy("pid", "ord").agg(F.sum("freq").alias("n"), F.count(F.lit(1)).alias("d")).collect()
     by_col: dict[int, list[tuple[int, int]]] = {}
     for r in sizes:
         by_col.setdefault(r.ord, []).append((r.pid, r.n))
+        out.distinct[r.ord] = out.distinct.get(r.ord, 0) + r.d
     wanted = []  # (pid, ord, local_rank, rank)
     plan = {}  # ord -> list of (lo_rank, hi_rank, frac)
     for k, parts in by_col.items():
@@ -276,7 +306,7 @@ def exact_quantiles(
                     break
                 before += n
     if not wanted:
-        return result
+        return out
     spark = _spark(ranged)
     targets = spark.createDataFrame(wanted, "pid int, ord int, local_rank bigint, rank bigint")
     keys = targets.select("pid", "ord").distinct()
@@ -300,8 +330,8 @@ def exact_quantiles(
                 vals.append(a)
             else:
                 vals.append(a + (b - a) * frac)
-        result[k] = vals
-    return result
+        out.quantiles[k] = vals
+    return out
 
 
 def _quantile_frame(spark: SparkSession, q: dict[int, list[float | None]]) -> DataFrame:
@@ -321,48 +351,70 @@ class Profile:
     quantiles: DataFrame
 
 
-def build_profile(df: DataFrame, approx: bool = False, quantiles: bool = True) -> Profile:
+def _counts_only(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
+    """Distinct counts of nested and interval columns (maps and variants via their JSON text)."""
+    targets = [(col(s.name) if s.groupable else F.to_json(col(s.name))) for s in specs]
+    return df.agg(*[F.count_distinct(t).alias(f"u{s.ordinal}") for s, t in zip(specs, targets)]).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(s.ordinal).alias("ordinal"),
+                        F.col(f"u{s.ordinal}").cast("bigint").alias("unique_count"),
+                        _null("string").alias("top_value"),
+                        _null("bigint").alias("top_frequency"),
+                    )
+                    for s in specs
+                ]
+            )
+        )
+    )
+
+
+def build_profile(df: DataFrame, approx: bool = False) -> Profile:
+    """Plan (and, for numeric columns, run) the per-column jobs of one table.
+
+    Exact mode: non-numeric columns get distinct counts and top values from
+    a lazy grouping-sets aggregate; numeric columns go through one narrow,
+    range-partitioned frequency table that yields exact distinct counts and
+    quantiles together.  Approximate mode: sketches in the facts aggregate,
+    plus exact top values.
+    """
     specs = column_specs(df)
     spark = _spark(df)
     specs_frame = _specs_frame(df, specs)
     facts = column_facts(df, approx=approx)
+    top_specs = [s for s in specs if s.stat_class in ("scalar", "temporal")]
+    empty = spark.createDataFrame([], "ordinal int, unique_count bigint, top_value string, top_frequency bigint")
     if approx:
-        uniques_parts = []
-        groups = value_frequencies(df, [s for s in specs if s.stat_class in ("scalar", "temporal")])
-        groups = [(g, _checkpointed(f)) for g, f in groups]
-        top = distinct_and_top(groups).select("ordinal", "top_value", "top_frequency") if groups else None
+        top = distinct_and_top(value_frequencies(df, top_specs), top_specs).drop("unique_count") if top_specs else None
         uniques = facts.select("ordinal", F.col("approx_unique").alias("unique_count"))
         if top is not None:
             uniques = uniques.join(F.broadcast(top), "ordinal", "left")
         else:
             uniques = uniques.withColumn("top_value", _null("string")).withColumn("top_frequency", _null("bigint"))
-        del uniques_parts
-        qf = facts.select("ordinal", "q25", "median", "q75")
-        return Profile(specs, specs_frame, facts, uniques, qf)
-    groups = [(g, _checkpointed(f)) for g, f in value_frequencies(df, specs)]
-    uniques = distinct_and_top(groups) if groups else None
-    ungroupable = [s for s in specs if not s.groupable]
-    if ungroupable:
-        extra = df.agg(*[F.count_distinct(F.to_json(col(s.name))).alias(f"u{s.ordinal}") for s in ungroupable]).select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(s.ordinal).alias("ordinal"),
-                            F.col(f"u{s.ordinal}").cast("bigint").alias("unique_count"),
-                            _null("string").alias("top_value"),
-                            _null("bigint").alias("top_frequency"),
-                        )
-                        for s in ungroupable
-                    ]
-                )
+        return Profile(specs, specs_frame, facts, uniques, facts.select("ordinal", "q25", "median", "q75"))
+    parts = []
+    other = [s for s in specs if s.stat_class in ("scalar", "temporal")]
+    if other:
+        top = distinct_and_top(value_frequencies(df, other), other)
+        parts.append(top)
+    counts_only = [s for s in specs if s.stat_class == "counts"]
+    if counts_only:
+        parts.append(_counts_only(df, counts_only))
+    numeric = [s for s in specs if s.stat_class == "numeric"]
+    summary = exact_quantiles(df, numeric) if numeric else NumericSummary({}, {})
+    if numeric:
+        parts.append(
+            spark.createDataFrame(
+                [(k, n, None, None) for k, n in sorted(summary.distinct.items())],
+                "ordinal int, unique_count bigint, top_value string, top_frequency bigint",
             )
         )
-        uniques = extra if uniques is None else uniques.unionByName(extra)
-    if uniques is None:
-        uniques = spark.createDataFrame([], "ordinal int, unique_count bigint, top_value string, top_frequency bigint")
-    qf = _quantile_frame(spark, exact_quantiles(groups)) if quantiles else _quantile_frame(spark, {})
-    return Profile(specs, specs_frame, facts, uniques, qf)
+    uniques = empty
+    for p in parts:
+        uniques = uniques.unionByName(p)
+    return Profile(specs, specs_frame, facts, uniques, _quantile_frame(spark, summary.quantiles))
 
 
 def statistics(df: DataFrame, approx: bool = False, profile: Profile | None = None) -> DataFrame:
@@ -587,8 +639,7 @@ def quantiles(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> Dat
     if approx:
         qf = column_facts(df, approx=True, accuracy=accuracy, specs=specs).select("ordinal", "q25", "median", "q75")
     else:
-        groups = [(g, _checkpointed(f)) for g, f in value_frequencies(df, specs)]
-        qf = _quantile_frame(spark, exact_quantiles(groups))
+        qf = _quantile_frame(spark, exact_quantiles(df, specs).quantiles)
     return names.join(F.broadcast(qf), "ordinal").select("ordinal", "column_name", "q25", "median", "q75").orderBy("ordinal")
 
 

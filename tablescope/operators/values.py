@@ -47,13 +47,13 @@ def top_values(df: DataFrame) -> DataFrame:
     """Most frequent non-NULL value (as text) and its frequency per column.
 
     Only date / time and other scalar non-numeric columns get one; ties go
-    to the larger value.  One grouping-sets aggregate per column group.
+    to the larger value.  One narrow unpivot-and-group job for all columns.
     """
     specs = [s for s in pr.column_specs(df) if s.stat_class in ("scalar", "temporal")]
     if not specs:
         return df.sparkSession.createDataFrame([], "ordinal int, column_name string, top_value string, top_frequency bigint")
     names = pr._specs_frame(df, specs).select("ordinal", "column_name")
-    dt = pr.distinct_and_top(pr.value_frequencies(df, specs))
+    dt = pr.distinct_and_top(pr.value_frequencies(df, specs), specs)
     return (
         names.join(F.broadcast(dt), "ordinal")
         .select("ordinal", "column_name", "top_value", "top_frequency")
