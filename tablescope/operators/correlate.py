@@ -6,9 +6,15 @@ The guarded form
     try_divide(covar_samp(x, y), stddev_samp(x | y present) * stddev_samp(y | x present))
 
 gives NULL for a constant or all-NULL column instead of failing on a
-division by zero in ANSI mode.  The upper triangle (diagonal included) is
-computed, in aggregates of ``pairs_per_job`` pairs so no single aggregate
-grows with the square of the column count; the lower half is mirrored.
+division by zero in ANSI mode.
+
+Plan: the upper triangle (diagonal included) is tiled by blocks of
+``BLOCK`` columns; each tile (at most ``BLOCK``² pairs) is one global
+aggregate.  A pair needs ten aggregation-buffer fields, so a tile of nine
+pairs stays under Spark's limit for whole-stage code generation (100
+fields); one very wide aggregate falls back to slow interpreted evaluation.
+A tile reads only its own ``2 x BLOCK`` columns from Parquet, which keeps
+the bytes read per pair low.  The lower half is mirrored, not recomputed.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import col, round_half_up
 from . import profile as pr
 
-PAIRS_PER_JOB = 16
+BLOCK = 3
 STRONG = 0.7
 _SCHEMA = "col1 string, col2 string, corr double"
 
@@ -37,9 +43,18 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [s.name for s in pr.column_specs(df) if s.stat_class == "numeric"]
 
 
-def correlations(
-    df: DataFrame, columns: list[str] | None = None, digits: int | None = 3, pairs_per_job: int = PAIRS_PER_JOB
-) -> DataFrame:
+def _tiles(names: list[str], block: int) -> list[list[tuple[str, str]]]:
+    blocks = [names[i : i + block] for i in range(0, len(names), block)]
+    tiles = []
+    for i, bi in enumerate(blocks):
+        for bj in blocks[i:]:
+            pairs = [(a, b) for a in bi for b in bj if names.index(a) <= names.index(b)]
+            if pairs:
+                tiles.append(pairs)
+    return tiles
+
+
+def correlations(df: DataFrame, columns: list[str] | None = None, digits: int | None = 3, block: int = BLOCK) -> DataFrame:
     """Long form ``(col1, col2, corr)`` for every ordered pair, diagonal included.
 
     Fewer than two numeric columns give an empty result and a warning.
@@ -49,14 +64,12 @@ def correlations(
     if len(names) < 2:
         warnings.warn("not enough numeric columns for correlation analysis", stacklevel=2)
         return spark.createDataFrame([], _SCHEMA)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     parts = []
-    for start in range(0, len(pairs), pairs_per_job):
-        chunk = pairs[start : start + pairs_per_job]
-        aggs = [guarded_corr(col(a), col(b)).alias(f"r{start + i}") for i, (a, b) in enumerate(chunk)]
+    for t, tile in enumerate(_tiles(names, block)):
+        aggs = [guarded_corr(col(a), col(b)).alias(f"r{t}_{i}") for i, (a, b) in enumerate(tile)]
         structs = [
-            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{start + i}").alias("corr"))
-            for i, (a, b) in enumerate(chunk)
+            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{t}_{i}").alias("corr"))
+            for i, (a, b) in enumerate(tile)
         ]
         parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
     upper = parts[0]

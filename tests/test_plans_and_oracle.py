@@ -53,8 +53,10 @@ def test_no_cross_join_in_registered_queries(spark):
 
 def test_correlation_pairs_split_into_bounded_aggregates(spark):
     df = spark.range(50).selectExpr(*[f"CAST(id * {i} % 7 AS DOUBLE) AS c{i}" for i in range(10)])
-    rows = correlate.correlations(df, pairs_per_job=8).collect()
+    rows = correlate.correlations(df, block=3).collect()
     assert len(rows) == 100
+    tiles = correlate._tiles([f"c{i}" for i in range(10)], 3)
+    assert sum(len(t) for t in tiles) == 55 and max(len(t) for t in tiles) <= 9
 
 
 def _norm(v):
