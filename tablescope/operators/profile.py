@@ -62,6 +62,27 @@ def _groups(items: list, n: int = GROUP) -> list[list]:
     return [items[i : i + n] for i in range(0, len(items), n)]
 
 
+# Aggregation-buffer fields per column in ``column_facts``; a group stays under
+# Spark's limit of 100 fields for whole-stage code generation.
+FIELD_BUDGET = 96
+
+
+def _fact_groups(specs: list[ColumnSpec], approx: bool) -> list[list[ColumnSpec]]:
+    out, cur, used = [], [], 1
+    for s in specs:
+        cost = 8 if s.stat_class == "numeric" else 3
+        if approx:
+            cost += 2
+        if cur and used + cost > FIELD_BUDGET:
+            out.append(cur)
+            cur, used = [], 1
+        cur.append(s)
+        used += cost
+    if cur:
+        out.append(cur)
+    return out
+
+
 def _spark(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -118,7 +139,7 @@ def column_facts(
     """
     specs = specs if specs is not None else column_specs(df)
     parts = []
-    for group in _groups(specs):
+    for group in _fact_groups(specs, approx):
         aggs, structs = [F.count(F.lit(1)).alias("_rows")], []
         for s in group:
             c, k = col(s.name), s.ordinal
@@ -591,34 +612,45 @@ def cardinality(df: DataFrame, max_categories: int = 20, uniques: DataFrame | No
 
 
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
-    """``count`` (all rows) and exact ``unique_count`` (NULLs ignored) per column.
+    """``count`` (all rows) and ``unique_count`` (NULLs ignored) per column.
 
-    Exact counts use ``count_distinct`` in groups of columns (Spark rewrites
-    them into one Expand + two-level aggregate per group); ``approx`` uses
-    HyperLogLog++ sketches.
+    Exact counts come from the narrow frequency table (one unpivot-and-group
+    job for all columns, see ``value_frequencies``); ``approx`` uses
+    HyperLogLog++ sketches in the facts aggregate.
     """
     specs = column_specs(df)
-    parts = []
-    for group in _groups(specs):
-        aggs = [F.count(F.lit(1)).alias("_rows")]
-        for s in group:
-            target = col(s.name) if s.groupable else F.to_json(col(s.name))
-            fn = F.approx_count_distinct if approx else F.count_distinct
-            aggs.append(fn(target).alias(f"u{s.ordinal}"))
-        structs = [
-            F.struct(
-                F.lit(s.ordinal).alias("ordinal"),
-                F.lit(s.name).alias("column_name"),
-                F.col("_rows").alias("count"),
-                F.col(f"u{s.ordinal}").cast("bigint").alias("unique_count"),
-            )
-            for s in group
-        ]
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark = _spark(df)
+    names = _specs_frame(df, specs).select("ordinal", "column_name")
+    rows = df.agg(F.count(F.lit(1)).alias("count"))
+    if approx:
+        u = column_facts(df, approx=True).select("ordinal", F.col("approx_unique").alias("unique_count"))
+    else:
+        grouped = [s for s in specs if s.stat_class != "counts"]
+        parts = []
+        if grouped:
+            freq = value_frequencies(df, grouped)
+            found = freq.groupBy(F.col("ord").alias("ordinal")).agg(F.count(F.lit(1)).alias("unique_count"))
+            # columns with only NULLs have no row in the frequency table
+            zeros = spark.createDataFrame([(s.ordinal, 0) for s in grouped], "ordinal int, unique_count bigint")
+            parts.append(zeros.unionByName(found).groupBy("ordinal").agg(F.max("unique_count").alias("unique_count")))
+        nested = [s for s in specs if s.stat_class == "counts"]
+        if nested:
+            parts.append(_counts_only(df, nested).select("ordinal", "unique_count"))
+        u = parts[0]
+        for p in parts[1:]:
+            u = u.unionByName(p)
+    total = rows.select(F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("bigint").alias("unique_count"), "count")
+    whole = Window.partitionBy()
+    # one row per column plus one total row: the window spans the column list
+    return (
+        u.withColumn("count", F.lit(None).cast("bigint"))
+        .unionByName(total)
+        .withColumn("count", F.max("count").over(whole))
+        .where(F.col("ordinal").isNotNull())
+        .join(F.broadcast(names), "ordinal")
+        .select("ordinal", "column_name", "count", F.col("unique_count").cast("bigint").alias("unique_count"))
+        .orderBy("ordinal")
+    )
 
 
 def row_count(df: DataFrame) -> DataFrame:
