@@ -277,6 +277,12 @@ def correlations_sql(src: str, cols, digits: int = 3) -> str:
     return union(parts)
 
 
+def correlation_matrix_sql(src: str, cols) -> str:
+    names = [n for n, _, cls in cols if cls == "numeric"]
+    cells = ", ".join(f"max(corr) FILTER (WHERE col2 = {lit(n)}) AS {q(n)}" for n in names)
+    return f'SELECT col1 AS "column", {cells} FROM ({correlations_sql(src, cols)}) c GROUP BY col1'
+
+
 def strong_correlations_sql(src: str, cols) -> str:
     return (
         "SELECT col1, col2, corr, CASE WHEN corr > 0 THEN 'positive' ELSE 'negative' END AS strength "
@@ -396,6 +402,7 @@ ORACLES: dict[str, str] = {
     "value_counts": value_counts_sql(ORDERS_N, "o_orderstatus"),
     "value_counts_priority": value_counts_sql("orders", "o_orderpriority", top_n=3),
     "correlations": correlations_sql(LINEITEM_N, LINEITEM_COLS),
+    "correlation_matrix": correlation_matrix_sql(LINEITEM_N, LINEITEM_COLS),
     "strong_correlations": strong_correlations_sql(LINEITEM_N, LINEITEM_COLS),
     "summarize_exact": summarize_exact_sql(LINEITEM_N, LINEITEM_COLS),
     "report_sections": (

@@ -182,6 +182,10 @@ def q_correlations(spark, sf_dir):
     return correlate.correlations(lineitem_with_nulls(spark, sf_dir))
 
 
+def q_correlation_matrix(spark, sf_dir):
+    return correlate.correlation_matrix(lineitem_with_nulls(spark, sf_dir))
+
+
 def q_strong_correlations(spark, sf_dir):
     return correlate.strong_correlations(correlate.correlations(lineitem_with_nulls(spark, sf_dir)))
 
@@ -315,6 +319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "value_counts": q_value_counts,
     "value_counts_priority": q_value_counts_priority,
     "correlations": q_correlations,
+    "correlation_matrix": q_correlation_matrix,
     "strong_correlations": q_strong_correlations,
     "summarize": q_summarize,
     "summarize_exact": q_summarize_exact,

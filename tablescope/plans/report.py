@@ -121,7 +121,8 @@ def report_sections(src: Source, sample_rows: int = SERVICE_SAMPLE_ROWS, order_b
         ),
     )
 
-    stats = profile.statistics(df)
+    prof = profile.build_profile(df)
+    stats = profile.statistics(df, profile=prof)
     stat_fields = [c for c in stats.columns if c != "ordinal"]
     sec_stats = _one(
         stats.agg(F.sort_array(F.collect_list(F.struct("ordinal", *stat_fields))).alias("c")),
@@ -130,7 +131,8 @@ def report_sections(src: Source, sample_rows: int = SERVICE_SAMPLE_ROWS, order_b
         F.to_json(F.struct(F.transform("c", lambda x: x.dropFields("ordinal")).alias("columns"))),
     )
 
-    nulls = profile.null_columns(df)
+    # the statistics' facts already hold row and non-NULL counts: no extra scan
+    nulls = profile.null_columns(df, facts=prof.facts.select("ordinal", "rows", "non_null"))
     n = len(df.columns)
     cells = F.coalesce(F.max("row_count"), F.lit(0)) * F.lit(n)
     total_nulls = F.coalesce(F.sum("null_count"), F.lit(0))
