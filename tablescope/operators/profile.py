@@ -11,7 +11,8 @@ Jobs per table:
   column.  Hot values are combined map-side before the shuffle.  A second,
   tiny aggregate keyed by column gives exact distinct counts and top values.
 * quantiles: the numeric part of the frequency table is range-partitioned on
-  (column, value) and checkpointed; per-partition counts (one row per
+  (column, value) and written with its partition id to the shared scratch
+  folder; per-partition counts (one row per
   partition and column) locate each wanted rank, and only the partitions that
   hold a wanted rank are read again.  No task ever holds all the values of
   a column, unlike a global ``percentile``.  The same table gives the numeric
@@ -23,13 +24,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import types as ty
 from ..functions.numeric import col, percent, round_half_up
-from ..session import checkpoint_root
+from ..session import drop_scratch, scratch_path
 
 GROUP = 24
 QUANTILE_POINTS = (0.25, 0.5, 0.75)
@@ -186,8 +188,8 @@ def column_facts(
 _SLOTS = [("vi", "bigint"), ("vf", "double"), ("vs", "string"), ("vb", "binary")]
 
 
-def _slot_struct(s: ColumnSpec):
-    """One column's value in the slot of its kind (the others NULL).
+def _slot_of(s: ColumnSpec):
+    """The slot a column's values go to, and the value expression.
 
     Integral numbers keep their exact value in ``vi``; floating numbers go to
     ``vf``; decimals to ``vs`` as exact text (same scale within a column);
@@ -195,40 +197,54 @@ def _slot_struct(s: ColumnSpec):
     like the values); binary to ``vb``.
     """
     c, dt = col(s.name), s.dtype
-    vals = {"vi": None, "vf": None, "vs": None, "vb": None}
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        vals["vi"] = c.cast("bigint")
-    elif isinstance(dt, (T.FloatType, T.DoubleType)):
-        vals["vf"] = c.cast("double")
-    elif isinstance(dt, T.BinaryType):
-        vals["vb"] = c
-    else:
-        vals["vs"] = text_of(c, dt)
-    return F.struct(
-        F.lit(s.ordinal).alias("ord"),
-        *[(vals[n] if vals[n] is not None else _null(t)).alias(n) for n, t in _SLOTS],
-    )
+        return "vi", c.cast("bigint")
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "vf", c.cast("double")
+    if isinstance(dt, T.BinaryType):
+        return "vb", c
+    return "vs", text_of(c, dt)
 
 
 def value_frequencies(df: DataFrame, specs: list[ColumnSpec] | None = None) -> DataFrame:
     """Narrow long table ``(ord, vi, vf, vs, vb, freq)``: one row per distinct non-NULL value.
 
-    One scan unpivots the columns (one generated row per column and input
-    row), NULLs are dropped before the shuffle, and the grouping on the
-    narrow key combines map-side, so a hot value costs one row per task.
-    Nested, interval and map columns are left out (see ``_counts_only``).
+    Columns are unpivoted by value kind into ``(ord, value)`` rows (one scan
+    per kind, reading only those columns), NULLs are dropped before the
+    shuffle, and each kind is grouped on its own two-column key, which keeps
+    Spark's fixed-width fast hash map for numbers.  The grouping combines
+    map-side, so a hot value costs one row per task in the shuffle.  Nested,
+    interval and map columns are left out (see ``_counts_only``).
     """
     specs = [s for s in (specs or column_specs(df)) if s.groupable and s.stat_class != "counts"]
     spark = _spark(df)
-    if not specs:
+    by_slot: dict[str, list] = {}
+    for s in specs:
+        slot, value = _slot_of(s)
+        by_slot.setdefault(slot, []).append(F.struct(F.lit(s.ordinal).alias("ord"), value.alias("v")))
+    parts = []
+    for slot, t in _SLOTS:
+        if slot not in by_slot:
+            continue
+        grouped = (
+            df.select(F.inline(F.array(*by_slot[slot])))
+            .where(F.col("v").isNotNull())
+            .groupBy("ord", "v")
+            .agg(F.count(F.lit(1)).alias("freq"))
+        )
+        parts.append(
+            grouped.select(
+                "ord",
+                *[(F.col("v") if n == slot else _null(nt)).alias(n) for n, nt in _SLOTS],
+                "freq",
+            )
+        )
+    if not parts:
         return spark.createDataFrame([], "ord int, vi bigint, vf double, vs string, vb binary, freq bigint")
-    present = F.col("vi").isNotNull() | F.col("vf").isNotNull() | F.col("vs").isNotNull() | F.col("vb").isNotNull()
-    return (
-        df.select(F.inline(F.array(*[_slot_struct(s) for s in specs])))
-        .where(present)
-        .groupBy("ord", "vi", "vf", "vs", "vb")
-        .agg(F.count(F.lit(1)).alias("freq"))
-    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def distinct_and_top(freq: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
@@ -255,11 +271,6 @@ def distinct_and_top(freq: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     )
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    checkpoint_root(_spark(df))
-    return df.checkpoint(eager=True)
-
-
 # -------------------------------------------------------------------- quantiles
 def numeric_long(freq: DataFrame) -> DataFrame:
     """``(ord, v double, freq)`` rows of numeric values from the frequency table.
@@ -284,9 +295,9 @@ def exact_quantiles(
 ) -> NumericSummary:
     """Interpolated quantiles (``QUANTILE_CONT``) and distinct counts of the numeric columns.
 
-    The narrow frequency table is range-partitioned on (column, value),
-    sorted within partitions and checkpointed (so partition ids stay fixed
-    even if an executor is lost).  Counts per (partition, column) - one row
+    The narrow frequency table is range-partitioned on (column, value) and
+    written, with its partition id, to the shared scratch folder (so the ids
+    stay fixed even if an executor is lost).  Counts per (partition, column) - one row
     each - locate every wanted rank; only the partitions holding one are
     read again, and a running sum inside them picks the values.  Just a
     handful of numbers per column reach the driver.
@@ -297,8 +308,30 @@ def exact_quantiles(
     if not specs:
         return out
     long = numeric_long(value_frequencies(df, specs))
-    ranged = _checkpointed(long.repartitionByRange("ord", "v").sortWithinPartitions("ord", "v"))
-    ranged = ranged.withColumn("pid", F.spark_partition_id())
+    # The range partitioner samples its input in a job of its own; keeping
+    # the frequency rows for that job and the shuffle avoids aggregating
+    # twice (a lost executor only means recomputing them from lineage).
+    # Not sorted here: only the few partitions holding a wanted rank are
+    # sorted later, by the window that picks the values.
+    # The range partition id is stored as a column of a table written to the
+    # shared scratch folder: reading it back may pack files differently, but
+    # the ids (and the ranks they locate) stay fixed, and a filter on ``pid``
+    # skips whole files.
+    spark = _spark(long)
+    path = scratch_path(spark, "ranked-values")
+    long = long.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        long.repartitionByRange("ord", "v").withColumn("pid", F.spark_partition_id()).write.parquet(path)
+    finally:
+        long.unpersist()
+    try:
+        return _select_ranks(spark.read.parquet(path), out, points)
+    finally:
+        drop_scratch(spark, path)
+
+
+def _select_ranks(ranged: DataFrame, out: NumericSummary, points: tuple[float, ...]) -> NumericSummary:
+    """Locate and read the values at the wanted ranks of a range-partitioned table."""
     # One row per (partition, column): bounded by partitions + columns.
     sizes = ranged.groupBy("pid", "ord").agg(F.sum("freq").alias("n"), F.count(F.lit(1)).alias("d")).collect()
     by_col: dict[int, list[tuple[int, int]]] = {}
@@ -333,7 +366,8 @@ def exact_quantiles(
     keys = targets.select("pid", "ord").distinct()
     w = Window.partitionBy("pid", "ord").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = (
-        ranged.join(F.broadcast(keys), ["pid", "ord"], "left_semi")
+        ranged.where(F.col("pid").isin(sorted({w[0] for w in wanted})))
+        .join(F.broadcast(keys), ["pid", "ord"], "left_semi")
         .withColumn("cum", F.sum("freq").over(w))
         .join(F.broadcast(targets), ["pid", "ord"])
         .where((F.col("cum") - F.col("freq") <= F.col("local_rank")) & (F.col("local_rank") < F.col("cum")))

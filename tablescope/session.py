@@ -62,3 +62,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unique path under the shared checkpoint folder for written tables."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/tablescope-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table written under the checkpoint folder (any file system)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hpath, True)
