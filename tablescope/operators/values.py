@@ -35,7 +35,9 @@ def value_counts(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     """
     freq = df.groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
     top = freq.orderBy(F.col("count").desc(), F.col("value").asc_nulls_last()).limit(top_n)
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    # the row total is the sum over all groups: the grouping's shuffle is
+    # reused, so the table is scanned once
+    total = freq.agg(F.sum("count").alias("_total"))
     return (
         attach_total(top, total, "_total")
         .select("value", "count", percent(F.col("count"), F.col("_total"), 2).alias("percentage"))

@@ -158,12 +158,20 @@ def sniff_csv(lines: list[str]) -> tuple[str, bool]:
     return best, True
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, sep: str | None = None, header: bool | None = None, sampling_ratio: float | None = None
+) -> DataFrame:
+    """CSV with sniffed delimiter and header and inferred types.
+
+    Type inference reads the whole input once; on very large inputs pass
+    ``sampling_ratio`` (a fraction of rows) to infer from a sample.
+    """
     if sep is None or header is None:
         s, h = sniff_csv(_first_lines(spark, path))
         sep = s if sep is None else sep
         header = h if header is None else header
-    df = spark.read.csv(path, sep=sep, header=header, inferSchema=True, mode="PERMISSIVE")
+    opts = {"samplingRatio": sampling_ratio} if sampling_ratio else {}
+    df = spark.read.csv(path, sep=sep, header=header, inferSchema=True, mode="PERMISSIVE", **opts)
     return _widen_csv(df)
 
 
@@ -181,11 +189,13 @@ def _widen_csv(df: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------------- JSON
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, sampling_ratio: float | None = None) -> DataFrame:
+    """JSON lines or a top-level array, columns in order of appearance, date strings typed."""
     lines = _first_lines(spark, path, _SNIFF_LINES)
     head = "\n".join(lines).lstrip()
     multiline = head.startswith("[")
-    df = spark.read.json(path, multiLine=multiline, mode="PERMISSIVE")
+    opts = {"samplingRatio": sampling_ratio} if sampling_ratio else {}
+    df = spark.read.json(path, multiLine=multiline, mode="PERMISSIVE", **opts)
     order = _first_record_order(head, multiline)
     if order:
         names = [n for n in order if n in df.columns] + [n for n in df.columns if n not in order]
@@ -240,12 +250,13 @@ def type_date_strings(df: DataFrame) -> DataFrame:
 def open_source(spark: SparkSession, path: str, fmt: str | None = None, name: str | None = None, **options) -> Source:
     """Check, read and name one source."""
     fmt = check_source(spark, path, fmt)
+    ratio = options.get("sampling_ratio")
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "csv":
-        df = read_csv(spark, path, sep=options.get("sep"), header=options.get("header"))
+        df = read_csv(spark, path, sep=options.get("sep"), header=options.get("header"), sampling_ratio=ratio)
     else:
-        df = read_json(spark, path)
+        df = read_json(spark, path, sampling_ratio=ratio)
     fname = file_name_of(path)
     table = name or (fname.rsplit(".", 1)[0] if "." in fname else fname)
     return Source(name=table, path=path, fmt=fmt, df=df, file_name=fname, options=dict(options))
