@@ -114,3 +114,12 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() == 6
     assert df.columns[:4] == ["ordinal", "column_name", "dtype", "count"]
+
+
+def test_value_counts_scan_once(spark):
+    from tablescope.operators import values
+
+    v = values.value_counts(spark.read.parquet(f"{SF001}/orders.parquet"), "o_orderpriority")
+    v.collect()
+    text = v._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("FileScan parquet") == 1

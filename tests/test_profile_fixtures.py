@@ -189,3 +189,28 @@ def test_filtered_summary_year_bounds(spark):
     assert year_filter(df, "ts", 2023).count() == 2
     d = df.select(F.to_date("ts").alias("d"))
     assert year_filter(d, "d", 2023).count() == 2
+
+
+def test_approx_statistics_close_to_exact(spark):
+    from tablescope.plans.registry import orders_with_nulls
+
+    df = orders_with_nulls(spark, "/root/testdata/sf0.01")
+    exact = {r.column_name: r for r in pr.statistics(df).collect()}
+    approx = {r.column_name: r for r in pr.statistics(df, approx=True).collect()}
+    assert set(exact) == set(approx)
+    for name, e in exact.items():
+        a = approx[name]
+        assert a["count"] == e["count"] and a.mean == e.mean and a.top_value == e.top_value
+        # HyperLogLog++ with the default 5 % relative standard error: allow 3 sigma
+        assert abs(a.unique_count - e.unique_count) <= max(2, 0.15 * e.unique_count)
+        if e.median is not None:
+            spread = e.q75 - e.q25 or 1.0
+            assert abs(a.median - e.median) <= 0.02 * spread + 1e-9
+
+
+def test_distinct_counts_exact_and_approx(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "b", None), (2, None, None)], "i int, s string, n double")
+    exact = {r.column_name: (r["count"], r.unique_count) for r in pr.distinct_counts(df).collect()}
+    assert exact == {"i": (3, 2), "s": (3, 2), "n": (3, 0)}
+    approx = {r.column_name: r.unique_count for r in pr.distinct_counts(df, approx=True).collect()}
+    assert approx == {"i": 2, "s": 2, "n": 0}

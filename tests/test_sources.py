@@ -96,3 +96,10 @@ def test_overview_counts_and_size(spark, tmpdir_path):
     ov = overview.overview(files.open_source(spark, p)).first()
     assert (ov.row_count, ov.column_count, ov.file_name, ov.file_type) == (2, 2, "o.csv", "csv")
     assert ov.file_size_bytes == os.path.getsize(p)
+
+
+def test_csv_sampling_ratio(spark, tmpdir_path):
+    body = "id,v\n" + "\n".join(f"{i},{i / 2}" for i in range(200)) + "\n"
+    p = write(os.path.join(tmpdir_path, "big.csv"), body)
+    df = files.open_source(spark, p, sampling_ratio=0.5).df
+    assert df.count() == 200 and isinstance(df.schema["v"].dataType, T.DoubleType)
