@@ -290,8 +290,8 @@ def q_flatten_stt(spark, sf_dir):
 
 def q_transcribe_results(spark, sf_dir):
     flat = speech.flatten_stt(stt_responses(spark, sf_dir), "response")
-    return flat.where(F.col("status") == "complete").select(
-        "conv_id", "turn", "transcript", "curated_prompt", "confidence", "language", "duration_seconds"
+    return flat.select(
+        "conv_id", "turn", "transcript", "curated_prompt", "confidence", "language", "duration_seconds", "status"
     )
 
 
