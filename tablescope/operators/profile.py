@@ -430,10 +430,10 @@ def build_profile(df: DataFrame, approx: bool = False) -> Profile:
     """Plan (and, for numeric columns, run) the per-column jobs of one table.
 
     Exact mode: non-numeric columns get distinct counts and top values from
-    a lazy grouping-sets aggregate; numeric columns go through one narrow,
-    range-partitioned frequency table that yields exact distinct counts and
-    quantiles together.  Approximate mode: sketches in the facts aggregate,
-    plus exact top values.
+    a lazy aggregate over their narrow frequency table; numeric columns go
+    through one range-partitioned frequency table that yields exact distinct
+    counts and quantiles together (run here, a few small jobs).  Approximate
+    mode: sketches in the facts aggregate, plus exact top values.
     """
     specs = column_specs(df)
     spark = _spark(df)
@@ -450,10 +450,8 @@ def build_profile(df: DataFrame, approx: bool = False) -> Profile:
             uniques = uniques.withColumn("top_value", _null("string")).withColumn("top_frequency", _null("bigint"))
         return Profile(specs, specs_frame, facts, uniques, facts.select("ordinal", "q25", "median", "q75"))
     parts = []
-    other = [s for s in specs if s.stat_class in ("scalar", "temporal")]
-    if other:
-        top = distinct_and_top(value_frequencies(df, other), other)
-        parts.append(top)
+    if top_specs:
+        parts.append(distinct_and_top(value_frequencies(df, top_specs), top_specs))
     counts_only = [s for s in specs if s.stat_class == "counts"]
     if counts_only:
         parts.append(_counts_only(df, counts_only))
