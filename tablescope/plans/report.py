@@ -211,3 +211,18 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
         F.when(t == "statistics", F.from_json(d, STATISTICS_T)).alias("statistics"),
         F.when(t == "nulls", F.from_json(d, NULLS_T)).alias("nulls"),
     )
+
+
+def statistics_for_tables(tables: dict[str, Source] | dict[str, DataFrame], approx: bool = False) -> DataFrame:
+    """Statistics of every table of a set in one frame, with a ``table_name`` column first."""
+    parts = []
+    for name in sorted(tables):
+        t = tables[name]
+        df = t.df if isinstance(t, Source) else t
+        parts.append(profile.statistics(df, approx=approx).select(F.lit(name).alias("table_name"), "*"))
+    if not parts:
+        raise ValueError("the table set holds no tables")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -86,3 +86,16 @@ def test_audio_files_listing(spark, tmpdir_path):
             fh.write(b"\0" * size)
     got = {r.file_name: r.status for r in speech.screen_audio(speech.audio_files(spark, tmpdir_path, "*.wav")).collect()}
     assert got == {"x.wav": "error", "y.wav": "pending"}
+
+
+def test_statistics_for_all_tables(spark):
+    tables = {n: files.open_source(spark, f"{SF001}/{n}.parquet") for n in ("region", "nation")}
+    rows = report.statistics_for_tables(tables).collect()
+    assert sorted((r.table_name, r.ordinal, r.column_name) for r in rows) == [
+        ("nation", 1, "n_nationkey"),
+        ("nation", 2, "n_name"),
+        ("nation", 3, "n_regionkey"),
+        ("region", 1, "r_regionkey"),
+        ("region", 2, "r_name"),
+    ]
+    assert {r.column_name: r.unique_count for r in rows}["n_nationkey"] == 25
