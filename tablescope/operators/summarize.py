@@ -17,9 +17,11 @@ from ..functions.numeric import percent
 from . import profile as pr
 
 
-def summarize(df: DataFrame, accuracy: int = 10000) -> DataFrame:
+def summarize(df: DataFrame, accuracy: int = 10000, sketches: bool = True) -> DataFrame:
+    """The summary frame; ``sketches=False`` leaves out the approximate columns
+    (``approx_unique`` and the quartiles come back NULL) and their cost."""
     specs = pr.column_specs(df)
-    facts = pr.column_facts(df, approx=True, accuracy=accuracy)
+    facts = pr.column_facts(df, approx=sketches, accuracy=accuracy)
     names = pr._specs_frame(df, specs)
     return (
         names.join(F.broadcast(facts), "ordinal")

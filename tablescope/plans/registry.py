@@ -195,7 +195,7 @@ def q_summarize(spark, sf_dir):
 
 
 def q_summarize_exact(spark, sf_dir):
-    s = summarize.summarize(lineitem_with_nulls(spark, sf_dir))
+    s = summarize.summarize(lineitem_with_nulls(spark, sf_dir), sketches=False)
     return rounded(
         s.select("column_name", "column_type", "min", "max", "avg", "std", "count", "null_percentage"), ["avg", "std"]
     )
