@@ -172,18 +172,31 @@ def read_csv(
         header = h if header is None else header
     opts = {"samplingRatio": sampling_ratio} if sampling_ratio else {}
     df = spark.read.csv(path, sep=sep, header=header, inferSchema=True, mode="PERMISSIVE", **opts)
-    return _widen_csv(df)
+    stamps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
+    if stamps:
+        # Read timestamp columns as text with the inferred schema (no second
+        # inference pass) and parse them without a time zone, so wall-clock
+        # values in a daylight-saving gap of the session zone stay as written.
+        schema = T.StructType(
+            [T.StructField(f.name, T.StringType() if f.name in stamps else f.dataType, True) for f in df.schema.fields]
+        )
+        df = spark.read.csv(path, sep=sep, header=header, schema=schema, mode="PERMISSIVE")
+    return _widen_csv(df, stamps)
+
 
+def _widen_csv(df: DataFrame, stamps: set[str]) -> DataFrame:
+    """Integers to BIGINT; timestamp text to wall-clock timestamps.
 
-def _widen_csv(df: DataFrame) -> DataFrame:
-    """Integers to BIGINT, zoned timestamps to wall-clock timestamps."""
+    Text with an explicit offset falls back to the zoned parse, converted to
+    the session's wall clock.
+    """
     out = []
     for f in df.schema.fields:
         c = col(f.name)
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
-        elif isinstance(f.dataType, T.TimestampType):
-            c = c.cast("timestamp_ntz")
+        elif f.name in stamps:
+            c = F.coalesce(c.try_cast("timestamp_ntz"), c.try_cast("timestamp").cast("timestamp_ntz"))
         out.append(c.alias(f.name))
     return df.select(*out)
 

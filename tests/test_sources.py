@@ -103,3 +103,16 @@ def test_csv_sampling_ratio(spark, tmpdir_path):
     p = write(os.path.join(tmpdir_path, "big.csv"), body)
     df = files.open_source(spark, p, sampling_ratio=0.5).df
     assert df.count() == 200 and isinstance(df.schema["v"].dataType, T.DoubleType)
+
+
+def test_csv_timestamps_keep_wall_clock_in_dst_gap(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "dst.csv"), "id,at\n1,2024-03-10 02:30:00\n2,2024-01-02 03:04:05\n")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = files.open_source(spark, p).df
+        assert isinstance(df.schema["at"].dataType, T.TimestampNTZType)
+        got = [str(r.at) for r in df.orderBy("id").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == ["2024-03-10 02:30:00", "2024-01-02 03:04:05"]
