@@ -123,3 +123,15 @@ def test_value_counts_scan_once(spark):
     v.collect()
     text = v._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert text.count("FileScan parquet") == 1
+
+
+def test_quantile_scratch_table_is_removed(spark):
+    import glob
+
+    from tablescope.session import checkpoint_root
+
+    root = checkpoint_root(spark).replace("file:", "")
+    before = set(glob.glob(f"{root}/tablescope-ranked-values-*"))
+    q = pr.quantiles(spark.read.parquet(f"{SF001}/lineitem.parquet")).collect()
+    assert len(q) == 8
+    assert set(glob.glob(f"{root}/tablescope-ranked-values-*")) == before
