@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import grace_dedup, pieces
+from ..session import scratch_path
+from . import grace_dedup, pieces, reshard
 from .common import read_table
 
 PIECES = "piece_bpe_32k.model"
 
 
+SHARDS = 40
+
+
+def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From shards dealt by source, where one source holds a third, to 40 shards of near-equal bytes."""
+    docs = read_table(spark, sf_dir, "documents")
+    old = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % SHARDS
+    placed = reshard.reshard(docs, old, SHARDS, scratch_path(spark, "shards"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digest(pieces.encode(docs, public_tokenizers.path(PIECES)))
@@ -32,6 +47,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_resharding": op2_resharding,
     "op4_sentencepiece": op4_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
