@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import grace_dedup, pieces, reshard
-from .common import read_table
+from . import crossparse, grace_dedup, pieces, reshard
+from .common import id_remainder, read_table
 
 PIECES = "piece_bpe_32k.model"
 
@@ -28,6 +28,13 @@ def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    found = crossparse.identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digest(pieces.encode(docs, public_tokenizers.path(PIECES)))
@@ -48,6 +55,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_resharding": op2_resharding,
+    "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
