@@ -28,6 +28,25 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, text_chars: int, text: str = "text", key: str = "doc_id"
+) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """At most ``per_class`` labelled texts of each class 0 and 1, and the size of each class.
+
+    ``learn`` is a condition on the columns of ``docs``.  Rows are taken in
+    the order of a hash of their id, so the sample does not depend on files
+    or partitions.  No more than ``text_chars`` characters of a text travel.
+    """
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("y"))
+    rows = docs.filter(learn & F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.substring(text, 1, text_chars).alias("t"))
+    both = rows.join(known, "__id").withColumn("h", F.xxhash64("__id", F.lit(17)))
+    counts = {r.y: r.n for r in known.join(docs.filter(learn & F.col(text).isNotNull()).select(F.col(key).alias("__id")), "__id").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sample = []
+    for y in sorted(counts):
+        sample += [(r.t, y) for r in both.filter(F.col("y") == y).orderBy("h", "t").limit(per_class).select("t").collect()]
+    return sample, counts
+
+
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying the texts; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):

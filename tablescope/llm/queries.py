@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import crossparse, grace_dedup, pieces, reshard
+from . import bytecnn, crossparse, grace_dedup, pieces, reshard
 from .common import id_remainder, read_table
 
 PIECES = "piece_bpe_32k.model"
@@ -40,6 +40,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(docs, public_tokenizers.path(PIECES)))
 
 
+def _not_held_out() -> Column:
+    return id_remainder(F.col("doc_id"), 5) != 0
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    net = bytecnn.train(docs, read_table(spark, sf_dir, "labels"), "quality", _not_held_out())
+    scored = bytecnn.score(docs, net)
+    return scored.select("doc_id", (~_not_held_out()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_resharding": op2_resharding,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality": op5_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
