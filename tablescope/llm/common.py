@@ -107,17 +107,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the white-space separated words of many texts.
 
     Returns ``(hashes, word_offsets)``: text ``i`` has the hashes
     ``hashes[word_offsets[i]:word_offsets[i + 1]]``.  A polynomial prefix sum
     modulo 2**64 gives all words in a few passes over the bytes.  White
-    space is ASCII only; with ``lower`` A-Z are folded first.
+    space is ASCII only; with ``lower`` A-Z are folded first, with ``spans``
+    the first byte and the end of every word follow.
     """
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *((none, none) if spans else ())
     if lower:
         data = _LOWER[data]
     word = ~_IS_SPACE[data]
@@ -133,7 +135,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
     hashes = mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, offsets, "left")
+    return hashes, np.searchsorted(start, offsets, "left"), *((start, end) if spans else ())
 
 
 _STEP = [np.uint64(c) for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]

@@ -9,12 +9,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bytecnn, crossparse, grace_dedup, pieces, reshard
+from . import bytecnn, crossparse, grace_dedup, pieces, reshard, stringkernel
 from .common import id_remainder, read_table
 
 PIECES = "piece_bpe_32k.model"
 
 
+def _not_held_out() -> Column:
+    return id_remainder(F.col("doc_id"), 5) != 0
+
+
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> stringkernel.Machine:
+    """The machine that op1 and the pipeline use, learned from ``documents`` and ``labels``."""
+    return stringkernel.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "toxic", _not_held_out())
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = stringkernel.score(read_table(spark, sf_dir, "documents"), toxicity_machine(spark, sf_dir))
+    return scored.select("doc_id", (~_not_held_out()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 SHARDS = 40
 
 
@@ -40,10 +54,6 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(docs, public_tokenizers.path(PIECES)))
 
 
-def _not_held_out() -> Column:
-    return id_remainder(F.col("doc_id"), 5) != 0
-
-
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     net = bytecnn.train(docs, read_table(spark, sf_dir, "labels"), "quality", _not_held_out())
@@ -65,6 +75,7 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_resharding": op2_resharding,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
