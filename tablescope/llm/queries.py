@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bytecnn, crossparse, grace_dedup, pieces, reshard, stringkernel
+from . import bytecnn, crossparse, decontaminate, grace_dedup, licenses, pieces, reshard, stringkernel
 from .common import id_remainder, read_table
 
 PIECES = "piece_bpe_32k.model"
@@ -61,6 +61,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~_not_held_out()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
 
@@ -74,15 +82,45 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+
+
+def _shingle_sql(source: str, key: str) -> str:
+    """Distinct (key, shingle) of the texts of ``source``."""
+    return f"""
+  SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS shingle FROM (
+    SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i FROM (
+      SELECT {key}, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {source}))"""
+
+
+def _containment_sql(items: str, key: str, count: str) -> str:
+    return f"""
+WITH d AS ({_shingle_sql("documents", "doc_id")}),
+i AS ({_shingle_sql(items, key)}),
+n AS (SELECT {key}, count(*) AS {count} FROM i GROUP BY ALL)
+SELECT doc_id, {key}, count(*)::INT AS n_shared, any_value({count})::INT AS {count}, count(*) / any_value({count}) AS containment
+FROM d JOIN i USING (shingle) JOIN n USING ({key}) GROUP BY doc_id, {key}
+HAVING count(*) / any_value({count}) >= 0.8
+"""
+
+
+OP7_SQL = _containment_sql(
+    "(VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in licenses.TEMPLATES.items()) + ") AS t(license, text)", "license", "n_template"
+)
+OP9_SQL = _containment_sql("benchmark", "item_id", "n_item")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_resharding": op2_resharding,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
+    "op7_license_scan": op7_license_scan,
+    "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_license_scan": OP7_SQL,
+    "op9_decontamination": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
