@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bytecnn, crossparse, decontaminate, grace_dedup, licenses, pieces, reshard, stringkernel
+from . import bytecnn, chosenpath, crossparse, decontaminate, grace_dedup, licenses, pieces, reshard, stringkernel
 from .common import id_remainder, read_table
 
 PIECES = "piece_bpe_32k.model"
@@ -61,6 +61,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~_not_held_out()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.join(read_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"), licenses.templates(spark))
 
@@ -108,18 +112,41 @@ OP7_SQL = _containment_sql(
 )
 OP9_SQL = _containment_sql("benchmark", "item_id", "n_item")
 
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS (SELECT doc_id, list(s ORDER BY s) AS l FROM s GROUP BY doc_id),
+same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS copy_id FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 0.8 * (any_value(na.n) + any_value(nb.n) - count(*)) - 1e-9
+), reach AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), tops AS (SELECT a, min(least(a, b)) AS class_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN same ON same.doc_id = d.doc_id LEFT JOIN tops ON tops.a = d.doc_id LEFT JOIN counted ON counted.a = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_resharding": op2_resharding,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scan": op7_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_jaccard_join": OP6_SQL,
     "op7_license_scan": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
