@@ -10,23 +10,41 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import grace_dedup, pieces
+from tablescope.llm import chosenpath, decontaminate, grace_dedup, pieces, queries, stringkernel
 from tablescope.llm.common import read_table
 from tablescope.session import scratch_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string-kernel machine does not reject."""
+    return stringkernel.clean(docs, queries.toxicity_machine(spark, sf_dir))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts (white space runs aside) the smallest id stays."""
     return grace_dedup.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8."""
+    return chosenpath.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of ``benchmark``."""
+    return decontaminate.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
     return pieces.digest(pieces.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
     ("encode", encode_pieces),
 ]
 
