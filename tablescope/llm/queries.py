@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bytecnn, chosenpath, crossparse, decontaminate, grace_dedup, licenses, pieces, reshard, stringkernel
+from . import bytecnn, chosenpath, crossparse, decontaminate, grace_dedup, licenses, ngramlm, pieces, reshard, stringkernel
 from .common import id_remainder, read_table
 
 PIECES = "piece_bpe_32k.model"
@@ -69,6 +69,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 1
+    scored = ngramlm.score(docs, ngramlm.train(docs, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -141,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scan": op7_license_scan,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
