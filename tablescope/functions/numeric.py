@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LIMIT = 1e15
+_EXACT = 2.0**53  # whole numbers below this are exact in a double
 
 
 def round_half_up(col: Column | str, digits: int) -> Column:
@@ -19,14 +19,14 @@ def round_half_up(col: Column | str, digits: int) -> Column:
     c = c.cast("double")
     scale = float(10**digits)
     scaled = F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
-    return F.when(F.abs(c) < F.lit(_LIMIT), scaled).otherwise(c)
+    return F.when(F.abs(c) < F.lit(_EXACT / scale), scaled).otherwise(c)
 
 
 def round_sql(expr: str, digits: int) -> str:
     """The same formula as SQL text (Spark SQL and DuckDB alike)."""
     scale = f"{10**digits}.0"
     return (
-        f"(CASE WHEN abs(CAST({expr} AS DOUBLE)) < 1e15 "
+        f"(CASE WHEN abs(CAST({expr} AS DOUBLE)) < {_EXACT / 10**digits!r}e0 "
         f"THEN CAST(floor(CAST({expr} AS DOUBLE) * {scale} + 0.5) AS DOUBLE) / {scale} "
         f"ELSE CAST({expr} AS DOUBLE) END)"
     )

@@ -12,10 +12,8 @@ The steps run in this order, each over the whole text:
 5. if nothing is left, return the original text.
 
 Everything is ``regexp_replace`` / ``upper`` / ``substring`` inside the JVM;
-no Python runs per row.  Patterns use Java's Unicode classes (``(?U)``) so
-word borders and white space follow Unicode like the reference's Python
-rules; Python also counts the separators U+001C..U+001F as white space,
-which the class below adds.
+no Python runs per row.  White space follows Unicode (``(?U)``), with the
+separators U+001C..U+001F added.
 """
 
 from __future__ import annotations
@@ -47,11 +45,12 @@ def _quoted(word: str) -> str:
     return r"\Q" + word + r"\E"
 
 
-# One pass with an alternation removes exactly what one pass per word would:
-# every entry is a whole word or phrase, no two entries share a word, and
-# deleting a whole word leaves two non-word characters side by side, so an
-# earlier deletion can neither create nor break a later match.
-FILLER_PATTERN = r"(?iU)\b(?:" + "|".join(_quoted(w) for w in FILLER_WORDS) + r")\b"
+# A border lies where no letter, digit or underscore touches the word.  One
+# pass with an alternation removes what one pass per word would: no two
+# entries share a word, and deleting a whole word leaves two borders side by
+# side, so a deletion can neither create nor break a later match.
+_LETTER = r"[\p{L}\p{N}_]"
+FILLER_PATTERN = rf"(?iu)(?<!{_LETTER})(?:" + "|".join(_quoted(w) for w in FILLER_WORDS) + rf")(?!{_LETTER})"
 
 
 def curate(text: Column | str) -> Column:

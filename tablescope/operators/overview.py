@@ -6,28 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col
-from ..sources.files import Source, list_files
+from ..sources.files import Source, total_bytes
 
 
 def overview(src: Source) -> DataFrame:
     """``row_count, column_count, file_name, file_size_bytes, file_type`` in one row.
 
-    The row count and the byte size (summed over the files of the source,
-    listed without reading their content) are two one-row aggregates merged
-    by a union and a final aggregate.
+    The byte size comes from the file system's summary, without a Spark job.
     """
-    spark = src.df.sparkSession
-    rows = src.df.agg(F.count(F.lit(1)).alias("row_count")).select(
-        "row_count", F.lit(None).cast("bigint").alias("file_size_bytes")
-    )
-    size = list_files(spark, src.path).agg(F.sum("length").cast("bigint").alias("file_size_bytes")).select(
-        F.lit(None).cast("bigint").alias("row_count"), "file_size_bytes"
-    )
-    return rows.unionByName(size).agg(
-        F.max("row_count").alias("row_count"),
+    size = total_bytes(src.df.sparkSession, src.path)
+    return src.df.agg(
+        F.count(F.lit(1)).alias("row_count"),
         F.lit(len(src.df.columns)).alias("column_count"),
         F.lit(src.file_name).alias("file_name"),
-        F.coalesce(F.max("file_size_bytes"), F.lit(0)).cast("bigint").alias("file_size_bytes"),
+        F.lit(size).cast("bigint").alias("file_size_bytes"),
         F.lit(src.fmt).alias("file_type"),
     )
 

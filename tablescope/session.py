@@ -1,9 +1,9 @@
 """Session and scratch-location helpers.
 
 Nothing here changes the settings of a session handed in by a caller, except
-that a checkpoint directory is created when the session has none (tests and
-local runs).  On a cluster ``spark.checkpoint.dir`` names a shared folder and
-is used as is.
+that a checkpoint directory is created when a local session has none (tests).
+On a cluster ``spark.checkpoint.dir`` must name a shared folder, which is used
+as is: a folder on one machine would lose what the others write.
 """
 
 from __future__ import annotations
@@ -35,12 +35,17 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
     return spark
 
 
+def runs_in_one_process(master: str) -> bool:
+    """Whether driver and executors share one process, and so every folder."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     Read from ``spark.checkpoint.dir`` (or a directory already set on the
-    context).  Only when neither is set, as in tests, a fresh local folder is
-    made and registered.
+    context).  When neither is set, a session that runs in one process gets a
+    fresh local folder; any other raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +57,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             conf_dir = spark.conf.get("spark.checkpoint.dir")
         except Exception:  # noqa: BLE001 - unset key
             conf_dir = None
+    if not conf_dir and not runs_in_one_process(sc.master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; master {sc.master!r} needs a folder that all machines share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="tablescope-ckpt-")
     sc.setCheckpointDir(conf_dir)

@@ -17,7 +17,6 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +30,9 @@ _SUFFIXES = {"csv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json"
 _DATABASE_SUFFIXES = ("duckdb", "db")
 
 _SNIFF_LINES = 20
+_SNIFF_CHARS = 65_536
+_BROKEN = "__not_json"
+_QUOTED_EMPTY = "\x01\x01"  # stands for ``""`` while reading; Spark alone takes it for NULL
 _DELIMITERS = [",", ";", "\t", "|"]
 _NUMBER = re.compile(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$")
 _DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
@@ -67,23 +69,25 @@ def file_name_of(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files under ``path`` with their sizes: ``(path, length)``.
+def _file_system(spark: SparkSession, path: str):
+    """The path as Hadoop sees it and its file system."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    A distributed listing through the ``binaryFile`` source; the file content
-    column is never selected, so no bytes are read.
-    """
-    try:
-        return (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .load(path)
-            .select("path", "length")
-        )
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            raise FileNotFoundError(f"no such file or directory: {path}") from exc
-        raise
+
+def matches(spark: SparkSession, path: str) -> list:
+    """File statuses of a path or glob; raises ``FileNotFoundError`` when there are none."""
+    hpath, fs = _file_system(spark, path)
+    found = fs.globStatus(hpath)
+    if found is None or len(found) == 0:
+        raise FileNotFoundError(f"no such file or directory: {path}")
+    return list(found)
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes below a path or glob, from the file system's own summary; no Spark job."""
+    _, fs = _file_system(spark, path)
+    return sum(fs.getContentSummary(m.getPath()).getLength() for m in matches(spark, path))
 
 
 def check_source(spark: SparkSession, path: str, fmt: str | None = None) -> str:
@@ -109,79 +113,105 @@ def check_source(spark: SparkSession, path: str, fmt: str | None = None) -> str:
             raise ValueError(
                 f"cannot tell the format of {path!r}; use a .csv, .parquet or .json suffix or pass fmt="
             )
-    # Existence check without reading data (glob patterns are allowed).
-    list_files(spark, path).limit(1).count() if any(ch in path for ch in "*?[") else _exists(spark, path)
+    matches(spark, path)
     return fmt
 
 
-def _exists(spark: SparkSession, path: str) -> None:
-    try:
-        spark.read.format("binaryFile").load(path).schema  # noqa: B018 - resolves the path
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            raise FileNotFoundError(f"no such file or directory: {path}") from exc
-        raise
-
-
 # --------------------------------------------------------------------------- CSV
 def _first_lines(spark: SparkSession, path: str, n: int = _SNIFF_LINES) -> list[str]:
-    return [r.value for r in spark.read.text(path).limit(n).collect()]
+    """The first lines, each cut to ``_SNIFF_CHARS`` before it leaves its executor."""
+    return [r.value for r in spark.read.text(path).select(F.substring("value", 1, _SNIFF_CHARS).alias("value")).limit(n).collect()]
+
+
+def split_quoted(line: str, sep: str) -> list[str]:
+    """Fields of one line; a separator between double quotes is text."""
+    fields, quoted, current = [], False, []
+    for ch in line:
+        if ch == '"':
+            quoted = not quoted
+        if ch == sep and not quoted:
+            fields.append("".join(current))
+            current = []
+        else:
+            current.append(ch)
+    return [f.strip().strip('"') for f in [*fields, "".join(current)]]
+
+
+def whole_records(lines: list[str]) -> list[str]:
+    """Lines joined while a quote is open; a last record that stays open is left out."""
+    records, held = [], ""
+    for ln in lines:
+        held = f"{held}\n{ln}" if held else ln
+        if held.count('"') % 2 == 0:
+            records.append(held)
+            held = ""
+    return records or lines[:1]
 
 
 def sniff_csv(lines: list[str]) -> tuple[str, bool]:
-    """Pick a delimiter and decide whether the first line is a header."""
-    lines = [ln for ln in lines if ln.strip()]
-    if not lines:
+    """Pick a delimiter and decide whether the first record is a header."""
+    records = [r for r in whole_records(lines) if r.strip()]
+    if not records:
         return ",", True
     best, best_score = ",", -1.0
     for d in _DELIMITERS:
-        counts = [ln.count(d) for ln in lines]
+        counts = [len(split_quoted(r, d)) - 1 for r in records]
         if counts[0] == 0:
             continue
         consistent = sum(1 for c in counts if c == counts[0]) / len(counts)
         score = consistent * 1000 + counts[0]
         if score > best_score:
             best, best_score = d, score
-    first = [f.strip().strip('"') for f in lines[0].split(best)]
-    rest = [[f.strip().strip('"') for f in ln.split(best)] for ln in lines[1:]]
-    if not rest:
-        return best, not any(_NUMBER.match(f) for f in first)
-    first_typed = any(_NUMBER.match(f) or re.match(_DATE_TEXT, f) for f in first if f)
-    if first_typed:
-        return best, False
-    # Header when some column holds typed values below a text first line,
-    # or when the first line repeats nowhere else (all text columns).
-    for i, f in enumerate(first):
-        below = [r[i] for r in rest if i < len(r) and r[i]]
-        if below and all(_NUMBER.match(v) or re.match(_DATE_TEXT, v) for v in below):
-            return best, True
-    return best, True
-
-
-def read_csv(
-    spark: SparkSession, path: str, sep: str | None = None, header: bool | None = None, sampling_ratio: float | None = None
-) -> DataFrame:
-    """CSV with sniffed delimiter and header and inferred types.
-
-    Type inference reads the whole input once; on very large inputs pass
-    ``sampling_ratio`` (a fraction of rows) to infer from a sample.
+    first = split_quoted(records[0], best)
+    return best, not any(_NUMBER.match(f) or re.match(_DATE_TEXT, f) for f in first if f)
+
+
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether any line has an odd number of double quotes, so a field goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    return spark.read.text(path).filter(quotes % 2 == 1).limit(1).count() > 0
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool | None = None, multiline: bool | None = None) -> DataFrame:
+    """CSV with sniffed delimiter and header and types inferred from every row.
+
+    A doubled quote inside a quoted field is one quote.  Quoted line breaks
+    are looked for in the whole input unless ``multiline`` says whether
+    there are any; files that have them are read by one task each.  Rows
+    that do not have the columns of the first one raise ``ValueError``: the
+    delimiter or header was guessed wrong, or the file is broken.
     """
     if sep is None or header is None:
         s, h = sniff_csv(_first_lines(spark, path))
         sep = s if sep is None else sep
         header = h if header is None else header
-    opts = {"samplingRatio": sampling_ratio} if sampling_ratio else {}
-    df = spark.read.csv(path, sep=sep, header=header, inferSchema=True, mode="PERMISSIVE", **opts)
+    if multiline is None:
+        multiline = has_open_quotes(spark, path)
+    opts = {"sep": sep, "header": header, "quote": '"', "escape": '"', "multiLine": multiline, "mode": "PERMISSIVE"}
+    df = spark.read.csv(path, inferSchema=True, **opts)
     stamps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
-    if stamps:
-        # Read timestamp columns as text with the inferred schema (no second
-        # inference pass) and parse them without a time zone, so wall-clock
-        # values in a daylight-saving gap of the session zone stay as written.
-        schema = T.StructType(
-            [T.StructField(f.name, T.StringType() if f.name in stamps else f.dataType, True) for f in df.schema.fields]
-        )
-        df = spark.read.csv(path, sep=sep, header=header, schema=schema, mode="PERMISSIVE")
-    return _widen_csv(df, stamps)
+    # Timestamps are read as text with the inferred schema (no second
+    # inference pass) and parsed without a time zone, so wall-clock values in
+    # a daylight-saving gap of the session zone stay as written.
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in stamps else f.dataType, True) for f in df.schema.fields])
+    _refuse_misfits(spark, path, schema, opts)
+    return _widen_csv(spark.read.csv(path, schema=schema, emptyValue=_QUOTED_EMPTY, **opts), stamps)
+
+
+def _refuse_misfits(spark: SparkSession, path: str, schema: T.StructType, opts: dict) -> None:
+    bad = _unused_name("_misfit", schema.names)
+    rows = spark.read.csv(path, schema=T.StructType([*schema.fields, T.StructField(bad, T.StringType())]), columnNameOfCorruptRecord=bad, **opts)
+    # The hash of every column keeps the reader from parsing some columns only, which would hide misfits.
+    every = F.xxhash64(*[col(n) for n in schema.names])
+    example = rows.select(F.substring(col(bad), 1, 100).alias("t"), every.alias("h")).filter("t IS NOT NULL").limit(1).collect()
+    if example:
+        raise ValueError(f"{path}: a row does not fit the columns {schema.names} (separator {opts['sep']!r}): {example[0].t!r}; pass sep= and header=")
+
+
+def _unused_name(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _widen_csv(df: DataFrame, stamps: set[str]) -> DataFrame:
@@ -197,32 +227,68 @@ def _widen_csv(df: DataFrame, stamps: set[str]) -> DataFrame:
             c = c.cast("bigint")
         elif f.name in stamps:
             c = F.coalesce(c.try_cast("timestamp_ntz"), c.try_cast("timestamp").cast("timestamp_ntz"))
+        elif isinstance(f.dataType, T.StringType):
+            c = F.when(c == _QUOTED_EMPTY, "").otherwise(c)  # ``""`` is a text, nothing is NULL
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
 # -------------------------------------------------------------------------- JSON
-def read_json(spark: SparkSession, path: str, sampling_ratio: float | None = None) -> DataFrame:
-    """JSON lines or a top-level array, columns in order of appearance, date strings typed."""
-    lines = _first_lines(spark, path, _SNIFF_LINES)
-    head = "\n".join(lines).lstrip()
-    multiline = head.startswith("[")
-    opts = {"samplingRatio": sampling_ratio} if sampling_ratio else {}
-    df = spark.read.json(path, multiLine=multiline, mode="PERMISSIVE", **opts)
-    order = _first_record_order(head, multiline)
+def read_json(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """JSON lines, a top-level array or one object over many lines; date strings typed.
+
+    Columns come in order of appearance in the first record.  An array or an
+    object over many lines is read by one task for each file.  Text that is
+    not JSON raises ``ValueError``.
+    """
+    lines = [ln for ln in _first_lines(spark, path) if ln.strip()]
+    if multiline is None:
+        multiline = bool(lines) and not _is_record(lines[0])
+    df = spark.read.json(path, multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN)
+    if _BROKEN in df.columns:
+        raise ValueError(f"{path}: not every record is JSON")
+    order = top_level_keys("\n".join(lines))
     if order:
         names = [n for n in order if n in df.columns] + [n for n in df.columns if n not in order]
         df = df.select(*[col(n) for n in names])
     return type_date_strings(df)
 
 
-def _first_record_order(head: str, multiline: bool) -> list[str]:
-    text = head[1:].lstrip() if multiline else head
+def _is_record(line: str) -> bool:
+    """Whether a line is an object of its own; a line that was cut counts as one."""
+    if not line.lstrip().startswith("{"):
+        return False
+    if len(line) >= _SNIFF_CHARS:
+        return True
     try:
-        obj, _ = json.JSONDecoder().raw_decode(text)
+        json.loads(line)
+        return True
     except ValueError:
-        return []
-    return list(obj.keys()) if isinstance(obj, dict) else []
+        return False
+
+
+def top_level_keys(text: str) -> list[str]:
+    """Names of the first object's members in order, also when the text is cut off."""
+    start = text.find("{")
+    keys: list[str] = []
+    depth, at = 0, start
+    while 0 <= at < len(text):
+        ch = text[at]
+        if ch == '"':
+            end = at + 1
+            while end < len(text) and text[end] != '"':
+                end += 2 if text[end] == "\\" else 1
+            if depth == 1 and re.match(r"\s*:", text[end + 1 :]):
+                keys.append(json.loads(text[at : end + 1]))
+            at = end
+        elif ch in "{[":
+            depth += 1
+        elif ch in "}]":
+            depth -= 1
+            if depth == 0:
+                break
+        at += 1
+    return keys
 
 
 def type_date_strings(df: DataFrame) -> DataFrame:
@@ -261,15 +327,17 @@ def type_date_strings(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------ entry
 def open_source(spark: SparkSession, path: str, fmt: str | None = None, name: str | None = None, **options) -> Source:
-    """Check, read and name one source."""
+    """Check, read and name one source; ``sep``, ``header`` and ``multiline`` override what is guessed."""
+    unknown = set(options) - {"sep", "header", "multiline"}
+    if unknown:
+        raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
     fmt = check_source(spark, path, fmt)
-    ratio = options.get("sampling_ratio")
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "csv":
-        df = read_csv(spark, path, sep=options.get("sep"), header=options.get("header"), sampling_ratio=ratio)
+        df = read_csv(spark, path, sep=options.get("sep"), header=options.get("header"), multiline=options.get("multiline"))
     else:
-        df = read_json(spark, path, sampling_ratio=ratio)
+        df = read_json(spark, path, multiline=options.get("multiline"))
     fname = file_name_of(path)
     table = name or (fname.rsplit(".", 1)[0] if "." in fname else fname)
     return Source(name=table, path=path, fmt=fmt, df=df, file_name=fname, options=dict(options))
@@ -282,31 +350,29 @@ def table_entries(spark: SparkSession, directory: str) -> list[tuple[str, str, s
     a known suffix is one table named after the file.
     """
     root = directory.rstrip("/")
-    files = list_files(spark, root)
-    rel = F.regexp_extract(F.col("path"), r"^.*?" + re.escape(root.rsplit("/", 1)[-1]) + r"/(.*)$", 1)
+    matches(spark, root)
+    hpath, fs = _file_system(spark, root)
+    prefix = fs.makeQualified(hpath).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    relative = F.substring("path", len(prefix) + 1, 1 << 30)
+    suffix = F.lower(F.regexp_extract(F.element_at(F.split(relative, "/"), -1), r"\.([A-Za-z0-9]+)$", 1))
     entries = (
-        files.select(F.split(rel, "/").alias("parts"))
-        .select(F.col("parts")[0].alias("entry"), (F.size("parts") > 1).alias("is_dir"), F.col("parts"))
-        .select(
-            "entry",
-            "is_dir",
-            F.lower(F.regexp_extract(F.element_at("parts", -1), r"\.([A-Za-z0-9]+)$", 1)).alias("suffix"),
-        )
+        files.filter(F.startswith(F.col("path"), F.lit(prefix)))
+        .select(F.split(relative, "/")[0].alias("entry"), suffix.alias("suffix"))
         .groupBy("entry")
-        .agg(F.max("is_dir").alias("is_dir"), F.collect_set("suffix").alias("suffixes"))
-        .orderBy("entry")
+        .agg(F.collect_set("suffix").alias("suffixes"))
         .collect()  # one row per table entry, not per file or row
     )
     out = []
     for r in entries:
-        known = [_SUFFIXES[s] for s in r.suffixes if s in _SUFFIXES]
-        if not known:
+        formats = sorted({_SUFFIXES[s] for s in r.suffixes if s in _SUFFIXES})
+        if not formats:
             continue
-        fmt = known[0]
-        entry = r.entry
+        if len(formats) > 1:
+            raise ValueError(f"{root}/{r.entry}: files of several formats in one table: {', '.join(formats)}")
         # ``t.parquet`` may be one file or a directory of part files
-        name = entry.rsplit(".", 1)[0] if suffix_format(entry) else entry
-        out.append((name, f"{root}/{entry}", fmt))
+        name = r.entry.rsplit(".", 1)[0] if suffix_format(r.entry) else r.entry
+        out.append((name, f"{root}/{r.entry}", formats[0]))
     return sorted(out)
 
 

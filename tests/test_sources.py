@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import types as T
 
+from tablescope import session
 from tablescope.operators import overview
 from tablescope.sources import files
 
@@ -98,11 +99,95 @@ def test_overview_counts_and_size(spark, tmpdir_path):
     assert ov.file_size_bytes == os.path.getsize(p)
 
 
-def test_csv_sampling_ratio(spark, tmpdir_path):
-    body = "id,v\n" + "\n".join(f"{i},{i / 2}" for i in range(200)) + "\n"
-    p = write(os.path.join(tmpdir_path, "big.csv"), body)
-    df = files.open_source(spark, p, sampling_ratio=0.5).df
-    assert df.count() == 200 and isinstance(df.schema["v"].dataType, T.DoubleType)
+def test_types_come_from_every_row(spark, tmpdir_path):
+    body = "id,v\n" + "\n".join(f"{i},{i}" for i in range(5000)) + "\n5000,five\n"
+    df = files.open_source(spark, write(os.path.join(tmpdir_path, "late.csv"), body)).df
+    assert isinstance(df.schema["v"].dataType, T.StringType)
+    assert df.filter("v IS NULL").count() == 0 and df.count() == 5001
+    with pytest.raises(ValueError):
+        files.open_source(spark, os.path.join(tmpdir_path, "late.csv"), sampling_ratio=0.1)
+
+
+def test_csv_quoted_text(spark, tmpdir_path):
+    body = 'id,note\n1,"line one\nline two"\n2,"said ""hi"", then left"\n3,"a;b;c"\n4,\n5,""\n'
+    df = files.open_source(spark, write(os.path.join(tmpdir_path, "q.csv"), body)).df
+    got = {r.id: r.note for r in df.collect()}
+    assert got == {1: "line one\nline two", 2: 'said "hi", then left', 3: "a;b;c", 4: None, 5: ""}
+    assert isinstance(df.schema["id"].dataType, T.LongType)
+
+
+def test_csv_quoted_line_break_far_from_the_start(spark, tmpdir_path):
+    body = "id,note\n" + "".join(f"{i},x\n" for i in range(300)) + '300,"late\nbreak"\n'
+    df = files.open_source(spark, write(os.path.join(tmpdir_path, "far.csv"), body)).df
+    assert df.count() == 301 and df.filter("id = 300").first().note == "late\nbreak"
+
+
+def test_csv_delimiter_is_not_counted_inside_quotes(spark, tmpdir_path):
+    body = 'k;t\n1;"a,b,c,d"\n2;"e,f,g,h"\n'
+    df = files.open_source(spark, write(os.path.join(tmpdir_path, "d.csv"), body)).df
+    assert df.columns == ["k", "t"] and df.first().t == "a,b,c,d"
+
+
+def test_csv_rows_that_do_not_fit_are_refused(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "bad.csv"), "a,b\n" + "1,2\n" * 50 + "1,2,3,4\n")
+    with pytest.raises(ValueError, match="does not fit"):
+        files.open_source(spark, p)
+
+
+def test_csv_explicit_options(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "e.csv"), "a:1\nb:2\n")
+    df = files.open_source(spark, p, sep=":", header=False, multiline=False).df
+    assert sorted(tuple(r) for r in df.collect()) == [("a", 1), ("b", 2)]
+
+
+def test_json_object_over_many_lines(spark, tmpdir_path):
+    one = {"zeta": {"inner": 1, "b": [1, 2]}, "alpha": "x\n{"}
+    df = files.open_source(spark, write(os.path.join(tmpdir_path, "one.json"), json.dumps(one, indent=2))).df
+    assert df.columns == ["zeta", "alpha"] and df.first().alpha == "x\n{" and df.count() == 1
+    many = [one, {"zeta": None, "alpha": "y"}]
+    df = files.open_source(spark, write(os.path.join(tmpdir_path, "many.json"), json.dumps(many, indent=2))).df
+    assert df.columns == ["zeta", "alpha"] and df.count() == 2
+    with pytest.raises(ValueError, match="JSON"):
+        files.open_source(spark, write(os.path.join(tmpdir_path, "no.json"), '{"a": 1}\nnot json\n'))
+
+
+def test_sniffing_brings_little_to_the_driver(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "wide.json"), json.dumps([{"k": "v" * 900} for _ in range(5000)]))
+    assert sum(map(len, files._first_lines(spark, p))) <= files._SNIFF_CHARS
+    df = files.open_source(spark, p).df
+    assert df.columns == ["k"] and df.count() == 5000
+
+
+def test_top_level_keys_of_cut_text():
+    assert files.top_level_keys('[{"b": {"x": 1}, "a\\"q": "{", "c": [1, {"d"') == ["b", 'a"q', "c"]
+    assert files.top_level_keys("") == [] and files.top_level_keys("[1, 2]") == []
+
+
+def test_table_set_names(spark, tmpdir_path):
+    base = os.path.join(tmpdir_path, "set", "set")
+    spark.range(2).write.parquet(os.path.join(base, "set"))
+    spark.range(3).write.parquet(os.path.join(base, "other.parquet"))
+    found = files.table_entries(spark, base)
+    assert [(n, p) for n, p, _ in found] == [("other", f"{base}/other.parquet"), ("set", f"{base}/set")]
+    assert files.open_table_set(spark, base)["set"].df.count() == 2
+
+
+def test_table_of_several_formats_is_refused(spark, tmpdir_path):
+    os.makedirs(os.path.join(tmpdir_path, "s", "t"))
+    for n in ("a.csv", "b.json"):
+        write(os.path.join(tmpdir_path, "s", "t", n), '{"a": 1}\n')
+    with pytest.raises(ValueError, match="csv, json"):
+        files.open_table_set(spark, os.path.join(tmpdir_path, "s"))
+
+
+def test_register(spark, tmpdir_path):
+    files.open_source(spark, write(os.path.join(tmpdir_path, "r.csv"), "a\n1\n2\n")).register("registered_rows")
+    assert spark.sql("SELECT sum(a) AS s FROM registered_rows").first().s == 3
+
+
+def test_scratch_needs_a_shared_folder_beyond_one_process():
+    assert session.runs_in_one_process("local") and session.runs_in_one_process("local[8]")
+    assert not any(session.runs_in_one_process(m) for m in ("local-cluster[2,1,1024]", "spark://h:7077", "yarn", "k8s://x"))
 
 
 def test_csv_timestamps_keep_wall_clock_in_dst_gap(spark, tmpdir_path):
