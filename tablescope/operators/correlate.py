@@ -24,6 +24,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.literals import literal_rows
 from ..functions.numeric import col, round_half_up
 from . import profile as pr
 
@@ -63,7 +64,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None, digits: int |
     spark = df.sparkSession
     if len(names) < 2:
         warnings.warn("not enough numeric columns for correlation analysis", stacklevel=2)
-        return spark.createDataFrame([], _SCHEMA)
+        return literal_rows(spark, [], _SCHEMA)
     parts = []
     for t, tile in enumerate(_tiles(names, block)):
         aggs = [guarded_corr(col(a), col(b)).alias(f"r{t}_{i}") for i, (a, b) in enumerate(tile)]

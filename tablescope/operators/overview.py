@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import literal_rows
 from ..functions.numeric import col
 from ..sources.files import Source, total_bytes
 
@@ -67,7 +68,7 @@ def table_counts(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
         for name, t in sorted(tables.items())
     ]
     if not parts:
-        return spark.createDataFrame([], "table_name string, row_count bigint, column_count int")
+        return literal_rows(spark, [], "table_name string, row_count bigint, column_count int")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import types as ty
+from ..functions.literals import literal_rows
 from ..functions.numeric import col, percent, round_half_up
 from ..session import drop_scratch, scratch_path
 
@@ -64,17 +65,16 @@ def _groups(items: list, n: int = GROUP) -> list[list]:
     return [items[i : i + n] for i in range(0, len(items), n)]
 
 
-# Aggregation-buffer fields per column in ``column_facts``; a group stays under
-# Spark's limit of 100 fields for whole-stage code generation.
+# A group of fixed-width aggregates stays under Spark's limit of 100
+# aggregation-buffer fields for whole-stage code generation.  The budget and
+# ``GROUP`` change the plan, never a result.
 FIELD_BUDGET = 96
 
 
-def _fact_groups(specs: list[ColumnSpec], approx: bool) -> list[list[ColumnSpec]]:
+def _fact_groups(specs: list[ColumnSpec]) -> list[list[ColumnSpec]]:
     out, cur, used = [], [], 1
     for s in specs:
         cost = 8 if s.stat_class == "numeric" else 3
-        if approx:
-            cost += 2
         if cur and used + cost > FIELD_BUDGET:
             out.append(cur)
             cur, used = [], 1
@@ -101,12 +101,12 @@ def schema_info(df: DataFrame) -> DataFrame:
     """One row per column: ordinal, column_name, dtype, nullable, category."""
     rows = [(s.ordinal, s.name, s.type_name, bool(f.nullable), s.category) for s, f in zip(column_specs(df), df.schema.fields)]
     schema = "ordinal int, column_name string, dtype string, nullable boolean, category string"
-    return _spark(df).createDataFrame(rows, schema)
+    return literal_rows(_spark(df), rows, schema)
 
 
 def _specs_frame(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     rows = [(s.ordinal, s.name, s.type_name, s.stat_class, s.category) for s in specs]
-    return _spark(df).createDataFrame(rows, "ordinal int, column_name string, dtype string, stat_class string, category string")
+    return literal_rows(_spark(df), rows, "ordinal int, column_name string, dtype string, stat_class string, category string")
 
 
 # ------------------------------------------------------------------------ facts
@@ -131,57 +131,78 @@ def _null(t: str):
     return F.lit(None).cast(t)
 
 
+def _fact_row(fields: dict):
+    return F.struct(*[fields.get(n, _null(t)).cast(t).alias(n) for n, t in _FACT_FIELDS])
+
+
+def _fixed_facts(df: DataFrame, group: list[ColumnSpec]) -> DataFrame:
+    """Counts, moments and numeric or temporal extremes: fixed-width, in generated code."""
+    aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
+    for s in group:
+        c, k = col(s.name), s.ordinal
+        aggs.append(F.count(c).alias(f"nn{k}"))
+        fields = {"ordinal": F.lit(k), "rows": F.col("_rows"), "non_null": F.col(f"nn{k}")}
+        lo, hi = F.col(f"min{k}"), F.col(f"max{k}")
+        if s.stat_class in ("numeric", "temporal"):
+            aggs += [F.min(c).alias(f"min{k}"), F.max(c).alias(f"max{k}")]
+            fields |= {"min_text": lo.cast("string"), "max_text": hi.cast("string")}
+        if s.stat_class == "numeric":
+            d = c.cast("double")
+            aggs += [F.avg(d).alias(f"mean{k}"), F.stddev_samp(d).alias(f"std{k}")]
+            fields |= {"mean": F.col(f"mean{k}"), "std": F.col(f"std{k}"), "min_num": lo.cast("double"), "max_num": hi.cast("double")}
+        rows.append(_fact_row(fields))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def _text_facts(df: DataFrame, group: list[ColumnSpec]) -> DataFrame:
+    """Extremes of text, booleans and binaries, which Spark aggregates outside generated code."""
+    aggs = [f(col(s.name)).alias(f"{n}{s.ordinal}") for s in group for n, f in (("min", F.min), ("max", F.max))]
+    rows = [
+        _fact_row({"ordinal": F.lit(s.ordinal), **{f"{n}_text": text_of(F.col(f"{n}{s.ordinal}"), s.dtype) for n in ("min", "max")}})
+        for s in group
+    ]
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def _sketch_facts(df: DataFrame, group: list[ColumnSpec], accuracy: int) -> DataFrame:
+    """Approximate distinct counts and quartiles."""
+    aggs, rows = [], []
+    for s in group:
+        c, k = col(s.name), s.ordinal
+        aggs.append(F.approx_count_distinct(c if s.groupable else F.to_json(c)).alias(f"au{k}"))
+        fields = {"ordinal": F.lit(k), "approx_unique": F.col(f"au{k}")}
+        if s.stat_class == "numeric":
+            aggs.append(F.percentile_approx(c.cast("double"), list(QUANTILE_POINTS), accuracy).alias(f"pq{k}"))
+            fields |= {n: F.col(f"pq{k}")[i] for i, n in enumerate(("q25", "median", "q75"))}
+        rows.append(_fact_row(fields))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
 def column_facts(
-    df: DataFrame, approx: bool = False, accuracy: int = 10000, specs: list[ColumnSpec] | None = None
+    df: DataFrame, approx: bool = False, accuracy: int = 10000, specs: list[ColumnSpec] | None = None, text_extremes: bool = False
 ) -> DataFrame:
     """Per-column counts, moments and extremes; long form, one row per column.
 
-    With ``approx`` also approximate distinct counts and quartiles.  Only the
-    columns of ``specs`` (default: all) are aggregated, so only they are read.
+    With ``approx`` also approximate distinct counts and quartiles, with
+    ``text_extremes`` min and max of text columns; both are aggregates of
+    their own, so the fixed-width ones stay in generated code.  Only the
+    columns of ``specs`` (default: all) are read.  No column, no row.
     """
     specs = specs if specs is not None else column_specs(df)
-    parts = []
-    for group in _fact_groups(specs, approx):
-        aggs, structs = [F.count(F.lit(1)).alias("_rows")], []
-        for s in group:
-            c, k = col(s.name), s.ordinal
-            aggs.append(F.count(c).alias(f"nn{k}"))
-            fields = {"ordinal": F.lit(k), "rows": F.col("_rows"), "non_null": F.col(f"nn{k}")}
-            if s.stat_class == "numeric":
-                d = c.cast("double")
-                aggs += [
-                    F.avg(c).cast("double").alias(f"mean{k}"),
-                    F.stddev_samp(d).alias(f"std{k}"),
-                    F.min(c).alias(f"min{k}"),
-                    F.max(c).alias(f"max{k}"),
-                ]
-                lo, hi = F.col(f"min{k}"), F.col(f"max{k}")
-                fields.update(
-                    mean=F.col(f"mean{k}"),
-                    std=F.col(f"std{k}"),
-                    min_num=lo.cast("double"),
-                    max_num=hi.cast("double"),
-                    min_text=lo.cast("string"),
-                    max_text=hi.cast("string"),
-                )
-                if approx:
-                    aggs.append(F.percentile_approx(d, list(QUANTILE_POINTS), accuracy).alias(f"pq{k}"))
-                    fields.update(
-                        q25=F.col(f"pq{k}")[0], median=F.col(f"pq{k}")[1], q75=F.col(f"pq{k}")[2]
-                    )
-            elif ty.is_orderable(s.dtype) and s.stat_class != "counts":
-                aggs += [F.min(c).alias(f"min{k}"), F.max(c).alias(f"max{k}")]
-                fields.update(min_text=text_of(F.col(f"min{k}"), s.dtype), max_text=text_of(F.col(f"max{k}"), s.dtype))
-            if approx:
-                target = c if s.groupable else F.to_json(c)
-                aggs.append(F.approx_count_distinct(target).alias(f"au{k}"))
-                fields["approx_unique"] = F.col(f"au{k}")
-            structs.append(F.struct(*[fields.get(n, _null(t)).cast(t).alias(n) for n, t in _FACT_FIELDS]))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
+    if not specs:
+        return literal_rows(_spark(df), [], ", ".join(f"{n} {t}" for n, t in _FACT_FIELDS))
+    parts = [_fixed_facts(df, g) for g in _fact_groups(specs)]
+    texts = [s for s in specs if s.stat_class == "scalar" and ty.is_orderable(s.dtype)] if text_extremes else []
+    parts += [_text_facts(df, g) for g in _groups(texts)]
+    if approx:
+        parts += [_sketch_facts(df, g, accuracy) for g in _groups(specs)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    if not texts and not approx:
+        return out
+    # At most three rows for each column, each with its own fields.
+    return out.groupBy("ordinal").agg(*[F.max(n).alias(n) for n, _ in _FACT_FIELDS if n != "ordinal"])
 
 
 # ------------------------------------------------------------------ frequencies
@@ -192,7 +213,8 @@ def _slot_of(s: ColumnSpec):
     """The slot a column's values go to, and the value expression.
 
     Integral numbers keep their exact value in ``vi``; floating numbers go to
-    ``vf``; decimals to ``vs`` as exact text (same scale within a column);
+    ``vf``; zoned timestamps to ``vi`` as instants (two instants may share
+    their local text); decimals to ``vs`` as exact text (same scale within a column);
     booleans, text and date / time values to ``vs`` as text (ISO text orders
     like the values); binary to ``vb``.
     """
@@ -201,6 +223,8 @@ def _slot_of(s: ColumnSpec):
         return "vi", c.cast("bigint")
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return "vf", c.cast("double")
+    if isinstance(dt, T.TimestampType):
+        return "vi", F.unix_micros(c)
     if isinstance(dt, T.BinaryType):
         return "vb", c
     return "vs", text_of(c, dt)
@@ -240,7 +264,7 @@ def value_frequencies(df: DataFrame, specs: list[ColumnSpec] | None = None) -> D
             )
         )
     if not parts:
-        return spark.createDataFrame([], "ord int, vi bigint, vf double, vs string, vb binary, freq bigint")
+        return literal_rows(spark, [], "ord int, vi bigint, vf double, vs string, vb binary, freq bigint")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -254,9 +278,13 @@ def distinct_and_top(freq: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     A second, tiny aggregate keyed by column.
     """
     want = [s.ordinal for s in specs]
+    zoned = [s.ordinal for s in specs if isinstance(s.dtype, T.TimestampType)]
+    number = F.col("t.vi").cast("string")
+    if zoned:
+        number = F.when(F.col("ord").isin(zoned), F.timestamp_micros("t.vi").cast("string")).otherwise(number)
     best = F.max(F.struct(F.col("freq").alias("f"), "vi", "vf", "vs", "vb"))
     top_text = F.coalesce(
-        F.col("t.vs"), F.col("t.vi").cast("string"), F.col("t.vf").cast("string"), F.col("t.vb").cast("string")
+        F.col("t.vs"), number, F.col("t.vf").cast("string"), F.col("t.vb").cast("string")
     )
     return (
         freq.where(F.col("ord").isin(want))
@@ -362,7 +390,7 @@ def _select_ranks(ranged: DataFrame, out: NumericSummary, points: tuple[float, .
     if not wanted:
         return out
     spark = _spark(ranged)
-    targets = spark.createDataFrame(wanted, "pid int, ord int, local_rank bigint, rank bigint")
+    targets = literal_rows(spark, wanted, "pid int, ord int, local_rank bigint, rank bigint")
     keys = targets.select("pid", "ord").distinct()
     w = Window.partitionBy("pid", "ord").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = (
@@ -391,7 +419,7 @@ def _select_ranks(ranged: DataFrame, out: NumericSummary, points: tuple[float, .
 
 def _quantile_frame(spark: SparkSession, q: dict[int, list[float | None]]) -> DataFrame:
     rows = [(k, v[0], v[1], v[2]) for k, v in sorted(q.items())]
-    return spark.createDataFrame(rows, "ordinal int, q25 double, median double, q75 double")
+    return literal_rows(spark, rows, "ordinal int, q25 double, median double, q75 double")
 
 
 # ------------------------------------------------------------------- statistics
@@ -440,7 +468,7 @@ def build_profile(df: DataFrame, approx: bool = False) -> Profile:
     specs_frame = _specs_frame(df, specs)
     facts = column_facts(df, approx=approx)
     top_specs = [s for s in specs if s.stat_class in ("scalar", "temporal")]
-    empty = spark.createDataFrame([], "ordinal int, unique_count bigint, top_value string, top_frequency bigint")
+    empty = literal_rows(spark, [], "ordinal int, unique_count bigint, top_value string, top_frequency bigint")
     if approx:
         top = distinct_and_top(value_frequencies(df, top_specs), top_specs).drop("unique_count") if top_specs else None
         uniques = facts.select("ordinal", F.col("approx_unique").alias("unique_count"))
@@ -459,7 +487,7 @@ def build_profile(df: DataFrame, approx: bool = False) -> Profile:
     summary = exact_quantiles(df, numeric) if numeric else NumericSummary({}, {})
     if numeric:
         parts.append(
-            spark.createDataFrame(
+            literal_rows(spark, 
                 [(k, n, None, None) for k, n in sorted(summary.distinct.items())],
                 "ordinal int, unique_count bigint, top_value string, top_frequency bigint",
             )
@@ -527,6 +555,8 @@ def null_columns(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
 def _null_facts(df: DataFrame) -> DataFrame:
     """Row and non-null counts only: one light aggregate per column group."""
     specs = column_specs(df)
+    if not specs:
+        return literal_rows(_spark(df), [], "ordinal int, rows bigint, non_null bigint")
     parts = []
     for group in _groups(specs, 64):
         aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(col(s.name)).alias(f"nn{s.ordinal}") for s in group]
@@ -663,13 +693,13 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
             freq = value_frequencies(df, grouped)
             found = freq.groupBy(F.col("ord").alias("ordinal")).agg(F.count(F.lit(1)).alias("unique_count"))
             # columns with only NULLs have no row in the frequency table
-            zeros = spark.createDataFrame([(s.ordinal, 0) for s in grouped], "ordinal int, unique_count bigint")
+            zeros = literal_rows(spark, [(s.ordinal, 0) for s in grouped], "ordinal int, unique_count bigint")
             parts.append(zeros.unionByName(found).groupBy("ordinal").agg(F.max("unique_count").alias("unique_count")))
         nested = [s for s in specs if s.stat_class == "counts"]
         if nested:
             parts.append(_counts_only(df, nested).select("ordinal", "unique_count"))
-        u = parts[0]
-        for p in parts[1:]:
+        u = literal_rows(spark, [], "ordinal int, unique_count bigint")
+        for p in parts:
             u = u.unionByName(p)
     total = rows.select(F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("bigint").alias("unique_count"), "count")
     whole = Window.partitionBy()
@@ -699,7 +729,7 @@ def quantiles(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> Dat
     spark = _spark(df)
     names = _specs_frame(df, specs).select("ordinal", "column_name")
     if not specs:
-        return spark.createDataFrame([], "ordinal int, column_name string, q25 double, median double, q75 double")
+        return literal_rows(spark, [], "ordinal int, column_name string, q25 double, median double, q75 double")
     if approx:
         qf = column_facts(df, approx=True, accuracy=accuracy, specs=specs).select("ordinal", "q25", "median", "q75")
     else:

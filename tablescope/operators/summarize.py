@@ -21,7 +21,7 @@ def summarize(df: DataFrame, accuracy: int = 10000, sketches: bool = True) -> Da
     """The summary frame; ``sketches=False`` leaves out the approximate columns
     (``approx_unique`` and the quartiles come back NULL) and their cost."""
     specs = pr.column_specs(df)
-    facts = pr.column_facts(df, approx=sketches, accuracy=accuracy)
+    facts = pr.column_facts(df, approx=sketches, accuracy=accuracy, text_extremes=True)
     names = pr._specs_frame(df, specs)
     return (
         names.join(F.broadcast(facts), "ordinal")

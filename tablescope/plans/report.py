@@ -14,14 +14,18 @@ of columns (or the sample size), so the JSON assembly never collects data.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.literals import literal_rows
 from ..functions.numeric import col, percent
 from ..operators import correlate, overview, profile, summarize
+from ..session import drop_scratch
 from ..sources.files import Source
 
+# Section names, message and sample sizes of the report's contract.
 SECTION_ORDER = ["overview", "schema", "sample", "statistics", "nulls", "complete"]
 COMPLETE_MESSAGE = "Analysis complete"
 SERVICE_SAMPLE_ROWS = 10
@@ -88,27 +92,57 @@ def _json_cell(c, dt: T.DataType):
 
 
 def report_sections(src: Source, sample_rows: int = SERVICE_SAMPLE_ROWS, order_by: list[str] | None = None) -> DataFrame:
-    """The service report of one source as six rows ``(seq, type, data, message)``."""
-    df = src.df
-    spark = df.sparkSession
+    """The service report of one source as six rows ``(seq, type, data, message)``.
+
+    Planning the statistics runs jobs (see ``profile.build_profile``).
+    """
+    prof = profile.build_profile(src.df)
+    out = _overview_section(src)
+    for p in (
+        _schema_section(src.df),
+        _sample_section(src.df, sample_rows, order_by),
+        _statistics_section(src.df, prof),
+        # the statistics' facts already hold row and non-NULL counts: no extra scan
+        _nulls_section(src.df, prof.facts.select("ordinal", "rows", "non_null")),
+        _complete_section(src.df.sparkSession),
+    ):
+        out = out.unionByName(p)
+    return out
+
+
+def _sections_apart(src: Source, sample_rows: int, order_by: list[str] | None):
+    """The sections one by one, each planned only when it is asked for."""
+    yield 1, lambda: _overview_section(src)
+    yield 2, lambda: _schema_section(src.df)
+    yield 3, lambda: _sample_section(src.df, sample_rows, order_by)
+    yield 4, lambda: _statistics_section(src.df, profile.build_profile(src.df))
+    yield 5, lambda: _nulls_section(src.df, None)
+    yield 6, lambda: _complete_section(src.df.sparkSession)
+
+
+def _overview_section(src: Source) -> DataFrame:
     ov = overview.overview(src)
-    sec_overview = _one(ov, 1, "overview", F.to_json(F.struct(*ov.columns)))
+    return _one(ov, 1, "overview", F.to_json(F.struct(*ov.columns)))
+
 
+def _schema_section(df: DataFrame) -> DataFrame:
     sch = profile.schema_info(df)
-    sec_schema = _one(
+    return _one(
         sch.agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col("column_name").alias("name"), "dtype", "nullable"))).alias("c")),
         2,
         "schema",
         F.to_json(F.struct(F.transform("c", lambda x: x.dropFields("ordinal")).alias("columns"))),
     )
 
+
+def _sample_section(df: DataFrame, sample_rows: int, order_by: list[str] | None) -> DataFrame:
     sample = overview.sample_rows(df, sample_rows, order_by)
     key = [col(c) for c in order_by] if order_by else [F.monotonically_increasing_id()]
     cells = [_json_cell(col(f.name), f.dataType) for f in df.schema.fields]
     row_json = F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")) if cells else F.lit("[]")
     numbered = sample.select(F.row_number().over(Window.orderBy(*key)).alias("i"), row_json.alias("r"))
     columns_json = F.to_json(F.array(*[F.lit(c) for c in df.columns])) if df.columns else F.lit("[]")
-    sec_sample = _one(
+    return _one(
         numbered.agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("rows")),
         3,
         "sample",
@@ -121,18 +155,20 @@ def report_sections(src: Source, sample_rows: int = SERVICE_SAMPLE_ROWS, order_b
         ),
     )
 
-    prof = profile.build_profile(df)
+
+def _statistics_section(df: DataFrame, prof: profile.Profile) -> DataFrame:
     stats = profile.statistics(df, profile=prof)
     stat_fields = [c for c in stats.columns if c != "ordinal"]
-    sec_stats = _one(
+    return _one(
         stats.agg(F.sort_array(F.collect_list(F.struct("ordinal", *stat_fields))).alias("c")),
         4,
         "statistics",
         F.to_json(F.struct(F.transform("c", lambda x: x.dropFields("ordinal")).alias("columns"))),
     )
 
-    # the statistics' facts already hold row and non-NULL counts: no extra scan
-    nulls = profile.null_columns(df, facts=prof.facts.select("ordinal", "rows", "non_null"))
+
+def _nulls_section(df: DataFrame, facts: DataFrame | None) -> DataFrame:
+    nulls = profile.null_columns(df, facts=facts)
     n = len(df.columns)
     cells = F.coalesce(F.max("row_count"), F.lit(0)) * F.lit(n)
     total_nulls = F.coalesce(F.sum("null_count"), F.lit(0))
@@ -141,7 +177,7 @@ def report_sections(src: Source, sample_rows: int = SERVICE_SAMPLE_ROWS, order_b
         total_nulls.cast("bigint").alias("total_nulls"),
         F.sort_array(F.collect_list(F.struct("ordinal", "column_name", "null_count", "null_percentage", "non_null_count"))).alias("c"),
     ).withColumn("total_null_percentage", percent(F.col("total_nulls"), F.col("total_cells"), 2))
-    sec_nulls = _one(
+    return _one(
         null_agg,
         5,
         "nulls",
@@ -154,25 +190,39 @@ def report_sections(src: Source, sample_rows: int = SERVICE_SAMPLE_ROWS, order_b
             )
         ),
     )
-    done = spark.createDataFrame([(6, "complete", None, COMPLETE_MESSAGE)], _SECTION_SCHEMA)
-    out = sec_overview
-    for p in (sec_schema, sec_sample, sec_stats, sec_nulls, done):
-        out = out.unionByName(p)
-    return out
 
+def _complete_section(spark: SparkSession) -> DataFrame:
+    return literal_rows(spark, [(6, "complete", None, COMPLETE_MESSAGE)], _SECTION_SCHEMA)
+
+
+def error_section(spark: SparkSession, message: str, seq: int = 1) -> DataFrame:
+    return literal_rows(spark, [(seq, "error", None, message)], _SECTION_SCHEMA)
 
-def error_section(spark: SparkSession, message: str) -> DataFrame:
-    return spark.createDataFrame([(1, "error", None, message)], _SECTION_SCHEMA)
 
+def write_report(src: Source, path: str, sample_rows: int = SERVICE_SAMPLE_ROWS, order_by: list[str] | None = None) -> str:
+    """Write the service report of ``src`` as JSON lines and return the folder.
 
-def write_report(src: Source, path: str, **kwargs) -> str:
-    """Write the service report of ``src`` as JSON lines; on failure one ``error`` line."""
+    Sections are stored as they finish.  When one fails, an ``error`` section
+    comes after those before it.  A folder that exists already is an error,
+    so a good report is never lost to a bad one.
+    """
     spark = src.df.sparkSession
     try:
-        rows = report_sections(src, **kwargs)
-        rows.coalesce(1).orderBy("seq").write.mode("overwrite").json(path)
-    except Exception as exc:  # noqa: BLE001 - the report carries the error
-        error_section(spark, str(exc)).coalesce(1).write.mode("overwrite").json(path)
+        rows = report_sections(src, sample_rows, order_by)
+        rows.coalesce(1).orderBy("seq").write.mode("errorifexists").json(path)
+        return path
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_ALREADY_EXISTS":
+            raise
+    except Exception:  # noqa: BLE001 - found again below, section by section
+        pass
+    drop_scratch(spark, path)  # what the failed attempt left; it began with an empty folder
+    for seq, section in _sections_apart(src, sample_rows, order_by):
+        try:
+            section().coalesce(1).write.mode("append").json(path)
+        except Exception as exc:  # noqa: BLE001 - the report carries the error
+            error_section(spark, str(exc), seq).coalesce(1).write.mode("append").json(path)
+            break
     return path
 
 

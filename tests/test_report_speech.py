@@ -3,6 +3,9 @@
 import json
 import os
 
+import pytest
+from pyspark.errors import AnalysisException
+
 from tablescope.operators import speech
 from tablescope.plans import report
 from tablescope.sources import files
@@ -45,7 +48,17 @@ def test_error_report(spark, tmpdir_path):
     src.df = src.df.selectExpr("o_orderkey", "raise_error('boom') AS broken")
     path = report.write_report(src, os.path.join(tmpdir_path, "err"))
     got = report.read_report(spark, path).collect()
-    assert [r.type for r in got] == ["error"] and "boom" in got[0].message
+    got = sorted(got, key=lambda r: r.seq)
+    assert [r.type for r in got] == ["overview", "schema", "error"] and "boom" in got[-1].message
+    assert got[0].overview.row_count > 0
+
+
+def test_a_report_is_not_overwritten(spark, tmpdir_path):
+    src = files.open_source(spark, f"{SF001}/orders.parquet")
+    path = report.write_report(src, os.path.join(tmpdir_path, "keep"), order_by=["o_orderkey"])
+    with pytest.raises(AnalysisException):
+        report.write_report(src, path)
+    assert len(report.read_report(spark, path).collect()) == 6
 
 
 def test_flatten_stt_cases(spark):
