@@ -2,18 +2,47 @@
 
 The text is built from small column lists; each statement runs on the
 driver-registered views of the same Parquet tables.  Keys without an entry
-(transcript clean-up, streaming, the full report) are checked on rows only:
-DuckDB's regular expressions have ASCII word borders, so the Unicode
-clean-up has no SQL twin; pytest checks it against the plain rules instead.
+(approximate sketches, the full report) are checked on rows only.
 """
 
 from __future__ import annotations
 
 from ..functions.numeric import round_sql
+from ..functions.text import FILLER_WORDS
+from ..operators.profile import CARDINALITY_LABELS
 from .registry import SQL_FILTER, SQL_JOIN, TABLES
 
 STAT_DIGITS = 6
-ORACLE_DIR = "/root/testdata/sf0.01"
+
+#: The driver's tables and their column types, as DESCRIBE prints them.
+TABLE_TYPES = """
+region: r_regionkey INTEGER, r_name VARCHAR
+nation: n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER
+customer: c_custkey BIGINT, c_name VARCHAR, c_nationkey INTEGER, c_acctbal DOUBLE, c_mktsegment VARCHAR
+supplier: s_suppkey BIGINT, s_name VARCHAR, s_nationkey INTEGER, s_acctbal DOUBLE
+part: p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR, p_type VARCHAR, p_size INTEGER, p_retailprice DOUBLE
+orders: o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority VARCHAR
+lineitem: l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INTEGER, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag VARCHAR, l_linestatus VARCHAR, l_shipdate TIMESTAMP
+events: event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR
+documents: doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT
+embeddings: vec_id BIGINT, embedding FLOAT[], label INTEGER
+pages: page_id BIGINT, url VARCHAR, html VARCHAR
+benchmark: item_id BIGINT, text VARCHAR
+labels: doc_id BIGINT, quality INTEGER, toxic INTEGER
+conversations: conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR
+"""
+
+
+def table_columns() -> dict[str, list[tuple[str, str, str]]]:
+    """(column, type, "") of every table."""
+    lines = (ln.split(": ", 1) for ln in TABLE_TYPES.strip().splitlines())
+    return {t: [(*c.split(" "), "") for c in columns.split(", ")] for t, columns in lines}
+
+
+def all_tables(section) -> str:
+    """``section(table, columns)`` of every table, with a ``table_name`` column first."""
+    return union([f"SELECT {lit(t)} AS table_name, * FROM ({section(t, cols)}) x" for t, cols in table_columns().items()])
+
 
 ORDERS_N = (
     "(SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice, "
@@ -230,15 +259,6 @@ def temporal_range_sql(src: str, cols) -> str:
     )
 
 
-# fixed values: class labels of the reference's cardinality table
-_LABELS = {
-    "unique": "Unique (potential key)",
-    "binary": "Binary",
-    "low": "Low (categorical)",
-    "high": "High (continuous)",
-}
-
-
 def cardinality_sql(src: str, cols, max_categories: int = 20) -> str:
     parts = []
     for i, (n, _, _) in enumerate(cols, start=1):
@@ -247,7 +267,7 @@ def cardinality_sql(src: str, cols, max_categories: int = 20) -> str:
             f"CASE WHEN {u} = {rows} THEN 'unique' WHEN {u} <= 2 THEN 'binary' "
             f"WHEN {u} <= {max_categories} THEN 'low' ELSE 'high' END"
         )
-        label = "CASE " + " ".join(f"WHEN {cls} = {lit(k)} THEN {lit(v)}" for k, v in _LABELS.items()) + " END"
+        label = "CASE " + " ".join(f"WHEN {cls} = {lit(k)} THEN {lit(v)}" for k, v in CARDINALITY_LABELS.items()) + " END"
         raw = f"(CASE WHEN {rows} > 0 THEN CAST({u} AS DOUBLE) / CAST({rows} AS DOUBLE) * 100.0 ELSE 0.0 END)"
         parts.append(
             f"SELECT {i} AS ordinal, {lit(n)} AS column_name, {u} AS unique_count, {r(raw, 1)} AS uniqueness_pct, "
@@ -336,11 +356,7 @@ def schema_info_sql() -> str:
 
 
 def overview_sql() -> str:
-    return (
-        "SELECT count(*) AS row_count, 6 AS column_count, 'orders.parquet' AS file_name, "
-        f"(SELECT size FROM read_blob('{ORACLE_DIR}/orders.parquet')) AS file_size_bytes, "
-        "'parquet' AS file_type FROM orders"
-    )
+    return "SELECT count(*) AS row_count, 6 AS column_count, 'orders.parquet' AS file_name, 'parquet' AS file_type, true AS has_bytes FROM orders"
 
 
 def sample_preview_sql() -> str:
@@ -355,15 +371,61 @@ def sample_preview_sql() -> str:
     )
 
 
-def screen_files_sql() -> str:
+#: Unicode white space and the separators U+001C to U+001F, as a regular-expression class
+BLANK = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def curate_sql(text: str) -> str:
+    """The transcript clean-up; each filler goes twice, as neighbours share the character between them."""
+    out = text
+    for w in FILLER_WORDS:
+        for _ in range(2):
+            out = rf"regexp_replace({out}, '(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])', '\1\2', 'gi')"
+    out = f"trim(regexp_replace({out}, '{BLANK}+', ' ', 'g'))"
+    out = f"regexp_replace({out}, '{BLANK}+,', ',', 'g')"
+    out = f"regexp_replace({out}, ',{BLANK}*,', ',', 'g')"
+    out = f"regexp_replace({out}, '^{BLANK}*,{BLANK}*', '')"
+    return f"(SELECT CASE WHEN length(r) > 0 THEN upper(r[1]) || r[2:] ELSE {text} END FROM (SELECT {out} AS r))"
+
+
+def curated(table: str, keys: str) -> str:
+    return f"SELECT {keys}, {curate_sql('text')} AS curated_prompt FROM {table}"
+
+
+def report_sample_sql() -> str:
+    cells = ", ".join(
+        f"{_cell(n, t)} AS {q(n)}" for n, t, _ in ORDERS_COLS
+    )
+    return f"SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS INTEGER) AS row, {cells} FROM (SELECT * FROM {ORDERS_N} o ORDER BY o_orderkey LIMIT 10) s"
+
+
+def _cell(name: str, type_name: str) -> str:
+    return f"CAST({q(name)} AS VARCHAR)"
+
+
+def report_nulls_sql() -> str:
     return (
-        "SELECT regexp_extract(filename, '[^/]+$') AS file_name, size AS length, "
-        "CASE WHEN size >= 100 THEN 'pending' ELSE 'error' END AS status, "
-        "CASE WHEN size = 0 THEN 'Empty audio file' WHEN size < 100 THEN 'Recording too short. Hold the button longer.' "
-        f"END AS error FROM read_blob('{ORACLE_DIR}/*.parquet')"
+        f"SELECT total_cells, total_nulls, total_null_percentage, column_name, null_count, null_percentage, non_null_count "
+        f"FROM ({null_columns_sql(ORDERS_N, ORDERS_COLS)}) c, ({null_totals_sql(ORDERS_N, ORDERS_COLS)}) t"
     )
 
 
+def distinct_typed_sql() -> str:
+    typed = "(SELECT CAST(o_totalprice AS DECIMAL(12,2)) AS price, o_orderdate AS at FROM orders)"
+    return union(
+        [
+            f"SELECT 'embeddings' AS table_name, * FROM ({distinct_counts_sql('embeddings', table_columns()['embeddings'])}) a",
+            f"SELECT 'orders' AS table_name, * FROM ({distinct_counts_sql(typed, [('price', '', ''), ('at', '', '')])}) b",
+        ]
+    )
+
+
+def decimal_stats_sql() -> str:
+    cols = [("l_orderkey", "BIGINT", "numeric")] + [(c, "DECIMAL(12,2)", "numeric") for c in ("l_quantity", "l_extendedprice", "l_tax")]
+    casts = ", ".join(f"CAST({c} AS DECIMAL(12,2)) AS {c}" for c, _, _ in cols[1:])
+    return numeric_stats_sql(f"(SELECT l_orderkey, {casts} FROM lineitem)", cols)
+
+
 def flatten_stt_sql() -> str:
     no_alt = "turn % 7 = 6"
     transcript = f"CASE WHEN {no_alt} THEN '' ELSE coalesce(text, '') END"
@@ -405,9 +467,21 @@ ORACLES: dict[str, str] = {
     "correlation_matrix": correlation_matrix_sql(LINEITEM_N, LINEITEM_COLS),
     "strong_correlations": strong_correlations_sql(LINEITEM_N, LINEITEM_COLS),
     "summarize_exact": summarize_exact_sql(LINEITEM_N, LINEITEM_COLS),
-    "report_sections": (
-        "SELECT * FROM (VALUES (1, 'overview'), (2, 'schema'), (3, 'sample'), (4, 'statistics'), "
-        "(5, 'nulls'), (6, 'complete')) AS s(seq, type)"
+    "scan_csv_text": "SELECT * FROM documents",
+    "scan_json_nested": "SELECT * FROM embeddings",
+    "report_statistics": statistics_sql(ORDERS_N, ORDERS_COLS),
+    "report_nulls": report_nulls_sql(),
+    "report_sample": report_sample_sql(),
+    "nulls_all_tables": all_tables(completeness_sql),
+    "cardinality_all_tables": all_tables(cardinality_sql),
+    "numeric_stats_decimal": decimal_stats_sql(),
+    "distinct_counts_typed": distinct_typed_sql(),
+    "curate_transcripts": curated("conversations", "conv_id, turn"),
+    "curate_stream": curated("conversations", "conv_id, turn"),
+    "curate_documents": curated("documents", "doc_id"),
+    "transcribe_results": (
+        "SELECT conv_id, turn, transcript, CASE WHEN status = 'complete' THEN curated END AS curated_prompt, confidence, language, "
+        f"duration_seconds, status FROM (SELECT *, {curate_sql('transcript')} AS curated FROM ({flatten_stt_sql()}) f) g"
     ),
     "sql_filter": SQL_FILTER,
     "sql_join": SQL_JOIN,
@@ -425,5 +499,4 @@ ORACLES: dict[str, str] = {
         ORDERS_COLS,
     ),
     "flatten_stt": flatten_stt_sql(),
-    "screen_files": screen_files_sql(),
 }

@@ -24,6 +24,11 @@ from . import questions, report
 
 STAT_DIGITS = 6
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: the columns that order a sample of each table
+SAMPLE_ORDER = {
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+    "conversations": ["conv_id", "turn"],
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,26 +82,79 @@ def q_scan_json(spark, sf_dir):
     return files.open_source(spark, path, fmt="json").df
 
 
+def _written_and_opened(spark, df, fmt: str, **options):
+    """A copy of ``df`` written by Spark in the shared scratch folder, opened with everything inferred."""
+    path = scratch_path(spark, f"copy-{fmt}") + f".{fmt}"
+    df.write.options(**options).format(fmt).save(path)
+    return files.open_source(spark, path, fmt=fmt).df
+
+
+def q_scan_csv_text(spark, sf_dir):
+    quoted = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return _written_and_opened(spark, table(spark, sf_dir, "documents"), "csv", **quoted)
+
+
+def q_scan_json_nested(spark, sf_dir):
+    copy = _written_and_opened(spark, table(spark, sf_dir, "embeddings"), "json")
+    return copy.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
+
+
 def q_list_tables(spark, sf_dir):
     tables = files.open_table_set(spark, sf_dir)
     return overview.table_counts(spark, {name: src.df for name, src in tables.items()})
 
 
-def q_screen_files(spark, sf_dir):
-    found = speech.audio_files(spark, sf_dir, glob="*.parquet")
-    return speech.screen_audio(found).select("file_name", "length", "status", "error")
+def _orders_report(spark, sf_dir):
+    src = files.open_source(spark, f"{sf_dir}/orders.parquet")
+    src.df = orders_with_nulls(spark, sf_dir)
+    return report.read_report(spark, report.write_report(src, scratch_path(spark, "report"), order_by=["o_orderkey"]))
 
 
-def q_report_sections(spark, sf_dir):
-    src = files.open_source(spark, f"{sf_dir}/orders.parquet")
-    path = report.write_report(src, scratch_path(spark, "report"), order_by=["o_orderkey"])
-    return report.read_report(spark, path).select("seq", "type")
+def q_report_statistics(spark, sf_dir):
+    """The statistics of a report that was written and read back, one row a column."""
+    columns = _orders_report(spark, sf_dir).filter("type = 'statistics'").select(F.posexplode("statistics.columns").alias("i", "c"))
+    return rounded(columns.select((F.col("i") + 1).alias("ordinal"), "c.*"), ["mean", "std", "median", "q25", "q75"])
 
 
-def q_report_read(spark, sf_dir):
-    src = files.open_source(spark, f"{sf_dir}/orders.parquet")
-    path = report.write_report(src, scratch_path(spark, "report"), order_by=["o_orderkey"])
-    return report.read_report(spark, path)
+def q_report_nulls(spark, sf_dir):
+    """The NULL section of a report that was written and read back, with its totals."""
+    nulls = _orders_report(spark, sf_dir).filter("type = 'nulls'").select("nulls.*")
+    return nulls.select("total_cells", "total_nulls", "total_null_percentage", F.explode("columns").alias("c")).select(
+        "total_cells", "total_nulls", "total_null_percentage", "c.column_name", "c.null_count", "c.null_percentage", "c.non_null_count"
+    )
+
+
+def q_report_sample(spark, sf_dir):
+    """Overview, sample cells and the order of the sections of a report that was read back."""
+    rep = _orders_report(spark, sf_dir)
+    sample = rep.filter("type = 'sample'").select(F.posexplode("sample.rows").alias("i", "r"))
+    return sample.select((F.col("i") + 1).alias("row"), *[F.col("r")[k].alias(c) for k, c in enumerate(orders_with_nulls(spark, sf_dir).columns)])
+
+
+def over_tables(spark, sf_dir, section):
+    """One section of every table in one frame, with a ``table_name`` column first."""
+    return report.section_for_tables({n: table(spark, sf_dir, n) for n in TABLES}, section)
+
+
+def q_nulls_all_tables(spark, sf_dir):
+    return over_tables(spark, sf_dir, pr.completeness)
+
+
+def q_cardinality_all_tables(spark, sf_dir):
+    return over_tables(spark, sf_dir, pr.cardinality)
+
+
+def q_numeric_stats_decimal(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *[F.col(c).cast("decimal(12,2)").alias(c) for c in ("l_quantity", "l_extendedprice", "l_tax")])
+    return rounded(pr.numeric_stats(li), ["mean", "std"])
+
+
+def q_distinct_counts_typed(spark, sf_dir):
+    """Distinct counts of an array column, a decimal column and a zoned timestamp column."""
+    vectors = pr.distinct_counts(table(spark, sf_dir, "embeddings")).select(F.lit("embeddings").alias("table_name"), "*")
+    o = table(spark, sf_dir, "orders")
+    typed = o.select(F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    return vectors.unionByName(pr.distinct_counts(typed).select(F.lit("orders").alias("table_name"), "*"))
 
 
 # ------------------------------------------------------------------ profiling
@@ -105,7 +163,9 @@ def q_row_count(spark, sf_dir):
 
 
 def q_overview(spark, sf_dir):
-    return overview.overview(files.open_source(spark, f"{sf_dir}/orders.parquet"))
+    # The size of the file depends on where the tables are; a unit test compares it.
+    o = overview.overview(files.open_source(spark, f"{sf_dir}/orders.parquet"))
+    return o.withColumn("has_bytes", F.col("file_size_bytes") > 0).drop("file_size_bytes")
 
 
 def q_schema_info(spark, sf_dir):
@@ -202,8 +262,8 @@ def q_summarize_exact(spark, sf_dir):
 
 
 def q_full_report(spark, sf_dir):
-    tables = {n: files.open_source(spark, f"{sf_dir}/{n}.parquet") for n in ("orders", "customer")}
-    return report.full_report_table(report.full_report(tables))
+    tables = {n: files.open_source(spark, f"{sf_dir}/{n}.parquet") for n in TABLES}
+    return report.full_report_table(report.full_report(tables, order_by=SAMPLE_ORDER))
 
 
 # -------------------------------------------------------------------- queries
@@ -299,6 +359,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_parquet": q_scan_parquet,
     "scan_csv": q_scan_csv,
     "scan_json": q_scan_json,
+    "scan_csv_text": q_scan_csv_text,
+    "scan_json_nested": q_scan_json_nested,
     "list_tables": q_list_tables,
     "row_count": q_row_count,
     "overview": q_overview,
@@ -324,8 +386,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summarize": q_summarize,
     "summarize_exact": q_summarize_exact,
     "full_report": q_full_report,
-    "report_sections": q_report_sections,
-    "report_read": q_report_read,
+    "report_statistics": q_report_statistics,
+    "report_nulls": q_report_nulls,
+    "report_sample": q_report_sample,
+    "nulls_all_tables": q_nulls_all_tables,
+    "cardinality_all_tables": q_cardinality_all_tables,
+    "numeric_stats_decimal": q_numeric_stats_decimal,
+    "distinct_counts_typed": q_distinct_counts_typed,
     "sql_filter": q_sql_filter,
     "sql_join": q_sql_join,
     "grouped_average": q_grouped_average,
@@ -336,5 +403,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "curate_stream": q_curate_stream,
     "flatten_stt": q_flatten_stt,
     "transcribe_results": q_transcribe_results,
-    "screen_files": q_screen_files,
 }

@@ -37,9 +37,13 @@ _SECTION_SCHEMA = "seq int, type string, data string, message string"
 # ------------------------------------------------------------------ explorer
 def full_report(
     tables: dict[str, Source] | Source, table: str | None = None, sample_rows: int = EXPLORER_SAMPLE_ROWS,
-    max_categories: int = 20,
+    max_categories: int = 20, order_by: dict[str, list[str]] | None = None,
 ) -> dict[str, dict[str, DataFrame]]:
-    """Sections per table: overview, schema, sample, summary, nulls, cardinality, correlations."""
+    """Sections per table: overview, schema, sample, summary, nulls, cardinality, correlations.
+
+    ``order_by`` names the columns that order a table's sample; its first
+    column does otherwise, so a report can be repeated.
+    """
     if isinstance(tables, Source):
         tables = {tables.name: tables}
     names = [table] if table else sorted(tables)
@@ -51,7 +55,7 @@ def full_report(
         out[name] = {
             "overview": overview.overview(src),
             "schema": profile.schema_info(df),
-            "sample": overview.sample_rows(df, sample_rows),
+            "sample": overview.sample_rows(df, sample_rows, (order_by or {}).get(name, df.columns[:1])),
             "summary": summarize.summarize(df),
             "nulls": profile.completeness(df, nulls),
             "cardinality": profile.cardinality(df, max_categories),
@@ -263,16 +267,18 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def statistics_for_tables(tables: dict[str, Source] | dict[str, DataFrame], approx: bool = False) -> DataFrame:
-    """Statistics of every table of a set in one frame, with a ``table_name`` column first."""
-    parts = []
-    for name in sorted(tables):
-        t = tables[name]
-        df = t.df if isinstance(t, Source) else t
-        parts.append(profile.statistics(df, approx=approx).select(F.lit(name).alias("table_name"), "*"))
-    if not parts:
+def section_for_tables(tables: dict[str, DataFrame], section) -> DataFrame:
+    """``section(df)`` of every table in one frame, with a ``table_name`` column first."""
+    if not tables:
         raise ValueError("the table set holds no tables")
+    parts = [section(tables[n]).select(F.lit(n).alias("table_name"), "*") for n in sorted(tables)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def statistics_for_tables(tables: dict[str, Source] | dict[str, DataFrame], approx: bool = False) -> DataFrame:
+    """Statistics of every table of a set in one frame, with a ``table_name`` column first."""
+    frames = {n: t.df if isinstance(t, Source) else t for n, t in tables.items()}
+    return section_for_tables(frames, lambda df: profile.statistics(df, approx=approx))

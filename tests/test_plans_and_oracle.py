@@ -10,7 +10,8 @@ import pytest
 import __spark_entry__ as entry
 from tablescope.operators import correlate, profile as pr
 from tablescope.plans import questions
-from tablescope.plans.registry import TABLES
+from tablescope.plans.oracles import ORACLES
+from tablescope.plans.registry import QUERIES, TABLES
 
 from .conftest import SF001
 
@@ -19,10 +20,10 @@ def plan_text(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_python_udf_in_plans(spark):
-    for key in ("statistics", "null_columns", "correlations", "curate_transcripts", "flatten_stt", "value_counts"):
-        text = plan_text(entry.queries()[key](spark, SF001))
-        assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text, key
+def test_no_python_and_no_cross_join_in_registered_queries(spark):
+    for key, fn in QUERIES.items():
+        text = plan_text(fn(spark, SF001))
+        assert not any(x in text for x in ("EvalPython", "InPandas", "InArrow", "CartesianProduct", "BroadcastNestedLoopJoin")), key
 
 
 def test_aggregate_count_does_not_grow_per_column(spark):
@@ -30,7 +31,7 @@ def test_aggregate_count_does_not_grow_per_column(spark):
     facts = pr.column_facts(wide)
     facts.collect()
     text = facts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    groups = pr._fact_groups(pr.column_specs(wide), approx=False)
+    groups = pr._fact_groups(pr.column_specs(wide))
     assert len(groups) <= 60 // 8 + 1
     # one partial and one final aggregate per group of columns, never per column
     aggs = [ln for ln in text.splitlines() if "HashAggregate(" in ln or "SortAggregate(" in ln]
@@ -50,12 +51,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "l_returnflag" not in stats.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_no_cross_join_in_registered_queries(spark):
-    for key, fn in entry.queries().items():
-        if key in ("curate_stream", "scan_csv", "scan_json", "report_sections", "report_read"):
-            continue
-        text = plan_text(fn(spark, SF001))
-        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, key
+@pytest.mark.parametrize("name", ["orders", "documents", "events"])
+def test_fixed_width_facts_stay_in_generated_code(spark, name):
+    facts = pr.column_facts(spark.read.parquet(f"{SF001}/{name}.parquet"))
+    facts.collect()
+    text = plan_text(facts).split("== Initial Plan ==")[0]
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+    assert all("*(" in ln for ln in text.splitlines() if "HashAggregate(" in ln)
 
 
 def test_correlation_pairs_split_into_bounded_aggregates(spark):
@@ -83,14 +85,6 @@ def _rows(names, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-ORACLE_KEYS_AT_SF001 = [
-    k
-    for k in entry.oracle_sql()
-    # these oracles name files of sf0.01 (file size, file listing)
-    if k not in ("overview", "screen_files")
-]
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -99,11 +93,11 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("key", ORACLE_KEYS_AT_SF001)
+@pytest.mark.parametrize("key", list(ORACLES))
 def test_query_matches_oracle(spark, duck, key):
-    df = entry.queries()[key](spark, SF001)
+    df = QUERIES[key](spark, SF001)
     got = [tuple(r) for r in df.collect()]
-    cur = duck.execute(entry.oracle_sql()[key])
+    cur = duck.execute(ORACLES[key])
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
     assert sorted(df.columns) == sorted(names)
