@@ -1,26 +1,24 @@
 """Pearson correlations between numeric columns.
 
-Each pair uses the rows where both values are present (like SQL ``CORR``).
-The guarded form
-
-    try_divide(covar_samp(x, y), stddev_samp(x | y present) * stddev_samp(y | x present))
-
-gives NULL for a constant or all-NULL column instead of failing on a
-division by zero in ANSI mode.
-
-Plan: the upper triangle (diagonal included) is tiled by blocks of
-``BLOCK`` columns; each tile (at most ``BLOCK``² pairs) is one global
-aggregate.  A pair needs ten aggregation-buffer fields, so a tile of nine
-pairs stays under Spark's limit for whole-stage code generation (100
-fields); one very wide aggregate falls back to slow interpreted evaluation.
-A tile reads only its own ``2 x BLOCK`` columns from Parquet, which keeps
-the bytes read per pair low.  The lower half is mirrored, not recomputed.
+Each pair uses the rows where both values are present (like SQL ``CORR``).  A
+constant or all-NULL column gives NULL.
+
+Two scans whatever the number of columns.  The first takes a centre and a
+scale of every column.  In the second each task adds up, for every pair at
+once, the counts, sums, squares and products of the centred values of the rows
+that have both (matrix products over Arrow batches), and the tasks' sums
+meet in an aggregate keyed by pair.  Each pair is then corrected by its own
+sums, so NULLs in other rows or columns play no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import warnings
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +26,15 @@ from ..functions.literals import literal_rows
 from ..functions.numeric import col, round_half_up
 from . import profile as pr
 
-BLOCK = 3
 STRONG = 0.7
 _SCHEMA = "col1 string, col2 string, corr double"
+_SUMS = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+_BLOCK = 64  #: columns of a block of the pair matrix
+_NOTHING = 1e-18  #: a variance below this part of the squared scale is rounding of a constant
 
 
 def guarded_corr(x, y):
+    """One pair as an aggregate; NULL instead of a division by zero."""
     xd, yd = x.cast("double"), y.cast("double")
     sx = F.stddev_samp(F.when(yd.isNotNull(), xd))
     sy = F.stddev_samp(F.when(xd.isNotNull(), yd))
@@ -44,44 +45,69 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [s.name for s in pr.column_specs(df) if s.stat_class == "numeric"]
 
 
-def _tiles(names: list[str], block: int) -> list[list[tuple[str, str]]]:
-    blocks = [names[i : i + block] for i in range(0, len(names), block)]
-    tiles = []
-    for i, bi in enumerate(blocks):
-        for bj in blocks[i:]:
-            pairs = [(a, b) for a in bi for b in bj if names.index(a) <= names.index(b)]
-            if pairs:
-                tiles.append(pairs)
-    return tiles
-
-
-def correlations(df: DataFrame, columns: list[str] | None = None, digits: int | None = 3, block: int = BLOCK) -> DataFrame:
+def _pair_sums(centre: np.ndarray, scale: np.ndarray):
+    """Batches of numeric columns -> one row of sums for each pair of columns and task."""
+    k = len(centre)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            x = np.empty((batch.num_rows, k))
+            for c in range(k):
+                column = batch.column(c)
+                x[:, c] = column.fill_null(0.0).to_numpy(zero_copy_only=False)
+            here = np.column_stack([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in range(k)]).astype(float)
+            x = (x - centre) / scale * here
+            x[here == 0] = 0.0
+            for a in range(0, k, _BLOCK):
+                for b in range(a, k, _BLOCK):
+                    xa, xb, ha, hb = x[:, a : a + _BLOCK], x[:, b : b + _BLOCK], here[:, a : a + _BLOCK], here[:, b : b + _BLOCK]
+                    sums = np.stack([ha.T @ hb, xa.T @ hb, ha.T @ xb, (xa * xa).T @ hb, ha.T @ (xb * xb), xa.T @ xb])
+                    total[a, b] = total[a, b] + sums if (a, b) in total else sums
+        for (a, b), sums in total.items():
+            i, j = np.indices(sums.shape[1:])
+            i, j = i + a, j + b
+            keep = i <= j
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i[keep], pa.int32()), pa.array(j[keep], pa.int32()), *[pa.array(s[keep]) for s in sums]], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
+            )
+
+    return run
+
+
+def correlations(df: DataFrame, columns: list[str] | None = None, digits: int | None = 3) -> DataFrame:
     """Long form ``(col1, col2, corr)`` for every ordered pair, diagonal included.
 
-    Fewer than two numeric columns give an empty result and a warning.
+    Fewer than two numeric columns give an empty result and a warning.  The
+    first scan runs here; it brings two numbers a column to the driver.
     """
     names = columns or numeric_columns(df)
     spark = df.sparkSession
     if len(names) < 2:
         warnings.warn("not enough numeric columns for correlation analysis", stacklevel=2)
         return literal_rows(spark, [], _SCHEMA)
-    parts = []
-    for t, tile in enumerate(_tiles(names, block)):
-        aggs = [guarded_corr(col(a), col(b)).alias(f"r{t}_{i}") for i, (a, b) in enumerate(tile)]
-        structs = [
-            F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{t}_{i}").alias("corr"))
-            for i, (a, b) in enumerate(tile)
-        ]
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
-    upper = parts[0]
-    for p in parts[1:]:
-        upper = upper.unionByName(p)
-    if digits is not None:
-        upper = upper.withColumn("corr", round_half_up(F.col("corr"), digits))
-    lower = upper.where(F.col("col1") != F.col("col2")).select(
-        F.col("col2").alias("col1"), F.col("col1").alias("col2"), "corr"
-    )
-    return upper.unionByName(lower)
+    numbers = df.select(*[col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    facts = pr.column_facts(numbers).select("ordinal", "mean", "min_num", "max_num").collect()
+    centre, scale = np.zeros(len(names)), np.ones(len(names))
+    for f in facts:
+        if f["mean"] is not None and np.isfinite(f["mean"]):
+            centre[f.ordinal - 1] = f["mean"]
+            widest = max(abs(f.min_num - f["mean"]), abs(f.max_num - f["mean"]))
+            noise = max(abs(f.min_num), abs(f.max_num)) * 1e-13
+            scale[f.ordinal - 1] = max(widest, noise) or 1.0
+    tasks = numbers.mapInArrow(_pair_sums(centre, scale), _SUMS)
+    sums = tasks.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    vx, vy = (F.col(q) - F.col(s) * F.col(s) / F.col("n") for q, s in (("sxx", "sx"), ("syy", "sy")))
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    spread = F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))
+    varies = (F.col("n") > 1) & (vx > F.col("n") * _NOTHING) & (vy > F.col("n") * _NOTHING)
+    r = F.when(F.isnan("sxy"), F.lit(float("nan"))).when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / spread)))
+    lookup = F.array(*[F.lit(n) for n in names])
+    r = r if digits is None else round_half_up(r, digits)
+    upper = sums.select(F.get(lookup, F.col("i")).alias("a"), F.get(lookup, F.col("j")).alias("b"), r.alias("corr"))
+    both = F.array(F.struct(F.col("a").alias("col1"), F.col("b").alias("col2")), F.struct(F.col("b").alias("col1"), F.col("a").alias("col2")))
+    sides = F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)
+    return upper.select(F.explode(sides).alias("p"), "corr").select("p.col1", "p.col2", "corr")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, digits: int | None = 3) -> DataFrame:
