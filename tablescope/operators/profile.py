@@ -104,6 +104,17 @@ def schema_info(df: DataFrame) -> DataFrame:
     return literal_rows(_spark(df), rows, schema)
 
 
+def schema_for_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """``schema_info`` of many tables as one frame of literals, with ``table_name`` first."""
+    rows = [
+        (name, s.ordinal, s.name, s.type_name, bool(f.nullable), s.category)
+        for name, df in tables.items()
+        for s, f in zip(column_specs(df), df.schema.fields)
+    ]
+    schema = "table_name string, ordinal int, column_name string, dtype string, nullable boolean, category string"
+    return literal_rows(_spark(next(iter(tables.values()))), rows, schema)
+
+
 def _specs_frame(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     rows = [(s.ordinal, s.name, s.type_name, s.stat_class, s.category) for s in specs]
     return literal_rows(_spark(df), rows, "ordinal int, column_name string, dtype string, stat_class string, category string")

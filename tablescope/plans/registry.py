@@ -169,13 +169,7 @@ def q_overview(spark, sf_dir):
 
 
 def q_schema_info(spark, sf_dir):
-    parts = []
-    for name in TABLES:
-        parts.append(pr.schema_info(table(spark, sf_dir, name)).select(F.lit(name).alias("table_name"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return pr.schema_for_tables({name: table(spark, sf_dir, name) for name in TABLES})
 
 
 def q_sample_rows(spark, sf_dir):
