@@ -5,12 +5,13 @@ From the bytes that old shards hold and the bytes that new shards may hold,
 stays costs nothing, a byte that moves costs one (or what a given cost matrix
 says).  The graph has one node a shard, so it is small whatever the data.
 
-A shard's rows are ordered by size, largest first.  Its first bytes stay and
-blocks of consecutive rows of its tail go to the shards that the flow names.
-Offsets are exact prefix sums over range partitions, so no shard is ever
-sorted in one task.  A block can only be cut between rows; the remainders
-are small and a next round moves them with the smallest rows, until no
-round brings the sizes nearer to each other.
+A shard's rows are put in an order.  Its first bytes stay and blocks of
+consecutive rows of its tail go to the shards that the flow names.  Offsets
+are exact prefix sums over range partitions, so no shard is ever sorted in one
+task.  In the first round the order is a hash of the id, so every block has
+rows of all sizes.  A block can only be cut between rows; the next rounds move
+what that leaves over, with the largest rows first in order, so the smallest
+rows move.
 
 Only shards that gain or lose rows are rewritten.
 """
@@ -28,11 +29,12 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 ROW_BYTES = 16  #: what a row takes besides its text
-ROUNDS = 2
 PART_BYTES = 64 << 20
 PART_ROWS = 1 << 20
 NO_ID = -(1 << 63)  #: stands for a NULL id in the order of rows
-_ORDER = ["shard", "neg_size", "doc_id", "text_crc32"]
+_MIXED = ["id_crc32", "neg_size", "doc_id", "text_crc32"]
+_BY_SIZE = ["neg_size", "doc_id", "text_crc32", "id_crc32"]
+ROUNDS = (_MIXED, _BY_SIZE, _BY_SIZE)  #: the order of rows in each round
 
 
 def cheapest_flow(supply: list[int], room: list[int], cost: Callable[[int, int], int] | None = None) -> dict[tuple[int, int], int]:
@@ -111,19 +113,19 @@ def near_equal(total: int, shards: int) -> list[int]:
     return [total * (k + 1) // shards - total * k // shards for k in range(shards)]
 
 
-def _with_start(spark: SparkSession, rows: DataFrame, parts: int) -> DataFrame:
+def _with_start(spark: SparkSession, rows: DataFrame, parts: int, order: list[str]) -> DataFrame:
     """``rows`` with ``start``: bytes before a row in its shard.
 
     Range partitions are written with their number, so a lost executor
     cannot shift them; sums by (partition, shard) then give the offsets.
     """
     path = scratch_path(spark, "reshard")
-    rows.repartitionByRange(parts, *_ORDER).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    rows.repartitionByRange(parts, "shard", *order).withColumn("part", F.spark_partition_id()).write.parquet(path)
     placed = spark.read.parquet(path)
     pieces = placed.groupBy("part", "shard").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select("part", "shard", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("part", "shard").orderBy(*_ORDER[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part", "shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["part", "shard"]).withColumn(
         "start", F.col("offset") + F.col("inner")
     )
@@ -148,22 +150,23 @@ def measures(text: str, key: str) -> list[Column]:
         size.alias("size"),
         (-size).alias("neg_size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
+        F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("id_crc32"),
     ]
 
 
-def _move(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+def _move(rows: DataFrame, blocks: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with the shard they go to: of its shard's blocks, the last that starts at or before a row.
 
     ``blocks`` has a row for each old shard with at most as many blocks as
     there are new shards, whatever the data, so it is broadcast.
     """
-    here = F.struct(*[F.col(c) for c in _ORDER[1:]])
+    here = F.struct(*[F.col(c) for c in order])
     last = F.try_element_at(F.filter("blocks", lambda b: b["first"] <= here), F.lit(-1))["to"]
     joined = rows.join(F.broadcast(blocks), "shard", "left")
     return joined.withColumn("shard", F.coalesce(last, F.col("shard"))).drop("blocks")
 
 
-def plan(rows: DataFrame, room: list[int], rounds: int = ROUNDS) -> tuple[list[DataFrame], list[dict[tuple[int, int], int]]]:
+def plan(rows: DataFrame, room: list[int]) -> tuple[list[DataFrame], list[dict[tuple[int, int], int]]]:
     """For each round, the blocks that move (old shard, first row and new shard of each) and the flow.
 
     A round brings the size of each shard to the driver.
@@ -171,19 +174,19 @@ def plan(rows: DataFrame, room: list[int], rounds: int = ROUNDS) -> tuple[list[D
     spark = rows.sparkSession
     parts = max(8, rows.count() // PART_ROWS)
     found, flows = [], []
-    for _ in range(rounds):
+    for order in ROUNDS:
         held = {r.shard: r.held for r in rows.groupBy("shard").agg(F.sum("size").alias("held")).collect()}
         flow = cheapest_flow([held.get(i, 0) for i in range(max([len(room) - 1, *held]) + 1)], room)
-        started = _with_start(spark, rows, parts)
+        started = _with_start(spark, rows, parts, order)
         target = F.when(F.lit(False), -1)
         for i, start, _, j in reversed(_cuts(flow)):
             target = target.when((F.col("shard") == i) & (F.col("start") >= start), j)
-        first = started.groupBy("shard", target.alias("to")).agg(F.min(F.struct(*_ORDER[1:])).alias("first"))
+        first = started.groupBy("shard", target.alias("to")).agg(F.min(F.struct(*order)).alias("first"))
         path = scratch_path(spark, "reshard-blocks")
         first.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("first", "to"))).alias("blocks")).write.parquet(path)
         found.append(spark.read.parquet(path))
         flows.append(flow)
-        rows = _move(started.select("shard", *_ORDER[1:], "size"), found[-1])
+        rows = _move(started.select("shard", *order, "size"), found[-1], order)
     return found, flows
 
 
@@ -209,18 +212,18 @@ def reshard(docs: DataFrame, old: Column, shards: int, out: str, text: str = "te
     found, flows = plan(narrow, room or near_equal(total, shards))
     changed = sorted({k for flow in flows for pair in flow if pair[0] != pair[1] for k in pair})
     placed = tagged.withColumn("was", F.col("shard"))
-    for blocks in found:
-        placed = _move(placed, blocks)
+    for blocks, order in zip(found, ROUNDS):
+        placed = _move(placed, blocks, order)
     parts = max(8, count // PART_ROWS, total // PART_BYTES)
     in_changed = F.col("shard").isin(changed) if changed else F.lit(False)
-    ranged = placed.filter(in_changed).drop("size").repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
+    ranged = placed.filter(in_changed).drop("size").repartitionByRange(parts, "shard", *_BY_SIZE).sortWithinPartitions("shard", *_BY_SIZE)
     ranged = ranged.withColumn("part", F.spark_partition_id())
     ranged.write.partitionBy("shard").parquet(out)
     schema = ranged.drop("shard").schema.add("shard", T.IntegerType())
     inner = spark.read.schema(schema).parquet(out)
     files = inner.select("part", "shard", "was", *measures(f"row.{text}", f"row.{key}"))
     path = scratch_path(spark, "reshard-still")
-    still = placed.filter(~in_changed).drop("row").repartitionByRange(max(8, count // PART_ROWS), *_ORDER)
+    still = placed.filter(~in_changed).drop("row").repartitionByRange(max(8, count // PART_ROWS), "shard", *_BY_SIZE)
     still.withColumn("part", F.spark_partition_id()).write.parquet(path)
     return _slots(files.unionByName(spark.read.parquet(path)))
 
@@ -230,7 +233,7 @@ def _slots(rows: DataFrame) -> DataFrame:
     pieces = rows.groupBy("part", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select("part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("part", "shard").orderBy(*_ORDER[1:])
+    inside = Window.partitionBy("part", "shard").orderBy(*_BY_SIZE)
     return rows.withColumn("nth", F.row_number().over(inside)).join(offsets, ["part", "shard"]).select(
         F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"),
         "size",

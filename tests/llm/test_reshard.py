@@ -53,13 +53,15 @@ def test_query_law(spark):
     assert max(held) - min(held) < max(r.size for r in out)
 
 
-def in_memory(rows, shards, rounds=2):
+def in_memory(rows, shards):
     """Where each (old shard, size, id, checksum) goes, with plain lists."""
     room = reshard.near_equal(sum(r[1] for r in rows), shards)
     at = {r[2]: r[0] for r in rows}
-    for _ in range(rounds):
+    mixed = lambda r: (zlib.crc32(str(r[2]).encode()), -r[1], r[2], r[3])
+    by_size = lambda r: (-r[1], r[2], r[3])
+    for order in (mixed, by_size, by_size):
         by = {}
-        for r in sorted(rows, key=lambda r: (-r[1], r[2], r[3])):
+        for r in sorted(rows, key=order):
             by.setdefault(at[r[2]], []).append(r)
         flow = reshard.cheapest_flow([sum(r[1] for r in by.get(i, [])) for i in range(shards)], room)
         for i, own in by.items():
