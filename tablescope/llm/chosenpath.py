@@ -192,7 +192,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(uid[root]), pa.array(links)], names=["u", "v", "links"])
 
 
-def _split(classes: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+def _split(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The leaves of all runs: rows (run, path, uid) of small ones, edges of those that stayed large."""
     spark = classes.sparkSession
     runs = runs_for()
@@ -253,7 +253,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     classes = spark.read.parquet(classes_path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    small, dense = _split(classes, parts)
+    small, dense = _split(classes)
     compared = small.join(classes.select("uid", "n", "sig"), "uid").repartition(parts, "run", "path").sortWithinPartitions("run", "path")
     alike = compared.select("run", "path", "uid", "n", "sig").mapInArrow(_leaves, "u long, v long")
     labels = components(alike.union(dense))
