@@ -361,11 +361,9 @@ def exact_quantiles(
     long = long.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         long.repartitionByRange("ord", "v").withColumn("pid", F.spark_partition_id()).write.parquet(path)
-    finally:
-        long.unpersist()
-    try:
         return _select_ranks(spark.read.parquet(path), out, points)
     finally:
+        long.unpersist()
         drop_scratch(spark, path)
 
 
@@ -726,10 +724,6 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def row_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("row_count"))
-
-
 def quantiles(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """``ordinal, column_name, q25, median, q75`` of the numeric columns.
 

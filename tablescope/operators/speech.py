@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import curate
 
+NO_TRANSCRIPT = "No transcript returned"
+
+# fixed values: default language, least size and messages for rejected input
 DEFAULT_LANGUAGE = "en"
 MIN_AUDIO_BYTES = 100
-
-# fixed values: messages of the reference for rejected input
-NO_TRANSCRIPT = "No transcript returned"
 EMPTY_AUDIO = "Empty audio file"
 TOO_SHORT = "Recording too short. Hold the button longer."
 
