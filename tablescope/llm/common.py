@@ -115,6 +115,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+HASH_BLOCK = 1 << 20  #: bytes that are hashed at once; blocks end at white space
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the white-space separated words of many texts.
 
@@ -125,15 +128,32 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, span
     the first byte and the end of every word follow.
     """
     n = len(data)
+    cuts = [0]
+    while n - cuts[-1] > HASH_BLOCK:
+        at = cuts[-1] + HASH_BLOCK
+        while at < n and not len(found := np.flatnonzero(_IS_SPACE[data[at : at + HASH_BLOCK]])):
+            at += HASH_BLOCK
+        if at >= n:
+            break
+        cuts.append(at + int(found[0]))
+    parts = []
+    for a, b in zip(cuts, [*cuts[1:], n]):
+        inner = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")] - a
+        hashes, start, end = _hash_block(_LOWER[data[a:b]] if lower else data[a:b], inner)
+        parts.append((hashes, start + a, end + a))
+    hashes, start, end = (np.concatenate(c) for c in zip(*parts))
+    return hashes, np.searchsorted(start, offsets, "left"), *((start, end) if spans else ())
+
+
+def _hash_block(data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and ends of the words of a block; texts also part at ``inner``."""
+    n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *((none, none) if spans else ())
-    if lower:
-        data = _LOWER[data]
+        return np.zeros(0, np.uint64), none, none
     word = ~_IS_SPACE[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
-    inner = offsets[(offsets > 0) & (offsets < n)]
     begins[inner] = word[inner]
     ends = word.copy()
     ends[:-1] &= ~word[1:]
@@ -142,8 +162,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, span
     power, inverse = _power_tables(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
-    hashes = mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, offsets, "left"), *((start, end) if spans else ())
+    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)), start, end
 
 
 _STEP = [np.uint64(c) for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]

@@ -103,7 +103,7 @@ class Parser:
     def build(cls, samples: dict[str, bytes]) -> Parser:
         langs = sorted(samples)
         found = np.unique(np.concatenate([np.frombuffer(samples[x], np.uint8) for x in langs]))
-        classes_of = np.zeros(256, np.int64)
+        classes_of = np.zeros(256, np.uint8)
         classes_of[found] = np.arange(1, len(found) + 1)
         n = len(found) + 1
         tables, roots, start = [], [], 0
