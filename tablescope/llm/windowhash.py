@@ -3,8 +3,8 @@
 Both the licence scan and benchmark decontamination look for short texts
 inside long ones.  Items are partitioned by size into classes whose upper
 bounds are powers of two.  For a class with bound ``u`` every document is cut
-into windows of ``2 * u`` five-word shingles, ``u`` apart, so that a passage of
-an item lies whole in some window.
+into windows of ``SPAN * u`` five-word shingles that overlap by ``u``, so that a
+passage of an item lies whole in some window.
 
 A window's sketch is one-permutation MinHash: shingle hashes are sorted, the
 top bits name a bin and the first of each bin is its minimum.  Each bin is a
@@ -29,6 +29,7 @@ WIDTH = 5  #: words of a shingle
 CONTAINED = 0.8
 MISS = 1e-3  #: chance that a pair at the threshold is not found
 SMALLEST_CLASS = 8
+SPAN = 8  #: size of a window in bounds of its class; wider windows overlap less and need more bins
 BROADCAST_ROWS = 200_000  #: of item sketches (16 bytes a row); beyond it the join shuffles
 
 
@@ -75,7 +76,7 @@ def bins_for(bound: int, miss: float = MISS, contained: float = CONTAINED) -> in
     """
     smallest = 1 if bound == SMALLEST_CLASS else bound // 2 + 1
     common = max(1, math.ceil(contained * smallest))
-    union = 2 * bound + smallest - common
+    union = SPAN * bound + smallest - common
     bins = 2
     while (1 - bins / union * (1 - math.exp(-union / bins))) ** common > miss:
         bins *= 2
@@ -90,8 +91,9 @@ def sketch(shingles: str, bins: int) -> str:
 
 def window_sketches(shingles: str, bound: int, bins: int) -> Column:
     """The distinct minima of all windows of an array of hashes in order."""
-    count = f"greatest(1, CAST(ceil((size({shingles}) - {2 * bound}) / {bound}) AS INT) + 1)"
-    sorted_windows = f"transform(sequence(0, {count} - 1), k -> sort_array(slice({shingles}, k * {bound} + 1, {2 * bound})))"
+    size, step = SPAN * bound, (SPAN - 1) * bound
+    count = f"greatest(1, CAST(ceil((size({shingles}) - {size}) / {step}) AS INT) + 1)"
+    sorted_windows = f"transform(sequence(0, {count} - 1), k -> sort_array(slice({shingles}, k * {step} + 1, {size})))"
     return F.expr(f"array_distinct(flatten(transform({sorted_windows}, s -> {sketch('s', bins)})))")
 
 

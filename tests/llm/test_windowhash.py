@@ -73,12 +73,12 @@ def test_bins_keep_the_promise(bound):
     size = 1 if bound == 8 else bound // 2 + 1
     common = -(-size * 4 // 5)
     missed = 0
-    for _ in range(3000):
+    for _ in range(1500):
         both = [rng.getrandbits(64) for _ in range(common)]
         low = lambda xs: {min(g) for g in _by_bin(xs, bins)}
         a = low(both + [rng.getrandbits(64) for _ in range(size - common)])
-        missed += not (a & low(both + [rng.getrandbits(64) for _ in range(2 * bound - common)]))
-    assert missed <= 12
+        missed += not (a & low(both + [rng.getrandbits(64) for _ in range(wh.SPAN * bound - common)]))
+    assert missed <= 8
 
 
 def _by_bin(xs, bins):
