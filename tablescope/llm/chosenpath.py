@@ -296,5 +296,6 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     spark = docs.sparkSession
     path = scratch_path(spark, "jaccard-dropped")
     groups(docs, text, key).filter(~F.col("first")).select(F.col("uid").alias("__uid")).write.parquet(path)
-    dropped = spark.read.schema("__uid long").parquet(path)
+    # The list grows with the corpus: a sort-merge join at every size, never a broadcast.
+    dropped = spark.read.schema("__uid long").parquet(path).hint("merge")
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(dropped, "__uid", "left_anti").drop("__uid")

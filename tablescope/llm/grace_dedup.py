@@ -233,5 +233,6 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     ``docs`` must be read from files, so that both readings number its rows
     alike.
     """
-    kept = assign(docs, text, key).filter("kept").select(F.col("uid").alias("__uid"))
+    # The list grows with the corpus: a sort-merge join at every size, never a broadcast.
+    kept = assign(docs, text, key).filter("kept").select(F.col("uid").alias("__uid")).hint("merge")
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, "__uid", "left_semi").drop("__uid")
