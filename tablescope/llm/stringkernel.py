@@ -45,6 +45,7 @@ PENALTY = 10_000.0  #: of each class, shared by its words
 PREFERRED = 2.5  #: log odds by which toxic texts prefer a first witness
 CERTAIN = 2.0  #: nats of evidence beyond the log of the number of words tried
 PART = 5  #: bytes of a stem
+SLICE_BYTES = 2 << 20
 SPELLED = 4  #: so many single letters in a row are one word as well
 
 #: byte -> symbol; letters have their own, bytes of other letters share five, the rest (0) is skipped
@@ -125,10 +126,11 @@ def kernel_to(profiles: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(codes), len(profiles)), np.float32)
     columns = np.ascontiguousarray(profiles.T)
     for rows, array in by_length(codes):
-        for i in range(0, len(rows), 256):
-            u, weight = subsequences(array[i : i + 256])
-            norm = np.sqrt(self_kernel(array[i : i + 256]))
-            out[rows[i : i + 256]] = np.einsum("wsp,s->wp", columns[u], weight, optimize=True) / norm[:, None]
+        block = max(1, (1 << 22) // (len(_shape(array.shape[1])[0]) * len(profiles)))
+        for i in range(0, len(rows), block):
+            u, weight = subsequences(array[i : i + block])
+            norm = np.sqrt(self_kernel(array[i : i + block]))
+            out[rows[i : i + block]] = np.einsum("wsp,s->wp", columns[u], weight, optimize=True) / norm[:, None]
     return out
 
 
@@ -356,7 +358,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", key: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in byte_slices(batches, "text"):
+        for part in byte_slices(batches, "text", SLICE_BYTES):
             margin = model.text_margins(*bytes_of(part.column("text")))
             columns = [part.column("doc_id"), pa.array(model.probability(margin), pa.float64()), pa.array(margin, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "margin"])
@@ -369,7 +371,7 @@ def clean(docs: DataFrame, machine: Machine, text: str = "text", threshold: floa
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, text):
+        for part in byte_slices(batches, text, SLICE_BYTES):
             scores = shared.value.probability(shared.value.text_margins(*bytes_of(part.column(text))))
             yield part.filter(pa.array(scores < threshold))
 
