@@ -1,18 +1,20 @@
 """Subword encoding and decoding with a distinct-chunk table.
 
 No piece of the vocabulary joins a character to a white-space marker that
-follows it, so a marked text is cut before each run of markers and every
-chunk is segmented on its own.  A worker segments each distinct chunk once,
-keeps the ids and the surface in a table, and joins the ids back by position
-(the order of the chunks in the text).  The table is bounded by bytes and
-starts anew when full, which costs time, never results.
-
-``check_boundaries`` proves the property from the vocabulary when the model
-is opened; a model without it is refused.
+follows it, nor a letter to another character, so a marked text is cut before
+each run of markers and between letters and others, and every chunk is
+segmented on its own.  A worker segments each distinct chunk once, keeps the
+ids and the surface in a table, and joins the ids back by position (the order
+of the chunks in the text).  The table is bounded by bytes and starts anew
+when full, which costs time, never results.
+
+``check_boundaries`` proves these properties from the vocabulary when the
+model is opened; a model without them is refused.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -27,17 +29,21 @@ from pyspark.sql import types as T
 from .common import byte_slices
 
 MARK = "▁"
+ANCHOR = "\n"  #: in no piece, so nothing merges with it
+# Any two classes do, as long as no piece has both; a superscript two is not with the letters.
+_PLAIN = re.compile(r"[^\W\d_²]*|(?:[^\w]|[\d_²])*")
+_CHUNK = re.compile(r" *(?:[^\W\d_²]+|(?:[^\w ]|[\d_²])+)| +")
 TABLE_BYTES = 160 << 20  #: that the table of a worker may take
 ENTRY_BYTES = 220  #: what an entry costs besides its contents
 ID_TYPE = "<u4"  #: ids are stored as little-endian unsigned 32-bit integers
 
 
 def check_boundaries(model: sentencepiece.SentencePieceProcessor) -> None:
-    """Raise unless pieces hold markers only at their start."""
+    """Raise unless pieces hold markers only at their start, and letters only with letters."""
     for i in range(model.get_piece_size()):
         body = model.id_to_piece(i).lstrip(MARK)
-        if MARK in body and not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            raise ValueError(f"piece {i} crosses a white-space marker; chunks cannot be segmented apart")
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and (MARK in body or ANCHOR in body or not _PLAIN.fullmatch(body)):
+            raise ValueError(f"piece {i} crosses a border of chunks; they cannot be segmented apart")
 
 
 def pack(ids: list[int]) -> bytes:
@@ -53,16 +59,18 @@ class ChunkTable:
         self.limit, self.held = limit, 0
         self.entries: dict[str, tuple[bytes, str]] = {}
         self.begin, self.end = (pack([i]) for i in (self.model.bos_id(), self.model.eos_id()))
-        # A chunk is encoded behind an anchor, a word of its own, so that the marker which the
-        # library puts before a text never touches the chunk.
-        self.anchor = self.model.encode("a")
-        self.anchor_text = self.model.decode(self.anchor)
+        # A chunk is encoded behind an anchor, so that the marker which the library puts before a text never touches it.
+        self.anchor = self.model.encode(ANCHOR)
+        plain = lambda i: not (self.model.is_byte(i) or self.model.is_unknown(i) or self.model.is_control(i))
+        self.surface = [self.model.id_to_piece(i).replace(MARK, " ") if plain(i) else None for i in range(self.model.get_piece_size())]
 
     def _fill(self, chunks: list[str]) -> None:
-        anchor, n = "a", len(self.anchor)
-        for chunk, ids in zip(chunks, self.model.encode([anchor + c for c in chunks], num_threads=1)):
-            surface = self.model.decode(ids)[len(self.anchor_text) :]
-            packed = pack(ids[n:])
+        n = len(self.anchor)
+        for chunk, ids in zip(chunks, self.model.encode([ANCHOR + c for c in chunks], num_threads=1)):
+            own = ids[n:]
+            parts = [self.surface[i] for i in own]
+            surface = self.model.decode(ids)[len(ANCHOR) :] if None in parts else "".join(parts)
+            packed = pack(own)
             self.entries[chunk] = packed, surface
             self.held += len(chunk) + len(packed) + len(surface) + ENTRY_BYTES
 
@@ -81,21 +89,8 @@ class ChunkTable:
 
 
 def cut(text: str) -> list[str]:
-    """The chunks of a text: each starts with its run of markers (blanks)."""
-    if not text:
-        return []
-    words = (" " + text.replace(MARK, " ")).split(" ")[1:]
-    if "" not in words:
-        return [" " + w for w in words]
-    chunks, run = [], 0
-    for w in words:
-        run += 1
-        if w:
-            chunks.append(" " * run + w)
-            run = 0
-    if run:
-        chunks.append(" " * run)
-    return chunks
+    """The chunks of a text with the blank that the library puts first: blanks, then letters or others."""
+    return _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
 
 _tables: dict[tuple[int, int], ChunkTable] = {}  #: of this worker; the table lives on from task to task

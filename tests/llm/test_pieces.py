@@ -4,6 +4,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tablescope.llm import pieces
 
@@ -13,6 +15,8 @@ from .conftest import run
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+with open(MODEL, "rb") as _f:
+    TABLE = pieces.ChunkTable(_f.read())
 HARD = [
     "", " ", "   ", "a", " a", "a ", "  a  b   ", "a\nb\t c\r\n", "é€𝄞\x00x", "a▁b ▁", "<s> </s> <unk> <0x0A>", "　x \xa0y", "é x",
     "a" + " " * 45 + "b", "​﻿x", "x" * 3000, "word " * 500, "日本語 テキスト", "�", "!!??..,,  --", "ﬁ x², ½ ",
@@ -59,15 +63,26 @@ def test_empty_table(spark, corpus):
     assert run(spark, "op4_sentencepiece", corpus([])).collect() == []
 
 
-def test_a_model_whose_pieces_cross_markers_is_refused():
+@pytest.mark.parametrize("piece,fine", [("a▁b", False), ("a.", False), ("1a", False), ("a\nb", False), ("▁▁ab", True), ("▁1.", True)])
+def test_a_model_whose_pieces_cross_borders_is_refused(piece, fine):
     class Fake:
         def get_piece_size(self):
             return 2
 
         def id_to_piece(self, i):
-            return ["▁a", "a▁b"][i]
+            return ["▁a", piece][i]
 
         is_control = is_unknown = is_byte = lambda self, i: False
 
+    if fine:
+        return pieces.check_boundaries(Fake())
     with pytest.raises(ValueError):
         pieces.check_boundaries(Fake())
+
+
+@given(st.text(st.one_of(st.sampled_from("ab é.,1_²½▁\n\t 　\x00日😀́-"), st.characters(exclude_categories=["Cs"])), max_size=60))
+@settings(max_examples=1500, deadline=None)
+def test_any_text(text):
+    ids = LIBRARY.encode(text, add_bos=True, add_eos=True)
+    packed, back = TABLE.encode(text)
+    assert np.frombuffer(packed, "<u4").tolist() == ids and back == LIBRARY.decode(ids)
