@@ -57,7 +57,9 @@ class ChunkTable:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         check_boundaries(self.model)
         self.limit, self.held = limit, 0
-        self.entries: dict[str, tuple[bytes, str]] = {}
+        # Bytes and texts only: the garbage collector does not walk over such dictionaries.
+        self.entries: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}  # surfaces that differ from their chunk
         self.begin, self.end = (pack([i]) for i in (self.model.bos_id(), self.model.eos_id()))
         # A chunk is encoded behind an anchor, so that the marker which the library puts before a text never touches it.
         self.anchor = self.model.encode(ANCHOR)
@@ -70,9 +72,10 @@ class ChunkTable:
             own = ids[n:]
             parts = [self.surface[i] for i in own]
             surface = self.model.decode(ids)[len(ANCHOR) :] if None in parts else "".join(parts)
-            packed = pack(own)
-            self.entries[chunk] = packed, surface
-            self.held += len(chunk) + len(packed) + len(surface) + ENTRY_BYTES
+            self.entries[chunk] = packed = pack(own)
+            if surface != chunk:
+                self.odd[chunk] = surface
+            self.held += len(chunk) + len(packed) + ENTRY_BYTES
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """(packed ids with begin and end, decoded text) of a whole text."""
@@ -80,12 +83,12 @@ class ChunkTable:
         missing = list({c for c in chunks if c not in self.entries})
         if missing:
             if self.held > self.limit:
-                self.entries, self.held = {}, 0
+                self.entries, self.odd, self.held = {}, {}, 0
                 missing = list(set(chunks))
             self._fill(missing)
-        found = [self.entries[c] for c in chunks]
-        ids = b"".join([self.begin, *[f[0] for f in found], self.end])
-        return ids, "".join([f[1] for f in found])[1:]  # without the blank that the library puts first
+        ids = b"".join([self.begin, *map(self.entries.__getitem__, chunks), self.end])
+        surfaces = [self.odd.get(c, c) for c in chunks] if self.odd else chunks
+        return ids, "".join(surfaces)[1:]  # without the blank that the library puts first
 
 
 def cut(text: str) -> list[str]:
