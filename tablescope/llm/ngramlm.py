@@ -2,11 +2,10 @@
 
 Counting.  Tokens are counted over all training documents: in each task on
 sorted arrays, then in a shuffle of partial counts.  Every word is in the
-first level of the trie.  A longer n-gram is counted when the n-1 words before
-its last one, and its last n-1 words, are each at least ``FREQUENT`` of all
-tokens; so there are at most ``1 / FREQUENT`` contexts on any level, a bound
-that does not depend on the data.  Of those n-grams all that occur ``KEPT``
-times are kept.
+first level of the trie, and every longer n-gram that occurs ``KEPT`` times is
+in the level of its length, whatever the size of the corpus.  Such an n-gram's
+context and suffix occur as often at least, so an n-gram is counted only where
+both are found in the levels before; nothing is lost by that.
 
 Smoothing.  Absolute discounting, interpolated down to add-one-half unigrams:
 ``p(w | c) = (n(cw) - D) / n(c) + b(c) * p(w | shorter c)`` for kept n-grams and
@@ -16,10 +15,12 @@ The trie.  Each level is a set of files in the shared scratch folder, one for
 each range of keys.  The first has the sorted word hashes and the running
 counts, both Elias-Fano coded.  Each other level has the sorted contexts, the
 monotone pointers to their children and the children (context by context, made
-monotone by the context's number), with probabilities and back-off weights in
+monotone by the context's place), with probabilities and back-off weights in
 16 bits: 1/4096 of a decimal log, rounded down, so that no distribution sums
-to more than one.  Workers map the files into memory; nothing of the trie
-travels but the frequent words and contexts.
+to more than one.  An n-gram's number is its place in its level; contexts are
+numbers of the level before, words numbers of the first.  Workers map the files
+into memory, in training and in scoring; nothing of the trie travels but the
+first key and the size of each file.
 
 A child is looked for by a successor search between its context's pointers.
 """
@@ -29,7 +30,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,12 @@ from .common import byte_slices, bytes_of, mix, word_hashes
 from .eliasfano import EliasFano
 
 ORDER = 3
-FREQUENT = 2e-5
-KEPT = 2
+KEPT = 2  #: an n-gram of two or more words is in the trie when it occurs so often
+FREQUENT = 0.0  #: no share of the corpus is asked for besides
 DISCOUNT = 0.75
 UNIT = 4096  #: quantised steps in a decimal log
 SLICE_BYTES = 4 << 20
-SHARD_WORDS = 1 << 21  #: words of a file of the first level
+SHARD_WORDS = 1 << 21  #: n-grams of a file of a level
 _FLIP = np.uint64(1 << 63)
 _END = int(mix(np.array([0xE4D], np.uint64)).view(np.int64)[0])
 
@@ -118,51 +119,31 @@ def _count_words(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.unique(hashes, return_counts=True)
 
 
-def word_numbers(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Places of hashes among the sorted frequent words; -1 for other words."""
-    if not len(words):
-        return np.full(len(hashes), -1)
-    p = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[p] == hashes, p, -1)
-
-
-def extend(contexts: list[np.ndarray], numbers: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each length k: the number of the frequent k-gram that ends at a token; -1 if none.
-
-    ``contexts[k]`` has the sorted keys (number of the k-1-gram before, word)
-    of frequent k-grams for k >= 2.
-    """
-    found = [numbers]
-    starts = np.zeros(len(numbers) + 1, bool)
-    starts[at] = True
-    for keys in contexts:
-        before = np.concatenate([[-1], found[-1][:-1]])
-        before[starts[:-1]] = -1
-        ok = (before >= 0) & (numbers >= 0)
-        out = np.full(len(numbers), -1)
-        if ok.any() and len(keys):
-            key = before[ok] * width + numbers[ok]
-            p = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            out[ok] = np.where(keys[p] == key, p, -1)
-        found.append(out)
-    return found
-
-
 # ---------------------------------------------------------------------- model
 @dataclass
 class Model:
-    """Where the trie lies, and what workers hold of it: the frequent words and contexts."""
+    """Where the trie lies, and what workers hold of it: a key and a number for each file."""
 
     folder: str
     train_tokens: int
     distinct: int
-    words: np.ndarray  # hashes of frequent words, sorted
-    contexts: list[np.ndarray] = field(default_factory=list)  # keys of frequent k-grams, k = 2, 3, ...
     bounds: list[np.ndarray] = field(default_factory=list)  # of each level, the first key of each file
+    bases: list[np.ndarray] = field(default_factory=list)  # of each level, the number of each file's first n-gram, and of all
 
     @property
     def width(self) -> int:
-        return max(1, len(self.words))
+        return max(1, self.distinct)
+
+    def word_log(self, count: np.ndarray) -> np.ndarray:
+        """Add-one-half log10 probability of words that occur ``count`` times."""
+        return np.log10((count + 0.5) / (self.train_tokens + 0.5 * (self.distinct + 1)))
+
+
+def _before(numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What stands at the token before; -1 where a text starts."""
+    out = np.concatenate([[-1], numbers[:-1]])
+    out[at[:-1]] = -1  # every text has a token, its end
+    return out
 
 
 class Trie:
@@ -178,82 +159,155 @@ class Trie:
             names = ("hashes", "counts") if level == 1 else ("contexts", "pointers", "children")
             parts = {n: EliasFano.open(folder, n) for n in names}
             if level > 1:
-                parts |= {n: np.load(os.path.join(folder, f"{n}.npy"), mmap_mode="r") for n in ("prob", "back")}
+                arrays = [n for n in ("prob", "back", "n", "lp") if os.path.exists(os.path.join(folder, f"{n}.npy"))]
+                parts |= {n: np.load(os.path.join(folder, f"{n}.npy"), mmap_mode="r") for n in arrays}
             self.files[level, k] = parts
         return self.files[level, k]
 
-    def _each_file(self, level: int, keys: np.ndarray) -> Iterator[tuple[dict, np.ndarray]]:
-        """(file, places in ``keys``) for the files that may hold these keys."""
-        bounds = self.model.bounds[level - 1]
-        if not len(bounds):
-            return
-        of = np.searchsorted(bounds, keys, "right") - 1
+    def _split(self, level: int, of: np.ndarray) -> Iterator[tuple[int, dict, np.ndarray]]:
         order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(len(bounds) + 1))
-        for k in range(len(bounds)):
+        n = len(self.model.bounds[level - 1])
+        cut = np.searchsorted(of[order], np.arange(n + 1))
+        for k in range(n):
             if cut[k] < cut[k + 1]:
-                yield self._file(level, k), order[cut[k] : cut[k + 1]]
+                yield int(self.model.bases[level - 1][k]), self._file(level, k), order[cut[k] : cut[k + 1]]
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Training counts of words; 0 for unknown ones."""
-        out = np.zeros(len(hashes), np.int64)
+    def _each_file(self, level: int, keys: np.ndarray) -> Iterator[tuple[int, dict, np.ndarray]]:
+        """(base, file, places in ``keys``) for the files that may hold these keys."""
+        return self._split(level, np.searchsorted(self.model.bounds[level - 1], keys, "right") - 1)
+
+    def _numbered(self, level: int, numbers: np.ndarray) -> Iterator[tuple[int, dict, np.ndarray]]:
+        """(base, file, places in ``numbers``) for the files that hold the n-grams of these numbers."""
+        return self._split(level, np.searchsorted(self.model.bases[level - 1], numbers, "right") - 1)
+
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of words, 0 for unknown ones, and their numbers, -1 for those below ``KEPT``."""
+        out, number = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1)
         keys = hashes.view(np.uint64) ^ _FLIP
-        for file, rows in self._each_file(1, keys):
+        for base, file, rows in self._each_file(1, keys):
             p = file["hashes"].find(keys[rows])
             known = p >= 0
-            ends = file["counts"].at(p[known]).astype(np.int64)
-            begins = np.where(p[known] > 0, file["counts"].at(np.maximum(p[known] - 1, 0)).astype(np.int64), 0)
-            out[rows[known]] = ends - begins
-        return out
+            out[rows[known]] = _word_counts(file, p[known])
+            number[rows[known]] = base + p[known]
+        return out, np.where(out >= KEPT, number, -1)
 
-    def continuation(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(quantised probability or -1, quantised back-off) of words after contexts."""
-        prob, back = np.full(len(context), -1), np.zeros(len(context), np.int64)
+    def _places(self, level: int, context: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray]]:
+        """(base, file, rows, places) of the n-grams that are there."""
         width = np.uint64(self.model.width)
-        first = context.astype(np.uint64) * width
-        # The file that starts last, not behind a context's last possible child, has the context if any has.
-        for file, rows in self._each_file(level, first + (width - np.uint64(1))):
-            c = file["contexts"].find(context[rows].astype(np.uint64))
-            back[rows[c >= 0]] = file["back"][c[c >= 0]]
-        for file, rows in self._each_file(level, first + word.astype(np.uint64)):
+        for base, file, rows in self._each_file(level, context.astype(np.uint64) * width + word.astype(np.uint64)):
             c = file["contexts"].find(context[rows].astype(np.uint64))
             rows, c = rows[c >= 0], c[c >= 0]
             lo = np.where(c > 0, file["pointers"].at(np.maximum(c - 1, 0)).astype(np.int64), 0)
             hi = file["pointers"].at(c).astype(np.int64)
             child = file["children"].find(c.astype(np.uint64) * width + word[rows].astype(np.uint64), lo, hi)
-            there = child >= 0
-            prob[rows[there]] = file["prob"][child[there]]
-        return prob, back
+            yield base, file, rows[child >= 0], child[child >= 0]
+
+    def numbers(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Numbers of the n-grams of contexts and words; -1 for those not kept."""
+        out = np.full(len(context), -1)
+        for base, _, rows, place in self._places(level, context, word):
+            out[rows] = base + place
+        return out
+
+    def continuation(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(quantised probability or -1, quantised back-off, number or -1) of words after contexts; a word may be -1."""
+        prob, number = np.full(len(context), -1), np.full(len(context), -1)
+        width = np.uint64(self.model.width)
+        own, of = np.unique(context, return_inverse=True)
+        left = np.zeros(len(own), np.int64)
+        # The file that starts last, not behind a context's last possible child, has the context if any has.
+        for _, file, rows in self._each_file(level, own.astype(np.uint64) * width + (width - np.uint64(1))):
+            c = file["contexts"].find(own[rows].astype(np.uint64))
+            left[rows[c >= 0]] = file["back"][c[c >= 0]]
+        back = left[of]
+        asked = np.flatnonzero(word >= 0)
+        for base, file, rows, place in self._places(level, context[asked], word[asked]):
+            prob[asked[rows]] = file["prob"][place]
+            number[asked[rows]] = base + place
+        return prob, back, number
+
+    def facts(self, level: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, log10 probability) of n-grams below the longest, by number."""
+        n, lp = np.zeros(len(numbers), np.int64), np.zeros(len(numbers))
+        for base, file, rows in self._numbered(level, numbers):
+            place = numbers[rows] - base
+            if level == 1:
+                n[rows] = _word_counts(file, place)
+                lp[rows] = self.model.word_log(n[rows])
+            else:
+                n[rows], lp[rows] = file["n"][place], file["lp"][place]
+        return n, lp
+
+    def tails(self, level: int, numbers: np.ndarray) -> np.ndarray:
+        """Numbers of n-grams without their first word."""
+        context, last = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        for base, file, rows in self._numbered(level, numbers):
+            child, width = file["children"].at(numbers[rows] - base), np.uint64(self.model.width)
+            context[rows] = file["contexts"].at((child // width).astype(np.int64))
+            last[rows] = child % width
+        return last if level == 2 else self.numbers(level - 1, self.tails(level - 1, context), last)
+
+    def ends(self, upto: int, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of the ``upto``-grams that end at each token; -1 where none is kept."""
+        found = numbers
+        for level in range(2, upto + 1):
+            before = _before(found, at)
+            rows = np.flatnonzero((before >= 0) & (numbers >= 0))
+            key, place = np.unique(before[rows] * self.model.width + numbers[rows], return_inverse=True)
+            found = np.full(len(numbers), -1)
+            found[rows] = self.numbers(level, key // self.model.width, key % self.model.width)[place]
+        return found
+
+    def count(self, level: int, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (context, word) and counts of the n-grams of ``level`` words whose context and suffix are kept."""
+        distinct, where = np.unique(hashes, return_inverse=True)
+        numbers = self.words(distinct)[1][where]
+        ends = self.ends(level - 1, numbers, at)
+        before = _before(ends, at)
+        rows = np.flatnonzero((before >= 0) & (ends >= 0))
+        return np.unique(before[rows] * self.model.width + numbers[rows], return_counts=True)
 
     def score(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each text: tokens, known tokens, unigram log10 and the model's log10."""
         m = self.model
         distinct, where = np.unique(hashes, return_inverse=True)
-        count = self.counts(distinct)
-        log1 = np.log10((count + 0.5) / (m.train_tokens + 0.5 * (m.distinct + 1)))
-        numbers = word_numbers(m.words, distinct)[where]
-        lp = log1[where].copy()
+        count, number = self.words(distinct)
+        numbers = number[where]
+        lp = m.word_log(count)[where]
         base = np.add.reduceat(lp, at[:-1]) if len(at) > 1 else np.zeros(0)
-        ends = extend(m.contexts, numbers, at, m.width)
-        starts = np.zeros(len(hashes) + 1, bool)
-        starts[at] = True
+        ends = numbers
         for level in range(2, len(m.bounds) + 1):
-            before = np.concatenate([[-1], ends[level - 2][:-1]])
-            before[starts[:-1]] = -1
+            before = _before(ends, at)
             rows = np.flatnonzero(before >= 0)
             if not len(rows):
                 break
-            word = np.where(numbers[rows] >= 0, numbers[rows], m.width)  # a rare word is no child
-            key, place = np.unique(before[rows] * (m.width + 1) + word, return_inverse=True)
-            context, child = key // (m.width + 1), key % (m.width + 1)
-            prob, back = self.continuation(level, context, np.minimum(child, m.width - 1))
-            prob = np.where(child < m.width, prob, -1)[place]
-            lp[rows] = np.where(prob >= 0, -prob / UNIT, lp[rows] - back[place] / UNIT)
+            key, place = np.unique(before[rows] * (m.width + 1) + numbers[rows] + 1, return_inverse=True)
+            prob, back, found = (x[place] for x in self.continuation(level, key // (m.width + 1), key % (m.width + 1) - 1))
+            lp[rows] = np.where(prob >= 0, -prob / UNIT, lp[rows] - back / UNIT)
+            ends = np.full(len(hashes), -1)
+            ends[rows] = found
         total = np.add.reduceat(lp, at[:-1]) if len(at) > 1 else np.zeros(0)
         known = np.add.reduceat((count > 0)[where].astype(np.int64), at[:-1]) if len(at) > 1 else np.zeros(0, np.int64)
         return np.diff(at), known, base, total
 
 
+def _word_counts(file: dict, place: np.ndarray) -> np.ndarray:
+    ends = file["counts"].at(place).astype(np.int64)
+    return ends - np.where(place > 0, file["counts"].at(np.maximum(place - 1, 0)).astype(np.int64), 0)
+
+
+_tries: dict[str, Trie] = {}
+
+
+def _trie(model: Model) -> Trie:
+    """This worker's trie of a model; levels written since are seen."""
+    if model.folder not in _tries:
+        _tries.clear()
+        _tries[model.folder] = Trie(model)
+    _tries[model.folder].model = model
+    return _tries[model.folder]
+
+
 def _write_folder(folder: str, name: str, fill) -> None:
     """Fill a folder under another name and move it in place; a task that runs again finds it done."""
     target = os.path.join(folder, name)
@@ -284,42 +338,86 @@ def _write_words(folder: str):
             EliasFano.build(np.cumsum(table.column("c").to_numpy())).save(part, "counts")
 
         _write_folder(folder, name, fill)
-        yield pa.RecordBatch.from_arrays([table.column("part").combine_chunks()[:1], pa.array(hashes[:1].view(np.int64))], names=["part", "first"])
+        yield pa.RecordBatch.from_arrays([table.column("part").combine_chunks()[:1], pa.array(hashes[:1].view(np.int64)), pa.array([len(hashes)])], names=["part", "first", "rows"])
 
     return run
 
 
-def _write_children(folder: str, level: int, width: int):
+def _write_counts(folder: str, level: int, width: int):
+    """Keys and counts of a range; what the discounts take from its first and last context goes to the driver."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _gather(batches)
         if table is None:
             return
-        p, w = (table.column(c).to_numpy() for c in ("p", "w"))
-        name = f"level{level}-{table.column('part')[0].as_py()}"
-        contexts, first, nth = np.unique(p, return_index=True, return_inverse=True)
+        k, c = (table.column(x).to_numpy() for x in ("k", "c"))
+        name = f"counts{level}-{table.column('part')[0].as_py()}"
 
         def fill(part: str) -> None:
-            EliasFano.build(contexts).save(part, "contexts")
-            EliasFano.build(np.append(first[1:], len(p))).save(part, "pointers")
-            EliasFano.build(nth.astype(np.uint64) * np.uint64(width) + w.astype(np.uint64)).save(part, "children")
-            np.save(os.path.join(part, "prob.npy"), _quantise(table.column("lp").to_numpy()))
-            np.save(os.path.join(part, "back.npy"), _quantise(table.column("lb").to_numpy()[first]))
+            np.save(os.path.join(part, "k.npy"), k)
+            np.save(os.path.join(part, "c.npy"), c)
 
         _write_folder(folder, name, fill)
-        yield pa.RecordBatch.from_arrays([table.column("part").combine_chunks()[:1], pa.array([int(p[0]) * width + int(w[0])])], names=["part", "first"])
+        p = k // width
+        edges = [p[0]] if p[0] == p[-1] else [p[0], p[-1]]
+        taken = [float((c[p == e] - DISCOUNT).sum()) for e in edges]
+        part = table.column("part")[0].as_py()
+        columns = [pa.array([part], pa.int32()), pa.array(k[:1]), pa.array([len(k)]), pa.array([edges], pa.list_(pa.int64())), pa.array([taken], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "first", "rows", "edges", "taken"])
+
+    return run
+
+
+def _write_children(shared, level: int, edges: dict[int, float], longest: bool):
+    """The trie's file of each range of counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in batch.column("id").to_pylist():
+                trie = _trie(shared.value)
+                folder, width = trie.model.folder, trie.model.width
+                k, c = (np.load(os.path.join(folder, f"counts{level}-{j}", f"{x}.npy"), mmap_mode="r") for x in "kc")
+                p, w = k // width, k % width
+                contexts, first, nth = np.unique(p, return_index=True, return_inverse=True)
+                taken = np.add.reduceat(c - DISCOUNT, first)
+                for e in (0, -1):  # these contexts may go on in other files
+                    taken[e] = edges[int(contexts[e])]
+                n, _ = trie.facts(level - 1, contexts)
+                b = np.maximum((n - taken) / n, 1e-12)
+                suffix = w if level == 2 else trie.numbers(level - 1, trie.tails(level - 1, contexts)[nth], w)
+                lp = np.log10((c - DISCOUNT) / n[nth] + b[nth] * 10.0 ** trie.facts(level - 1, suffix)[1])
+
+                def fill(part: str) -> None:
+                    EliasFano.build(contexts).save(part, "contexts")
+                    EliasFano.build(np.append(first[1:], len(p))).save(part, "pointers")
+                    EliasFano.build(nth.astype(np.uint64) * np.uint64(width) + w.astype(np.uint64)).save(part, "children")
+                    np.save(os.path.join(part, "prob.npy"), _quantise(lp))
+                    np.save(os.path.join(part, "back.npy"), _quantise(np.log10(b)))
+                    if not longest:
+                        np.save(os.path.join(part, "n.npy"), c)
+                        np.save(os.path.join(part, "lp.npy"), lp)
+
+                _write_folder(folder, f"level{level}-{j}", fill)
+                yield pa.RecordBatch.from_arrays([pa.array([j])], names=["id"])
 
     return run
 
 
-def _files(rows: DataFrame, parts: int, keys: list[str], write, folder: str, level: int) -> np.ndarray:
-    """Write one file for each range of keys; files are numbered in order. Returns their first keys."""
-    ranged = rows.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*keys)
-    made = sorted((r.part, r.first) for r in ranged.mapInArrow(write, "part int, first long").collect())
-    for k, (part, _) in enumerate(made):
-        if k != part:
-            os.rename(os.path.join(folder, f"level{level}-{part}"), os.path.join(folder, f"level{level}-{k}"))
-    firsts = np.array([f for _, f in made], np.int64)
-    return firsts.view(np.uint64)
+def _files(rows: DataFrame, parts: int, key: str, write, folder: str, label: str, schema: str = "") -> list:
+    """Write one file for each range of keys; files are numbered in order. Returns what was written, in order."""
+    ranged = rows.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()).sortWithinPartitions(key)
+    made = sorted(ranged.mapInArrow(write, f"part int, first long, rows long{schema}").collect(), key=lambda r: r.part)
+    for k, r in enumerate(made):
+        if k != r.part:
+            os.rename(os.path.join(folder, f"{label}-{r.part}"), os.path.join(folder, f"{label}-{k}"))
+    return made
+
+
+def _add_level(model: Model, made: list) -> None:
+    model.bounds.append(np.array([r.first for r in made], np.int64).view(np.uint64))
+    model.bases.append(np.cumsum([0, *[r.rows for r in made]]))
+    if int(model.bases[-1][-1]) * (model.width + 1) >= 1 << 62:
+        raise OverflowError("keys of contexts and words do not fit 62 bits")
 
 
 def train(docs: DataFrame, learn: Column, text: str = "text", order: int = ORDER) -> Model:
@@ -340,53 +438,31 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = ORDER
     partial = texts.mapInArrow(_partial_counts(["h", "c"], _count_words), "h long, c long")
     counts = stored(partial.groupBy("h").agg(F.sum("c").alias("c")), "ngrams-words")
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    least = max(KEPT, int(np.ceil(FREQUENT * total)))
-    frequent = sorted((r.h, r.c) for r in counts.filter(F.col("c") >= least).collect())  # at most 1 / FREQUENT rows
-    model = Model(folder, total, distinct, np.array([h for h, _ in frequent], np.int64))
-    model.bounds.append(_files(counts, max(1, -(-distinct // SHARD_WORDS)), ["h"], _write_words(folder), folder, 1))
+    model = Model(folder, total, distinct)
+    _add_level(model, _files(counts, max(1, -(-distinct // SHARD_WORDS)), "h", _write_words(folder), folder, "level1"))
 
-    held = np.array([c for _, c in frequent], np.int64)  # counts of frequent k-grams, by number
-    lower = np.log10((held + 0.5) / (total + 0.5 * (distinct + 1)))  # of words, then of k-grams: their probability
     for level in range(2, order + 1):
-        if not len(held):
+        if not model.bases[-1][-1]:
             break
-        shared = spark.sparkContext.broadcast((model.words, list(model.contexts)))
-        width = model.width
-
-        def count(hashes: np.ndarray, at: np.ndarray, shared=shared, level=level, width=width) -> tuple[np.ndarray, ...]:
-            words, contexts = shared.value
-            ends = extend(contexts, word_numbers(words, hashes), at, width)
-            before = np.concatenate([[-1], ends[level - 2][:-1]])
-            before[at[:-1]] = -1  # every text has a token, its end
-            rows = np.flatnonzero((before >= 0) & (ends[level - 2] >= 0))
-            key, place, n = np.unique(before[rows] * width + ends[0][rows], return_index=True, return_counts=True)
-            return key // width, key % width, ends[level - 2][rows][place], n
-
-        partial = texts.mapInArrow(_partial_counts(["p", "w", "s", "c"], count), "p long, w long, s long, c long")
-        grams = partial.groupBy("p", "w", "s").agg(F.sum("c").alias("c")).filter(F.col("c") >= KEPT)
-        grams = stored(grams, f"ngrams-{level}")
-        # Contexts and shorter n-grams by number: at most 1 / FREQUENT rows.
-        numbered = spark.createDataFrame([(k, int(c), float(x)) for k, (c, x) in enumerate(zip(held, lower))], "k long, n long, lp1 double")
-        left = grams.groupBy("p").agg(F.sum(F.col("c") - DISCOUNT).alias("taken"))
-        with_left = grams.join(left, "p")
-        context = F.broadcast(numbered.select(F.col("k").alias("p"), "n"))
-        suffix = F.broadcast(numbered.select(F.col("k").alias("s"), "lp1"))
-        remain = F.greatest((F.col("n") - F.col("taken")) / F.col("n"), F.lit(1e-12))
-        rows = with_left.join(context, "p").join(suffix, "s").withColumn("b", remain)
-        prob = (F.col("c") - DISCOUNT) / F.col("n") + F.col("b") * F.pow(F.lit(10.0), F.col("lp1"))
-        rows = rows.select("p", "w", "c", F.log10(prob).alias("lp"), F.log10("b").alias("lb"))
-        rows = stored(rows, f"ngrams-{level}-prob")
-        parts = max(1, -(-rows.count() // SHARD_WORDS))
-        model.bounds.append(_files(rows, parts, ["p", "w"], _write_children(folder, level, width), folder, level))
-        top = sorted((r.p * width + r.w, r.c, r.lp) for r in rows.filter(F.col("c") >= least).select("p", "w", "c", "lp").collect())
-        model.contexts.append(np.array([k for k, _, _ in top], np.int64))
-        held, lower = np.array([c for _, c, _ in top], np.int64), np.array([x for _, _, x in top])
+        shared = spark.sparkContext.broadcast(replace(model, bounds=list(model.bounds), bases=list(model.bases)))
+
+        def count(hashes: np.ndarray, at: np.ndarray, shared=shared, level=level) -> tuple[np.ndarray, np.ndarray]:
+            return _trie(shared.value).count(level, hashes, at)
+
+        partial = texts.mapInArrow(_partial_counts(["k", "c"], count), "k long, c long")
+        grams = stored(partial.groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") >= KEPT), f"ngrams-{level}")
+        parts = max(1, -(-grams.count() // SHARD_WORDS))
+        made = _files(grams, parts, "k", _write_counts(folder, level, model.width), folder, f"counts{level}", ", edges array<long>, taken array<double>")
+        edges: dict[int, float] = {}
+        for r in made:
+            for p, taken in zip(r.edges, r.taken):
+                edges[p] = edges.get(p, 0.0) + taken
+        if made:
+            spark.range(0, len(made), 1, len(made)).mapInArrow(_write_children(shared, level, edges, level == order), "id long").count()
+        _add_level(model, made)
     return model
 
 
-_tries: dict[str, Trie] = {}
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every whole text.
 
@@ -398,11 +474,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if m.folder not in _tries:
-            _tries.clear()
-            _tries[m.folder] = Trie(m)
         for part in byte_slices(batches, "text", SLICE_BYTES):
-            n, known, base, total = _tries[m.folder].score(*tokens(part.column("text")))
+            n, known, base, total = _trie(m).score(*tokens(part.column("text")))
             columns = [part.column("doc_id"), pa.array(n), pa.array(known), pa.array(np.full(len(n), m.train_tokens)), pa.array(base), pa.array(total)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

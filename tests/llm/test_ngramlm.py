@@ -120,3 +120,27 @@ def test_folder_must_be_mounted(spark, monkeypatch):
     monkeypatch.setattr(lm, "scratch_path", lambda s, x: "hdfs://host/x")
     with pytest.raises(ValueError, match="memory-mapped"):
         lm.posix_folder(spark, "x")
+
+
+@pytest.mark.parametrize("others", [0, 200])
+def test_a_rare_gram_is_kept_whatever_the_corpus(spark, monkeypatch, others):
+    """With 200 other texts the corpus has some 200,000 tokens, of which two are far below any share."""
+    rng = np.random.default_rng(5)
+    texts = {1: "seldom seen words here", 2: "but seldom seen words there", 3: "seldom seen words"}
+    texts |= {10 + i: " ".join(f"w{k}" for k in rng.integers(0, 400, 1000)) for i in range(others)}
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    model = lm.train(docs, F.col("doc_id") != 3)
+    monkeypatch.setattr(lm, "FREQUENT", 0.0)  # of the plain model
+    plain = Plain([t for i, t in texts.items() if i != 3])
+    assert ("seldom", "seen", "words") in plain.prob
+    agree(lm.score(docs, model).collect(), plain, texts)
+    kept = [sum(len(g) == k for g in plain.prob) for k in (2, 3)]
+    assert [int(b[-1]) for b in model.bases[1:]] == kept and (kept == [2, 1] or kept[0] > 50_000)
+
+
+def test_order_four_and_contexts_in_many_files(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = {i: " ".join(rng.choice(list("abcdef"), 60)) for i in range(60)}
+    monkeypatch.setattr(lm, "SHARD_WORDS", 4)  # the children of one context lie in several files
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    agree(lm.score(docs, lm.train(docs, F.lit(True), order=4)).collect(), Plain(list(texts.values()), 4), texts)
