@@ -3,12 +3,15 @@
 Each pair uses the rows where both values are present (like SQL ``CORR``).  A
 constant or all-NULL column gives NULL.
 
-Two scans whatever the number of columns.  The first takes a centre and a
-scale of every column.  In the second each task adds up, for every pair at
-once, the counts, sums, squares and products of the centred values of the rows
-that have both (matrix products over Arrow batches), and the tasks' sums
-meet in an aggregate keyed by pair.  Each pair is then corrected by its own
-sums, so NULLs in other rows or columns play no part.
+Two scans whatever the number of columns.  The first takes the range of every
+column, so that columns of huge values are scaled down by a power of two and
+no sum overflows.  In the second each task adds up, for every pair at once, the
+count, means, root sums of squares about the means and the correlation of the
+rows that have both (matrix products over Arrow batches, centred by the batch).
+Where that centre is far from a pair's own values, because of values beside a
+NULL of the other column, the pair is centred by its own rows.  The tasks'
+figures are merged by pair, so values and NULLs in other rows or columns play
+no part, and a pair's column is constant only if its own rows are equal.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ from . import profile as pr
 
 STRONG = 0.7
 _SCHEMA = "col1 string, col2 string, corr double"
-_SUMS = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-_BLOCK = 64  #: columns of a block of the pair matrix
-_NOTHING = 1e-18  #: a variance below this part of the squared scale is rounding of a constant
+_SUMS = "i int, j int, n double, mx double, my double, rx double, ry double, c double"
+_FAR = 1e-6  #: below this part of the sum of squares, a variance about a common centre is not exact enough
+_SMALL = 1e-200  #: smaller sums of squares may have lost digits
+_HUGE, _DOWN = 2.0**900, 2.0**-200  #: columns with values beyond this are scaled down by so much
 
 
 def guarded_corr(x, y):
@@ -45,36 +49,100 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [s.name for s in pr.column_specs(df) if s.stat_class == "numeric"]
 
 
-def _pair_sums(centre: np.ndarray, scale: np.ndarray):
-    """Batches of numeric columns -> one row of sums for each pair of columns and task."""
-    k = len(centre)
+def _spread(x: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Mean, root of the sum of squares about it, and the deviations as parts of that root; exact for equal values."""
+    shift = x - x[0]
+    mean = shift.mean()
+    away = shift - mean
+    widest = np.abs(away).max()
+    if not widest > 0:
+        return x[0] + mean, widest, away
+    away /= widest
+    root = np.sqrt(away @ away)
+    return x[0] + mean, widest * root, away / root
+
+
+def _batch_sums(x: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """(n, mx, my, rx, ry, c) of all pairs of columns in the rows of a batch."""
+    rows, k = x.shape
+    there = here.astype(float)
+    first = x[here.argmax(axis=0), np.arange(k)] if rows else np.zeros(k)
+    z = np.where(here, x - first, 0.0)
+    mean = z.sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+    z = np.where(here, z - mean, 0.0)
+    scale = np.abs(z).max(axis=0, initial=0.0)
+    equal = scale == 0
+    scale[equal] = 1.0
+    z /= scale
+    n = there.T @ there
+    some = np.maximum(n, 1)
+    sx, sxx, sxy = z.T @ there, (z * z).T @ there, z.T @ z
+    vx, cov = sxx - sx * sx / some, sxy - sx * sx.T / some
+    near = (vx > _FAR * sxx) & (sxx > _SMALL) | equal[:, None]
+    vx = np.where(equal[:, None], 0.0, vx)
+    rx = np.sqrt(np.maximum(vx, 0.0))
+    c = np.divide(cov, rx * rx.T, out=np.zeros_like(cov), where=rx * rx.T > 0)
+    mx = first[:, None] + mean[:, None] + scale[:, None] * sx / some
+    rx = rx * scale[:, None]
+    out = np.stack([n, mx, mx.T, rx, rx.T, c])
+    out[:, n == 0] = 0.0
+    for i, j in np.argwhere(np.triu((n > 0) & ~(near & near.T))):
+        both = here[:, i] & here[:, j]
+        (mi, ri, di), (mj, rj, dj) = _spread(x[both, i]), _spread(x[both, j])
+        out[:, i, j] = n[i, j], mi, mj, ri, rj, di @ dj
+    return out
+
+
+def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Figures of the rows of both; ratios only, so that neither large nor small values are lost in squares."""
+    n = a[0] + b[0]
+    some, none = np.maximum(n, 1), (a[0] == 0) | (b[0] == 0)
+    part = np.sqrt(a[0] / some) * np.sqrt(b[0])
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    mx, my = a[1] + dx * (b[0] / some), a[2] + dy * (b[0] / some)
+    ex, ey = dx * part, dy * part
+    rx, ry = np.hypot(np.hypot(a[3], b[3]), ex), np.hypot(np.hypot(a[4], b[4]), ey)
+    ux, uy = np.where(rx == 0, 1.0, rx), np.where(ry == 0, 1.0, ry)
+    c = a[5] * (a[3] / ux) * (a[4] / uy) + b[5] * (b[3] / ux) * (b[4] / uy) + (ex / ux) * (ey / uy)
+    return np.where(none, np.where(b[0] == 0, a, b), np.stack([n, mx, my, rx, ry, c]))
+
+
+def _pair_sums(scale: list[float]):
+    """Batches of numeric columns -> one row of figures for each pair of columns and task."""
+    k = len(scale)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
+        total = None
         for batch in batches:
             x = np.empty((batch.num_rows, k))
             for c in range(k):
-                column = batch.column(c)
-                x[:, c] = column.fill_null(0.0).to_numpy(zero_copy_only=False)
-            here = np.column_stack([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in range(k)]).astype(float)
-            x = (x - centre) / scale * here
-            x[here == 0] = 0.0
-            for a in range(0, k, _BLOCK):
-                for b in range(a, k, _BLOCK):
-                    xa, xb, ha, hb = x[:, a : a + _BLOCK], x[:, b : b + _BLOCK], here[:, a : a + _BLOCK], here[:, b : b + _BLOCK]
-                    sums = np.stack([ha.T @ hb, xa.T @ hb, ha.T @ xb, (xa * xa).T @ hb, ha.T @ (xb * xb), xa.T @ xb])
-                    total[a, b] = total[a, b] + sums if (a, b) in total else sums
-        for (a, b), sums in total.items():
-            i, j = np.indices(sums.shape[1:])
-            i, j = i + a, j + b
-            keep = i <= j
+                x[:, c] = batch.column(c).fill_null(0.0).to_numpy(zero_copy_only=False) * scale[c]
+            here = np.column_stack([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in range(k)])
+            with np.errstate(all="ignore"):  # NaN and infinite values make the pairs of their rows NaN
+                sums = _batch_sums(x, here)
+                total = sums if total is None else _merge(total, sums)
+        if total is not None:
+            i, j = np.triu_indices(k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i[keep], pa.int32()), pa.array(j[keep], pa.int32()), *[pa.array(s[keep]) for s in sums]], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
+                [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(t[i, j]) for t in total]], names=["i", "j", "n", "mx", "my", "rx", "ry", "c"]
             )
 
     return run
 
 
+def _merged(a, b):
+    """``_merge`` as an expression over structs."""
+    n = a["n"] + b["n"]
+    part = F.sqrt(a["n"] / n) * F.sqrt(b["n"])
+    ex, ey = (b["mx"] - a["mx"]) * part, (b["my"] - a["my"]) * part
+    rx, ry = F.hypot(F.hypot(a["rx"], b["rx"]), ex), F.hypot(F.hypot(a["ry"], b["ry"]), ey)
+    ux, uy = F.when(rx == 0, F.lit(1.0)).otherwise(rx), F.when(ry == 0, F.lit(1.0)).otherwise(ry)
+    c = a["c"] * (a["rx"] / ux) * (a["ry"] / uy) + b["c"] * (b["rx"] / ux) * (b["ry"] / uy) + (ex / ux) * (ey / uy)
+    mx, my = (a[m] + (b[m] - a[m]) * (b["n"] / n) for m in ("mx", "my"))
+    both = F.struct(n.alias("n"), mx.alias("mx"), my.alias("my"), rx.alias("rx"), ry.alias("ry"), c.alias("c"))
+    return F.when(a["n"] == 0, b).when(b["n"] == 0, a).otherwise(both)
+
+
 def correlations(df: DataFrame, columns: list[str] | None = None, digits: int | None = 3) -> DataFrame:
     """Long form ``(col1, col2, corr)`` for every ordered pair, diagonal included.
 
@@ -87,21 +155,17 @@ def correlations(df: DataFrame, columns: list[str] | None = None, digits: int |
         warnings.warn("not enough numeric columns for correlation analysis", stacklevel=2)
         return literal_rows(spark, [], _SCHEMA)
     numbers = df.select(*[col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    facts = pr.column_facts(numbers).select("ordinal", "mean", "min_num", "max_num").collect()
-    centre, scale = np.zeros(len(names)), np.ones(len(names))
-    for f in facts:
-        if f["mean"] is not None and np.isfinite(f["mean"]):
-            centre[f.ordinal - 1] = f["mean"]
-            widest = max(abs(f.min_num - f["mean"]), abs(f.max_num - f["mean"]))
-            noise = max(abs(f.min_num), abs(f.max_num)) * 1e-13
-            scale[f.ordinal - 1] = max(widest, noise) or 1.0
-    tasks = numbers.mapInArrow(_pair_sums(centre, scale), _SUMS)
-    sums = tasks.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    vx, vy = (F.col(q) - F.col(s) * F.col(s) / F.col("n") for q, s in (("sxx", "sx"), ("syy", "sy")))
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    spread = F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))
-    varies = (F.col("n") > 1) & (vx > F.col("n") * _NOTHING) & (vy > F.col("n") * _NOTHING)
-    r = F.when(F.isnan("sxy"), F.lit(float("nan"))).when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / spread)))
+    scale = [1.0] * len(names)
+    for f in pr.column_facts(numbers).select("ordinal", "min_num", "max_num").collect():
+        if f.min_num is not None and max(abs(f.min_num), abs(f.max_num)) > _HUGE:
+            scale[f.ordinal - 1] = _DOWN
+    figures = ("n", "mx", "my", "rx", "ry", "c")
+    parts = numbers.mapInArrow(_pair_sums(scale), _SUMS).groupBy("i", "j").agg(F.collect_list(F.struct(*figures)).alias("parts"))
+    none = F.struct(*[F.lit(0.0).alias(f) for f in figures])
+    sums = parts.select("i", "j", F.aggregate("parts", none, _merged).alias("t")).select("i", "j", "t.*")
+    varies = (F.col("n") > 1) & (F.col("rx") > 0) & (F.col("ry") > 0)
+    unknown = F.isnan("rx") | F.isnan("ry") | F.isnan("c")
+    r = F.when((F.col("n") > 1) & unknown, F.lit(float("nan"))).when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c"))))
     lookup = F.array(*[F.lit(n) for n in names])
     r = r if digits is None else round_half_up(r, digits)
     upper = sums.select(F.get(lookup, F.col("i")).alias("a"), F.get(lookup, F.col("j")).alias("b"), r.alias("corr"))

@@ -260,3 +260,17 @@ def test_rounding_never_overflows(spark):
     for v, g in zip(values_[:8], got):
         assert duckdb.sql(f"SELECT {round_sql(f'CAST({v!r} AS DOUBLE)', 6)}").fetchall()[0][0] == g
         assert spark.sql(f"SELECT {round_sql(f'CAST({v!r}D AS DOUBLE)', 6)} AS r").first().r == g
+
+
+@pytest.mark.parametrize("far", [1e8, 1e10, 1e200, float("inf"), float("nan")])
+def test_an_extreme_value_beside_a_null_plays_no_part(spark, far):
+    rows = [(i % 17 / 17, (i % 17 + i % 3) / 20, 5.1) for i in range(30_000)]
+    rows += [(far, None, 5.1), (None, -far, None), (None, None, 7.0)]
+    df = spark.createDataFrame(rows, "x double, y double, c double").repartition(3)
+    got = {(r.col1, r.col2): r.corr for r in correlate.correlations(df).collect()}
+    assert got[("x", "y")] == got[("y", "x")] == correlate.pair_correlation(df, "x", "y").first().corr
+    assert got[("x", "y")] > 0.9
+    assert got[("x", "c")] is None or math.isnan(far - far)
+    assert got[("y", "c")] is None and got[("c", "c")] == 1.0
+    strong = {(r.col1, r.col2) for r in correlate.strong_correlations(correlate.correlations(df)).collect()}
+    assert ("x", "y") in strong
