@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bytecnn, chosenpath, crossparse, decontaminate, grace_dedup, licenses, ngramlm, pieces, reshard, stringkernel
+from . import bytecnn, chosenpath, crossparse, decontaminate, grace_dedup, licenses, ngramlm, pieces, resample, reshard, simhash, stringkernel
 from .common import id_remainder, read_table
 
 PIECES = "piece_bpe_32k.model"
@@ -84,6 +84,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = """
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents
@@ -151,6 +159,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_simhash": op12_simhash,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLES: dict[str, str] = {
