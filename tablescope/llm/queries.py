@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bytecnn, chosenpath, crossparse, decontaminate, grace_dedup, licenses, ngramlm, pieces, resample, reshard, simhash, stringkernel
+from . import bytecnn, chosenpath, collocations, crossparse, decontaminate, grace_dedup, licenses, ngramlm, pieces, resample, reshard, simhash, stringkernel
 from .common import id_remainder, read_table
 
 PIECES = "piece_bpe_32k.model"
@@ -84,6 +84,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -148,6 +152,38 @@ SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copy_id, d.d
 FROM documents d LEFT JOIN same ON same.doc_id = d.doc_id LEFT JOIN tops ON tops.a = d.doc_id LEFT JOIN counted ON counted.a = d.doc_id
 """
 
+def _collocation_sql() -> str:
+    """Phrases of two to four words, their best cuts and the longer ones around them, per language."""
+    cuts = " UNION ALL ".join(
+        f"SELECT lang, w, a, {k} AS k, {c} AS cut, w[1:{c}] AS p, w[{c + 1}:{k}] AS q FROM cand WHERE len(w) = {k}" for k in (2, 3, 4) for c in range(1, k)
+    )
+    inner = " UNION ALL ".join(f"SELECT lang, w[{i}:{i + m - 1}] AS w, a FROM cand WHERE len(w) = {k}" for k in (3, 4) for m in range(2, k) for i in range(1, k - m + 2))
+    grams = " UNION ALL ".join(f"SELECT lang, w[i:i + {k - 1}] AS w FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM pieces WHERE len(w) >= {k})" for k in (1, 2, 3, 4))
+    return f"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)
+), f AS (SELECT lang, w, count(*) AS a FROM ({grams}) GROUP BY lang, w HAVING count(*) >= {collocations.LEAST}),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+cand AS (SELECT lang, w, a FROM f WHERE len(w) > 1),
+around AS (SELECT lang, w, max(a) AS m FROM ({inner}) GROUP BY lang, w),
+cuts AS ({cuts}),
+scored AS (
+  SELECT c.lang, c.w, c.a, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a::HUGEINT + y.a))::BIGINT AS score, c.cut
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.w = c.p JOIN f y ON y.lang = c.lang AND y.w = c.q
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+kept AS (
+  SELECT best.lang, array_to_string(best.w, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN around ON around.lang = best.lang AND around.w = best.w
+  WHERE coalesce(100 * m < {collocations.COVERED} * a, true)
+)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= {collocations.TOP}
+"""
+
+
+OP11_SQL = _collocation_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_resharding": op2_resharding,
@@ -159,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_collocations": op11_collocations,
     "op12_simhash": op12_simhash,
     "op13_resampling": op13_resampling,
 }
@@ -168,4 +205,5 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
