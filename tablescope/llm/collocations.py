@@ -11,9 +11,12 @@ occurs ``LEAST`` times; parts of frequent phrases are frequent.
    whose two parts of one word less are proposed: the proposed phrases and
    their negative border, which need not be written down.
 3. A phrase that proves frequent but was not proposed is a failure of the
-   border: longer phrases around it have not been counted.  It joins the
-   filter, and a further pass counts what this admits and nothing else, until
-   no failure is left.  Then every frequent phrase has been counted.
+   border: longer phrases around it have not been counted.  Failures join the
+   filters and an expansion pass counts what they admit and nothing else.  What
+   is admitted counts as proposed for the phrases one word longer at once, so
+   the pass climbs to the longest phrases and closes the border: every part
+   of a frequent phrase is frequent, so it was counted before and is in a
+   filter now, or it is admitted.
 
 Counts travel as 64-bit hashes of words; a vocabulary in which two words of a
 language share one is counted again with another seed.  Counts are added up in
@@ -43,11 +46,11 @@ LONGEST = 4
 COVERED = 80  #: percent of its occurrences that lie in a longer candidate drop a candidate
 TOP = 2000
 SCALE = 2_000_000
-SAMPLE = 5  #: one document in so many is in the sample
-MISS = 0.02  #: the sample may miss a phrase of exactly ``LEAST`` occurrences with this chance
+SAMPLE = 10  #: one document in so many is in the sample
+MISS = 0.2  #: the sample may miss a phrase of exactly ``LEAST`` occurrences with this chance
 MAX_BITS = 27  #: 16 MB for each level
 BLOCK = 1 << 18  #: words that are counted at once
-HELD = 1 << 20  #: distinct phrases of a level that a task holds
+HELD = 1 << 20  #: distinct phrases that a task holds
 NOBODY = "und"
 
 _ENDS = byte_class((0x0A, 0x0D))
@@ -152,38 +155,44 @@ def _build(phrases: DataFrame, bits: int, seed: int, known: Filters | None = Non
 
 
 # -------------------------------------------------------------------- counting
-def _add_up(p: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """One row for each distinct ``(p, *columns)``; ``columns`` are numbers that decide ``p``, or texts behind them."""
+def _taken(columns: list, rows: np.ndarray) -> list:
+    return [c.take(rows) if isinstance(c, np.ndarray) else c.take(pa.array(rows)) for c in columns]
+
+
+def _add_up(p: np.ndarray, columns: list, counts: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+    """One row for each distinct ``(p, *columns)``; ``columns`` are numbers that decide ``p``, or an Arrow array of texts behind them."""
     order = np.argsort(p, kind="stable")
-    p, columns, counts = p[order], [c[order] for c in columns], counts[order]
+    p, columns, counts = p[order], _taken(columns, order), counts[order]
     new = np.ones(len(p), bool)
     new[1:] = p[1:] != p[:-1]
-    numbers = [c for c in columns if c.dtype != object]
+    numbers = [c for c in columns if isinstance(c, np.ndarray)]
     changed = np.zeros(len(p), bool)
     changed[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in numbers])
     if (changed & ~new).any():  # two phrases share a hash: order by the phrases themselves
         order = np.lexsort(numbers)
-        p, columns, counts = p[order], [c[order] for c in columns], counts[order]
-        numbers = [c for c in columns if c.dtype != object]
+        p, columns, counts = p[order], _taken(columns, order), counts[order]
+        numbers = [c for c in columns if isinstance(c, np.ndarray)]
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in numbers])
     first = np.flatnonzero(new)
-    return p[first], [c[first] for c in columns], np.add.reduceat(counts, first) if len(first) else counts
+    return p[first], _taken(columns, first), np.add.reduceat(counts, first) if len(first) else counts
 
 
 class _Held:
     """The phrases of a level that a task has counted so far."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, list, np.ndarray]] = []
         self.rows = 0
 
-    def add(self, p: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> None:
+    def add(self, p: np.ndarray, columns: list, counts: np.ndarray) -> None:
         self.parts.append((p, columns, counts))
         self.rows += len(p)
 
-    def merged(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    def merged(self) -> tuple[np.ndarray, list, np.ndarray]:
+        if len(self.parts) == 1:
+            return self.parts[0]
         p = np.concatenate([x[0] for x in self.parts])
-        columns = [np.concatenate(c) for c in zip(*[x[1] for x in self.parts])]
+        columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else pa.concat_arrays(c) for c in zip(*[x[1] for x in self.parts])]
         out = _add_up(p, columns, np.concatenate([x[2] for x in self.parts]))
         self.parts, self.rows = [out], len(out[0])
         return out
@@ -196,7 +205,7 @@ class Task:
     levels: tuple[int, ...]  # 0: all words of a language
     seed: int
     filters: Filters | None = None
-    done: Filters | None = None  # what these admit has been counted before
+    done: Filters | None = None  # what these admit has been counted before; what is admitted now admits more
 
 
 def _counter(shared):
@@ -209,11 +218,11 @@ def _counter(shared):
         held = {k: _Held() for k in task.levels if k}
         totals: dict[int, int] = {}
 
-        def batch(k: int, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+        def batch(k: int, columns: list, counts: np.ndarray) -> pa.RecordBatch:
             n = len(counts)
             lang = pa.DictionaryArray.from_arrays(pa.array(columns[0].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
             words = [pa.array(columns[1 + i].view(np.int64) if i < k else np.zeros(n, np.int64)) for i in range(LONGEST)]
-            text = pa.array(columns[1 + k].tolist(), pa.binary()).cast(pa.string()) if k == 1 else pa.nulls(n, pa.string())
+            text = columns[2] if k == 1 else pa.nulls(n, pa.string())
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), lang, *words, text, pa.array(counts)], names=["k", "lang", *_WORDS, "text", "c"])
 
         for part in byte_slices(batches, "text"):
@@ -224,16 +233,17 @@ def _counter(shared):
             codes = np.array([code_of[v] for v in part.column("lang").to_pylist()])
             for k, found in _count_slice(part.column("text"), codes, names, task, totals):
                 held[k].add(*found)
-            for k, own in held.items():
-                if own.rows > HELD:
-                    _, columns, counts = own.merged()
-                    if own.rows > HELD // 2:
-                        yield batch(k, columns, counts)
-                        held[k] = _Held()
+            if sum(own.rows for own in held.values()) > HELD:
+                for own in held.values():
+                    if own.parts:
+                        own.merged()
+                while sum(own.rows for own in held.values()) > HELD // 2:
+                    k = max(held, key=lambda x: held[x].rows)
+                    yield batch(k, *held[k].merged()[1:])
+                    held[k] = _Held()
         for k, own in held.items():
             if own.parts:
-                _, columns, counts = own.merged()
-                yield batch(k, columns, counts)
+                yield batch(k, *own.merged()[1:])
         if 0 in task.levels and totals:
             yield batch(0, [np.array(list(totals))], np.array(list(totals.values()), np.int64))
 
@@ -247,7 +257,7 @@ def _count_slice(column: pa.Array, codes: np.ndarray, names: list[str], task: Ta
     start, end, at = word_spans(data, offsets, _INSIDE)
     words = span_hashes(data, start, end, task.seed)
     words[words == 0] = 1
-    code = np.repeat(codes, np.diff(at))
+    code = np.repeat(codes.astype(np.int32), np.diff(at))
     salts = np.array([_salt(v, task.seed) for v in names], np.uint64)
     goes_on = np.zeros(len(words) + 1, bool)  # a word stands in the piece of the one before
     piece = np.searchsorted(np.flatnonzero(_ENDS[data]), start)
@@ -264,27 +274,38 @@ def _count_slice(column: pa.Array, codes: np.ndarray, names: list[str], task: Ta
         p = _one(w, salts[lang])
         if 1 in task.levels:
             _, first, counts = np.unique(p[:n], return_index=True, return_counts=True)
-            texts = np.empty(len(first), object)
-            texts[:] = [data[start[a + i] : end[a + i]].tobytes() for i in first.tolist()]
-            yield 1, _add_up(p[first], [lang[first], w[first], texts], counts)
-        fits = np.ones(len(w), bool)
+            yield 1, _add_up(p[first], [lang[first], w[first], _texts(data, start[a + first], end[a + first])], counts)
+        fits, admitted = np.ones(len(w), bool), None
         for k in range(2, deepest + 1):
             if len(w) < k:
                 break
             inside = task.filters.has(k - 1, p)
+            if admitted is not None:
+                inside |= admitted
             both = inside[:-1] & inside[1:]
             if task.done is not None:
                 before = task.done.has(k - 1, p)
                 both &= ~(before[:-1] & before[1:])
             fits = fits[:-1] & goes_on[a + k - 1 : b]
             p = _more(p[:-1], w[k - 1 :])
+            wanted = fits & both
+            if task.done is not None:
+                admitted = wanted
             if k in task.levels:
-                rows = np.flatnonzero((fits & both)[:n])
+                rows = np.flatnonzero(wanted[:n])
                 if len(rows):
                     columns = [lang[rows], *[w[rows + i] for i in range(k)]]
                     yield k, _add_up(p[rows], columns, np.ones(len(rows), np.int64))
 
 
+def _texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of ranges as an array of texts."""
+    size = end - start
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    places = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[places]))
+
+
 def _counts(texts: DataFrame, task: Task) -> DataFrame:
     """Exact counts of what ``task`` asks for."""
     shared = texts.sparkSession.sparkContext.broadcast(task)
@@ -338,15 +359,10 @@ def frequent(texts: DataFrame, sample: DataFrame, least: int = LEAST, lowered_le
         scratch.drop()
         return frequent(texts, sample, least, lowered_least, seed + 1)
     found = counted.filter(wanted | (F.col("k") == 0))
-    fresh = found
-    while True:
-        failed = _build(fresh.filter(F.col("k").between(1, LONGEST - 1)), filters.bits, seed, filters)
-        if not failed.maps:
-            break
-        wider = filters.joined(failed)
-        task = Task(tuple(range(2, LONGEST + 1)), seed, wider, filters)
-        fresh = scratch.keep(_counts(texts, task).filter(wanted), "phrases-more", temporary=False)
-        found, filters = found.unionByName(fresh), wider
+    failed = _build(found.filter(F.col("k").between(1, LONGEST - 1)), filters.bits, seed, filters)
+    if failed.maps:
+        task = Task(tuple(range(2, LONGEST + 1)), seed, filters.joined(failed), filters)
+        found = found.unionByName(scratch.keep(_counts(texts, task).filter(wanted), "phrases-more", temporary=False))
     scratch.drop()
     return found
 

@@ -121,4 +121,4 @@ def test_phrases_that_share_a_hash_stay_apart():
 
 
 def test_threshold_of_the_sample():
-    assert co.lowered(30, 1.0) == 30 and co.lowered(30, 0.2) == 2 and co.lowered(30, 0.001) == 1
+    assert [co.lowered(30, share, 0.02) for share in (1.0, 0.2, 0.001)] == [30, 2, 1] and co.lowered(30, 0.1, 0.2) == 2
