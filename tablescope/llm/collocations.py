@@ -49,8 +49,10 @@ SCALE = 2_000_000
 SAMPLE = 10  #: one document in so many is in the sample
 MISS = 0.2  #: the sample may miss a phrase of exactly ``LEAST`` occurrences with this chance
 MAX_BITS = 27  #: 16 MB for each level
-BLOCK = 1 << 18  #: words that are counted at once
-HELD = 1 << 20  #: distinct phrases that a task holds
+SLICE = 1 << 20  #: bytes of texts that are cut into words at once
+BLOCK = 1 << 16  #: words that are counted at once
+HELD = 1 << 19  #: distinct phrases that a task holds
+SENT = 1 << 16  #: rows of a batch that leaves a task
 NOBODY = "und"
 
 _ENDS = byte_class((0x0A, 0x0D))
@@ -218,6 +220,10 @@ def _counter(shared):
         held = {k: _Held() for k in task.levels if k}
         totals: dict[int, int] = {}
 
+        def batches_of(k: int, columns: list, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(counts), SENT):
+                yield batch(k, [c[a : a + SENT] for c in columns], counts[a : a + SENT])
+
         def batch(k: int, columns: list, counts: np.ndarray) -> pa.RecordBatch:
             n = len(counts)
             lang = pa.DictionaryArray.from_arrays(pa.array(columns[0].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
@@ -225,7 +231,7 @@ def _counter(shared):
             text = columns[2] if k == 1 else pa.nulls(n, pa.string())
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), lang, *words, text, pa.array(counts)], names=["k", "lang", *_WORDS, "text", "c"])
 
-        for part in byte_slices(batches, "text"):
+        for part in byte_slices(batches, "text", SLICE):
             for lang in part.column("lang").to_pylist():
                 if lang not in code_of:
                     code_of[lang] = len(names)
@@ -239,11 +245,11 @@ def _counter(shared):
                         own.merged()
                 while sum(own.rows for own in held.values()) > HELD // 2:
                     k = max(held, key=lambda x: held[x].rows)
-                    yield batch(k, *held[k].merged()[1:])
+                    yield from batches_of(k, *held[k].merged()[1:])
                     held[k] = _Held()
         for k, own in held.items():
             if own.parts:
-                yield batch(k, *own.merged()[1:])
+                yield from batches_of(k, *own.merged()[1:])
         if 0 in task.levels and totals:
             yield batch(0, [np.array(list(totals))], np.array(list(totals.values()), np.int64))
 
