@@ -20,8 +20,8 @@ occurs ``LEAST`` times; parts of frequent phrases are frequent.
 
 Counts travel as 64-bit hashes of words; a vocabulary in which two words of a
 language share one is counted again with another seed.  Counts are added up in
-each task before they are shuffled, so a word of a third of the corpus costs a
-row for each task.
+each task and dealt by phrase into buckets, which Spark shuffles as compressed
+arrays, so a word of a third of the corpus costs an entry for each task.
 """
 
 from __future__ import annotations
@@ -52,7 +52,9 @@ MAX_BITS = 27  #: 16 MB for each level
 SLICE = 1 << 20  #: bytes of texts that are cut into words at once
 BLOCK = 1 << 16  #: words that are counted at once
 HELD = 1 << 19  #: distinct phrases that a task holds
-SENT = 1 << 16  #: rows of a batch that leaves a task
+BUCKET_BYTES = 4 << 20  #: texts whose phrases one bucket counts, as the sample lets expect
+BUCKETS_PER_PART = 4  #: buckets of a shuffle partition at least
+MOST_BUCKETS = 1 << 20
 NOBODY = "und"
 
 _ENDS = byte_class((0x0A, 0x0D))
@@ -62,6 +64,9 @@ _TURN = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = ["w1", "w2", "w3", "w4"]
 _KEY = ["lang", *_WORDS]
 _ROWS = "k int, lang string, w1 long, w2 long, w3 long, w4 long, text string, c long"
+#: some counted phrases of a level, a language and a bucket, column by column
+_PARCELS = "bucket int, k int, lang string, n int, numbers binary, texts array<string>"
+_BYTES, _CLASH = -1, -2  #: levels of rows that hold the bytes of texts, or two words with one hash
 
 
 def lowered(least: int = LEAST, share: float = 1 / SAMPLE, miss: float = MISS) -> int:
@@ -162,7 +167,7 @@ def _taken(columns: list, rows: np.ndarray) -> list:
 
 
 def _add_up(p: np.ndarray, columns: list, counts: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
-    """One row for each distinct ``(p, *columns)``; ``columns`` are numbers that decide ``p``, or an Arrow array of texts behind them."""
+    """One row for each distinct ``(p, *columns)``; ``columns`` are numbers that decide ``p``, or an Arrow array of what comes along."""
     order = np.argsort(p, kind="stable")
     p, columns, counts = p[order], _taken(columns, order), counts[order]
     new = np.ones(len(p), bool)
@@ -184,20 +189,21 @@ class _Held:
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, list, np.ndarray]] = []
-        self.rows = 0
+
+    @property
+    def rows(self) -> int:
+        """Phrases, long texts counted as more."""
+        return sum(len(p) + sum(c.nbytes for c in columns if not isinstance(c, np.ndarray)) // 32 for p, columns, _ in self.parts)
 
     def add(self, p: np.ndarray, columns: list, counts: np.ndarray) -> None:
         self.parts.append((p, columns, counts))
-        self.rows += len(p)
 
     def merged(self) -> tuple[np.ndarray, list, np.ndarray]:
-        if len(self.parts) == 1:
-            return self.parts[0]
-        p = np.concatenate([x[0] for x in self.parts])
-        columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else pa.concat_arrays(c) for c in zip(*[x[1] for x in self.parts])]
-        out = _add_up(p, columns, np.concatenate([x[2] for x in self.parts]))
-        self.parts, self.rows = [out], len(out[0])
-        return out
+        if len(self.parts) > 1:
+            p = np.concatenate([x[0] for x in self.parts])
+            columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else pa.concat_arrays(c) for c in zip(*[x[1] for x in self.parts])]
+            self.parts = [_add_up(p, columns, np.concatenate([x[2] for x in self.parts]))]
+        return self.parts[0]
 
 
 @dataclass
@@ -208,30 +214,61 @@ class Task:
     seed: int
     filters: Filters | None = None
     done: Filters | None = None  # what these admit has been counted before; what is admitted now admits more
+    buckets: int = 64
+
+
+def _numbers(k: int) -> int:
+    """Number columns of a phrase: its words; a single word has a second hash."""
+    return max(k, 2)
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    raw = b"".join(c.tobytes() for c in columns)
+    return pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 256 else raw
+
+
+def _unpacked(raw: bytes, columns: int, n: int) -> np.ndarray:
+    size = 8 * columns * n
+    if size > 256:
+        raw = pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint64).reshape(columns, n)
 
 
 def _counter(shared):
-    """Rows (lang, text) -> partial counts of a task."""
+    """Rows (lang, text) -> parcels of a task's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task: Task = shared.value
         names: list[str] = []
         code_of: dict[str, int] = {}
-        held = {k: _Held() for k in task.levels if k}
+        held = {k: _Held() for k in task.levels if k > 0}
         totals: dict[int, int] = {}
-
-        def batches_of(k: int, columns: list, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(counts), SENT):
-                yield batch(k, [c[a : a + SENT] for c in columns], counts[a : a + SENT])
-
-        def batch(k: int, columns: list, counts: np.ndarray) -> pa.RecordBatch:
-            n = len(counts)
-            lang = pa.DictionaryArray.from_arrays(pa.array(columns[0].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
-            words = [pa.array(columns[1 + i].view(np.int64) if i < k else np.zeros(n, np.int64)) for i in range(LONGEST)]
-            text = columns[2] if k == 1 else pa.nulls(n, pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), lang, *words, text, pa.array(counts)], names=["k", "lang", *_WORDS, "text", "c"])
+        size = 0
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "k", "lang", "n", "numbers", "texts"])
+
+        def parcels(k: int, p: np.ndarray, columns: list, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bucket = ((p >> np.uint64(32)) * np.uint64(task.buckets)) >> np.uint64(32)
+            cell = bucket.astype(np.int64) * len(names) + columns[0]
+            room = np.uint64(64 - int(cell.max()).bit_length())
+            order = np.argsort((cell.astype(np.uint64) << room) | (columns[1] >> (np.uint64(64) - room)))  # equal first words side by side
+            cell, counts, columns = cell[order], counts[order], _taken(columns, order)
+            cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+            rows: list[tuple] = []
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                bucket, lang = divmod(int(cell[a]), len(names))
+                own = [*(c[a:b] for c in columns[1 : 1 + _numbers(k)]), counts[a:b]]
+                rows.append((bucket, k, names[lang], b - a, _packed(own), columns[-1][a:b].to_pylist() if k == 1 else None))
+                if len(rows) == 1000:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
         for part in byte_slices(batches, "text", SLICE):
+            size += part.column("text").nbytes
             for lang in part.column("lang").to_pylist():
                 if lang not in code_of:
                     code_of[lang] = len(names)
@@ -245,13 +282,58 @@ def _counter(shared):
                         own.merged()
                 while sum(own.rows for own in held.values()) > HELD // 2:
                     k = max(held, key=lambda x: held[x].rows)
-                    yield from batches_of(k, *held[k].merged()[1:])
+                    yield from parcels(k, *held[k].merged())
                     held[k] = _Held()
         for k, own in held.items():
             if own.parts:
-                yield from batches_of(k, *own.merged()[1:])
+                yield from parcels(k, *own.merged())
         if 0 in task.levels and totals:
-            yield batch(0, [np.array(list(totals))], np.array(list(totals.values()), np.int64))
+            yield batch([(0, 0, names[c], 1, np.array([n], np.int64).tobytes(), None) for c, n in totals.items()])
+        if _BYTES in task.levels and size:
+            yield batch([(0, _BYTES, "", 1, np.array([size], np.int64).tobytes(), None)])
+
+    return run
+
+
+def _summed(task: Task, least: int):
+    """Parcels sorted by bucket, level and language -> phrases that occur ``least`` times, and the totals."""
+
+    def rows(key: tuple[int, int, str], numbers: list[np.ndarray], texts: list[str]) -> pa.RecordBatch | None:
+        _, k, lang = key
+        if k <= 0:
+            total = sum(int(x[0, 0]) for x in numbers)
+            return made(k, lang, [], None, np.array([total]))
+        every = np.concatenate(numbers, axis=1)
+        words = list(every[: _numbers(k)])
+        p = _one(words[0], np.uint64(_salt(lang, task.seed)))
+        for i in range(1, k):
+            p = _more(p, words[i])
+        columns = [*words, pa.array(texts, pa.string())] if k == 1 else words
+        _, columns, counts = _add_up(p, columns, every[-1].view(np.int64))
+        if k == 1 and len(np.unique(columns[0])) < len(counts):
+            return made(_CLASH, lang, [], None, np.array([1]))
+        often = np.flatnonzero(counts >= least)
+        columns, counts = _taken(columns, often), counts[often]
+        return made(k, lang, columns[:k], columns[-1] if k == 1 else None, counts) if len(counts) else None
+
+    def made(k: int, lang: str, words: list[np.ndarray], texts: pa.Array | None, counts: np.ndarray) -> pa.RecordBatch:
+        n = len(counts)
+        own = [pa.array(words[i].view(np.int64) if i < len(words) else np.zeros(n, np.int64)) for i in range(LONGEST)]
+        own = [pa.array(np.full(n, k, np.int32)), pa.array([lang] * n, pa.string()), *own, texts if texts is not None else pa.nulls(n, pa.string()), pa.array(counts)]
+        return pa.RecordBatch.from_arrays(own, names=["k", "lang", *_WORDS, "text", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, numbers, texts = None, [], []
+        for batch in batches:
+            for bucket, k, lang, n, raw, own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "k", "lang", "n", "numbers", "texts"))):
+                if (bucket, k, lang) != last:
+                    if last is not None and (out := rows(last, numbers, texts)) is not None:
+                        yield out
+                    last, numbers, texts = (bucket, k, lang), [], []
+                numbers.append(_unpacked(raw, _numbers(k) + 1 if k > 0 else 1, n))
+                texts.extend(own or ())
+        if last is not None and (out := rows(last, numbers, texts)) is not None:
+            yield out
 
     return run
 
@@ -263,6 +345,7 @@ def _count_slice(column: pa.Array, codes: np.ndarray, names: list[str], task: Ta
     start, end, at = word_spans(data, offsets, _INSIDE)
     words = span_hashes(data, start, end, task.seed)
     words[words == 0] = 1
+    second = span_hashes(data, start, end, ~task.seed) if 1 in task.levels else words
     code = np.repeat(codes.astype(np.int32), np.diff(at))
     salts = np.array([_salt(v, task.seed) for v in names], np.uint64)
     goes_on = np.zeros(len(words) + 1, bool)  # a word stands in the piece of the one before
@@ -279,8 +362,9 @@ def _count_slice(column: pa.Array, codes: np.ndarray, names: list[str], task: Ta
         w, lang = words[a:b], code[a:b]
         p = _one(w, salts[lang])
         if 1 in task.levels:
-            _, first, counts = np.unique(p[:n], return_index=True, return_counts=True)
-            yield 1, _add_up(p[first], [lang[first], w[first], _texts(data, start[a + first], end[a + first])], counts)
+            own, (_, word, check, place), counts = _add_up(p[:n], [lang[:n], w[:n], second[a : a + n], pa.array(np.arange(a, a + n))], np.ones(n, np.int64))
+            place = place.to_numpy()
+            yield 1, (own, [code[place], word, check, _texts(data, start[place], end[place])], counts)
         fits, admitted = np.ones(len(w), bool), None
         for k in range(2, deepest + 1):
             if len(w) < k:
@@ -312,10 +396,14 @@ def _texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[places]))
 
 
-def _counts(texts: DataFrame, task: Task) -> DataFrame:
-    """Exact counts of what ``task`` asks for."""
-    shared = texts.sparkSession.sparkContext.broadcast(task)
-    return texts.mapInArrow(_counter(shared), _ROWS).groupBy("k", "lang", *_WORDS, "text").agg(F.sum("c").alias("c"))
+def _counts(texts: DataFrame, task: Task, least: int) -> DataFrame:
+    """Exact counts of what ``task`` asks for, from ``least`` on."""
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    task.buckets = min(max(task.buckets, BUCKETS_PER_PART * parts), MOST_BUCKETS)
+    parcels = texts.mapInArrow(_counter(spark.sparkContext.broadcast(task)), _PARCELS)
+    dealt = parcels.repartition(parts, "bucket").sortWithinPartitions("bucket", "k", "lang")
+    return dealt.mapInArrow(_summed(Task(task.levels, task.seed), least), _ROWS)
 
 
 # ---------------------------------------------------------------------- mining
@@ -337,38 +425,41 @@ class _Scratch:
             drop_scratch(self.spark, path)
 
 
-def propose(sample: DataFrame, least: int, seed: int, scratch: _Scratch) -> Filters:
-    """Filters of what is frequent in a sample, level by level; the longest phrases need none."""
-    filters = None
+def propose(sample: DataFrame, least: int, seed: int, scratch: _Scratch) -> tuple[Filters, int]:
+    """Filters of what is frequent in a sample, level by level, and its bytes; the longest phrases need no filter."""
+    filters, size = None, 0
     for level in range(1, LONGEST):
-        found = scratch.keep(_counts(sample, Task((level,), seed, filters)).filter(F.col("c") >= least), "proposed")
+        task = Task((level, *((_BYTES,) if level == 1 else ())), seed, filters, buckets=size // BUCKET_BYTES)
+        found = scratch.keep(_counts(sample, task, least), "proposed")
         if filters is None:  # room for the levels above, which hold a few phrases for each word
+            size = found.filter(F.col("k") == _BYTES).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+            found = found.filter("k > 0")
             bits = min(MAX_BITS, max(15, math.ceil(math.log2(128 * found.count() + 1))))
             filters = Filters(bits)
         filters = filters.joined(_build(found, filters.bits, seed))
-    return filters
+    return filters, size
 
 
 def frequent(texts: DataFrame, sample: DataFrame, least: int = LEAST, lowered_least: int | None = None, seed: int = 0) -> DataFrame:
     """All phrases ``(k, lang, w1..w4, text, c)`` that occur ``least`` times, and rows of level 0 with all words of a language.
 
     ``texts`` and ``sample`` have the columns ``lang`` and ``text``; the sample
-    decides how many passes are made, never the result.
+    decides how much is counted in which pass, never the result.
     """
     scratch = _Scratch(texts.sparkSession)
-    filters = propose(sample, lowered_least or lowered(least), seed, scratch)
-    wanted = F.col("c") >= least
-    full = _counts(texts, Task((0, *range(1, LONGEST + 1)), seed, filters))
-    counted = scratch.keep(full.filter(wanted | (F.col("k") <= 1)), "phrases", temporary=False)
-    clash = counted.filter("k = 1").groupBy("lang", "w1").agg(F.count("*").alias("n")).filter("n > 1")
-    if not clash.isEmpty():
+    filters, size = propose(sample, lowered_least or lowered(least), seed, scratch)
+    buckets = size * SAMPLE // BUCKET_BYTES
+    full = _counts(texts, Task((0, *range(1, LONGEST + 1)), seed, filters, buckets=buckets), least)
+    counted = scratch.keep(full, "phrases", temporary=False)
+    clashes = not counted.filter(F.col("k") == _CLASH).isEmpty()
+    if clashes:
         scratch.drop()
         return frequent(texts, sample, least, lowered_least, seed + 1)
-    found = counted.filter(wanted | (F.col("k") == 0))
+    found = counted
     failed = _build(found.filter(F.col("k").between(1, LONGEST - 1)), filters.bits, seed, filters)
     if failed.maps:
-        task = Task(tuple(range(2, LONGEST + 1)), seed, filters.joined(failed), filters)
-        found = found.unionByName(scratch.keep(_counts(texts, task).filter(wanted), "phrases-more", temporary=False))
+        task = Task(tuple(range(2, LONGEST + 1)), seed, filters.joined(failed), filters, buckets)
+        found = found.unionByName(scratch.keep(_counts(texts, task, least), "phrases-more", temporary=False))
     scratch.drop()
     return found
 

@@ -104,7 +104,7 @@ def test_blocks_of_words_overlap(monkeypatch):
         held, totals = {}, {}
         for k, found in co._count_slice(pa.array(texts), np.zeros(len(texts), np.int64), ["en"], task, totals):
             held.setdefault(k, co._Held()).add(*found)
-        results.append((totals, {k: sorted(zip(*(x.tolist() for x in h.merged()[1]), h.merged()[2].tolist())) for k, h in held.items()}))
+        results.append((totals, {k: sorted(zip(*(x.tolist() for x in h.merged()[1][: 1 + k]), h.merged()[2].tolist())) for k, h in held.items()}))
     assert results[0] == results[1] == results[2]
     f, n = plain_counts([(0, t, "en") for t in texts])
     assert results[0][0] == {0: n["en"]}
@@ -120,5 +120,24 @@ def test_phrases_that_share_a_hash_stay_apart():
     assert counts.sum() == 8
 
 
+def test_two_words_with_one_hash_are_noticed():
+    parcel = lambda words, second, texts: (0, 1, "en", len(words), co._packed([np.array(words, np.uint64), np.array(second, np.uint64), np.ones(len(words), np.int64)]), texts)
+    names = ["bucket", "k", "lang", "n", "numbers", "texts"]
+
+    def summed(*rows):
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+        return [r for out in co._summed(co.Task((1,), 0), 1)(iter([batch])) for r in out.to_pylist()]
+
+    fine = summed(parcel([5, 6], [1, 2], ["a", "b"]), parcel([5], [1], ["a"]))
+    assert sorted((r["k"], r["text"], r["c"]) for r in fine) == [(1, "a", 2), (1, "b", 1)]
+    assert [r["k"] for r in summed(parcel([5, 6], [1, 2], ["a", "b"]), parcel([5], [3], ["c"]))] == [co._CLASH]
+
+
+@pytest.mark.parametrize("n", [1, 5, 1000])
+def test_parcels_come_back(n):
+    columns = [np.arange(n, dtype=np.uint64) * np.uint64(2**60 + 1), np.ones(n, np.int64)]
+    assert co._unpacked(co._packed(columns), 2, n).tolist() == [columns[0].tolist(), columns[1].tolist()]
+
+
 def test_threshold_of_the_sample():
     assert [co.lowered(30, share, 0.02) for share in (1.0, 0.2, 0.001)] == [30, 2, 1] and co.lowered(30, 0.1, 0.2) == 2
