@@ -7,16 +7,19 @@ occurs ``LEAST`` times; parts of frequent phrases are frequent.
    threshold.  What it proposes is held as bits of a filter for each level,
    whose size has a bound: a full filter lets more phrases be counted, it
    never loses one.
-2. One pass over all documents counts all words, and exactly each phrase
-   whose two parts of one word less are proposed: the proposed phrases and
-   their negative border, which need not be written down.
-3. A phrase that proves frequent but was not proposed is a failure of the
-   border: longer phrases around it have not been counted.  Failures join the
-   filters and an expansion pass counts what they admit and nothing else.  What
-   is admitted counts as proposed for the phrases one word longer at once, so
-   the pass climbs to the longest phrases and closes the border: every part
-   of a frequent phrase is frequent, so it was counted before and is in a
-   filter now, or it is admitted.
+2. One pass over all documents counts all words and exactly each proposed
+   phrase.  In the same pass it counts the negative border, which need not be
+   written down: phrases that are not proposed while their two parts of one
+   word less are.  Borders are wide, so theirs are counted under a hash of
+   at least 40 bits, a fifth of the bytes: no phrase occurs more often than
+   its hash.
+3. A word that proves frequent but was not proposed, and a phrase of the border
+   whose hash reaches the threshold, are failures of the border.  They join
+   the filters, and an expansion pass counts exactly the failures and what
+   they admit.  What is admitted counts as proposed for the phrases one word
+   longer at once, so the pass climbs to the longest phrases and closes the
+   border: every part of a frequent phrase is frequent, so it was proposed or
+   failed and is in a filter now, or it is admitted.
 
 Counts travel as 64-bit hashes of words; a vocabulary in which two words of a
 language share one is counted again with another seed.  Counts are added up in
@@ -53,8 +56,8 @@ SLICE = 1 << 20  #: bytes of texts that are cut into words at once
 BLOCK = 1 << 16  #: words that are counted at once
 HELD = 1 << 19  #: distinct phrases that a task holds
 BUCKET_BYTES = 4 << 20  #: texts whose phrases one bucket counts, as the sample lets expect
-BUCKETS_PER_PART = 4  #: buckets of a shuffle partition at least
-MOST_BUCKETS = 1 << 20
+MOST_BUCKET_BITS = 20
+KEY_BITS = 40  #: of the hash under which the border is counted, besides its bucket
 NOBODY = "und"
 
 _ENDS = byte_class((0x0A, 0x0D))
@@ -64,9 +67,11 @@ _TURN = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = ["w1", "w2", "w3", "w4"]
 _KEY = ["lang", *_WORDS]
 _ROWS = "k int, lang string, w1 long, w2 long, w3 long, w4 long, text string, c long"
-#: some counted phrases of a level, a language and a bucket, column by column
-_PARCELS = "bucket int, k int, lang string, n int, numbers binary, texts array<string>"
+#: some counted phrases of a level and a bucket, column by column
+_PARCELS = "bucket int, k int, langs array<string>, n int, numbers binary, texts array<string>"
 _BYTES, _CLASH = -1, -2  #: levels of rows that hold the bytes of texts, or two words with one hash
+_BORDER = 10  #: border hashes of phrases of k words have level 10 + k; the hash stands for the first word
+
 
 
 def lowered(least: int = LEAST, share: float = 1 / SAMPLE, miss: float = MISS) -> int:
@@ -129,7 +134,7 @@ def _phrase_hashes(rows: pa.RecordBatch, seed: int) -> np.ndarray:
     p = _one(words[0], salts[langs.indices.to_numpy()])
     for i in range(1, LONGEST):
         p = np.where(k > i, _more(p, words[i]), p)
-    return p
+    return np.where(k > _BORDER, mix(words[0]), p)
 
 
 def _build(phrases: DataFrame, bits: int, seed: int, known: Filters | None = None) -> Filters:
@@ -174,7 +179,8 @@ def _add_up(p: np.ndarray, columns: list, counts: np.ndarray) -> tuple[np.ndarra
     new[1:] = p[1:] != p[:-1]
     numbers = [c for c in columns if isinstance(c, np.ndarray)]
     changed = np.zeros(len(p), bool)
-    changed[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in numbers])
+    if numbers:
+        changed[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in numbers])
     if (changed & ~new).any():  # two phrases share a hash: order by the phrases themselves
         order = np.lexsort(numbers)
         p, columns, counts = p[order], _taken(columns, order), counts[order]
@@ -212,14 +218,13 @@ class Task:
 
     levels: tuple[int, ...]  # 0: all words of a language
     seed: int
-    filters: Filters | None = None
-    done: Filters | None = None  # what these admit has been counted before; what is admitted now admits more
-    buckets: int = 64
-
+    filters: Filters | None = None  # what is proposed
+    border: bool = False  # what is not proposed is counted by hash
+    failed: Filters | None = None  # in an expansion pass: what failed; only this and what it admits is counted
+    bucket_bits: int = 1
 
-def _numbers(k: int) -> int:
-    """Number columns of a phrase: its words; a single word has a second hash."""
-    return max(k, 2)
+    def border_hash(self, p: np.ndarray) -> np.ndarray:
+        return p >> np.uint64(64 - KEY_BITS - self.bucket_bits)
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -227,11 +232,41 @@ def _packed(columns: list[np.ndarray]) -> bytes:
     return pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 256 else raw
 
 
-def _unpacked(raw: bytes, columns: int, n: int) -> np.ndarray:
-    size = 8 * columns * n
-    if size > 256:
-        raw = pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
-    return np.frombuffer(raw, np.uint64).reshape(columns, n)
+def _unpacked(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True) if size > 256 else raw
+
+
+def _planes(keys: np.ndarray) -> np.ndarray:
+    """The bytes of border keys, place by place."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].T)
+
+
+def _keys(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : KEY_BITS // 8] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def _parcels(task: Task, names: list[str], k: int, p: np.ndarray, columns: list, counts: np.ndarray) -> Iterator[tuple]:
+    """Counts of a level, sorted by hash -> a row for each bucket."""
+    if k > _BORDER:
+        bucket = p >> np.uint64(KEY_BITS)
+    else:
+        bucket = p >> np.uint64(64 - task.bucket_bits)
+        if k > 1:  # equal first words side by side
+            order = np.argsort((bucket << np.uint64(64 - task.bucket_bits)) | (columns[1] >> np.uint64(task.bucket_bits)))
+            bucket, counts, columns = bucket[order], counts[order], _taken(columns, order)
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        head, texts, langs = (int(bucket[a]), k), None, None
+        if k > _BORDER:
+            numbers = [_planes(p[a:b] & np.uint64((1 << KEY_BITS) - 1))]
+        else:
+            used, code = np.unique(columns[0][a:b], return_inverse=True)
+            langs = [names[c] for c in used]
+            numbers = [code.astype(np.int64), *(c[a:b] for c in columns[1 : 1 + k] if k > 1)]
+            texts = columns[-1][a:b].to_pylist() if k == 1 else None
+        yield (*head, langs, b - a, _packed([*numbers, counts[a:b]]), texts)
 
 
 def _counter(shared):
@@ -241,98 +276,139 @@ def _counter(shared):
         task: Task = shared.value
         names: list[str] = []
         code_of: dict[str, int] = {}
-        held = {k: _Held() for k in task.levels if k > 0}
+        held: dict[int, _Held] = {}
         totals: dict[int, int] = {}
         size = 0
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "k", "lang", "n", "numbers", "texts"])
-
-        def parcels(k: int, p: np.ndarray, columns: list, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            bucket = ((p >> np.uint64(32)) * np.uint64(task.buckets)) >> np.uint64(32)
-            cell = bucket.astype(np.int64) * len(names) + columns[0]
-            room = np.uint64(64 - int(cell.max()).bit_length())
-            order = np.argsort((cell.astype(np.uint64) << room) | (columns[1] >> (np.uint64(64) - room)))  # equal first words side by side
-            cell, counts, columns = cell[order], counts[order], _taken(columns, order)
-            cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-            rows: list[tuple] = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                bucket, lang = divmod(int(cell[a]), len(names))
-                own = [*(c[a:b] for c in columns[1 : 1 + _numbers(k)]), counts[a:b]]
-                rows.append((bucket, k, names[lang], b - a, _packed(own), columns[-1][a:b].to_pylist() if k == 1 else None))
+        def sent(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.binary(), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "k", "langs", "n", "numbers", "texts"])
+
+        def emptied(k: int) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for row in _parcels(task, names, k, *held.pop(k).merged()):
+                rows.append(row)
                 if len(rows) == 1000:
-                    yield batch(rows)
+                    yield sent(rows)
                     rows = []
             if rows:
-                yield batch(rows)
+                yield sent(rows)
 
         for part in byte_slices(batches, "text", SLICE):
             size += part.column("text").nbytes
-            for lang in part.column("lang").to_pylist():
+            langs = part.column("lang").to_pylist()
+            for lang in langs:
                 if lang not in code_of:
                     code_of[lang] = len(names)
                     names.append(lang)
-            codes = np.array([code_of[v] for v in part.column("lang").to_pylist()])
-            for k, found in _count_slice(part.column("text"), codes, names, task, totals):
-                held[k].add(*found)
+            for k, found in _count_slice(part.column("text"), np.array([code_of[v] for v in langs]), names, task, totals):
+                held.setdefault(k, _Held()).add(*found)
             if sum(own.rows for own in held.values()) > HELD:
                 for own in held.values():
-                    if own.parts:
-                        own.merged()
+                    own.merged()
                 while sum(own.rows for own in held.values()) > HELD // 2:
-                    k = max(held, key=lambda x: held[x].rows)
-                    yield from parcels(k, *held[k].merged())
-                    held[k] = _Held()
-        for k, own in held.items():
-            if own.parts:
-                yield from parcels(k, *own.merged())
+                    yield from emptied(max(held, key=lambda x: held[x].rows))
+        for k in list(held):
+            yield from emptied(k)
         if 0 in task.levels and totals:
-            yield batch([(0, 0, names[c], 1, np.array([n], np.int64).tobytes(), None) for c, n in totals.items()])
+            yield sent([(0, 0, [names[c]], 1, _packed([np.array([n], np.int64)]), None) for c, n in totals.items()])
         if _BYTES in task.levels and size:
-            yield batch([(0, _BYTES, "", 1, np.array([size], np.int64).tobytes(), None)])
+            yield sent([(0, _BYTES, [""], 1, _packed([np.array([size], np.int64)]), None)])
 
     return run
 
 
-def _summed(task: Task, least: int):
-    """Parcels sorted by bucket, level and language -> phrases that occur ``least`` times, and the totals."""
-
-    def rows(key: tuple[int, int, str], numbers: list[np.ndarray], texts: list[str]) -> pa.RecordBatch | None:
-        _, k, lang = key
-        if k <= 0:
-            total = sum(int(x[0, 0]) for x in numbers)
-            return made(k, lang, [], None, np.array([total]))
-        every = np.concatenate(numbers, axis=1)
-        words = list(every[: _numbers(k)])
-        p = _one(words[0], np.uint64(_salt(lang, task.seed)))
-        for i in range(1, k):
-            p = _more(p, words[i])
-        columns = [*words, pa.array(texts, pa.string())] if k == 1 else words
-        _, columns, counts = _add_up(p, columns, every[-1].view(np.int64))
-        if k == 1 and len(np.unique(columns[0])) < len(counts):
-            return made(_CLASH, lang, [], None, np.array([1]))
+class _Bucket:
+    """The parcels of a level that meet in a bucket."""
+
+    def __init__(self, bucket: int, k: int, seed: int):
+        self.bucket, self.k, self.seed = bucket, k, seed
+        self.code_of: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, list, np.ndarray]] = []
+
+    def add(self, langs: list[str], n: int, raw: bytes, texts: list[str] | None) -> None:
+        if self.k > _BORDER:
+            flat = np.frombuffer(_unpacked(raw, n * (KEY_BITS // 8 + 8)), np.uint8)
+            keys = _keys(flat[: n * (KEY_BITS // 8)].reshape(-1, n))
+            p = keys | np.uint64(self.bucket << KEY_BITS)
+            self.parts.append((p, [], np.frombuffer(flat[n * (KEY_BITS // 8) :].tobytes(), np.int64)))
+            return
+        words = 0 if self.k <= 1 else self.k
+        columns = 2 + words if self.k > 0 else 1
+        numbers = np.frombuffer(_unpacked(raw, 8 * columns * n), np.uint64).reshape(columns, n)
+        code = np.array([self.code_of.setdefault(v, len(self.code_of)) for v in langs])
+        code = code[numbers[0].astype(np.int64)] if self.k > 0 else np.repeat(code, n)
+        of = list(numbers[1 : 1 + words])
+        if self.k == 1:
+            text = pa.array(texts, pa.string())
+            data, offsets = bytes_of(text)
+            of = [span_hashes(data, offsets[:-1], offsets[1:], self.seed), text]
+            of[0][of[0] == 0] = 1
+        p = of[0] ^ self._salts()[code] if of else code.astype(np.uint64)
+        self.parts.append((p, [code, *of], numbers[-1].view(np.int64)))
+
+    def _salts(self) -> np.ndarray:
+        return np.array([_salt(v, self.seed) for v in self.code_of], np.uint64)
+
+    def summed(self, least: int) -> pa.RecordBatch | None:
+        """The phrases that occur ``least`` times, or the totals."""
+        if self.k > _BORDER:
+            p, _, counts = _joined(self.parts)
+            often = counts >= least
+            return self._made([], [p[often]], None, counts[often])
+        if self.k == 1:
+            return self._words(least)
+        p, (code, *words), counts = _joined([(self._phrase(code, words) if words else p, [code, *words], counts) for p, (code, *words), counts in self.parts])
+        often = np.flatnonzero(counts >= (least if self.k > 0 else 0))
+        names = list(self.code_of)
+        return self._made([names[c] for c in code[often]], [w[often] for w in words], None, counts[often])
+
+    def _phrase(self, code: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+        p = _one(words[0], self._salts()[code])
+        for w in words[1:]:
+            p = _more(p, w)
+        return p
+
+    def _words(self, least: int) -> pa.RecordBatch | None:
+        """Words are compared as texts: two with one hash are a clash."""
+        code, word = (np.concatenate([columns[i] for _, columns, _ in self.parts]) for i in (0, 1))
+        texts = pa.concat_arrays([columns[2] for _, columns, _ in self.parts]).dictionary_encode()
+        key = code.astype(np.uint64) << np.uint64(32) | texts.indices.to_numpy().astype(np.uint64)
+        _, (code, word, text), counts = _add_up(key, [code, word, texts.indices], np.concatenate([x[2] for x in self.parts]))
+        if len(np.unique(_one(word, self._salts()[code]))) < len(counts):
+            return self._made([""], [], None, np.array([1]), _CLASH)
         often = np.flatnonzero(counts >= least)
-        columns, counts = _taken(columns, often), counts[often]
-        return made(k, lang, columns[:k], columns[-1] if k == 1 else None, counts) if len(counts) else None
+        names = list(self.code_of)
+        return self._made([names[c] for c in code[often]], [word[often]], texts.dictionary.take(text.take(pa.array(often))), counts[often])
 
-    def made(k: int, lang: str, words: list[np.ndarray], texts: pa.Array | None, counts: np.ndarray) -> pa.RecordBatch:
+    def _made(self, langs: list[str], words: list[np.ndarray], texts: pa.Array | None, counts: np.ndarray, k: int | None = None) -> pa.RecordBatch | None:
         n = len(counts)
+        if not n:
+            return None
         own = [pa.array(words[i].view(np.int64) if i < len(words) else np.zeros(n, np.int64)) for i in range(LONGEST)]
-        own = [pa.array(np.full(n, k, np.int32)), pa.array([lang] * n, pa.string()), *own, texts if texts is not None else pa.nulls(n, pa.string()), pa.array(counts)]
+        level = pa.array(np.full(n, self.k if k is None else k, np.int32))
+        own = [level, pa.array(langs or [""] * n, pa.string()), *own, texts if texts is not None else pa.nulls(n, pa.string()), pa.array(counts)]
         return pa.RecordBatch.from_arrays(own, names=["k", "lang", *_WORDS, "text", "c"])
 
+
+def _joined(parts: list[tuple[np.ndarray, list, np.ndarray]]) -> tuple[np.ndarray, list, np.ndarray]:
+    p, counts = (np.concatenate([x[i] for x in parts]) for i in (0, 2))
+    return _add_up(p, [np.concatenate(c) for c in zip(*[x[1] for x in parts])], counts)
+
+
+def _summed(seed: int, least: int):
+    """Parcels sorted by bucket and level -> phrases that occur ``least`` times, and the totals."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, numbers, texts = None, [], []
+        own = None
         for batch in batches:
-            for bucket, k, lang, n, raw, own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "k", "lang", "n", "numbers", "texts"))):
-                if (bucket, k, lang) != last:
-                    if last is not None and (out := rows(last, numbers, texts)) is not None:
+            for bucket, k, *parcel in zip(*(batch.column(c).to_pylist() for c in ("bucket", "k", "langs", "n", "numbers", "texts"))):
+                if own is None or (own.bucket, own.k) != (bucket, k):
+                    if own is not None and (out := own.summed(least)) is not None:
                         yield out
-                    last, numbers, texts = (bucket, k, lang), [], []
-                numbers.append(_unpacked(raw, _numbers(k) + 1 if k > 0 else 1, n))
-                texts.extend(own or ())
-        if last is not None and (out := rows(last, numbers, texts)) is not None:
+                    own = _Bucket(bucket, k, seed)
+                own.add(*parcel)
+        if own is not None and (out := own.summed(least)) is not None:
             yield out
 
     return run
@@ -365,27 +441,31 @@ def _count_slice(column: pa.Array, codes: np.ndarray, names: list[str], task: Ta
             own, (_, word, check, place), counts = _add_up(p[:n], [lang[:n], w[:n], second[a : a + n], pa.array(np.arange(a, a + n))], np.ones(n, np.int64))
             place = place.to_numpy()
             yield 1, (own, [code[place], word, check, _texts(data, start[place], end[place])], counts)
-        fits, admitted = np.ones(len(w), bool), None
+        if deepest < 2:
+            continue
+        proposed = task.filters.has(1, p)
+        inside = proposed if task.failed is None else proposed | task.failed.has(1, p)
+        fits = np.ones(len(w), bool)
         for k in range(2, deepest + 1):
             if len(w) < k:
                 break
-            inside = task.filters.has(k - 1, p)
-            if admitted is not None:
-                inside |= admitted
-            both = inside[:-1] & inside[1:]
-            if task.done is not None:
-                before = task.done.has(k - 1, p)
-                both &= ~(before[:-1] & before[1:])
             fits = fits[:-1] & goes_on[a + k - 1 : b]
             p = _more(p[:-1], w[k - 1 :])
-            wanted = fits & both
-            if task.done is not None:
-                admitted = wanted
-            if k in task.levels:
-                rows = np.flatnonzero(wanted[:n])
-                if len(rows):
-                    columns = [lang[rows], *[w[rows + i] for i in range(k)]]
-                    yield k, _add_up(p[rows], columns, np.ones(len(rows), np.int64))
+            wanted = fits & inside[:-1] & inside[1:]
+            before = proposed[:-1] & proposed[1:]  # the full pass has counted it, exactly if it was proposed
+            proposed = task.filters.has(k, p)
+            if task.failed is not None:
+                wanted &= ~before | (~proposed & task.failed.has(_BORDER + k, mix(task.border_hash(p))))
+            inside = proposed if task.failed is None else proposed | wanted
+            if k not in task.levels:
+                continue
+            exact = wanted & proposed if task.border else wanted
+            rows = np.flatnonzero(exact[:n])
+            if len(rows):
+                yield k, _add_up(p[rows], [lang[rows], *[w[rows + i] for i in range(k)]], np.ones(len(rows), np.int64))
+            rows = np.flatnonzero((wanted & ~exact)[:n])
+            if len(rows):
+                yield _BORDER + k, _add_up(task.border_hash(p[rows]), [], np.ones(len(rows), np.int64))
 
 
 def _texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -397,13 +477,18 @@ def _texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _counts(texts: DataFrame, task: Task, least: int) -> DataFrame:
-    """Exact counts of what ``task`` asks for, from ``least`` on."""
+    """Counts of what ``task`` asks for, from ``least`` on."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    task.buckets = min(max(task.buckets, BUCKETS_PER_PART * parts), MOST_BUCKETS)
     parcels = texts.mapInArrow(_counter(spark.sparkContext.broadcast(task)), _PARCELS)
-    dealt = parcels.repartition(parts, "bucket").sortWithinPartitions("bucket", "k", "lang")
-    return dealt.mapInArrow(_summed(Task(task.levels, task.seed), least), _ROWS)
+    dealt = parcels.repartition(parts, "bucket").sortWithinPartitions("bucket", "k")
+    return dealt.mapInArrow(_summed(task.seed, least), _ROWS)
+
+
+def _bucket_bits(spark: SparkSession, size: int) -> int:
+    """Buckets for texts of ``size`` bytes, as a power of two."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BUCKET_BITS, max(1, (max(parts, size // BUCKET_BYTES) - 1).bit_length()))
 
 
 # ---------------------------------------------------------------------- mining
@@ -429,7 +514,7 @@ def propose(sample: DataFrame, least: int, seed: int, scratch: _Scratch) -> tupl
     """Filters of what is frequent in a sample, level by level, and its bytes; the longest phrases need no filter."""
     filters, size = None, 0
     for level in range(1, LONGEST):
-        task = Task((level, *((_BYTES,) if level == 1 else ())), seed, filters, buckets=size // BUCKET_BYTES)
+        task = Task((level, *((_BYTES,) if level == 1 else ())), seed, filters, bucket_bits=_bucket_bits(sample.sparkSession, size))
         found = scratch.keep(_counts(sample, task, least), "proposed")
         if filters is None:  # room for the levels above, which hold a few phrases for each word
             size = found.filter(F.col("k") == _BYTES).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
@@ -444,21 +529,20 @@ def frequent(texts: DataFrame, sample: DataFrame, least: int = LEAST, lowered_le
     """All phrases ``(k, lang, w1..w4, text, c)`` that occur ``least`` times, and rows of level 0 with all words of a language.
 
     ``texts`` and ``sample`` have the columns ``lang`` and ``text``; the sample
-    decides how much is counted in which pass, never the result.
+    decides what is counted in which pass, never the result.
     """
     scratch = _Scratch(texts.sparkSession)
     filters, size = propose(sample, lowered_least or lowered(least), seed, scratch)
-    buckets = size * SAMPLE // BUCKET_BYTES
-    full = _counts(texts, Task((0, *range(1, LONGEST + 1)), seed, filters, buckets=buckets), least)
+    bucket_bits = _bucket_bits(texts.sparkSession, size * SAMPLE)
+    full = _counts(texts, Task((0, *range(1, LONGEST + 1)), seed, filters, True, None, bucket_bits), least)
     counted = scratch.keep(full, "phrases", temporary=False)
-    clashes = not counted.filter(F.col("k") == _CLASH).isEmpty()
-    if clashes:
+    if not counted.filter(F.col("k") == _CLASH).isEmpty():
         scratch.drop()
         return frequent(texts, sample, least, lowered_least, seed + 1)
-    found = counted
-    failed = _build(found.filter(F.col("k").between(1, LONGEST - 1)), filters.bits, seed, filters)
+    found = counted.filter(F.col("k") <= LONGEST)
+    failed = _build(counted.filter((F.col("k") == 1) | (F.col("k") > _BORDER)), filters.bits, seed, filters)
     if failed.maps:
-        task = Task(tuple(range(2, LONGEST + 1)), seed, filters.joined(failed), filters, buckets)
+        task = Task(tuple(range(2, LONGEST + 1)), seed, filters, False, failed, bucket_bits)
         found = found.unionByName(scratch.keep(_counts(texts, task, least), "phrases-more", temporary=False))
     scratch.drop()
     return found

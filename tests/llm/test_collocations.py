@@ -95,21 +95,24 @@ def test_no_frequent_phrase(spark, tmp_path):
     assert co.mine(table(spark, tmp_path, [(1, "a b c", "en"), (2, None, None)])).collect() == []
 
 
-def test_blocks_of_words_overlap(monkeypatch):
+@pytest.mark.parametrize("border", [False, True])
+def test_blocks_of_words_overlap(monkeypatch, border):
     texts = ["a b a b a b c a b", "", None, "a b, a b c", "a"]
-    task = co.Task((0, 1, 2, 3, 4), 0, co.Filters(15, {k: np.full(4096, 255, np.uint8) for k in (1, 2, 3)}))
+    full = np.full(4096, 255, np.uint8)
+    task = co.Task((0, 1, 2, 3, 4), 0, co.Filters(15, {1: full, 2: full} | ({} if border else {3: full})), border, None, 3)
     results = []
     for block in (1, 3, 1 << 18):
         monkeypatch.setattr(co, "BLOCK", block)
         held, totals = {}, {}
         for k, found in co._count_slice(pa.array(texts), np.zeros(len(texts), np.int64), ["en"], task, totals):
             held.setdefault(k, co._Held()).add(*found)
-        results.append((totals, {k: sorted(zip(*(x.tolist() for x in h.merged()[1][: 1 + k]), h.merged()[2].tolist())) for k, h in held.items()}))
+        results.append((totals, {k: sorted(zip(h.merged()[0].tolist(), h.merged()[2].tolist())) for k, h in held.items()}))
     assert results[0] == results[1] == results[2]
     f, n = plain_counts([(0, t, "en") for t in texts])
     assert results[0][0] == {0: n["en"]}
-    for k in (1, 2, 3, 4):
-        assert sorted(r[-1] for r in results[0][1][k]) == sorted(a for (_, w), a in f.items() if len(w) == k)
+    assert set(results[0][1]) == ({1, 2, 13} if border else {1, 2, 3, 4})
+    for k, rows in results[0][1].items():
+        assert sorted(r[-1] for r in rows) == sorted(a for (_, w), a in f.items() if len(w) == k % 10)
 
 
 def test_phrases_that_share_a_hash_stay_apart():
@@ -120,23 +123,37 @@ def test_phrases_that_share_a_hash_stay_apart():
     assert counts.sum() == 8
 
 
-def test_two_words_with_one_hash_are_noticed():
-    parcel = lambda words, second, texts: (0, 1, "en", len(words), co._packed([np.array(words, np.uint64), np.array(second, np.uint64), np.ones(len(words), np.int64)]), texts)
-    names = ["bucket", "k", "lang", "n", "numbers", "texts"]
-
-    def summed(*rows):
-        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
-        return [r for out in co._summed(co.Task((1,), 0), 1)(iter([batch])) for r in out.to_pylist()]
-
-    fine = summed(parcel([5, 6], [1, 2], ["a", "b"]), parcel([5], [1], ["a"]))
-    assert sorted((r["k"], r["text"], r["c"]) for r in fine) == [(1, "a", 2), (1, "b", 1)]
-    assert [r["k"] for r in summed(parcel([5, 6], [1, 2], ["a", "b"]), parcel([5], [3], ["c"]))] == [co._CLASH]
-
-
-@pytest.mark.parametrize("n", [1, 5, 1000])
-def test_parcels_come_back(n):
-    columns = [np.arange(n, dtype=np.uint64) * np.uint64(2**60 + 1), np.ones(n, np.int64)]
-    assert co._unpacked(co._packed(columns), 2, n).tolist() == [columns[0].tolist(), columns[1].tolist()]
+def test_parcels_come_back_and_two_words_with_one_hash_are_noticed(monkeypatch):
+    rng = np.random.default_rng(2)
+    task = co.Task((1, 2), 0, bucket_bits=2)
+    words = np.array([3, 5, 9, 11], np.uint64)
+    texts = pa.array(["a", "bc", "é", ""])
+    data, offsets = co.bytes_of(texts)
+    held = co._Held()
+    for _ in range(50):
+        pick = rng.integers(0, 4, 30)
+        code = rng.integers(0, 2, 30).astype(np.int32)
+        held.add(*co._add_up(words[pick] * np.uint64(7) + code.astype(np.uint64), [code, words[pick], texts.take(pa.array(pick))], np.ones(30, np.int64)))
+    for k in (1, co._BORDER + 2):
+        p, columns, counts = held.merged()
+        p = np.sort(rng.integers(0, 1 << 63, len(p), dtype=np.uint64)) if k == 1 else np.sort(task.border_hash(p << np.uint64(50)))
+        rows = list(co._parcels(task, ["en", "de"], k, p, columns, counts))
+        found = []
+        for bucket in {r[0] for r in rows}:
+            own = co._Bucket(bucket, k, 0)
+            for row in rows:
+                if row[0] == bucket:
+                    own.add(*row[2:])
+            found += own.summed(1).to_pylist()
+        if k == 1:
+            want = sorted(zip(["en" if c == 0 else "de" for c in columns[0]], columns[-1].to_pylist(), counts.tolist()))
+            assert sorted((r["lang"], r["text"], r["c"]) for r in found) == want
+        else:
+            assert sum(r["c"] for r in found) == counts.sum() and {r["w1"] for r in found} == set(p.view(np.int64).tolist())
+    monkeypatch.setattr(co, "span_hashes", lambda data, start, end, seed: (end - start).astype(np.uint64))
+    own = co._Bucket(0, 1, 0)
+    own.add(["en"], 3, co._packed([np.zeros(3, np.int64), np.ones(3, np.int64)]), ["ab", "cd", "ab"])
+    assert [r["k"] for r in own.summed(1).to_pylist()] == [co._CLASH]
 
 
 def test_threshold_of_the_sample():
