@@ -11,7 +11,7 @@ occurs ``LEAST`` times; parts of frequent phrases are frequent.
    phrase.  In the same pass it counts the negative border, which need not be
    written down: phrases that are not proposed while their two parts of one
    word less are.  Borders are wide, so theirs are counted under a hash of
-   at least 40 bits, a fifth of the bytes: no phrase occurs more often than
+   at least 33 bits, a quarter of the bytes: no phrase occurs more often than
    its hash.
 3. A word that proves frequent but was not proposed, and a phrase of the border
    whose hash reaches the threshold, are failures of the border.  They join
@@ -54,10 +54,10 @@ MISS = 0.2  #: the sample may miss a phrase of exactly ``LEAST`` occurrences wit
 MAX_BITS = 27  #: 16 MB for each level
 SLICE = 1 << 20  #: bytes of texts that are cut into words at once
 BLOCK = 1 << 16  #: words that are counted at once
-HELD = 1 << 19  #: distinct phrases that a task holds
+HELD = 1 << 20  #: distinct phrases that a task holds
 BUCKET_BYTES = 4 << 20  #: texts whose phrases one bucket counts, as the sample lets expect
 MOST_BUCKET_BITS = 20
-KEY_BITS = 40  #: of the hash under which the border is counted, besides its bucket
+KEY_BITS = 32  #: of the hash under which the border is counted, besides its bucket
 NOBODY = "und"
 
 _ENDS = byte_class((0x0A, 0x0D))
@@ -68,7 +68,8 @@ _WORDS = ["w1", "w2", "w3", "w4"]
 _KEY = ["lang", *_WORDS]
 _ROWS = "k int, lang string, w1 long, w2 long, w3 long, w4 long, text string, c long"
 #: some counted phrases of a level and a bucket, column by column
-_PARCELS = "bucket int, k int, langs array<string>, n int, numbers binary, texts array<string>"
+_PARCELS = "bucket int, k int, langs array<string>, n int, numbers binary, texts binary, text_bytes int"
+_PARCEL = ["bucket", "k", "langs", "n", "numbers", "texts", "text_bytes"]
 _BYTES, _CLASH = -1, -2  #: levels of rows that hold the bytes of texts, or two words with one hash
 _BORDER = 10  #: border hashes of phrases of k words have level 10 + k; the hash stands for the first word
 
@@ -265,8 +266,8 @@ def _parcels(task: Task, names: list[str], k: int, p: np.ndarray, columns: list,
             used, code = np.unique(columns[0][a:b], return_inverse=True)
             langs = [names[c] for c in used]
             numbers = [code.astype(np.int64), *(c[a:b] for c in columns[1 : 1 + k] if k > 1)]
-            texts = columns[-1][a:b].to_pylist() if k == 1 else None
-        yield (*head, langs, b - a, _packed([*numbers, counts[a:b]]), texts)
+            texts = "\n".join(columns[-1][a:b].to_pylist()).encode() if k == 1 else None  # no word holds a line feed
+        yield (*head, langs, b - a, _packed([*numbers, counts[a:b]]), None if texts is None else pa.compress(texts, codec="zstd", asbytes=True), len(texts or b""))
 
 
 def _counter(shared):
@@ -281,8 +282,8 @@ def _counter(shared):
         size = 0
 
         def sent(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.binary(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "k", "langs", "n", "numbers", "texts"])
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=_PARCEL)
 
         def emptied(k: int) -> Iterator[pa.RecordBatch]:
             rows = []
@@ -311,9 +312,9 @@ def _counter(shared):
         for k in list(held):
             yield from emptied(k)
         if 0 in task.levels and totals:
-            yield sent([(0, 0, [names[c]], 1, _packed([np.array([n], np.int64)]), None) for c, n in totals.items()])
+            yield sent([(0, 0, [names[c]], 1, _packed([np.array([n], np.int64)]), None, 0) for c, n in totals.items()])
         if _BYTES in task.levels and size:
-            yield sent([(0, _BYTES, [""], 1, _packed([np.array([size], np.int64)]), None)])
+            yield sent([(0, _BYTES, [""], 1, _packed([np.array([size], np.int64)]), None, 0)])
 
     return run
 
@@ -326,7 +327,7 @@ class _Bucket:
         self.code_of: dict[str, int] = {}
         self.parts: list[tuple[np.ndarray, list, np.ndarray]] = []
 
-    def add(self, langs: list[str], n: int, raw: bytes, texts: list[str] | None) -> None:
+    def add(self, langs: list[str], n: int, raw: bytes, texts: bytes | None, text_bytes: int) -> None:
         if self.k > _BORDER:
             flat = np.frombuffer(_unpacked(raw, n * (KEY_BITS // 8 + 8)), np.uint8)
             keys = _keys(flat[: n * (KEY_BITS // 8)].reshape(-1, n))
@@ -340,7 +341,7 @@ class _Bucket:
         code = code[numbers[0].astype(np.int64)] if self.k > 0 else np.repeat(code, n)
         of = list(numbers[1 : 1 + words])
         if self.k == 1:
-            text = pa.array(texts, pa.string())
+            text = pa.array(pa.decompress(texts, decompressed_size=text_bytes, codec="zstd", asbytes=True).decode().split("\n"), pa.string())
             data, offsets = bytes_of(text)
             of = [span_hashes(data, offsets[:-1], offsets[1:], self.seed), text]
             of[0][of[0] == 0] = 1
@@ -402,7 +403,7 @@ def _summed(seed: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in batches:
-            for bucket, k, *parcel in zip(*(batch.column(c).to_pylist() for c in ("bucket", "k", "langs", "n", "numbers", "texts"))):
+            for bucket, k, *parcel in zip(*(batch.column(c).to_pylist() for c in _PARCEL)):
                 if own is None or (own.bucket, own.k) != (bucket, k):
                     if own is not None and (out := own.summed(least)) is not None:
                         yield out

@@ -127,7 +127,7 @@ def test_parcels_come_back_and_two_words_with_one_hash_are_noticed(monkeypatch):
     rng = np.random.default_rng(2)
     task = co.Task((1, 2), 0, bucket_bits=2)
     words = np.array([3, 5, 9, 11], np.uint64)
-    texts = pa.array(["a", "bc", "é", ""])
+    texts = pa.array(["a", "bc", "é", "def"])
     data, offsets = co.bytes_of(texts)
     held = co._Held()
     for _ in range(50):
@@ -152,7 +152,7 @@ def test_parcels_come_back_and_two_words_with_one_hash_are_noticed(monkeypatch):
             assert sum(r["c"] for r in found) == counts.sum() and {r["w1"] for r in found} == set(p.view(np.int64).tolist())
     monkeypatch.setattr(co, "span_hashes", lambda data, start, end, seed: (end - start).astype(np.uint64))
     own = co._Bucket(0, 1, 0)
-    own.add(["en"], 3, co._packed([np.zeros(3, np.int64), np.ones(3, np.int64)]), ["ab", "cd", "ab"])
+    own.add(["en"], 3, co._packed([np.zeros(3, np.int64), np.ones(3, np.int64)]), pa.compress(b"ab\ncd\nab", codec="zstd", asbytes=True), 8)
     assert [r["k"] for r in own.summed(1).to_pylist()] == [co._CLASH]
 
 
