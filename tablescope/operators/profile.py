@@ -463,9 +463,11 @@ def _counts_only(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     )
 
 
-def build_profile(df: DataFrame, approx: bool = False) -> Profile:
+def build_profile(df: DataFrame, approx: bool = False, facts: DataFrame | None = None) -> Profile:
     """Plan (and, for numeric columns, run) the per-column jobs of one table.
 
+    ``facts`` are those of ``column_facts`` where they are known already.
+
     Exact mode: non-numeric columns get distinct counts and top values from
     a lazy aggregate over their narrow frequency table; numeric columns go
     through one range-partitioned frequency table that yields exact distinct
@@ -475,7 +477,7 @@ def build_profile(df: DataFrame, approx: bool = False) -> Profile:
     specs = column_specs(df)
     spark = _spark(df)
     specs_frame = _specs_frame(df, specs)
-    facts = column_facts(df, approx=approx)
+    facts = facts if facts is not None else column_facts(df, approx=approx)
     top_specs = [s for s in specs if s.stat_class in ("scalar", "temporal")]
     empty = literal_rows(spark, [], "ordinal int, unique_count bigint, top_value string, top_frequency bigint")
     if approx:

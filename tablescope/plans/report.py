@@ -5,8 +5,9 @@ schema, sample, summary, nulls, cardinality, correlations) for one table or
 a table set.  ``report_sections`` builds the service report - ordered
 sections ``overview, schema, sample, statistics, nulls, complete`` (or one
 ``error``) - as rows ``(seq, type, data, message)`` where ``data`` is JSON
-text; ``write_report`` stores it as JSON lines and ``read_report`` parses it
-back into typed sections, skipping lines that do not parse.
+text; ``write_report`` stores it as JSON lines, section by section, and
+``read_report`` parses it back into typed sections, skipping lines that do not
+parse.  Sections can be read while later ones run.
 
 Every section is built from aggregates whose size is bounded by the number
 of columns (or the sample size), so the JSON assembly never collects data.
@@ -14,6 +15,11 @@ of columns (or the sample size), so the JSON assembly never collects data.
 
 from __future__ import annotations
 
+import json
+import uuid
+import warnings
+from collections.abc import Iterator
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +28,7 @@ from pyspark.sql import types as T
 from ..functions.literals import literal_rows
 from ..functions.numeric import col, percent
 from ..operators import correlate, overview, profile, summarize
-from ..session import drop_scratch
+from ..session import drop_scratch, scratch_path
 from ..sources.files import Source
 
 # Section names, message and sample sizes of the report's contract.
@@ -114,14 +120,26 @@ def report_sections(src: Source, sample_rows: int = SERVICE_SAMPLE_ROWS, order_b
     return out
 
 
-def _sections_apart(src: Source, sample_rows: int, order_by: list[str] | None):
-    """The sections one by one, each planned only when it is asked for."""
-    yield 1, lambda: _overview_section(src)
-    yield 2, lambda: _schema_section(src.df)
-    yield 3, lambda: _sample_section(src.df, sample_rows, order_by)
-    yield 4, lambda: _statistics_section(src.df, profile.build_profile(src.df))
-    yield 5, lambda: _nulls_section(src.df, None)
-    yield 6, lambda: _complete_section(src.df.sparkSession)
+def _sections_apart(src: Source, sample_rows: int, order_by: list[str] | None, scratch: list[str]):
+    """The sections one by one, each planned only when it is asked for.
+
+    Statistics and NULLs share one table of facts, whose path joins ``scratch``.
+    """
+    spark = src.df.sparkSession
+
+    def facts() -> DataFrame:
+        if not scratch:
+            path = scratch_path(spark, "report-facts")
+            scratch.append(path)
+            profile.column_facts(src.df).write.parquet(path)
+        return spark.read.parquet(scratch[0])
+
+    yield "overview", lambda: _overview_section(src)
+    yield "schema", lambda: _schema_section(src.df)
+    yield "sample", lambda: _sample_section(src.df, sample_rows, order_by)
+    yield "statistics", lambda: _statistics_section(src.df, profile.build_profile(src.df, facts=facts()))
+    yield "nulls", lambda: _nulls_section(src.df, facts().select("ordinal", "rows", "non_null"))
+    yield "complete", lambda: _complete_section(spark)
 
 
 def _overview_section(src: Source) -> DataFrame:
@@ -203,30 +221,118 @@ def error_section(spark: SparkSession, message: str, seq: int = 1) -> DataFrame:
     return literal_rows(spark, [(seq, "error", None, message)], _SECTION_SCHEMA)
 
 
-def write_report(src: Source, path: str, sample_rows: int = SERVICE_SAMPLE_ROWS, order_by: list[str] | None = None) -> str:
-    """Write the service report of ``src`` as JSON lines and return the folder.
+# Files of a report folder besides its sections; readers pass over their names.
+_STAGING, _MANIFEST = "_staging", "_manifest.json"
+
+
+class ReportFolder:
+    """A report that grows by whole sections.
 
-    Sections are stored as they finish.  When one fails, an ``error`` section
-    comes after those before it.  A folder that exists already is an error,
-    so a good report is never lost to a bad one.
+    A section is written below ``_staging`` and then renamed into the folder,
+    so a reader sees all of it or nothing; the manifest, renamed into place
+    last, says that no section will follow.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.fs = self.hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.done: list[dict] = []
+
+    def at(self, *parts: str):
+        return self.hadoop.Path("/".join((self.path, *parts)))
+
+    def exists(self) -> bool:
+        return self.fs.exists(self.at())
+
+    def start(self) -> None:
+        self.fs.mkdirs(self.at(_STAGING))
+
+    def add(self, seq: int, kind: str, section: DataFrame) -> None:
+        """Commit one section."""
+        staged = f"{_STAGING}/{seq}"
+        section.coalesce(1).write.json(f"{self.path}/{staged}")
+        part = [s.getPath() for s in self.fs.listStatus(self.at(staged)) if s.getPath().getName().startswith("part-")]
+        self._move(part[0], self.at(f"{seq:02d}-{kind}.json"))
+        self.done.append({"seq": seq, "type": kind})
+
+    def finish(self, status: str) -> None:
+        """Write the manifest; nothing is left in the staging folder."""
+        staged = self.at(_STAGING, _MANIFEST)
+        out = self.fs.create(staged)
+        out.write(bytearray(json.dumps({"status": status, "sections": self.done}).encode()))
+        out.close()
+        self._move(staged, self.at(_MANIFEST))
+        self.fs.delete(self.at(_STAGING), True)
+
+    def _move(self, source, target) -> None:
+        if not self.fs.rename(source, target):
+            raise OSError(f"cannot move {source} to {target}")
+
+
+def report_status(spark: SparkSession, path: str) -> str:
+    """``running`` until the manifest is there, then ``complete`` or ``error``."""
+    folder = ReportFolder(spark, path)
+    if not folder.fs.exists(folder.at(_MANIFEST)):
+        return "running"
+    opened = folder.fs.open(folder.at(_MANIFEST))
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8"))["status"]
+    finally:
+        opened.close()
+
+
+def stream_report(src: Source, path: str, sample_rows: int = SERVICE_SAMPLE_ROWS, order_by: list[str] | None = None) -> Iterator[tuple[int, str]]:
+    """Write the service report of ``src`` section by section; yields ``(seq, type)`` after each is there to be read.
+
+    When a section fails, an ``error`` section takes its place, its cause is
+    given as a warning and the report ends.  A folder that exists already is
+    an error before anything is planned or written.
     """
     spark = src.df.sparkSession
+    folder = ReportFolder(spark, path)
+    if folder.exists():
+        raise AnalysisException(f"[PATH_ALREADY_EXISTS] {path} exists already; a report is never overwritten")
+    folder.start()
+    status, scratch = "complete", []
     try:
-        rows = report_sections(src, sample_rows, order_by)
-        rows.coalesce(1).orderBy("seq").write.mode("errorifexists").json(path)
+        for seq, (kind, section) in enumerate(_sections_apart(src, sample_rows, order_by, scratch), start=1):
+            try:
+                folder.add(seq, kind, section())
+            except Exception as exc:  # noqa: BLE001 - the report carries the error
+                warnings.warn(f"section {kind!r} of the report {path} failed: {exc}", stacklevel=2)
+                folder.fs.delete(folder.at(f"{_STAGING}/{seq}"), True)
+                kind, status = "error", "error"
+                folder.add(seq, kind, error_section(spark, str(exc), seq))
+            yield seq, kind
+            if status == "error":
+                break
+        folder.finish(status)
+    finally:
+        for made in scratch:
+            drop_scratch(spark, made)
+
+
+def write_report(src: Source, path: str, sample_rows: int = SERVICE_SAMPLE_ROWS, order_by: list[str] | None = None, replace: bool = False) -> str:
+    """Write the service report of ``src`` as JSON lines and return the folder; see ``stream_report``.
+
+    With ``replace`` an older report gives way to a complete one in one
+    rename.  A run that fails leaves it as it is, byte for byte, and raises
+    ``RuntimeError``; the failed report stays in the folder that this names.
+    """
+    spark = src.df.sparkSession
+    if not replace or not ReportFolder(spark, path).exists():
+        for _ in stream_report(src, path, sample_rows, order_by):
+            pass
         return path
-    except AnalysisException as exc:
-        if exc.getCondition() == "PATH_ALREADY_EXISTS":
-            raise
-    except Exception:  # noqa: BLE001 - found again below, section by section
-        pass
-    drop_scratch(spark, path)  # what the failed attempt left; it began with an empty folder
-    for seq, section in _sections_apart(src, sample_rows, order_by):
-        try:
-            section().coalesce(1).write.mode("append").json(path)
-        except Exception as exc:  # noqa: BLE001 - the report carries the error
-            error_section(spark, str(exc), seq).coalesce(1).write.mode("append").json(path)
-            break
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex[:12]}"
+    last = [kind for _, kind in stream_report(src, f"{beside}.new", sample_rows, order_by)][-1]
+    if last == "error":
+        raise RuntimeError(f"the report failed and {path} stays as it was; see {beside}.new")
+    new, old = ReportFolder(spark, path), ReportFolder(spark, f"{beside}.old")
+    new._move(new.at(), old.at())
+    new._move(ReportFolder(spark, f"{beside}.new").at(), new.at())
+    old.fs.delete(old.at(), True)
     return path
 
 

@@ -61,6 +61,54 @@ def test_a_report_is_not_overwritten(spark, tmpdir_path):
     assert len(report.read_report(spark, path).collect()) == 6
 
 
+def every_file(folder):
+    return {os.path.relpath(os.path.join(d, f), folder): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(folder) for f in names}
+
+
+def failing(spark, when=None):
+    src = files.open_source(spark, f"{SF001}/orders.parquet")
+    src.df = src.df.selectExpr("o_orderkey", "raise_error('boom') AS broken")
+    return src
+
+
+def test_a_failing_run_does_not_touch_a_good_report(spark, tmpdir_path):
+    good = files.open_source(spark, f"{SF001}/orders.parquet")
+    path = report.write_report(good, os.path.join(tmpdir_path, "good"), order_by=["o_orderkey"])
+    before = every_file(path)
+    with pytest.raises(AnalysisException):
+        report.write_report(failing(spark), path)
+    assert every_file(path) == before
+    with pytest.warns(UserWarning, match="boom"), pytest.raises(RuntimeError):
+        report.write_report(failing(spark), path, replace=True)
+    assert every_file(path) == before and report.report_status(spark, path) == "complete"
+
+
+def test_a_report_can_be_replaced(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "r")
+    with pytest.warns(UserWarning, match="boom"):
+        report.write_report(failing(spark), path)
+    assert report.report_status(spark, path) == "error"
+    report.write_report(files.open_source(spark, f"{SF001}/nation.parquet"), path, replace=True)
+    assert report.report_status(spark, path) == "complete" and os.listdir(tmpdir_path) == ["r"]
+    got = report.read_report(spark, path).orderBy("seq").collect()
+    assert [r.type for r in got] == report.SECTION_ORDER and got[0].overview.row_count == 25
+
+
+def test_sections_are_read_while_later_ones_run(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "grows")
+    src = files.open_source(spark, f"{SF001}/orders.parquet")
+    seen = []
+    for seq, kind in report.stream_report(src, path, order_by=["o_orderkey"]):
+        seen.append(kind)
+        assert [r.type for r in report.read_report(spark, path).orderBy("seq").collect()] == seen
+        assert report.report_status(spark, path) == "running"
+    assert seen == report.SECTION_ORDER and report.report_status(spark, path) == "complete"
+    assert not os.path.exists(os.path.join(path, "_staging"))
+    apart = {r.type: r for r in report.read_report(spark, path).collect()}
+    whole = {r.type: r for r in report.report_sections(src, order_by=["o_orderkey"]).collect()}
+    assert json.loads(whole["nulls"].data) == json.loads(json.dumps(apart["nulls"].nulls.asDict(recursive=True)))
+
+
 def test_flatten_stt_cases(spark):
     full = {
         "results": {"channels": [{"detected_language": "es", "alternatives": [{"transcript": "um show sales", "confidence": 0.9}]}]},
