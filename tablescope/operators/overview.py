@@ -15,7 +15,8 @@ def overview(src: Source) -> DataFrame:
 
     The byte size comes from the file system's summary, without a Spark job.
     """
-    size = total_bytes(src.df.sparkSession, src.path)
+    # A table of the catalog has no path of its own: Spark's statistics sum up its files.
+    size = int(src.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if src.fmt == "table" else total_bytes(src.df.sparkSession, src.path)
     return src.df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.lit(len(src.df.columns)).alias("column_count"),

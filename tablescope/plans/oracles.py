@@ -445,6 +445,7 @@ ORACLES: dict[str, str] = {
     "scan_csv": "SELECT * FROM orders",
     "scan_json": "SELECT * FROM orders",
     "list_tables": list_tables_sql(),
+    "list_database": list_tables_sql(),
     "row_count": "SELECT count(*) AS row_count FROM lineitem",
     "overview": overview_sql(),
     "schema_info": schema_info_sql(),
@@ -469,6 +470,7 @@ ORACLES: dict[str, str] = {
     "summarize_exact": summarize_exact_sql(LINEITEM_N, LINEITEM_COLS),
     "scan_csv_text": "SELECT * FROM documents",
     "scan_json_nested": "SELECT * FROM embeddings",
+    "scan_json_mixed": "SELECT * FROM conversations",
     "report_statistics": statistics_sql(ORDERS_N, ORDERS_COLS),
     "report_nulls": report_nulls_sql(),
     "report_sample": report_sample_sql(),

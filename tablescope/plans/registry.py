@@ -9,6 +9,7 @@ the last digit shown.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,6 +100,31 @@ def q_scan_json_nested(spark, sf_dir):
     return copy.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
 
 
+def q_scan_json_mixed(spark, sf_dir):
+    """``conversations`` in one folder: odd turns as lines, even ones as top-level arrays of many records."""
+    c = table(spark, sf_dir, "conversations")
+    path = scratch_path(spark, "conversations") + ".json"
+    c.filter("turn % 2 = 1 OR turn IS NULL").write.json(path)
+    even = c.filter("turn % 2 = 0")
+    groups = even.count() // 1000 + 1
+    arrays = even.groupBy(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(groups))).agg(F.collect_list(F.struct(*c.columns)).alias("rows"))
+    arrays.select(F.to_json("rows").alias("value")).write.mode("append").text(path)
+    return files.open_source(spark, path, fmt="json").df
+
+
+def q_list_database(spark, sf_dir):
+    """Row counts of the tables of a catalog database whose tables lie in ``sf_dir``."""
+    name = "tablescope_" + uuid.uuid4().hex[:12]
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch_path(spark, 'database')}'")
+    try:
+        for t in TABLES:
+            spark.sql(f"CREATE TABLE {name}.{t} USING parquet LOCATION '{sf_dir}/{t}.parquet'")
+        tables = files.open_database(spark, name)
+        return overview.table_counts(spark, {n: src.df for n, src in tables.items()})
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")  # tables of given folders; their files stay
+
+
 def q_list_tables(spark, sf_dir):
     tables = files.open_table_set(spark, sf_dir)
     return overview.table_counts(spark, {name: src.df for name, src in tables.items()})
@@ -355,7 +381,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_json": q_scan_json,
     "scan_csv_text": q_scan_csv_text,
     "scan_json_nested": q_scan_json_nested,
+    "scan_json_mixed": q_scan_json_mixed,
     "list_tables": q_list_tables,
+    "list_database": q_list_database,
     "row_count": q_row_count,
     "overview": q_overview,
     "schema_info": q_schema_info,

@@ -17,11 +17,12 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import col
+from . import stitch
 
 FORMATS = ("csv", "parquet", "json")
 _SUFFIXES = {"csv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json", "ndjson": "json"}
@@ -166,10 +167,14 @@ def sniff_csv(lines: list[str]) -> tuple[str, bool]:
     return best, not any(_NUMBER.match(f) or re.match(_DATE_TEXT, f) for f in first if f)
 
 
-def has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether any line has an odd number of double quotes, so a field goes on in the next line."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
-    return spark.read.text(path).filter(quotes % 2 == 1).limit(1).count() > 0
+def has_open_quotes(spark: SparkSession, path: str, sep: str = ",") -> bool:
+    """Whether a quoted field goes on behind the end of any line."""
+    return spark.read.text(path).filter(stitch.csv_scan(sep).opens(F.col("value"), False)).limit(1).count() > 0
+
+
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """The files that Spark reads for a path, a folder or a glob."""
+    return spark.read.text(path).inputFiles()
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool | None = None, multiline: bool | None = None) -> DataFrame:
@@ -177,7 +182,8 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
 
     A doubled quote inside a quoted field is one quote.  Quoted line breaks
     are looked for in the whole input unless ``multiline`` says whether
-    there are any; files that have them are read by one task each.  Rows
+    there are any; files that have them are rewritten in the shared scratch
+    folder with one record a line, by a task for each byte range.  Rows
     that do not have the columns of the first one raise ``ValueError``: the
     delimiter or header was guessed wrong, or the file is broken.
     """
@@ -186,16 +192,24 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
         sep = s if sep is None else sep
         header = h if header is None else header
     if multiline is None:
-        multiline = has_open_quotes(spark, path)
-    opts = {"sep": sep, "header": header, "quote": '"', "escape": '"', "multiLine": multiline, "mode": "PERMISSIVE"}
+        multiline = has_open_quotes(spark, path, sep)
+    opts = {"sep": sep, "header": header, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    names = None
+    if multiline:
+        path, head = stitch.csv_lines(spark, files_below(spark, path), sep, header)
+        if header:
+            names = [stitch.plain_breaks(n) for n in spark.read.csv(head, **opts).columns]
+            opts["header"] = False
     df = spark.read.csv(path, inferSchema=True, **opts)
+    if names and len(names) == len(df.columns):
+        df = df.toDF(*names)
     stamps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
     # Timestamps are read as text with the inferred schema (no second
     # inference pass) and parsed without a time zone, so wall-clock values in
     # a daylight-saving gap of the session zone stay as written.
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in stamps else f.dataType, True) for f in df.schema.fields])
     _refuse_misfits(spark, path, schema, opts)
-    return _widen_csv(spark.read.csv(path, schema=schema, emptyValue=_QUOTED_EMPTY, **opts), stamps)
+    return _widen_csv(spark.read.csv(path, schema=schema, emptyValue=_QUOTED_EMPTY, **opts), stamps, multiline)
 
 
 def _refuse_misfits(spark: SparkSession, path: str, schema: T.StructType, opts: dict) -> None:
@@ -214,7 +228,7 @@ def _unused_name(name: str, taken: list[str]) -> str:
     return name
 
 
-def _widen_csv(df: DataFrame, stamps: set[str]) -> DataFrame:
+def _widen_csv(df: DataFrame, stamps: set[str], marked: bool = False) -> DataFrame:
     """Integers to BIGINT; timestamp text to wall-clock timestamps.
 
     Text with an explicit offset falls back to the zoned parse, converted to
@@ -228,43 +242,73 @@ def _widen_csv(df: DataFrame, stamps: set[str]) -> DataFrame:
         elif f.name in stamps:
             c = F.coalesce(c.try_cast("timestamp_ntz"), c.try_cast("timestamp").cast("timestamp_ntz"))
         elif isinstance(f.dataType, T.StringType):
-            c = F.when(c == _QUOTED_EMPTY, "").otherwise(c)  # ``""`` is a text, nothing is NULL
+            c = F.when(c == _QUOTED_EMPTY, "").otherwise(stitch.with_breaks(c) if marked else c)  # ``""`` is a text, nothing is NULL
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
 # -------------------------------------------------------------------------- JSON
 def read_json(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
-    """JSON lines, a top-level array or one object over many lines; date strings typed.
+    """JSON lines, top-level arrays or objects over many lines; date strings typed.
 
-    Columns come in order of appearance in the first record.  An array or an
-    object over many lines is read by one task for each file.  Text that is
-    not JSON raises ``ValueError``.
+    Columns come in order of appearance in the first record.  Which of these a
+    file is, is told for each file.  Arrays and objects over many lines are
+    rewritten as lines in the shared scratch folder, by a task for each byte
+    range; ``multiline=False`` says that all files are lines.  Text that is not
+    JSON raises ``ValueError``.
     """
-    lines = [ln for ln in _first_lines(spark, path) if ln.strip()]
-    if multiline is None:
-        multiline = bool(lines) and not _is_record(lines[0])
-    df = spark.read.json(path, multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN)
+    heads = {} if multiline is False else _heads(spark, path)
+    arrays = [f for f, h in heads.items() if h.startswith("[")]
+    lines: list[str] | str = [f for f in heads if f not in set(arrays)]
+    if not arrays:
+        lines = path
+    df = spark.read.json(lines, mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN) if lines else None
+    objects = sorted(_joined_objects(spark, lines)) if heads and lines else []
+    if df is not None and _BROKEN in df.columns and multiline is not False:
+        objects = sorted({*objects, *_not_lines(spark, lines)})
+    if objects:
+        lines = [f for f in heads if f not in set(arrays) | set(objects)]
+    if arrays or objects:
+        df = spark.read.json([*lines, stitch.json_lines(spark, arrays, objects)], mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN)
     if _BROKEN in df.columns:
         raise ValueError(f"{path}: not every record is JSON")
-    order = top_level_keys("\n".join(lines))
+    order = top_level_keys(heads[min(heads)] if heads else "\n".join(_first_lines(spark, path, 1)))
     if order:
         names = [n for n in order if n in df.columns] + [n for n in df.columns if n not in order]
         df = df.select(*[col(n) for n in names])
     return type_date_strings(df)
 
 
-def _is_record(line: str) -> bool:
-    """Whether a line is an object of its own; a line that was cut counts as one."""
-    if not line.lstrip().startswith("{"):
-        return False
-    if len(line) >= _SNIFF_CHARS:
-        return True
-    try:
-        json.loads(line)
-        return True
-    except ValueError:
-        return False
+def _heads(spark: SparkSession, path: str) -> dict[str, str]:
+    """The opening of every file that is not blank, cut in the executor; a row a file reaches the driver.
+
+    A single line may be a whole file, so files are read up to closing braces.
+    """
+    first = stitch.pieces(spark, [path], "}").filter("block = 0")
+    text = F.ltrim(F.regexp_replace(F.substring("value", 1, _SNIFF_CHARS), r"^[\s\ufeff]+", ""))
+    rows = first.withColumn("text", F.concat(text, F.lit("}"))).filter(F.length(text) > 0)
+    # the record's first braces, as many as are needed to see its member names in most files
+    near = rows.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("id"))).filter(F.col("nth") <= _SNIFF_LINES)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), "")
+    return {r.file: r.text for r in near.groupBy("file").agg(F.substring(joined, 1, _SNIFF_CHARS).alias("text")).collect()}
+
+
+def _joined_objects(spark: SparkSession, paths: list[str] | str) -> list[str]:
+    """The files in which an object may follow another in the same line, where Spark would read the first only.
+
+    What looks so inside of a string counts as well: such a file takes the longer way.
+    """
+    found = stitch.pieces(spark, [paths] if isinstance(paths, str) else paths, "}").withColumn("follows", F.col("value").rlike(r"^[ \t]*\{"))
+    opening = F.min_by("follows", F.when(F.col("block") == 0, F.col("id")))  # nothing stands before a file's first piece
+    seen = found.groupBy("file").agg((F.count_if("follows") - F.coalesce(opening, F.lit(False)).cast("int")).alias("n"))
+    return [r.file for r in seen.filter("n > 0").select("file").collect()]  # files, not rows
+
+
+def _not_lines(spark: SparkSession, paths: list[str] | str) -> list[str]:
+    """The files that have a line which is no JSON object of its own."""
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    bad = rows.filter(F.col("value").rlike(r"\S") & F.json_object_keys("value").isNull())
+    return [r.file for r in bad.select("file").distinct().collect()]  # files, not rows
 
 
 def top_level_keys(text: str) -> list[str]:
@@ -347,35 +391,52 @@ def table_entries(spark: SparkSession, directory: str) -> list[tuple[str, str, s
     """Tables of a directory: ``(name, path, format)`` sorted by name.
 
     A sub-directory is one table (its part files share a format); a file with
-    a known suffix is one table named after the file.
+    a known suffix is one table named after the file.  The file system lists
+    them, without a Spark job; hidden files and folders are passed over.
     """
     root = directory.rstrip("/")
     matches(spark, root)
     hpath, fs = _file_system(spark, root)
-    prefix = fs.makeQualified(hpath).toString().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    relative = F.substring("path", len(prefix) + 1, 1 << 30)
-    suffix = F.lower(F.regexp_extract(F.element_at(F.split(relative, "/"), -1), r"\.([A-Za-z0-9]+)$", 1))
-    entries = (
-        files.filter(F.startswith(F.col("path"), F.lit(prefix)))
-        .select(F.split(relative, "/")[0].alias("entry"), suffix.alias("suffix"))
-        .groupBy("entry")
-        .agg(F.collect_set("suffix").alias("suffixes"))
-        .collect()  # one row per table entry, not per file or row
-    )
     out = []
-    for r in entries:
-        formats = sorted({_SUFFIXES[s] for s in r.suffixes if s in _SUFFIXES})
+    for status in fs.listStatus(hpath):
+        entry = status.getPath().getName()
+        if _hidden(entry):
+            continue
+        formats = sorted({f for f in _formats_below(fs, status) if f})
         if not formats:
             continue
         if len(formats) > 1:
-            raise ValueError(f"{root}/{r.entry}: files of several formats in one table: {', '.join(formats)}")
+            raise ValueError(f"{root}/{entry}: files of several formats in one table: {', '.join(formats)}")
         # ``t.parquet`` may be one file or a directory of part files
-        name = r.entry.rsplit(".", 1)[0] if suffix_format(r.entry) else r.entry
-        out.append((name, f"{root}/{r.entry}", formats[0]))
+        name = entry.rsplit(".", 1)[0] if suffix_format(entry) else entry
+        out.append((name, f"{root}/{entry}", formats[0]))
     return sorted(out)
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources do not read."""
+    return name.startswith((".", "_")) and "=" not in name
+
+
+def _formats_below(fs, status):
+    """The formats of the files of an entry, whatever the depth."""
+    if not status.isDirectory():
+        yield suffix_format(status.getPath().getName())
+        return
+    for inner in fs.listStatus(status.getPath()):
+        if not _hidden(inner.getPath().getName()):
+            yield from _formats_below(fs, inner)
+
+
+def open_database(spark: SparkSession, database: str) -> dict[str, Source]:
+    """All tables and views of a database of the session's catalog, by name."""
+    if not spark.catalog.databaseExists(database):
+        raise ValueError(f"no such database: {database}")
+    found = [t for t in spark.catalog.listTables(database) if not t.isTemporary]
+    quoted = lambda n: "`" + n.replace("`", "``") + "`"
+    return {t.name: Source(t.name, f"{database}.{t.name}", "table", spark.table(f"{quoted(database)}.{quoted(t.name)}")) for t in sorted(found, key=lambda t: t.name)}
+
+
 def open_table_set(spark: SparkSession, directory: str) -> dict[str, Source]:
     """All tables of a directory, by name (first by name is the default)."""
     return {name: open_source(spark, path, fmt, name=name) for name, path, fmt in table_entries(spark, directory)}

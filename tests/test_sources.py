@@ -180,6 +180,36 @@ def test_table_of_several_formats_is_refused(spark, tmpdir_path):
         files.open_table_set(spark, os.path.join(tmpdir_path, "s"))
 
 
+def test_listing_takes_no_job(spark, tmpdir_path):
+    base = os.path.join(tmpdir_path, "deep")
+    spark.range(4).selectExpr("id", "id % 2 AS p").write.partitionBy("p").parquet(os.path.join(base, "parted"))
+    os.makedirs(os.path.join(base, "_hidden"))
+    write(os.path.join(base, "_hidden", "x.csv"), "a\n1\n")
+    write(os.path.join(base, "notes.txt"), "x")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        assert [(n, f) for n, _, f in files.table_entries(spark, base)] == [("parted", "parquet")]
+        assert not tracker.getJobIdsForGroup("listing")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert files.open_table_set(spark, base)["parted"].df.count() == 4
+
+
+def test_database_of_the_catalog(spark, tmpdir_path):
+    spark.sql(f"CREATE DATABASE some_db LOCATION '{tmpdir_path}/db'")
+    try:
+        spark.range(3).selectExpr("id", "'x' AS s").write.saveAsTable("some_db.beta")
+        spark.sql("CREATE VIEW some_db.alpha AS SELECT id FROM some_db.beta WHERE id > 0")
+        tables = files.open_database(spark, "some_db")
+        assert {n: s.df.count() for n, s in tables.items()} == {"alpha": 2, "beta": 3} and files.default_table(tables).name == "alpha"
+        assert overview.overview(tables["beta"]).first().row_count == 3
+    finally:
+        spark.sql("DROP DATABASE some_db CASCADE")
+    with pytest.raises(ValueError, match="no such database"):
+        files.open_database(spark, "some_db")
+
+
 def test_register(spark, tmpdir_path):
     files.open_source(spark, write(os.path.join(tmpdir_path, "r.csv"), "a\n1\n2\n")).register("registered_rows")
     assert spark.sql("SELECT sum(a) AS s FROM registered_rows").first().s == 3
