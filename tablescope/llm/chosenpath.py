@@ -32,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import byte_slices, bytes_of, mix, shingles, word_hashes
+from .common import byte_slices, bytes_of, mix, shingles, unused_name, word_hashes
 from .components import components
+from .hotjoin import join_hot, only_members
+from .scratch import Scratch
 
 SIMILAR = 0.8
 RECALL = 0.999  #: of a pair at the threshold along the longest path
@@ -192,22 +194,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(uid[root]), pa.array(links)], names=["u", "v", "links"])
 
 
-def _split(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The leaves of all runs: rows (run, path, uid) of small ones, edges of those that stayed large."""
-    spark = classes.sparkSession
     runs = runs_for()
-
-    def keep(rows: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "paths")
-        rows.write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path)
-
     first = classes.select("uid", F.posexplode(F.slice("sig", 1, runs)).alias("run", "value"))
     nodes = first.select("uid", "run", F.xxhash64("run", "value").alias("path"))
     small, dense = None, None
     for depth in range(DEPTH + 1):
         sized = nodes.groupBy("run", "path").agg(F.count("*").alias("held"), F.min("uid").alias("low")).filter("held > 1")
-        known = keep(nodes.join(sized, ["run", "path"]))
+        sized = scratch.keep(sized, "paths-sizes")
+        # A node that cannot be split holds all its classes again and again: it must not meet in one task.
+        known = join_hot(nodes, sized, ["run", "path"], counts=sized.select("run", "path", F.col("held").alias("n")))
+        known = scratch.keep(known, "paths")
         leaves = known.filter(F.col("held") <= LEAF).select("run", "path", "uid")
         small = leaves if small is None else small.union(leaves)
         large = known.filter(F.col("held") > LEAF)
@@ -215,7 +213,8 @@ def _split(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             dense = large.select(F.col("uid").alias("u"), F.col("low").alias("v"))
         else:
             chosen = F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(COORDINATES)).cast("int")
-            nodes = large.join(classes.select("uid", "sig"), "uid").select("uid", "run", F.xxhash64("path", chosen, F.get("sig", chosen)).alias("path"))
+            split = large.join(classes.select("uid", "sig").hint("merge"), "uid")
+            nodes = scratch.keep(split.select("uid", "run", F.xxhash64("path", chosen, F.get("sig", chosen)).alias("path")), "paths-split")
     return small, dense
 
 
@@ -241,41 +240,43 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     path = scratch_path(spark, "jaccard-sets")
     rows.mapInArrow(_sets, _SETS).write.option("compression", "zstd").parquet(path)
     sets = spark.read.schema(_SETS).parquet(path)
+    scratch = Scratch(spark)
     narrow = sets.select("uid", "doc_id", F.when(F.col("n") > 0, F.lit(0)).otherwise(F.col("uid")).alias("alone"), "k1", "k2", "n")
     same = ["k1", "k2", "n", "alone"]
     head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
-    copies_path = scratch_path(spark, "jaccard-copies")
-    narrow.groupBy(*same).agg(F.min("uid").alias("rep"), F.count("*").alias("weight"), head.alias("head")).write.parquet(copies_path)
-    copies = spark.read.parquet(copies_path)
+    copies = scratch.keep(narrow.groupBy(*same).agg(F.min("uid").alias("rep"), F.count("*").alias("weight"), head.alias("head")), "jaccard-copies")
     reps = copies.filter("n > 0").select(F.col("rep").alias("uid"), "weight")
-    classes_path = scratch_path(spark, "jaccard-classes")
-    sets.select("uid", "n", "sig").join(reps, "uid").write.parquet(classes_path)
-    classes = spark.read.parquet(classes_path)
+    classes = scratch.keep(sets.select("uid", "n", "sig").join(reps.hint("merge"), "uid"), "jaccard-classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    small, dense = _split(classes)
-    compared = small.join(classes.select("uid", "n", "sig"), "uid").repartition(parts, "run", "path").sortWithinPartitions("run", "path")
+    small, dense = _split(classes, scratch)
+    compared = small.join(classes.select("uid", "n", "sig").hint("merge"), "uid").repartition(parts, "run", "path").sortWithinPartitions("run", "path")
     alike = compared.select("run", "path", "uid", "n", "sig").mapInArrow(_leaves, "u long, v long")
     labels = components(alike.union(dense))
 
-    held = labels.groupBy("label").agg(F.count("*").alias("held"))
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    dealt = labels.join(held, "label").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = labels.groupBy("label").agg(F.count("*").alias("n"))
+    of_label = held.select("label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = join_hot(labels, of_label, ["label"], counts=held).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = dealt.select("label", F.col("node").alias("uid"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("label", F.least("b", "other").alias("bi"), F.greatest("b", "other").alias("bj"), "b", "uid")
+    # Few texts are members of any component: the others are left where they lie, and the plan is one at every size.
     members = labels.select(F.col("node").alias("uid"))
-    texts = sets.select("uid", "text").join(members, "uid").join(reps, "uid")
-    checked = cells.join(texts, "uid").repartition(parts, "label", "bi", "bj").sortWithinPartitions("label", "bi", "bj")
-    verified_path = scratch_path(spark, "jaccard-links")
-    checked.select("label", "bi", "bj", "b", "uid", "weight", "text").mapInArrow(_verify, "u long, v long, links long").write.parquet(verified_path)
-    verified = spark.read.schema("u long, v long, links long").parquet(verified_path)
+    texts = only_members(sets.select("uid", "text"), members, "uid").join(members.hint("merge"), "uid")
+    texts = texts.join(classes.select("uid", "weight").hint("merge"), "uid")
+    checked = cells.join(texts.hint("merge"), "uid").repartition(parts, "label", "bi", "bj").sortWithinPartitions("label", "bi", "bj")
+    checked = checked.select("label", "bi", "bj", "b", "uid", "weight", "text").mapInArrow(_verify, "u long, v long, links long")
+    verified = scratch.keep(checked, "jaccard-links")
     links = verified.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(verified.filter("u != v").select("u", "v")).select(F.col("node").alias("rep"), "label")
 
-    of_class = copies.join(links, "rep", "left").join(joined, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    heads = of_class.groupBy("label").agg(F.min("head").alias("top"))
-    per_copy = of_class.join(heads, "label").select(*same, "weight", "head", "top", F.coalesce("links", F.lit(0)).alias("links"))
-    found = narrow.join(per_copy, same)
+    of_class = copies.join(links.hint("merge"), "rep", "left").join(joined.hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    of_class = scratch.keep(of_class, "jaccard-labelled")
+    heads = scratch.keep(of_class.groupBy("label").agg(F.min("head").alias("top"), F.count("*").alias("n")), "jaccard-heads")
+    per_copy = join_hot(of_class, heads.drop("n"), ["label"], counts=heads.select("label", "n"))
+    per_copy = per_copy.select(*same, "weight", "head", "top", F.coalesce("links", F.lit(0)).alias("links"))
+    per_copy = scratch.keep(per_copy, "jaccard-classes-labelled", temporary=False)
+    scratch.drop()
+    found = join_hot(narrow, per_copy, same, counts=per_copy.select(*same, "weight"), size="weight")
     return found.select(
         "uid",
         "doc_id",
@@ -295,7 +296,8 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """One row of ``docs`` of each class of links, with all its columns; ``docs`` is read from files."""
     spark = docs.sparkSession
     path = scratch_path(spark, "jaccard-dropped")
-    groups(docs, text, key).filter(~F.col("first")).select(F.col("uid").alias("__uid")).write.parquet(path)
+    uid = unused_name("__uid", docs.columns)
+    groups(docs, text, key).filter(~F.col("first")).select(F.col("uid").alias(uid)).write.parquet(path)
     # The list grows with the corpus: a sort-merge join at every size, never a broadcast.
-    dropped = spark.read.schema("__uid long").parquet(path).hint("merge")
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(dropped, "__uid", "left_anti").drop("__uid")
+    dropped = spark.read.schema(f"{uid} long").parquet(path).hint("merge")
+    return docs.withColumn(uid, F.monotonically_increasing_id()).join(dropped, uid, "left_anti").drop(uid)

@@ -39,9 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import drop_scratch, scratch_path
 from .common import byte_slices, bytes_of, mix
 from .hotjoin import join_hot
+from .scratch import Scratch
 from .spans import FOLD, byte_class, span_hashes, word_spans
 
 LEAST = 30
@@ -493,25 +493,7 @@ def _bucket_bits(spark: SparkSession, size: int) -> int:
 
 
 # ---------------------------------------------------------------------- mining
-class _Scratch:
-    """Tables in the shared scratch folder that can be dropped together."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def keep(self, rows: DataFrame, label: str, temporary: bool = True) -> DataFrame:
-        path = scratch_path(self.spark, label)
-        rows.write.parquet(path)
-        if temporary:
-            self.paths.append(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def drop(self) -> None:
-        for path in self.paths:
-            drop_scratch(self.spark, path)
-
-
-def propose(sample: DataFrame, least: int, seed: int, scratch: _Scratch) -> tuple[Filters, int]:
+def propose(sample: DataFrame, least: int, seed: int, scratch: Scratch) -> tuple[Filters, int]:
     """Filters of what is frequent in a sample, level by level, and its bytes; the longest phrases need no filter."""
     filters, size = None, 0
     for level in range(1, LONGEST):
@@ -532,7 +514,7 @@ def frequent(texts: DataFrame, sample: DataFrame, least: int = LEAST, lowered_le
     ``texts`` and ``sample`` have the columns ``lang`` and ``text``; the sample
     decides what is counted in which pass, never the result.
     """
-    scratch = _Scratch(texts.sparkSession)
+    scratch = Scratch(texts.sparkSession)
     filters, size = propose(sample, lowered_least or lowered(least), seed, scratch)
     bucket_bits = _bucket_bits(texts.sparkSession, size * SAMPLE)
     full = _counts(texts, Task((0, *range(1, LONGEST + 1)), seed, filters, True, None, bucket_bits), least)
@@ -624,7 +606,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     phrases, gives no rows.  Other columns are not looked at.
     """
     spark = docs.sparkSession
-    scratch = _Scratch(spark)
+    scratch = Scratch(spark)
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(NOBODY)).alias("lang"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),

@@ -23,6 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column is called so in any case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def id_remainder(doc_id: Column, n: int) -> Column:
     """``crc32(doc_id as text) mod n``; a NULL id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

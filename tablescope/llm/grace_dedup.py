@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import SPACE_CLASS, byte_slices
+from .common import SPACE_CLASS, byte_slices, unused_name
 
 TABLE_BYTES = 24 << 20  #: text bytes that one open-addressing table may hold
 FAN_OUT_BITS = 6  #: each dealing splits a bucket in 2**6
@@ -234,5 +234,6 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     alike.
     """
     # The list grows with the corpus: a sort-merge join at every size, never a broadcast.
-    kept = assign(docs, text, key).filter("kept").select(F.col("uid").alias("__uid")).hint("merge")
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, "__uid", "left_semi").drop("__uid")
+    uid = unused_name("__uid", docs.columns)
+    kept = assign(docs, text, key).filter("kept").select(F.col("uid").alias(uid)).hint("merge")
+    return docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, uid, "left_semi").drop(uid)

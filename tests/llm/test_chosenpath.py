@@ -120,3 +120,9 @@ def test_nulls_ties_empty_and_clashes(spark, corpus):
     kept = cp.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == 7
     assert cp.join(spark.read.parquet(f"{corpus([], 'none')}/documents.parquet")).collect() == []
+
+
+def test_a_column_called_like_the_row_number_stays(spark, corpus):
+    docs = spark.read.parquet(f"{corpus([(1, 'a b'), (2, 'a b'), (3, 'b')], 'uid')}/documents.parquet").selectExpr("*", "doc_id * 10 AS __uid", "1 AS __at")
+    kept = cp.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r["__uid"]) for r in kept.collect()) == [(1, 10), (3, 30)]

@@ -61,3 +61,9 @@ def test_empty_table_and_clashing_columns(spark, corpus):
     kept = gd.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
     assert len(gd.deduplicate(docs).collect()) == 3
+
+
+def test_a_column_called_like_the_row_number_stays(spark, corpus):
+    docs = spark.read.parquet(f"{corpus([(1, 'a'), (2, 'a'), (3, 'b')], 'uid')}/documents.parquet").selectExpr("*", "doc_id * 10 AS __UID")
+    kept = gd.keep_first(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r["__UID"]) for r in kept.collect()) == [(1, 10), (3, 30)]
