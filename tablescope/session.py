@@ -8,9 +8,11 @@ as is: a folder on one machine would lose what the others write.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -77,3 +79,28 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(hpath, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once a session, so that they find it from any folder.
+
+    An archive of its modules goes to the shared scratch folder and from there
+    to every worker.  Where the package is installed on the workers this is not needed.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tablescope_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    target = scratch_path(spark, "package") + ".zip"
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).create(hpath)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    sc._tablescope_shipped = True
