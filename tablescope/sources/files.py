@@ -199,7 +199,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
         path, head = stitch.csv_lines(spark, files_below(spark, path), sep, header)
         if header:
             names = [stitch.plain_breaks(n) for n in spark.read.csv(head, **opts).columns]
-            opts["header"] = False
+            opts["header"] = path == head  # then there is no record
     df = spark.read.csv(path, inferSchema=True, **opts)
     if names and len(names) == len(df.columns):
         df = df.toDF(*names)

@@ -183,7 +183,7 @@ def json_lines(spark: SparkSession, arrays: list[str], objects: list[str]) -> st
         if left:
             raise ValueError(f"{left[0].file}: not every record is JSON: {left[0].t!r}")
         line = F.regexp_replace(F.regexp_replace(F.col("text"), start, ""), r"[\r\n]+", " ")  # strings hold no line break
-        found.filter("whole").select(F.concat(line, F.lit("}")).alias("value")).write.mode("append").text(target)
+        found.filter("whole").select(F.concat(line, F.lit("}")).alias("value")).write.mode("append").option("compression", "gzip").text(target)
         drop_scratch(spark, path)
     return target
 
@@ -213,29 +213,39 @@ def csv_scan(sep: str) -> Scan:
     return Scan("\n", open_after, lambda value, inside: F.lit(0).cast("long"), False)
 
 
+_HEAD = "\x02h"
 _BREAKS = [("\x02", "\x02s"), ("\n", "\x02n"), ("\r", "\x02r")]
 
 
 def csv_lines(spark: SparkSession, paths: list[str], sep: str, header: bool) -> tuple[str, str | None]:
     """Rewrites CSV as one record a line; returns the folder and, with ``header``, that of the first file's header.
 
+    Each task writes a file of its own, compressed, since as many tasks will read them.
+
     Line breaks inside of fields are marks; ``with_breaks`` brings them back.
     """
     found = records(spark, paths, csv_scan(sep), F.lit(0))
     text = F.regexp_replace(F.col("text"), r"\r$", "")
     for a, b in _BREAKS:
         text = F.replace(text, F.lit(a), F.lit(b))
-    path = scratch_path(spark, "csv-records")
-    found.select("file", "nth", text.alias("value")).write.parquet(path)
-    found = spark.read.parquet(path)
-    target, head = scratch_path(spark, "csv-lines"), None
-    if header:
-        head = scratch_path(spark, "csv-header")
-        found.filter("nth = 0").orderBy("file").limit(1).select("value").coalesce(1).write.text(head)
-        found = found.filter("nth > 0")
-    found.select("value").write.text(target)
-    drop_scratch(spark, path)
-    return target, head
+    # One pass writes both: headers with the name of their file before them, records as they are.
+    is_head = (F.col("nth") == 0) if header else F.lit(False)
+    lines = found.select(F.when(is_head, F.concat("file", F.lit(_HEAD), text)).otherwise(text).alias("value"), is_head.cast("int").alias("head"))
+    target = scratch_path(spark, "csv-lines")
+    lines.write.partitionBy("head").option("compression", "gzip").text(target)
+    if not header:
+        return f"{target}/head=0", None
+    heads = spark.read.text(f"{target}/head=1").select(F.split("value", _HEAD).alias("v"))
+    head = scratch_path(spark, "csv-header")
+    heads.select(F.col("v")[0].alias("file"), F.col("v")[1].alias("value")).orderBy("file").limit(1).select("value").coalesce(1).write.text(head)
+    if heads.count() and not matches_any(spark, f"{target}/head=0"):
+        return head, head  # a header and no record
+    return f"{target}/head=0", head
+
+
+def matches_any(spark: SparkSession, path: str) -> bool:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
 def with_breaks(value: Column) -> Column:

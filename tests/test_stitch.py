@@ -107,3 +107,12 @@ def test_a_record_longer_than_a_range(spark, tmp_path, small_ranges):
     (tmp_path / "long.csv").write_text(csv_text([(1, "a", "b"), (2, long, "c"), (3, "d", "e\nf")]))
     got = {r.id: (r.note, r.last) for r in files.open_source(spark, str(tmp_path / "long.csv")).df.collect()}
     assert got == {1: ("a", "b"), 2: (long, "c"), 3: ("d", "e\nf")}
+
+
+def test_a_header_over_lines_without_a_record(spark, tmp_path):
+    (tmp_path / "head.csv").write_text('id,"no\nte"\n')
+    df = files.open_source(spark, str(tmp_path / "head.csv"), sep=",", header=True).df
+    assert df.columns == ["id", "no\nte"] and df.count() == 0
+    (tmp_path / "head2.csv").write_text('id,"no\nte"\n1,x\n')
+    df = files.open_source(spark, str(tmp_path / "head2.csv"), sep=",", header=True).df
+    assert df.columns == ["id", "no\nte"] and [tuple(r) for r in df.collect()] == [(1, "x")]
