@@ -17,7 +17,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -272,7 +272,7 @@ def read_json(spark: SparkSession, path: str, multiline: bool | None = None) ->
         df = spark.read.json([*lines, stitch.json_lines(spark, arrays, objects)], mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN)
     if _BROKEN in df.columns:
         raise ValueError(f"{path}: not every record is JSON")
-    order = top_level_keys(heads[min(heads)] if heads else "\n".join(_first_lines(spark, path, 1)))
+    order = top_level_keys(_head_text(spark, min(heads)) if heads else "\n".join(_first_lines(spark, path, 1)))
     if order:
         names = [n for n in order if n in df.columns] + [n for n in df.columns if n not in order]
         df = df.select(*[col(n) for n in names])
@@ -280,17 +280,25 @@ def read_json(spark: SparkSession, path: str, multiline: bool | None = None) ->
 
 
 def _heads(spark: SparkSession, path: str) -> dict[str, str]:
-    """The opening of every file that is not blank, cut in the executor; a row a file reaches the driver.
+    """The first character of every file that is not blank; a row a file reaches the driver.
 
     A single line may be a whole file, so files are read up to closing braces.
     """
+    first = _openings(spark, path).select("file", "id", F.substring("text", 1, 1).alias("text"))
+    return {r.file: r.text for r in first.groupBy("file").agg(F.min_by("text", "id").alias("text")).collect()}
+
+
+def _openings(spark: SparkSession, path: str) -> DataFrame:
+    """Pieces of the first byte range of every file that are not blank, each cut and without space before it."""
     first = stitch.pieces(spark, [path], "}").filter("block = 0")
-    text = F.ltrim(F.regexp_replace(F.substring("value", 1, _SNIFF_CHARS), r"^[\s\ufeff]+", ""))
-    rows = first.withColumn("text", F.concat(text, F.lit("}"))).filter(F.length(text) > 0)
-    # the record's first braces, as many as are needed to see its member names in most files
-    near = rows.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("id"))).filter(F.col("nth") <= _SNIFF_LINES)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), "")
-    return {r.file: r.text for r in near.groupBy("file").agg(F.substring(joined, 1, _SNIFF_CHARS).alias("text")).collect()}
+    text = F.regexp_replace(F.substring("value", 1, _SNIFF_CHARS), r"^[\s\ufeff]+", "")
+    return first.select("file", "id", F.concat(text, F.lit("}")).alias("text"), text.alias("bare")).filter("bare <> ''")
+
+
+def _head_text(spark: SparkSession, file: str) -> str:
+    """The opening of one file: as many braces as are needed to see its member names in most cases."""
+    rows = _openings(spark, file).orderBy("id").limit(_SNIFF_LINES).select("text").collect()
+    return "".join(r.text for r in rows)[:_SNIFF_CHARS]
 
 
 def _joined_objects(spark: SparkSession, paths: list[str] | str) -> list[str]:
