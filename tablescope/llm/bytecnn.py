@@ -151,7 +151,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray | None = Non
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, text: str = "text", key: str = "doc_id") -> Network:
     """Fit on at most ``TRAIN_PER_CLASS`` labelled documents of each class; others count by weight."""
-    sample, counts = labelled_sample(docs, labels, label, learn, TRAIN_PER_CLASS, TRAIN_BYTES, text, key)
+    sample, counts = labelled_sample(docs, labels, label, learn, TRAIN_PER_CLASS, F.substring(text, 1, TRAIN_BYTES), text, key)
     y = np.array([s[1] for s in sample], float)
     drawn = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     total = max(1, sum(counts.values()))

@@ -37,13 +37,13 @@ def id_remainder(doc_id: Column, n: int) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, text_chars: int, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, view: Column, text: str = "text", key: str = "doc_id"
 ) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """At most ``per_class`` labelled texts of each class 0 and 1, and the size of each class.
 
     ``learn`` is a condition on the columns of ``docs``.  Rows are taken in
     the order of a hash of their id, so the sample does not depend on files
-    or partitions.  No more than ``text_chars`` characters of a text travel.
+    or partitions.  ``view`` is what of a text travels.
     """
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("y"))
     usable = docs.filter(learn & F.col(text).isNotNull())
@@ -58,7 +58,7 @@ def labelled_sample(
     if not taken:
         return [], counts
     ids = docs.sparkSession.createDataFrame([(r["__id"], r.y, r.h) for r in taken], both.select("__id", "y", "h").schema)
-    texts = usable.select(F.col(key).alias("__id"), F.substring(text, 1, text_chars).alias("t")).join(F.broadcast(ids.distinct()), "__id")
+    texts = usable.select(F.col(key).alias("__id"), view.alias("t")).join(F.broadcast(ids.distinct()), "__id")
     rows = texts.limit(4 * per_class + 1000).collect()
     return [(r.t, r.y) for r in sorted(rows, key=lambda r: (r.y, r.h, r.t))], counts
 

@@ -6,23 +6,28 @@ insult with inserted or gapped characters stays near to itself.  Landmarks
 chosen by pivoted Cholesky make it a finite map (Nyström), on which a linear
 support vector machine is trained.
 
+Both borders of a word are symbols of their own, so a clean word that begins or
+ends like an insult is told from it.
+
 Labels are of documents, so training is multiple-instance: a toxic sentence
 has at least one toxic word.  The first witnesses are words that toxic texts
-prefer; then each round takes the highest scored word of every toxic text
-and adds the highest scored words of clean texts as negatives.
+prefer; then each round takes the highest scored words of every toxic text
+and adds the highest scored words of clean texts as negatives.  A word counts
+by its texts, and a word of both classes is an example of both.
 
 Scoring folds landmarks and weights into one table over subsequences, which is
-the same function; every distinct word of a slice is scored once.  A
-document's margin is that of its worst word, through a logistic curve fitted
-on the training texts.  Single letters in a row (``i d i o t``) also count as
-one word.
+the same function; every distinct word of a slice is scored once.  A logistic
+curve of the margins of a document's ``WORST`` worst distinct words, fitted
+on the training texts at the true shares of the classes, gives its score: one
+sure insult is enough, and so are several words that clean texts use now and
+then.  Single letters in a row (``i d i o t``) also count as one word.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -30,18 +35,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, bytes_of, labelled_sample, word_hashes
+from .common import SPACE_CLASS, byte_slices, bytes_of, labelled_sample, word_hashes
 
 ORDER = 3
 DECAY = 0.7
-CLASSES = 32
-LONGEST = 24  #: longer words are compared in windows of this size that overlap by half
+CLASSES = 34
+OPEN, CLOSE = 32, 33  #: symbols of the borders of a word
+LONGEST = 24  #: symbols with borders; longer words are compared in windows of this size that overlap by half
 LANDMARKS = 240  #: of toxic words, and half as many of clean words
-ROUNDS = 3
-TRAIN_PER_CLASS = 1500  #: labelled documents of each class that the machine is fitted on
-TRAIN_CHARS = 16_384  #: of one document that the fitting looks at
+ROUNDS = 4  #: at most
+FLAGGED = 0.001  #: part of the clean training texts with a word of positive margin at which rounds end
+WORST = 3  #: distinct words of a text that its score rests on
+LEAST, MOST = -1.0, 1.5  #: margins count between these
+NEAR = -0.4  #: margin from which a high scored word of a toxic text is taken for a witness
+TRAIN_PER_CLASS = 3000  #: labelled documents of each class that the machine is fitted on
 NEGATIVES = 4000  #: words of clean texts that the machine is fitted on
-PENALTY = 10_000.0  #: of each class, shared by its words
+PENALTY = 20_000.0  #: shared by all words, toxic and clean
 PREFERRED = 2.5  #: log odds by which toxic texts prefer a first witness
 CERTAIN = 2.0  #: nats of evidence beyond the log of the number of words tried
 PART = 5  #: bytes of a stem
@@ -55,8 +64,13 @@ _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27 + np.arange(128, 256) % 5
 
 
+def _bordered(letters: np.ndarray) -> np.ndarray:
+    """The symbols between their borders; fewer than ``ORDER`` stay without."""
+    return np.concatenate([[OPEN], letters, [CLOSE]]).astype(np.uint8) if len(letters) >= ORDER else letters
+
+
 def encode(words: list[bytes]) -> list[np.ndarray]:
-    return [s[s > 0] for s in (_SYMBOL[np.frombuffer(w, np.uint8)] for w in words)]
+    return [_bordered(s[s > 0]) for s in (_SYMBOL[np.frombuffer(w, np.uint8)] for w in words)]
 
 
 def _windows(codes: np.ndarray) -> list[np.ndarray]:
@@ -167,16 +181,19 @@ def train_linear(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.nda
     return w[:-1], float(w[-1])
 
 
-def logistic_curve(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """(slope, base) of the probability of label 1 by margin."""
-    a = np.array([1.0, 0.0])
-    x = np.column_stack([margin, np.ones(len(margin))])
-    for _ in range(50):
+def logistic_curve(worst: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """(slopes, base) of the log odds of label 1 by margins; no slope is negative."""
+    a = np.zeros(worst.shape[1] + 1)
+    x = np.column_stack([worst, np.ones(len(worst))])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-(x @ a).clip(-30, 30)))
         grad = x.T @ (weight * (p - label)) + 1e-2 * a
-        hess = (x.T * (weight * p * (1 - p))) @ x + np.diag([1e-2, 1e-2])
-        a = a - np.linalg.solve(hess, grad).clip(-2, 2)
-    return float(a[0]), float(a[1])
+        hess = (x.T * (weight * p * (1 - p))) @ x + 1e-2 * np.eye(len(a))
+        free = (a > 0) | (grad < 0)
+        free[-1] = True
+        a[free] -= np.linalg.solve(hess[np.ix_(free, free)], grad[free]).clip(-2, 2)
+        a[:-1] = np.maximum(a[:-1], 0)
+    return a[:-1], float(a[-1])
 
 
 @dataclass
@@ -185,7 +202,7 @@ class Machine:
 
     table: np.ndarray
     base: float
-    slope: float = 1.0
+    slopes: np.ndarray = field(default_factory=lambda: np.ones(WORST))
     offset: float = 0.0
 
     def margins(self, codes: list[np.ndarray]) -> np.ndarray:
@@ -204,17 +221,38 @@ class Machine:
             out[i : i + block] = (self.table[u] @ weight) / np.sqrt(self_kernel(array[i : i + block]))
         return out + self.base
 
-    def text_margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The largest margin of the words of each whole text."""
-        out = np.full(len(offsets) - 1, min(self.base, -1.0))
+    def word_margins(self, codes: list[np.ndarray]) -> np.ndarray:
+        """Margins of words of any length: that of the worst window."""
+        parts = [_windows(c) for c in codes]
+        if not parts:
+            return np.zeros(0)
+        return np.maximum.reduceat(self.margins([w for p in parts for w in p]), np.cumsum([0, *map(len, parts[:-1])]))
+
+    def worst(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """[text, k]: the ``WORST`` largest margins of the distinct words of each whole text, worst first."""
+        out = np.full((len(offsets) - 1, WORST), LEAST)
         hashes, word_at, start, end = word_hashes(data, offsets, lower=True, spans=True)
-        if len(hashes):
-            _, first, where = np.unique(hashes, return_index=True, return_inverse=True)
-            worst = self._distinct(data, start[first], end[first])[where]
-            full = np.flatnonzero(np.diff(word_at))
-            out[full] = np.maximum(out[full], np.maximum.reduceat(worst, word_at[full]))
-            self._spelled(data, start, end, word_at, out)
-        return out
+        if not len(hashes):
+            return out
+        _, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        margin = self._distinct(data, start[first], end[first])
+        rows = np.flatnonzero((margin > LEAST)[where])
+        text = np.searchsorted(word_at, rows, "right") - 1
+        pair = np.unique(text * len(first) + where[rows])
+        text, margin = pair // len(first), margin[pair % len(first)]
+        spelled = self._spelled(data, start, end, word_at)
+        text = np.concatenate([text, [t for t, _ in spelled]]).astype(np.int64)
+        margin = np.concatenate([margin, [m for _, m in spelled]])
+        order = np.lexsort((-margin, text))
+        text, margin = text[order], margin[order]
+        rank = np.arange(len(text)) - np.searchsorted(text, text)
+        top = rank < WORST
+        out[text[top], rank[top]] = margin[top]
+        return out.clip(LEAST, MOST)
+
+    def text_margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The log odds of each whole text."""
+        return self.worst(data, offsets) @ self.slopes + self.offset
 
     def _distinct(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Margins of the words at these places."""
@@ -223,93 +261,99 @@ class Machine:
         letters = symbols[symbols > 0]
         at, size = count[start], count[end] - count[start]
         out = np.full(len(start), self.base)
-        for n in range(ORDER, LONGEST + 1):
+        for n in range(ORDER, LONGEST - 1):
             rows = np.flatnonzero(size == n)
             if len(rows):
-                out[rows] = self.margins_of(letters[at[rows][:, None] + np.arange(n)].astype(np.int64))
-        for r in np.flatnonzero(size > LONGEST):
-            out[r] = self.margins(_windows(letters[at[r] : at[r] + size[r]])).max()
+                array = np.full((len(rows), n + 2), OPEN, np.int64)
+                array[:, 1:-1], array[:, -1] = letters[at[rows][:, None] + np.arange(n)], CLOSE
+                out[rows] = self.margins_of(array)
+        for r in np.flatnonzero(size > LONGEST - 2):
+            out[r] = self.margins(_windows(_bordered(letters[at[r] : at[r] + size[r]]))).max()
         return out
 
-    def _spelled(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, word_at: np.ndarray, out: np.ndarray) -> None:
-        """Raise the margins of texts that spell words letter by letter."""
+    def _spelled(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, word_at: np.ndarray) -> list[tuple[int, float]]:
+        """(text, margin) of the words that texts spell letter by letter."""
         single = (end - start) == 1
         if not single.any():
-            return
+            return []
         edge = np.zeros(len(single) + 1, bool)
         edge[word_at] = True
         opens = single & (edge[:-1] | np.concatenate([[True], ~single[:-1]]))
         closes = single & (edge[1:] | np.concatenate([~single[1:], [True]]))
         first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        units: dict[tuple[int, bytes], float] = {}
         for a, b in zip(first[last - first >= SPELLED], last[last - first >= SPELLED]):
-            codes = _SYMBOL[data[start[a:b]]]
-            text = np.searchsorted(word_at, a, "right") - 1
-            out[text] = max(out[text], self.margins(_windows(codes[codes > 0])).max())
+            letters = _SYMBOL[data[start[a:b]]]
+            key = int(np.searchsorted(word_at, a, "right") - 1), letters.tobytes()
+            if key not in units:
+                units[key] = float(self.margins(_windows(_bordered(letters[letters > 0]))).max())
+        return [(t, m) for (t, _), m in units.items()]
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * margin + self.offset).clip(-500, 500)))
+        return 1 / (1 + np.exp(-np.asarray(margin).clip(-500, 500)))
 
 
 def _words(text: str) -> set[bytes]:
     return set(text.lower().encode().split())
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 11) -> Machine:
-    """Train on labelled texts (0 clean, 1 toxic)."""
+def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None, seed: int = 11) -> Machine:
+    """Train on labelled texts (0 clean, 1 toxic); ``weight`` is how many documents a text stands for."""
     rng = np.random.default_rng(seed)
     bags = [sorted(_words(t)) for t in texts]
     toxic, clean = [b for b, y in zip(bags, labels) if y == 1], [b for b, y in zip(bags, labels) if y == 0]
     if not toxic or not clean:
         share = float(np.mean(labels)) if len(labels) else 0.0
-        return Machine(np.zeros(CLASSES**ORDER, np.float32), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return Machine(np.zeros(CLASSES**ORDER, np.float32), 0.0, np.zeros(WORST), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     in_toxic, in_clean = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
     share = len(toxic) / (len(toxic) + len(clean))
     odds = {w: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((in_clean[w] + 0.5) / (len(clean) + 1)) for w, n in in_toxic.items()}
     sure = _witnesses(toxic, clean, share)
     sure = sure or {max(b, key=lambda w: (_evidence(in_toxic[w], in_clean[w], share) * (odds[w] > 0), w)) for b in toxic if b}
     positive = set(sure)
-    pool = sorted(set(in_clean) - positive)
-    negative = {pool[k] for k in rng.choice(len(pool), min(NEGATIVES, len(pool)), replace=False)}
+    pool = sorted(in_clean)
+    negative = {pool[k] for k in rng.choice(len(pool), min(NEGATIVES, len(pool)), replace=False)} | (positive & in_clean.keys())
     every = sorted({w for b in bags for w in b})
     place = {w: k for k, w in enumerate(every)}
-    codes = [_windows(c)[0] for c in encode(every)]
+    codes = encode(every)
+    of_clean = [np.array([place[w] for w in b], np.int64) for b in clean if b]
     machine, hard = None, sorted(negative)
     for _ in range(ROUNDS):
         if machine is not None:
-            margin = machine.margins(codes)
-            best = [max(b, key=lambda w: (margin[place[w]], w)) for b in toxic if b]
-            positive = sure | {w for w in best if odds[w] > 1 and margin[place[w]] > 0}
-            hard = [w for w in sorted(in_clean, key=lambda w: (-margin[place[w]], w))[: NEGATIVES // 4] if w not in positive]
-            negative = (negative | set(hard)) - positive
+            margin = machine.word_margins(codes)
+            if np.mean([margin[b].max() > 0 for b in of_clean]) <= FLAGGED:
+                break
+            best = [w for b in toxic for w in sorted(b, key=lambda w: (-margin[place[w]], w))[:WORST]]
+            positive = sure | {w for w in best if odds[w] > 1 and margin[place[w]] > NEAR}
+            hard = sorted(in_clean, key=lambda w: (-margin[place[w]], w))[: NEGATIVES // 4]
+            negative |= set(hard) | (positive & in_clean.keys())
         pos, neg = sorted(positive), sorted(negative)
-        # Every toxic text has the same say, shared by its witnesses; a clean word counts by the log of its texts.
-        say = Counter()
-        for own in ([w for w in b if w in positive] for b in toxic):
-            for w in own:
-                say[w] += 1 / len(own)
-        share_of = np.array([say[w] for w in pos]) / max(1e-9, sum(say.values()))
-        seen = np.array([np.log2(1 + in_clean[w]) for w in neg]) + 1e-9
-        plain, gapped, clean_rows = ([_windows(c)[0] for c in encode(x)] for x in (pos, [_with_gaps(w, rng) for w in pos], neg))
-        rows = plain + gapped + clean_rows
-        y = np.concatenate([np.ones(2 * len(pos)), -np.ones(len(neg))])
-        marks = np.concatenate([choose_landmarks(plain, LANDMARKS, np.sqrt(share_of)), choose_landmarks([_windows(c)[0] for c in encode(hard)], LANDMARKS // 2)])
+        # A word counts by its texts, toxic and clean.
+        says = np.array([float(in_toxic[w]) for w in pos])
+        seen = np.array([float(in_clean[w]) for w in neg])
+        windows = [_windows(c) for c in encode(neg)]
+        sizes = [len(x) for x in windows]
+        plain, gapped = ([_windows(c)[0] for c in encode(x)] for x in (pos, [_with_gaps(w, rng) for w in pos]))
+        rows = plain + gapped + [c for x in windows for c in x]
+        y = np.concatenate([np.ones(2 * len(pos)), -np.ones(sum(sizes))])
+        hardest = [_windows(c)[0] for c in encode(hard)]
+        marks = np.concatenate([choose_landmarks(plain, LANDMARKS, np.sqrt(says / says.sum())), choose_landmarks(hardest, LANDMARKS // 2)])
         value, vector = np.linalg.eigh((marks @ marks.T).astype(float))
         keep = value > 1e-6
         root = vector[:, keep] / np.sqrt(value[keep])
-        cost = PENALTY * np.concatenate([share_of / 2, share_of / 2, seen / seen.sum()])
-        w, base = train_linear(kernel_to(marks, rows).astype(float) @ root, y, cost)
+        mass = np.concatenate([says / 2, says / 2, np.repeat(np.minimum(seen, len(toxic)), sizes)])
+        w, base = train_linear(kernel_to(marks, rows).astype(float) @ root, y, PENALTY * mass / mass.sum())
         machine = Machine(((root @ w) @ marks).astype(np.float32), base)
     raw = [t.encode() for t in texts]
-    margins = np.concatenate([machine.text_margins(np.frombuffer(b, np.uint8), np.array([0, len(b)])) for b in raw])
-    # Both classes weigh alike in the curve, so its middle lies between them and not where one is rare.
-    label = np.asarray(labels, float)
-    machine.slope, machine.offset = logistic_curve(margins, label, np.where(label == 1, len(label) / len(toxic), len(label) / len(clean)))
+    worst = np.concatenate([machine.worst(np.frombuffer(b, np.uint8), np.array([0, len(b)])) for b in raw])
+    machine.slopes, machine.offset = logistic_curve(worst, np.asarray(labels, float), np.ones(len(texts)) if weight is None else weight)
     return machine
 
 
 def _parts(word: bytes) -> set[bytes]:
-    """The word itself and its runs of ``PART`` bytes."""
-    return {word} | {word[i : i + PART] for i in range(len(word) - PART + 1)}
+    """The word itself and its runs of ``PART`` bytes, borders included."""
+    whole = b" " + word + b" "
+    return {whole} | {whole[i : i + PART] for i in range(len(whole) - PART + 1)}
 
 
 def _witnesses(toxic: list[list[bytes]], clean: list[list[bytes]], share: float) -> set[bytes]:
@@ -342,15 +386,26 @@ def _with_gaps(word: bytes, rng: np.random.Generator) -> bytes:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, text: str = "text", key: str = "doc_id") -> Machine:
-    """Fit on at most ``TRAIN_PER_CLASS`` labelled documents of each class."""
-    sample, _ = labelled_sample(docs, labels, label, learn, TRAIN_PER_CLASS, TRAIN_CHARS, text, key)
-    return fit([s[0] for s in sample], np.array([s[1] for s in sample], float))
+    """Fit on at most ``TRAIN_PER_CLASS`` labelled documents of each class, each with all its distinct words."""
+    sample, counts = labelled_sample(docs, labels, label, learn, TRAIN_PER_CLASS, _bag(F.col(text)), text, key)
+    taken = Counter(y for _, y in sample)
+    weight = np.array([counts[y] / taken[y] for _, y in sample])
+    return fit([s[0] for s in sample], np.array([s[1] for s in sample], float), weight * len(sample) / max(1e-9, weight.sum()))
+
+
+def _bag(text: Column) -> Column:
+    """The distinct words of a text in one line, words that it spells by single letters put together."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    spelled = F.regexp_extract_all(lower, F.lit(f"(?<![^ \\t-\\r])[!-~](?:[ \\t-\\r]+[!-~]){{{SPELLED - 1},}}(?![^ \\t-\\r])"), F.lit(0))
+    units = F.transform(spelled, lambda u: F.regexp_replace(u, SPACE_CLASS, ""))
+    several = F.filter(F.array_distinct(F.split(lower, SPACE_CLASS)), lambda w: F.length(w) > 1)
+    return F.array_join(F.array_distinct(F.concat(several, units)), " ")
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, score, margin`` of every row: the probability that its whole text is toxic.
 
-    NULL, empty and letterless texts have the lowest margin.  Rows are not
+    ``margin`` is the log odds.  NULL, empty and letterless texts have the lowest.  Rows are not
     shuffled and memory is bounded by a slice of a batch.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)

@@ -38,25 +38,44 @@ def test_kernel_against_plain_enumeration():
     assert got[0, 1] > 0.999 and 0.3 < got[0, 2] < 0.95 and got[0, 3] == 0
 
 
-def test_margin_of_a_text_is_that_of_its_worst_word():
+def test_score_of_a_text_rests_on_its_worst_words():
     rng = np.random.default_rng(1)
-    m = sk.Machine(rng.normal(size=sk.CLASSES**sk.ORDER).astype(np.float32), -0.3)
-    texts = ["", "ab 12 --", "Some wörds are here", "x" * 10 + " " + "abcdefghij" * 9, "so i d i o t ok", "a b c", "\n\t "]
+    m = sk.Machine(rng.normal(size=sk.CLASSES**sk.ORDER).astype(np.float32), -0.3, np.array([2.0, 1.0, 0.5]), -0.7)
+    texts = ["", "ab 12 --", "Some wörds are here, some wörds", "x" * 10 + " " + "abcdefghij" * 9, "so i d i o t ok", "a b c", "\n\t ", "i d i o t x i d i o t"]
+    texts += [" ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(k)) for k in (1, 2, 3, 40, 400)]
     raw = [t.encode() for t in texts]
-    got = m.text_margins(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    for t, want in zip(texts, got):
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    for t, worst, odds in zip(texts, m.worst(data, offsets), m.text_margins(data, offsets)):
         words = t.lower().encode().split()
-        run_ = []
-        units = list(words)
+        run_, spelled = [], set()
         for w in [*words, b"end"]:
             if len(w) == 1:
                 run_.append(w)
             else:
                 if len(run_) >= sk.SPELLED:
-                    units.append(b"".join(run_))
+                    spelled.add(b"".join(run_))
                 run_ = []
-        codes = [x for c in sk.encode(units) for x in sk._windows(c)]
-        assert abs(max([min(m.base, -1.0), *m.margins(codes)]) - want) < 1e-5
+        margins = [max(m.margins(sk._windows(c))) for c in sk.encode([*set(words), *spelled])]
+        want = np.clip(sorted([*margins, sk.LEAST, sk.LEAST, sk.LEAST], reverse=True)[:3], sk.LEAST, sk.MOST)
+        assert np.allclose(worst, want, atol=1e-5) and abs(odds - (2 * want[0] + want[1] + 0.5 * want[2] - 0.7)) < 1e-4
+
+
+def test_folded_table_is_the_sum_over_landmarks():
+    rng = np.random.default_rng(2)
+    marks = [c for c in sk.encode([b"idiot", b"stupid", "chöß".encode(), b"abcabc"])]
+    weights = rng.normal(size=len(marks))
+    table = (weights @ np.stack([sk.profile(c) for c in marks])).astype(np.float32)
+    m = sk.Machine(table, 0.25)
+    for c in sk.encode(WORDS):
+        plain = sum(w * naive(c, k) / np.sqrt(naive(c, c) * naive(k, k)) for w, k in zip(weights, marks)) if len(c) >= sk.ORDER else 0
+        assert abs(m.margins([c])[0] - plain - 0.25) < 1e-4
+
+
+def test_borders_tell_a_word_from_its_stem():
+    a, b, c = sk.encode([b"idiot", b"idiotic", b"xidiot"])
+    assert a[0] == sk.OPEN and a[-1] == sk.CLOSE
+    one = sk.profile(a)[None, :]
+    assert sk.kernel_to(one, [b])[0, 0] < 0.9 and sk.kernel_to(one, [c])[0, 0] < 0.9
 
 
 def test_gapped_words_are_found():
@@ -77,7 +96,7 @@ def test_gapped_words_are_found():
     assert (p >= 0.5).tolist() == [True] * 4 + [False] * 3
 
 
-def test_held_out_accuracy(spark):
+def test_held_out_rows(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF01}/labels.parquet").collect()}
     out = run(spark, "op1_toxicity", SF01).collect()
     assert len(out) == spark.read.parquet(f"{SF01}/documents.parquet").count()
@@ -86,6 +105,28 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.95
 
 
+def test_precision_and_recall_on_all_held_out_rows(spark):
+    sf = SF01.replace("sf0.01", "sf0.1")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in run(spark, "op1_toxicity", sf).collect() if r.held_out and labels.get(r.doc_id) in (0, 1)]
+    both = sum(r.predicted and labels[r.doc_id] for r in held)
+    assert len(held) > 800
+    assert both >= 0.9 * sum(r.predicted for r in held) and both >= 0.9 * sum(labels[r.doc_id] for r in held)
+
+
+def test_words_behind_a_long_opening_are_learned(spark):
+    rows = [(k, "fine day out " * 8000 + ("zwiggle" if k % 2 else "lovely"), None, None, None) for k in range(30)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    m = sk.train(docs, labels, "toxic", F.lit(True))
+    assert {r.doc_id for r in sk.score(docs, m).collect() if r.score >= 0.5} == {k for k in range(30) if k % 2}
+
+
+def test_bag_of_a_text(spark):
+    df = spark.createDataFrame([("So  so I d\ti o t, x y z i d i o t ok\n!",)], "t string")
+    assert df.select(sk._bag(F.col("t")).alias("b")).first().b.split() == ["so", "t,", "ok", "idio", "xyzidiot"]
+
+
 def test_nulls_no_labels_clashes_and_empty(spark):
     rows = [(1, "you zwiggle", None, None, None), (2, None, None, None, None), (2, "", None, None, None), (None, "fine " * 100_000, None, None, None), (4, "a fine day", None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS score", "2 AS y", "3 AS toxic", "4 AS margin")
