@@ -107,21 +107,26 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 
 
-def _shingle_sql(source: str, key: str) -> str:
-    """Distinct (key, shingle) of the texts of ``source``."""
+def _shingle_sql(source: str, key: str, width: str = "least(5, len(w))") -> str:
+    """Distinct (key, width, shingle) of the rows of ``source``, which have ``key, w``."""
     return f"""
-  SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS shingle FROM (
-    SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i FROM (
-      SELECT {key}, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {source}))"""
+  SELECT DISTINCT {key}, width, array_to_string(w[i:i + width - 1], ' ') AS shingle FROM (
+    SELECT {key}, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM (SELECT {key}, w, {width} AS width FROM {source}) WHERE width > 0 AND len(w) >= width)"""
+
+
+def _word_sql(source: str, key: str) -> str:
+    return f"SELECT {key}, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {source}"
 
 
 def _containment_sql(items: str, key: str, count: str) -> str:
     return f"""
-WITH d AS ({_shingle_sql("documents", "doc_id")}),
-i AS ({_shingle_sql(items, key)}),
-n AS (SELECT {key}, count(*) AS {count} FROM i GROUP BY ALL)
+WITH iw AS ({_word_sql(f"(SELECT *, row_number() OVER () AS k FROM {items})", f"k, {key}")}),
+i AS ({_shingle_sql("iw", f"k, {key}")}),
+n AS (SELECT k, count(*) AS {count} FROM i GROUP BY ALL),
+dw AS ({_word_sql("documents", "doc_id")}),
+d AS ({_shingle_sql("dw, (SELECT DISTINCT width AS runs FROM i)", "doc_id", "runs")})
 SELECT doc_id, {key}, count(*)::INT AS n_shared, any_value({count})::INT AS {count}, count(*) / any_value({count}) AS containment
-FROM d JOIN i USING (shingle) JOIN n USING ({key}) GROUP BY doc_id, {key}
+FROM d JOIN i USING (width, shingle) JOIN n USING (k) GROUP BY doc_id, k, {key}
 HAVING count(*) / any_value({count}) >= 0.8
 """
 

@@ -92,7 +92,7 @@ def test_nulls_ties_long_texts_and_clashes(spark):
     item = "one two three four five six seven"
     docs = spark.createDataFrame([(1, None), (2, ""), (3, item), (3, item), (None, "x " + item.upper() + "!"), (4, "pad " * 150_000 + item), (3, "other"), (5, "one two")], "doc_id long, text string")
     docs = docs.selectExpr("*", "1 AS item_id", "2 AS w", "3 AS s", "4 AS v", "5 AS __id", "6 AS id")
-    items = spark.createDataFrame([(7, item), (7, item), (8, None), (9, "one two"), (10, "")], "item_id long, text string").distinct()
+    items = spark.createDataFrame([(7, item), (8, None), (9, "nine ten"), (10, "")], "item_id long, text string")
     got = sorted((str(r.doc_id), r.item_id, r.containment) for r in decontaminate.leaks(docs, items).collect())
     assert got == [("3", 7, 1.0), ("3", 7, 1.0), ("4", 7, 1.0), ("None", 7, 1.0)]
     kept = decontaminate.drop_leaks(docs.drop("__id"), items)
@@ -102,6 +102,58 @@ def test_nulls_ties_long_texts_and_clashes(spark):
     assert decontaminate.drop_leaks(docs.drop("__id"), items.limit(0)).count() == 8
 
 
+SHORT = [
+    (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa and more words after it"),
+    (2, "say Alpha, beta gamma!"),
+    (3, "gamma beta alpha"),
+    (4, "x"),
+    (None, "quick quick brown fox jumps"),
+    (5, "alpha beta"),
+    (6, "pad " * 50_000 + "alpha beta gamma"),
+    (7, None),
+    (8, ""),
+]
+SHORT_ITEMS = [(None, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, "alpha beta gamma"), (20, "Quick"), (21, "x"), (22, "brown fox jumps over"), (23, "alpha beta"), (23, "brown fox"), (24, "x"), (24, "x"), (25, "!")]
+
+
+def plain_leaks(docs, items):
+    split = lambda t: [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
+    out = []
+    for d, t in docs:
+        w = split(t)
+        for i, u in items:
+            v = split(u)
+            n = min(5, len(v))
+            runs = lambda x: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+            if n and len(runs(v) & runs(w)) >= 0.8 * len(runs(v)):
+                out.append((str(d), str(i)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bounds", [(200_000, 16 << 20), (0, 16 << 20), (200_000, 0)])
+def test_short_null_and_repeated_items(spark, monkeypatch, bounds):
+    monkeypatch.setattr(wh, "BROADCAST_ROWS", bounds[0])
+    monkeypatch.setattr(wh, "BROADCAST_BYTES", bounds[1])
+    docs, items = spark.createDataFrame(SHORT, "doc_id long, text string"), spark.createDataFrame(SHORT_ITEMS, "item_id long, text string")
+    want = plain_leaks(SHORT, SHORT_ITEMS)
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in decontaminate.leaks(docs, items).collect()) == want and ("1", "None") in want
+    kept = decontaminate.drop_leaks(docs, items).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted({str(d) for d, _ in SHORT} - {d for d, _ in want})
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in SHORT], "doc_id string, text string")
+    items = spark.createDataFrame([(f"i{k}", t) for k, t in SHORT_ITEMS], "item_id string, text string")
+    want = plain_leaks([(f"d{k}", t) for k, t in SHORT], [(f"i{k}", t) for k, t in SHORT_ITEMS])
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()) == want
+
+
+def test_sql_finds_short_and_null_items(spark, tmp_path):
+    spark.createDataFrame(SHORT, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(SHORT_ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    same_as_sql(spark, "op9_decontamination", str(tmp_path), ("documents", "benchmark"))
+
+
 def test_no_python_in_plans(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     for df in (licenses.scan(docs, licenses.templates(spark)), decontaminate.drop_leaks(docs, spark.read.parquet(f"{SF01}/benchmark.parquet"))):
