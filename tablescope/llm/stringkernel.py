@@ -300,7 +300,8 @@ def _words(text: str) -> set[bytes]:
 def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None, seed: int = 11) -> Machine:
     """Train on labelled texts (0 clean, 1 toxic); ``weight`` is how many documents a text stands for."""
     rng = np.random.default_rng(seed)
-    bags = [sorted(_words(t)) for t in texts]
+    one: dict[bytes, bytes] = {}  # equal words of all texts are one object
+    bags = [[one.setdefault(w, w) for w in sorted(_words(t))] for t in texts]
     toxic, clean = [b for b, y in zip(bags, labels) if y == 1], [b for b, y in zip(bags, labels) if y == 0]
     if not toxic or not clean:
         share = float(np.mean(labels)) if len(labels) else 0.0
