@@ -149,7 +149,8 @@ def test_ids_of_any_type(spark):
 
 
 def test_sql_finds_short_and_null_items(spark, tmp_path):
-    spark.createDataFrame(SHORT, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [r for r in SHORT if len(r[1] or "") < 1000]  # the SQL copies a text's words for each of its shingles
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(SHORT_ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     same_as_sql(spark, "op9_decontamination", str(tmp_path), ("documents", "benchmark"))
 
