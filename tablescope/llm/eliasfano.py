@@ -15,6 +15,11 @@ import numpy as np
 _ONE = np.uint64(1)
 
 
+def mapped(folder: str, name: str) -> np.ndarray:
+    """A stored array, mapped into memory, without the cost of numpy's own class for such arrays."""
+    return np.asarray(np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r"))
+
+
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     """``values`` of ``bits`` bits each in 64-bit words, with one spare word."""
     n = len(values)
@@ -63,7 +68,7 @@ class EliasFano:
     @classmethod
     def open(cls, folder: str, name: str) -> EliasFano:
         n, low_bits = np.load(os.path.join(folder, f"{name}.size.npy")).tolist()
-        return cls(n, low_bits, *(np.load(os.path.join(folder, f"{name}.{p}.npy"), mmap_mode="r") for p in ("low", "high", "zeros")))
+        return cls(n, low_bits, *(mapped(folder, f"{name}.{p}") for p in ("low", "high", "zeros")))
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -79,29 +84,39 @@ class EliasFano:
         word = np.searchsorted(self.zeros, k, "right") - 1
         return (word << 6) + _nth_bit(~self.high[word], (k - self.zeros[word]).astype(np.int64))
 
-    def successor(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | None = None) -> np.ndarray:
-        """The first place in ``[lo, hi)`` with a value of at least ``x``; ``hi`` if none."""
-        x = np.asarray(x, np.uint64)
-        hi = np.full(len(x), self.n) if hi is None else np.asarray(hi, np.int64)
-        lo = np.broadcast_to(np.asarray(lo, np.int64), x.shape)
-        h = (x >> np.uint64(self.low_bits)).astype(np.int64)
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values with these upper bits start and end; both ``n`` beyond the last."""
         last = len(self.high) * 64 - self.n - 1  # the number of the last zero
         over = h > last
         h = np.minimum(h, last)
-        start = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) - (h - 1), 0)
-        end = self._zero(h) - h
-        start, end = np.where(over, self.n, start), np.where(over, self.n, end)
-        a, b = np.maximum(start, lo), np.minimum(end, hi)
+        first = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1, 0)
+        rest = ~self.high[first >> 6] >> (first & 63).astype(np.uint64)
+        stop = first + np.bitwise_count((rest & -rest) - _ONE)  # the next zero, if it is in this word
+        further = np.flatnonzero(rest == 0)
+        stop[further] = self._zero(h[further])
+        return np.where(over, self.n, first - h), np.where(over, self.n, stop - h)
+
+    def _search(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First places not below ``x`` among those of its upper bits within ``[lo, hi)``, their ends, and the lower bits."""
+        start, end = self._bucket((x >> np.uint64(self.low_bits)).astype(np.int64))
+        a, end = np.maximum(start, lo), np.minimum(end, hi)
+        b = end.copy()
         low = x & np.uint64((1 << self.low_bits) - 1)
-        while True:
-            open_ = np.flatnonzero(a < b)
-            if not len(open_):
-                break
+        open_ = np.flatnonzero(a < b)
+        while len(open_):
             mid = (a[open_] + b[open_]) >> 1
             less = self._lows(mid) < low[open_]
-            a[open_] = np.where(less, mid + 1, a[open_])
-            b[open_] = np.where(less, b[open_], mid)
-        return np.minimum(np.maximum(a, lo), hi)
+            a[open_[less]] = mid[less] + 1
+            b[open_[~less]] = mid[~less]
+            open_ = open_[a[open_] < b[open_]]
+        return a, end, low
+
+    def successor(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | None = None) -> np.ndarray:
+        """The first place in ``[lo, hi)`` with a value of at least ``x``; ``hi`` if none."""
+        x = np.asarray(x, np.uint64)
+        hi = np.full(len(x), self.n) if hi is None else np.asarray(hi, np.int64)
+        lo = np.broadcast_to(np.asarray(lo, np.int64), x.shape)
+        return np.minimum(np.maximum(self._search(x, lo, hi)[0], lo), hi)
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """Values by place."""
@@ -121,24 +136,31 @@ class EliasFano:
         x = np.asarray(x, np.uint64)
         if not self.n:
             return np.full(len(x), -1)
-        p = self.successor(x, lo, hi)
-        there = p < (self.n if hi is None else hi)
-        there &= self.at(np.where(there, p, 0)) == x
-        return np.where(there, p, -1)
+        hi = np.full(len(x), self.n) if hi is None else np.asarray(hi, np.int64)
+        place, end, low = self._search(x, np.broadcast_to(np.asarray(lo, np.int64), x.shape), hi)
+        asked = np.flatnonzero(place < end)  # the upper bits agree there, so the lower ones decide
+        found = asked[self._lows(place[asked]) == low[asked]]
+        out = np.full(len(x), -1)
+        out[found] = place[found]
+        return out
 
     @property
     def nbytes(self) -> int:
         return self.low.nbytes + self.high.nbytes + self.zeros.nbytes
 
 
+_EACH = np.uint64(0x0101010101010101)  #: one in each byte
+_TOP = np.uint64(0x8080808080808080)
+#: place of set bit ``n`` of a byte, at ``8 * byte + n``
+_IN_BYTE = np.array([next((p for p in range(8) if b >> p & 1 and (b & (1 << p) - 1).bit_count() == n), 0) for b in range(256) for n in range(8)], np.int64)
+
+
 def _nth_bit(word: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Place of set bit number ``n`` (from 0) of each word."""
-    place = np.zeros(len(word), np.int64)
-    word, n = word.copy(), n.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        count = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-        beyond = n >= count
-        n -= np.where(beyond, count, 0)
-        word = np.where(beyond, word >> np.uint64(width), word)
-        place += np.where(beyond, width, 0)
-    return place
+    n = n.astype(np.uint64)
+    upto = word - ((word >> _ONE) & np.uint64(0x5555555555555555))
+    upto = (upto & np.uint64(0x3333333333333333)) + ((upto >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    upto = ((upto + (upto >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH  # byte by byte, set bits up to its end
+    shift = np.bitwise_count((((n * _EACH) | _TOP) - upto) & _TOP).astype(np.uint64) << np.uint64(3)
+    inside = n - (((upto << np.uint64(8)) >> shift) & np.uint64(255))
+    return shift.astype(np.int64) + _IN_BYTE[((((word >> shift) & np.uint64(255)) << np.uint64(3)) | inside).astype(np.int64)]

@@ -39,11 +39,10 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import byte_slices, bytes_of, mix, word_hashes
-from .eliasfano import EliasFano
+from .eliasfano import EliasFano, mapped
 
 ORDER = 3
 KEPT = 2  #: an n-gram of two or more words is in the trie when it occurs so often
-FREQUENT = 0.0  #: no share of the corpus is asked for besides
 DISCOUNT = 0.75
 UNIT = 4096  #: quantised steps in a decimal log
 SLICE_BYTES = 4 << 20
@@ -160,13 +159,13 @@ class Trie:
             parts = {n: EliasFano.open(folder, n) for n in names}
             if level > 1:
                 arrays = [n for n in ("prob", "back", "n", "lp") if os.path.exists(os.path.join(folder, f"{n}.npy"))]
-                parts |= {n: np.load(os.path.join(folder, f"{n}.npy"), mmap_mode="r") for n in arrays}
+                parts |= {n: mapped(folder, n) for n in arrays}
             self.files[level, k] = parts
         return self.files[level, k]
 
     def _split(self, level: int, of: np.ndarray) -> Iterator[tuple[int, dict, np.ndarray]]:
-        order = np.argsort(of, kind="stable")
         n = len(self.model.bounds[level - 1])
+        order = np.arange(len(of)) if n == 1 or not np.any(of[1:] < of[:-1]) else np.argsort(of, kind="stable")
         cut = np.searchsorted(of[order], np.arange(n + 1))
         for k in range(n):
             if cut[k] < cut[k + 1]:
@@ -191,40 +190,58 @@ class Trie:
             number[rows[known]] = base + p[known]
         return out, np.where(out >= KEPT, number, -1)
 
-    def _places(self, level: int, context: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray]]:
-        """(base, file, rows, places) of the n-grams that are there."""
+    def _contexts(self, level: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct contexts: the base of the last file that has children of theirs (-1: none), place there, and where its children lie."""
+        at, place, lo, hi = (np.full(len(own), -1) for _ in range(4))
         width = np.uint64(self.model.width)
-        for base, file, rows in self._each_file(level, context.astype(np.uint64) * width + word.astype(np.uint64)):
-            c = file["contexts"].find(context[rows].astype(np.uint64))
+        # The file that starts last, not behind a context's last possible child, has the context if any has.
+        for base, file, rows in self._each_file(level, own.astype(np.uint64) * width + (width - np.uint64(1))):
+            c = file["contexts"].find(own[rows].astype(np.uint64))
             rows, c = rows[c >= 0], c[c >= 0]
-            lo = np.where(c > 0, file["pointers"].at(np.maximum(c - 1, 0)).astype(np.int64), 0)
-            hi = file["pointers"].at(c).astype(np.int64)
-            child = file["children"].find(c.astype(np.uint64) * width + word[rows].astype(np.uint64), lo, hi)
+            at[rows], place[rows] = base, c
+            lo[rows], hi[rows] = _children(file, c)
+        return at, place, lo, hi
+
+    def _places(self, level: int, context: np.ndarray, word: np.ndarray, of: np.ndarray, known: tuple[np.ndarray, ...]) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray]]:
+        """(base, file, rows, places) of the n-grams that are there; ``known`` are ``_contexts`` and ``of`` which of them a row has."""
+        width = np.uint64(self.model.width)
+        at, place, lo, hi = known
+        there = np.flatnonzero(at[of] >= 0)
+        for base, file, rows in self._each_file(level, context[there].astype(np.uint64) * width + word[there].astype(np.uint64)):
+            rows = there[rows]
+            own = of[rows]
+            c, a, b = place[own], lo[own], hi[own]
+            other = np.flatnonzero(at[own] != base)  # children of a context that goes on in a later file
+            c[other] = file["contexts"].find(context[rows[other]].astype(np.uint64))
+            other = other[c[other] >= 0]
+            a[other], b[other] = _children(file, c[other])
+            rows, a, b, c = (x[c >= 0] for x in (rows, a, b, c))
+            child = file["children"].find(c.astype(np.uint64) * width + word[rows].astype(np.uint64), a, b)
             yield base, file, rows[child >= 0], child[child >= 0]
 
     def numbers(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Numbers of the n-grams of contexts and words; -1 for those not kept."""
         out = np.full(len(context), -1)
-        for base, _, rows, place in self._places(level, context, word):
+        own, of = _distinct(context)
+        for base, _, rows, place in self._places(level, context, word, of, self._contexts(level, own)):
             out[rows] = base + place
         return out
 
     def continuation(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(quantised probability or -1, quantised back-off, number or -1) of words after contexts; a word may be -1."""
         prob, number = np.full(len(context), -1), np.full(len(context), -1)
-        width = np.uint64(self.model.width)
-        own, of = np.unique(context, return_inverse=True)
+        own, of = _distinct(context)
+        known = self._contexts(level, own)
         left = np.zeros(len(own), np.int64)
-        # The file that starts last, not behind a context's last possible child, has the context if any has.
-        for _, file, rows in self._each_file(level, own.astype(np.uint64) * width + (width - np.uint64(1))):
-            c = file["contexts"].find(own[rows].astype(np.uint64))
-            left[rows[c >= 0]] = file["back"][c[c >= 0]]
-        back = left[of]
+        for k, base in enumerate(self.model.bases[level - 1][:-1]):
+            rows = np.flatnonzero(known[0] == base)
+            if len(rows):
+                left[rows] = self._file(level, k)["back"][known[1][rows]]
         asked = np.flatnonzero(word >= 0)
-        for base, file, rows, place in self._places(level, context[asked], word[asked]):
+        for base, file, rows, place in self._places(level, context[asked], word[asked], of[asked], known):
             prob[asked[rows]] = file["prob"][place]
             number[asked[rows]] = base + place
-        return prob, back, number
+        return prob, left[of], number
 
     def facts(self, level: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, log10 probability) of n-grams below the longest, by number."""
@@ -291,6 +308,21 @@ class Trie:
         return np.diff(at), known, base, total
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and which of them each key is; sorted keys need no sort."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    if np.any(keys[1:] < keys[:-1]):
+        return np.unique(keys, return_inverse=True)
+    return keys[new], np.cumsum(new) - 1
+
+
+def _children(file: dict, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the children of the contexts at these places start and end."""
+    start = np.where(c > 0, file["pointers"].at(np.maximum(c - 1, 0)).astype(np.int64), 0)
+    return start, file["pointers"].at(c).astype(np.int64)
+
+
 def _word_counts(file: dict, place: np.ndarray) -> np.ndarray:
     ends = file["counts"].at(place).astype(np.int64)
     return ends - np.where(place > 0, file["counts"].at(np.maximum(place - 1, 0)).astype(np.int64), 0)

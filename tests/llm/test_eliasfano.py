@@ -21,6 +21,8 @@ def test_against_sorted_arrays(n, top, tmp_path):
         hi = np.minimum(n, lo + rng.integers(0, 50, len(asked)))
         want = np.clip(np.searchsorted(v, asked, "left"), lo, hi)
         assert ef.successor(asked, lo, hi).tolist() == want.tolist()
+        place = ef.find(asked, lo, hi)
+        assert place.tolist() == [int(w) if w < h and v[w] == x else -1 for w, h, x in zip(want, hi, asked)]
     found = ef.find(asked)
     assert ((found >= 0) == np.isin(asked, v)).all()
 
@@ -28,3 +30,12 @@ def test_against_sorted_arrays(n, top, tmp_path):
 def test_is_compact():
     v = np.sort(np.random.default_rng(0).integers(0, 2**64 - 1, 200_000, dtype=np.uint64))
     assert EliasFano.build(v).nbytes * 8 / len(v) < 64 - np.log2(len(v)) + 5
+
+
+def test_long_runs_of_equal_upper_bits():
+    """Buckets that go over many words of the unary part."""
+    v = np.concatenate([np.arange(7, dtype=np.uint64), np.arange(5000, dtype=np.uint64) + np.uint64(2**30), np.array([2**50], np.uint64)])
+    ef = EliasFano.build(v)
+    asked = np.concatenate([v, v + np.uint64(1), v[7:] - np.uint64(1)])
+    assert ef.successor(asked).tolist() == np.searchsorted(v, asked, "left").tolist()
+    assert ((ef.find(asked) >= 0) == np.isin(asked, v)).all() and ef.at(ef.find(v)).tolist() == v.tolist()

@@ -27,7 +27,7 @@ class Plain:
         self.order = order
         self.c = Counter(w for s in seqs for w in s)
         self.n, self.v = sum(self.c.values()), len(self.c)
-        least = max(lm.KEPT, math.ceil(lm.FREQUENT * self.n))
+        least = lm.KEPT
         frequent = {(w,): n for w, n in self.c.items() if n >= least}
         low = {(w,): self.base(w) for (w,) in frequent}
         self.prob, self.back = {}, {}
@@ -123,14 +123,13 @@ def test_folder_must_be_mounted(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("others", [0, 200])
-def test_a_rare_gram_is_kept_whatever_the_corpus(spark, monkeypatch, others):
+def test_a_rare_gram_is_kept_whatever_the_corpus(spark, others):
     """With 200 other texts the corpus has some 200,000 tokens, of which two are far below any share."""
     rng = np.random.default_rng(5)
     texts = {1: "seldom seen words here", 2: "but seldom seen words there", 3: "seldom seen words"}
     texts |= {10 + i: " ".join(f"w{k}" for k in rng.integers(0, 400, 1000)) for i in range(others)}
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
     model = lm.train(docs, F.col("doc_id") != 3)
-    monkeypatch.setattr(lm, "FREQUENT", 0.0)  # of the plain model
     plain = Plain([t for i, t in texts.items() if i != 3])
     assert ("seldom", "seen", "words") in plain.prob
     agree(lm.score(docs, model).collect(), plain, texts)
