@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import bytes_of, byte_slices
 
 UNKNOWN = "und"
-SAMPLE_SYMBOLS = 160_000  #: of all languages together; shared out evenly
+SAMPLE_SYMBOLS = 40_000  #: of each language
 SAMPLE_DOCS = 400  #: expected number of a language's documents that the sample is made of
 SEGMENT = 1024
 _BLANK = 32
@@ -151,33 +151,37 @@ class Parser:
 
 
 def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
-    """Folded text of every language, at most ``SAMPLE_SYMBOLS`` together.
+    """Folded text of every language, at most ``SAMPLE_SYMBOLS`` of each, whatever the number of languages.
 
     Documents are taken by a hash of their id with a chance that makes about
-    ``SAMPLE_DOCS`` of each language; of a text no more travels than the
-    language's share.
+    ``SAMPLE_DOCS`` of each language, all of them if there are fewer.  Each
+    gives a piece of the same length from a place in the whole text that the
+    hash tells; a shorter text gives itself.
     """
     usable = learn & F.col(lang).isNotNull() & F.col(text).isNotNull()
     rows = docs.filter(usable).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    share = SAMPLE_SYMBOLS // len(counts)
-    chance = F.when(F.lit(False), 0.0)
+    chance, piece = F.when(F.lit(False), 0.0), F.when(F.lit(False), 0)
+    of_text = {x: SAMPLE_SYMBOLS // min(n, SAMPLE_DOCS) for x, n in counts.items()}
     for x, n in counts.items():
         chance = chance.when(F.col("lang") == x, min(1.0, SAMPLE_DOCS / n))
-    picked = rows.filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) <= chance).select("lang", "h", F.substring("text", 1, share).alias("text"))
+        piece = piece.when(F.col("lang") == x, of_text[x])
+    places = F.greatest(F.length("text") - piece, F.lit(0)) + 1
+    taken = F.substr("text", (F.pmod(F.xxhash64("h", F.lit(5)), places) + 1).cast("int"), piece)
+    picked = rows.filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) <= chance).select("lang", "h", taken.alias("text"))
     found: dict[str, list] = {}
     for r in picked.orderBy("h").limit(4 * SAMPLE_DOCS * len(counts)).toLocalIterator():
-        found.setdefault(r.lang, []).append(r.text)
+        raw = r.text.encode()
+        s, _ = symbols(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        found.setdefault(r.lang, []).append(s[: of_text[r.lang]].tobytes())
     out = {}
     for x, texts in found.items():
-        # Round by round a piece of each text, so that no long text fills the share.
-        piece = max(200, 2 * share // len(texts))
-        raw = " ".join(t[:piece] for t in texts).encode()
-        s, _ = symbols(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        joined = bytes([_BLANK]).join(t for t in texts if t)
+        s, _ = symbols(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))
         if len(s):
-            out[x] = s[:share].tobytes()
+            out[x] = s[:SAMPLE_SYMBOLS].tobytes()
     return out
 
 

@@ -68,3 +68,16 @@ def test_nulls_empty_texts_and_no_labels(spark):
     assert [got[i].lang_pred for i in (1, 2, 3, 4, 5, None, 7)] == ["en", "fr", "und", "und", "und", "en", "fr"]
     assert all(r.lang_pred == "und" and r.score == 0 for r in cp.identify(docs, F.lit(False)).collect())
     assert cp.identify(docs.limit(0), F.lit(True)).collect() == []
+
+
+def test_pieces_come_from_the_whole_text_and_a_language_keeps_its_share(spark):
+    """Documents of a language share their opening; how many languages there are changes no sample."""
+    rng = np.random.default_rng(2)
+    opening = "shared opening of all documents " * 40
+    rows = [(i, opening + " ".join(f"w{c}" for c in rng.choice(list("abcdefgh"), 2000)), "en", None, None) for i in range(300)]
+    alone = cp.sample(spark.createDataFrame(rows, SCHEMA), F.lit(True))["en"]
+    assert 0.9 * cp.SAMPLE_SYMBOLS < len(alone) <= cp.SAMPLE_SYMBOLS
+    assert alone.count(b"opening") < 0.1 * alone.count(b" wa") + 200
+    others = [(1000 + i, f"other words {i} of language {i % 40}", f"l{i % 40}", None, None) for i in range(400)]
+    many = cp.sample(spark.createDataFrame(rows + others, SCHEMA), F.lit(True))
+    assert many["en"] == alone and len(many) == 41
