@@ -28,7 +28,8 @@ DIMS = 6
 FILTERS = 32
 TRAIN_PER_CLASS = 2500  #: labelled documents of each class that the network is fitted on
 TRAIN_CHUNKS = 6  #: chunks of one document in a training step, drawn anew in each epoch
-TRAIN_BYTES = 16_384  #: of one document that the fitting may draw from
+TRAIN_CHARS = 16_384  #: of one document that the fitting may draw from, in pieces from all over it
+TRAIN_PIECES = 8
 STEPS = 450
 BATCH = 64
 
@@ -149,9 +150,17 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray | None = Non
     return net
 
 
+def _pieces(text: Column) -> Column:
+    """A text, or of a long one a piece from each of ``TRAIN_PIECES`` equal parts, at a place that a hash tells."""
+    size, length = TRAIN_CHARS // TRAIN_PIECES, F.length(text).cast("long")
+    cuts = [F.floor(length * k / TRAIN_PIECES) for k in range(TRAIN_PIECES + 1)]
+    starts = [a + F.pmod(F.xxhash64(text, F.lit(k)), b - a - size + 1) + 1 for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    return F.when(length <= TRAIN_CHARS, text).otherwise(F.concat(*[F.substr(text, a.cast("int"), F.lit(size)) for a in starts]))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, text: str = "text", key: str = "doc_id") -> Network:
     """Fit on at most ``TRAIN_PER_CLASS`` labelled documents of each class; others count by weight."""
-    sample, counts = labelled_sample(docs, labels, label, learn, TRAIN_PER_CLASS, F.substring(text, 1, TRAIN_BYTES), text, key)
+    sample, counts = labelled_sample(docs, labels, label, learn, TRAIN_PER_CLASS, _pieces(F.col(text)), text, key)
     y = np.array([s[1] for s in sample], float)
     drawn = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     total = max(1, sum(counts.values()))

@@ -85,3 +85,13 @@ def test_nulls_no_labels_clashes_and_empty(spark):
     nothing = bc.train(docs, labels.limit(0), "quality", F.lit(True))
     assert all(abs(r.score - 0.5) < 0.5 for r in bc.score(docs, nothing).collect())
     assert bc.score(docs.limit(0), net).collect() == []
+
+
+def test_pieces_cover_a_long_text(spark):
+    part = (bc.TRAIN_CHARS + 8000) // bc.TRAIN_PIECES
+    long = "".join(chr(97 + k) * part for k in range(bc.TRAIN_PIECES))
+    texts = {1: "short", 2: "", 3: "é" * bc.TRAIN_CHARS, 4: long, 5: "é" * (bc.TRAIN_CHARS + 1)}
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r.t for r in docs.select("doc_id", bc._pieces(F.col("text")).alias("t")).collect()}
+    assert all(got[i] == texts[i] for i in (1, 2, 3)) and len(got[5]) == bc.TRAIN_CHARS
+    assert got[4] == "".join(chr(97 + k) * (bc.TRAIN_CHARS // bc.TRAIN_PIECES) for k in range(bc.TRAIN_PIECES))
