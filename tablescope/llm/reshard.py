@@ -32,8 +32,8 @@ ROW_BYTES = 16  #: what a row takes besides its text
 PART_BYTES = 64 << 20
 PART_ROWS = 1 << 20
 NO_ID = -(1 << 63)  #: stands for a NULL id in the order of rows
-_MIXED = ["id_crc32", "neg_size", "doc_id", "text_crc32"]
-_BY_SIZE = ["neg_size", "doc_id", "text_crc32", "id_crc32"]
+_MIXED = ["id_crc32", "neg_size", "doc_id", "text_crc32", "uid"]
+_BY_SIZE = ["neg_size", "doc_id", "text_crc32", "id_crc32", "uid"]
 ROUNDS = (_MIXED, _BY_SIZE, _BY_SIZE)  #: the order of rows in each round
 
 
@@ -200,13 +200,15 @@ def reshard(docs: DataFrame, old: Column, shards: int, out: str, text: str = "te
     size, text_crc32, shard, slot, moved``, taken from those files and, for
     the other shards, from ``docs``.
 
-    Rows that agree in id, size and checksum stay together.  The files keep a
-    row's own columns, whatever their names, in the struct ``row``.  An empty
+    Rows that agree in id, size and checksum are told apart by their place in
+    ``docs``, so copies are dealt out like other rows; ``docs`` is read more
+    than once and must be read from files or otherwise give its rows in the
+    same partitions each time.  The files keep a row's own columns, whatever their names, in the struct ``row``.  An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
     shard = F.coalesce(old.cast("int"), F.lit(0))
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), shard.alias("shard"), *measures(text, key))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), shard.alias("shard"), *measures(text, key), F.monotonically_increasing_id().alias("uid"))
     narrow = tagged.drop("row")
     count, total = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     found, flows = plan(narrow, room or near_equal(total, shards))
@@ -221,7 +223,7 @@ def reshard(docs: DataFrame, old: Column, shards: int, out: str, text: str = "te
     ranged.write.partitionBy("shard").parquet(out)
     schema = ranged.drop("shard").schema.add("shard", T.IntegerType())
     inner = spark.read.schema(schema).parquet(out)
-    files = inner.select("part", "shard", "was", *measures(f"row.{text}", f"row.{key}"))
+    files = inner.select("part", "shard", "was", "uid", *measures(f"row.{text}", f"row.{key}"))
     path = scratch_path(spark, "reshard-still")
     still = placed.filter(~in_changed).drop("row").repartitionByRange(max(8, count // PART_ROWS), "shard", *_BY_SIZE)
     still.withColumn("part", F.spark_partition_id()).write.parquet(path)

@@ -113,3 +113,14 @@ def test_only_changed_shards_are_rewritten_and_moves_are_few(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert reshard.reshard(docs_of(spark, [], tmp_path), F.col("shard"), 4, scratch_path(spark, "t")).collect() == []
+
+
+def test_copies_without_ids_are_dealt_out(spark, tmp_path):
+    """A third of all rows agree in all columns."""
+    rows = [(i, "x" * (20 + i % 7), 0, "s", 1) for i in range(2000)] + [(None, "copy of a text", 0, "s", 1)] * 1000
+    placed = reshard.reshard(docs_of(spark, rows, tmp_path), F.col("shard"), 10, scratch_path(spark, "t")).collect()
+    held = [sum(r.size for r in placed if r.shard == k) for k in range(10)]
+    assert len(placed) == len(rows) and sum(r.doc_id is None for r in placed) == 1000
+    assert max(held) - min(held) <= 2 * max(r.size for r in placed)
+    for k in range(10):
+        assert sorted(r.slot for r in placed if r.shard == k) == list(range(sum(r.shard == k for r in placed)))
