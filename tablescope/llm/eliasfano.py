@@ -81,7 +81,7 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the zero number ``k`` (from 0) in the unary part."""
-        word = np.searchsorted(self.zeros, k, "right") - 1
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1  # one type: the directory is not converted
         return (word << 6) + _nth_bit(~self.high[word], (k - self.zeros[word]).astype(np.int64))
 
     def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

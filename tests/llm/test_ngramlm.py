@@ -143,3 +143,27 @@ def test_order_four_and_contexts_in_many_files(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_WORDS", 4)  # the children of one context lie in several files
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
     agree(lm.score(docs, lm.train(docs, F.lit(True), order=4)).collect(), Plain(list(texts.values()), 4), texts)
+
+
+def test_counts_are_added_up_once_before_and_once_after_the_shuffle(spark):
+    """What tasks have added up goes straight to the shuffle; no second table of it is made there."""
+    partial = spark.range(40).selectExpr("id % 7 AS k", "id AS c")
+    counts = lm._dealt(partial, "k").groupBy("k").agg(F.sum("c").alias("c"))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "HashAggregate" not in plan[plan.index("Exchange hashpartitioning") :]
+    assert {r.k: r.c for r in counts.collect()} == {k: sum(range(k, 40, 7)) for k in range(7)}
+
+
+def test_partial_counts_over_small_and_large_limits():
+    import pyarrow as pa
+
+    texts = ["a b a", "", "b c", "a a a a"] * 5
+    for limit in (1, 7, 1 << 21):
+        batches = iter([pa.RecordBatch.from_pydict({"text": [t]}) for t in texts])
+        total = Counter()
+        for out in lm._partial_counts(["k", "c"], lm._words, limit)(batches):
+            keys, counts = out.column("k").to_pylist(), out.column("c").to_pylist()
+            assert keys == sorted(set(keys))
+            total.update(dict(zip(keys, counts)))
+        assert sorted(total.values()) == [5, 10, 20, 30]
