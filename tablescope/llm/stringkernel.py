@@ -25,6 +25,7 @@ then.  Single letters in a row (``i d i o t``) also count as one word.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -69,6 +70,31 @@ def _bordered(letters: np.ndarray) -> np.ndarray:
     return np.concatenate([[OPEN], letters, [CLOSE]]).astype(np.uint8) if len(letters) >= ORDER else letters
 
 
+_TO_SYMBOL, _SKIPPED = _SYMBOL.tobytes(), bytes(np.flatnonzero(_SYMBOL == 0).astype(np.uint8))
+
+
+@dataclass
+class Packed:
+    """The windows of many words, end to end: symbols, where each window starts (and the last ends), the first window of each word."""
+
+    symbols: np.ndarray
+    start: np.ndarray
+    first: np.ndarray
+
+
+def pack(words: list[bytes]) -> Packed:
+    """``encode`` and ``_windows`` of all words without an array for each."""
+    parts, first, half = [], [], LONGEST // 2
+    for w in words:
+        c = w.translate(_TO_SYMBOL, _SKIPPED)
+        if len(c) >= ORDER:
+            c = bytes([OPEN]) + c + bytes([CLOSE])
+        first.append(len(parts))
+        parts += [c] if len(c) <= LONGEST else [c[i : i + LONGEST] for i in range(0, len(c) - half, half)]
+    start = np.cumsum([0, *map(len, parts)])
+    return Packed(np.frombuffer(b"".join(parts), np.uint8), start, np.array(first, np.int64))
+
+
 def encode(words: list[bytes]) -> list[np.ndarray]:
     return [_bordered(s[s > 0]) for s in (_SYMBOL[np.frombuffer(w, np.uint8)] for w in words)]
 
@@ -138,30 +164,47 @@ def profile(codes: np.ndarray) -> np.ndarray:
 def kernel_to(profiles: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
     """Normalised kernel [word, profile]; words without subsequences have 0."""
     out = np.zeros((len(codes), len(profiles)), np.float32)
-    columns = np.ascontiguousarray(profiles.T)
+    # Only subsequences that a profile has, and one place of zeros for all others.
+    used = np.flatnonzero(profiles.any(axis=0))
+    place = np.full(CLASSES**ORDER, len(used), np.int64)
+    place[used] = np.arange(len(used))
+    columns = np.zeros((len(used) + 1, len(profiles)), np.float32)
+    columns[:-1] = profiles[:, used].T
     for rows, array in by_length(codes):
         block = max(1, (1 << 22) // (len(_shape(array.shape[1])[0]) * len(profiles)))
         for i in range(0, len(rows), block):
             u, weight = subsequences(array[i : i + block])
             norm = np.sqrt(self_kernel(array[i : i + block]))
-            out[rows[i : i + block]] = np.einsum("wsp,s->wp", columns[u], weight, optimize=True) / norm[:, None]
+            out[rows[i : i + block]] = np.einsum("wsp,s->wp", columns[place[u]], weight, optimize=True) / norm[:, None]
     return out
 
 
-def choose_landmarks(codes: list[np.ndarray], count: int, weight: np.ndarray | None = None) -> np.ndarray:
-    """Profiles of the words that pivoted Cholesky picks: always the one explained worst so far, by weight."""
+def choose_landmarks(codes: list[np.ndarray], count: int, weight: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
+    """Profiles of the words that pivoted Cholesky picks: always the one explained worst so far, by weight.
+
+    They are put into the first rows of ``out``, of which a view is returned.
+    """
     left = np.array([float(len(c) >= ORDER) for c in codes])
-    factors, picked = np.zeros((len(codes), 0)), []
-    while len(picked) < count and len(codes) and left.max() > 1e-3:
+    factors, picked = np.zeros((len(codes), 0)), 0
+    out = np.zeros((count, CLASSES**ORDER), np.float32) if out is None else out
+    known = []  # what of the kernel does not depend on the landmark
+    for rows, array in by_length(codes):
+        block = max(1, (1 << 22) // len(_shape(array.shape[1])[0]))
+        for i in range(0, len(rows), block):
+            u, share = subsequences(array[i : i + block])
+            known.append((rows[i : i + block], u.astype(np.int32), share, np.sqrt(self_kernel(array[i : i + block]))))
+    while picked < count and len(codes) and left.max() > 1e-3:
         p = int((left if weight is None else left * weight).argmax())
-        prof = profile(codes[p])
-        column = kernel_to(prof[None, :], codes)[:, 0].astype(float)
+        prof = out[picked] = profile(codes[p])
+        column = np.zeros(len(codes))
+        for rows, u, share, norm in known:
+            column[rows] = np.einsum("wsp,s->wp", prof[:, None][u], share, optimize=True)[:, 0] / norm
         new = (column - factors @ factors[p]) / np.sqrt(left[p])
         factors = np.column_stack([factors, new])
         left = np.maximum(left - new**2, 0)
         left[p] = 0
-        picked.append(prof)
-    return np.stack(picked) if picked else np.zeros((0, CLASSES**ORDER), np.float32)
+        picked += 1
+    return out[:picked]
 
 
 def train_linear(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
@@ -172,8 +215,9 @@ def train_linear(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.nda
     for _ in range(30):
         slack = 1 - y * (x @ w)
         on = slack > 0
-        grad = ridge * w - 2 * x[on].T @ (cost[on] * y[on] * slack[on])
-        hess = np.diag(ridge) + 2 * (x[on].T * cost[on]) @ x[on]
+        short = x[on]
+        grad = ridge * w - 2 * short.T @ (cost[on] * y[on] * slack[on])
+        hess = np.diag(ridge) + 2 * (short.T * cost[on]) @ short
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -221,12 +265,16 @@ class Machine:
             out[i : i + block] = (self.table[u] @ weight) / np.sqrt(self_kernel(array[i : i + block]))
         return out + self.base
 
-    def word_margins(self, codes: list[np.ndarray]) -> np.ndarray:
+    def word_margins(self, words: Packed) -> np.ndarray:
         """Margins of words of any length: that of the worst window."""
-        parts = [_windows(c) for c in codes]
-        if not parts:
+        if not len(words.first):
             return np.zeros(0)
-        return np.maximum.reduceat(self.margins([w for p in parts for w in p]), np.cumsum([0, *map(len, parts[:-1])]))
+        size = np.diff(words.start)
+        out = np.full(len(size), self.base)
+        for n in np.unique(size[size >= ORDER]):
+            rows = np.flatnonzero(size == n)
+            out[rows] = self.margins_of(words.symbols[words.start[rows][:, None] + np.arange(n)].astype(np.int64))
+        return np.maximum.reduceat(out, words.first)
 
     def worst(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """[text, k]: the ``WORST`` largest margins of the distinct words of each whole text, worst first."""
@@ -300,51 +348,54 @@ def _words(text: str) -> set[bytes]:
 def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None, seed: int = 11) -> Machine:
     """Train on labelled texts (0 clean, 1 toxic); ``weight`` is how many documents a text stands for."""
     rng = np.random.default_rng(seed)
-    one: dict[bytes, bytes] = {}  # equal words of all texts are one object
-    bags = [[one.setdefault(w, w) for w in sorted(_words(t))] for t in texts]
+    every = sorted({w for t in texts for w in _words(t)})
+    place = {w: k for k, w in enumerate(every)}
+    bags = [np.array(sorted(place[w] for w in _words(t)), np.int32) for t in texts]  # words by their place in ``every``
+    del place
     toxic, clean = [b for b, y in zip(bags, labels) if y == 1], [b for b, y in zip(bags, labels) if y == 0]
     if not toxic or not clean:
         share = float(np.mean(labels)) if len(labels) else 0.0
         return Machine(np.zeros(CLASSES**ORDER, np.float32), 0.0, np.zeros(WORST), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    in_toxic, in_clean = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
+    in_toxic, in_clean = (np.bincount(np.concatenate(of), minlength=len(every)) for of in (toxic, clean))
     share = len(toxic) / (len(toxic) + len(clean))
-    odds = {w: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((in_clean[w] + 0.5) / (len(clean) + 1)) for w, n in in_toxic.items()}
-    sure = _witnesses(toxic, clean, share)
-    sure = sure or {max(b, key=lambda w: (_evidence(in_toxic[w], in_clean[w], share) * (odds[w] > 0), w)) for b in toxic if b}
+    odds = np.log((in_toxic + 0.5) / (len(toxic) + 1)) - np.log((in_clean + 0.5) / (len(clean) + 1))
+    sure = _witnesses(every, toxic, clean, share)
+    sure = sure or {int(max(b, key=lambda w: (_evidence(in_toxic[w], in_clean[w], share) * (odds[w] > 0), w))) for b in toxic if len(b)}
     positive = set(sure)
-    pool = sorted(in_clean)
-    negative = {pool[k] for k in rng.choice(len(pool), min(NEGATIVES, len(pool)), replace=False)} | (positive & in_clean.keys())
-    every = sorted({w for b in bags for w in b})
-    place = {w: k for k, w in enumerate(every)}
-    codes = encode(every)
-    of_clean = [np.array([place[w] for w in b], np.int64) for b in clean if b]
+    pool = np.flatnonzero(in_clean)
+    negative = {int(w) for w in pool[rng.choice(len(pool), min(NEGATIVES, len(pool)), replace=False)]} | {w for w in positive if in_clean[w]}
+    packed = pack(every)
+    of_clean = [b for b in clean if len(b)]
+    room = np.zeros((LANDMARKS + LANDMARKS // 2, CLASSES**ORDER), np.float32)
     machine, hard = None, sorted(negative)
     for _ in range(ROUNDS):
         if machine is not None:
-            margin = machine.word_margins(codes)
+            margin = machine.word_margins(packed)
             if np.mean([margin[b].max() > 0 for b in of_clean]) <= FLAGGED:
                 break
-            best = [w for b in toxic for w in sorted(b, key=lambda w: (-margin[place[w]], w))[:WORST]]
-            positive = sure | {w for w in best if odds[w] > 1 and margin[place[w]] > NEAR}
-            hard = sorted(in_clean, key=lambda w: (-margin[place[w]], w))[: NEGATIVES // 4]
-            negative |= set(hard) | (positive & in_clean.keys())
+            best = {int(w) for b in toxic for w in b[np.lexsort((b, -margin[b]))[:WORST]]}
+            positive = sure | {w for w in best if odds[w] > 1 and margin[w] > NEAR}
+            hard = pool[np.lexsort((pool, -margin[pool]))[: NEGATIVES // 4]].tolist()
+            negative |= set(hard) | {w for w in positive if in_clean[w]}
         pos, neg = sorted(positive), sorted(negative)
         # A word counts by its texts, toxic and clean.
-        says = np.array([float(in_toxic[w]) for w in pos])
-        seen = np.array([float(in_clean[w]) for w in neg])
-        windows = [_windows(c) for c in encode(neg)]
+        says, seen = in_toxic[pos].astype(float), in_clean[neg].astype(float)
+        windows = [_windows(c) for c in encode([every[w] for w in neg])]
         sizes = [len(x) for x in windows]
-        plain, gapped = ([_windows(c)[0] for c in encode(x)] for x in (pos, [_with_gaps(w, rng) for w in pos]))
+        plain, gapped = ([_windows(c)[0] for c in encode(x)] for x in ([every[w] for w in pos], [_with_gaps(every[w], rng) for w in pos]))
         rows = plain + gapped + [c for x in windows for c in x]
         y = np.concatenate([np.ones(2 * len(pos)), -np.ones(sum(sizes))])
-        hardest = [_windows(c)[0] for c in encode(hard)]
-        marks = np.concatenate([choose_landmarks(plain, LANDMARKS, np.sqrt(says / says.sum())), choose_landmarks(hardest, LANDMARKS // 2)])
+        hardest = [_windows(c)[0] for c in encode([every[w] for w in hard])]
+        n = len(choose_landmarks(plain, LANDMARKS, np.sqrt(says / says.sum()), room))
+        marks = room[: n + len(choose_landmarks(hardest, LANDMARKS // 2, out=room[n:]))]
         value, vector = np.linalg.eigh((marks @ marks.T).astype(float))
         keep = value > 1e-6
         root = vector[:, keep] / np.sqrt(value[keep])
         mass = np.concatenate([says / 2, says / 2, np.repeat(np.minimum(seen, len(toxic)), sizes)])
         w, base = train_linear(kernel_to(marks, rows).astype(float) @ root, y, PENALTY * mass / mass.sum())
-        machine = Machine(((root @ w) @ marks).astype(np.float32), base)
+        table = np.concatenate([(root @ w) @ m for m in np.array_split(marks, 16, axis=1)])  # in parts, as they are copied to doubles
+        machine = Machine(table.astype(np.float32), base)
+    del every, bags, toxic, clean, of_clean, packed
     raw = [t.encode() for t in texts]
     worst = np.concatenate([machine.worst(np.frombuffer(b, np.uint8), np.array([0, len(b)])) for b in raw])
     machine.slopes, machine.offset = logistic_curve(worst, np.asarray(labels, float), np.ones(len(texts)) if weight is None else weight)
@@ -357,19 +408,38 @@ def _parts(word: bytes) -> set[bytes]:
     return {whole} | {whole[i : i + PART] for i in range(len(whole) - PART + 1)}
 
 
-def _witnesses(toxic: list[list[bytes]], clean: list[list[bytes]], share: float) -> set[bytes]:
-    """Words of toxic texts that have, or contain a part that has, certain evidence.
+def _witnesses(every: list[bytes], toxic: list[np.ndarray], clean: list[np.ndarray], share: float) -> set[int]:
+    """Places of words of toxic texts that have, or contain a part that has, certain evidence.
 
     A stem shows in many words, each of them too rare to prove anything.
     """
-    parts = {w: _parts(w) for b in toxic for w in b}
-    in_toxic = Counter(p for b in toxic for p in {p for w in b for p in parts[w]})
-    in_clean = Counter(p for b in clean for p in {p for w in b for p in _parts(w)} if p in in_toxic)
-    least, rare = np.log(len(in_toxic)) + CERTAIN, PREFERRED + np.log(share / (1 - share))
-    certain = {
-        p for p, n in in_toxic.items() if np.log((n + 0.5) / (in_clean[p] + 0.5)) > rare and _evidence(n, in_clean[p], share) > least
-    }
-    return {w for w, own in parts.items() if own & certain}
+    number: dict[bytes, int] = {}  # of the parts of words of toxic texts
+    of_toxic = np.unique(np.concatenate(toxic))
+    start, end = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    flat = array("i")
+    for w in of_toxic.tolist():
+        start[w] = len(flat)
+        flat.extend([number.setdefault(p, len(number)) for p in _parts(every[w])])
+        end[w] = len(flat)
+    for w in np.setdiff1d(np.unique(np.concatenate(clean)), of_toxic).tolist():
+        start[w] = len(flat)
+        flat.extend([number[p] for p in _parts(every[w]) if p in number])
+        end[w] = len(flat)
+    parts = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
+
+    def texts_with(bags: list[np.ndarray]) -> np.ndarray:
+        n = np.zeros(len(number), np.int64)
+        for b in bags:
+            size = end[b] - start[b]
+            n[np.unique(parts[np.repeat(start[b] - np.cumsum(size) + size, size) + np.arange(size.sum())])] += 1
+        return n
+
+    in_toxic, in_clean = texts_with(toxic), texts_with(clean)
+    least, rare = np.log(max(1, len(number))) + CERTAIN, PREFERRED + np.log(share / (1 - share))
+    certain = np.log((in_toxic + 0.5) / (in_clean + 0.5)) > rare
+    for p in np.flatnonzero(certain):
+        certain[p] = _evidence(in_toxic[p], in_clean[p], share) > least
+    return {w for w in of_toxic.tolist() if certain[parts[start[w] : end[w]]].any()}
 
 
 def _evidence(toxic: int, clean: int, share: float) -> float:

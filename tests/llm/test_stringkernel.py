@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -139,3 +140,26 @@ def test_nulls_no_labels_clashes_and_empty(spark):
     nothing = sk.train(docs, labels.limit(0), "toxic", F.lit(True))
     assert all(r.score < 0.5 for r in sk.score(docs, nothing).collect())
     assert sk.score(docs.limit(0), m).collect() == []
+
+
+def test_kernel_to_holds_only_subsequences_that_landmarks_have():
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, 6).astype(np.uint8)) for _ in range(200)]
+    codes = sk.encode(words)
+    room = np.zeros((200, sk.CLASSES**sk.ORDER), np.float32)
+    marks = sk.choose_landmarks(codes, 200, out=room)
+    assert np.shares_memory(marks, room) and len(marks) > 150
+    tracemalloc.start()
+    got = sk.kernel_to(marks, codes[:20])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.8 * marks.nbytes
+    assert np.allclose(got, np.stack([sk.profile(c) for c in codes[:20]]) @ marks.T, atol=1e-5)
+
+
+def test_packed_words_are_the_windows_of_each():
+    words = [b"idiot", b"Ab", b"...", b"x" * 60, "ch\u00f6\u00df".encode(), b""]
+    packed = sk.pack(words)
+    ends = [*packed.first[1:], len(packed.start) - 1]
+    got = [[packed.symbols[packed.start[i] : packed.start[i + 1]].tolist() for i in range(a, b)] for a, b in zip(packed.first, ends)]
+    assert got == [[w.tolist() for w in sk._windows(c)] for c in sk.encode(words)]
