@@ -13,6 +13,7 @@ import os
 import numpy as np
 
 _ONE = np.uint64(1)
+STEP = 1 << 17  #: values that are coded at once, a multiple of 64
 
 
 def mapped(folder: str, name: str) -> np.ndarray:
@@ -21,21 +22,25 @@ def mapped(folder: str, name: str) -> np.ndarray:
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
-    """``values`` of ``bits`` bits each in 64-bit words, with one spare word."""
+    """The lowest ``bits`` bits of each of ``values`` in 64-bit words, with one spare word."""
     n = len(values)
     if not bits:
         return np.zeros(1, np.uint64)
-    rows = -(-n // 64)
-    grid = np.zeros(rows * 64, np.uint64)
-    grid[:n] = values
-    grid = grid.reshape(rows, 64)
-    out = np.zeros((rows, bits), np.uint64)
-    for k in range(64):  # 64 values fill ``bits`` words
-        word, shift = divmod(k * bits, 64)
-        out[:, word] |= grid[:, k] << np.uint64(shift)
-        if shift + bits > 64:
-            out[:, word + 1] |= grid[:, k] >> np.uint64(64 - shift)
-    return np.append(out.ravel(), np.uint64(0))
+    packed = np.zeros(-(-n // 64) * bits + 1, np.uint64)
+    mask = np.uint64((1 << bits) - 1)
+    for a in range(0, n, STEP):
+        part = values[a : a + STEP] & mask
+        rows = -(-len(part) // 64)
+        grid = np.zeros(rows * 64, np.uint64)
+        grid[: len(part)] = part
+        grid = grid.reshape(rows, 64)
+        out = packed[a // 64 * bits :][: rows * bits].reshape(rows, bits)
+        for k in range(64):  # 64 values fill ``bits`` words
+            word, shift = divmod(k * bits, 64)
+            out[:, word] |= grid[:, k] << np.uint64(shift)
+            if shift + bits > 64:
+                out[:, word + 1] |= grid[:, k] >> np.uint64(64 - shift)
+    return packed
 
 
 class EliasFano:
@@ -50,15 +55,16 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = min(56, max(0, (top // max(1, n)).bit_length() - 1))
-        upper = (values >> np.uint64(low_bits)).astype(np.int64)
-        size = n + (int(upper[-1]) if n else 0) + 2
+        size = n + (top >> low_bits) + 2
         bits = np.zeros(-(-size // 64) * 64, np.uint8)
-        bits[upper + np.arange(n)] = 1
+        for a in range(0, n, STEP):
+            upper = (values[a : a + STEP] >> np.uint64(low_bits)).astype(np.int64)
+            bits[upper + np.arange(a, a + len(upper))] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
         ones = np.bitwise_count(high).astype(np.int64)
         zeros = np.concatenate([[0], np.cumsum(64 - ones)])
         small = zeros.astype(np.uint32) if zeros[-1] < 2**32 else zeros
-        return cls(n, low_bits, _pack(values & np.uint64((1 << low_bits) - 1), low_bits), high, small)
+        return cls(n, low_bits, _pack(values, low_bits), high, small)
 
     def save(self, folder: str, name: str) -> None:
         for part in ("low", "high", "zeros"):

@@ -27,6 +27,7 @@ A child is looked for by a successor search between its context's pointers.
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,7 @@ DISCOUNT = 0.75
 UNIT = 4096  #: quantised steps in a decimal log
 SLICE_BYTES = 4 << 20
 SHARD_WORDS = 1 << 21  #: n-grams of a file of a level
+STEP = 1 << 17  #: n-grams that are looked up or sent at once while counts go out and files are written
 _FLIP = np.uint64(1 << 63)
 _END = int(mix(np.array([0xE4D], np.uint64)).view(np.int64)[0])
 
@@ -87,8 +89,9 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 
 def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and how often each occurs; a sort of the keys alone is several times faster than one of their places."""
+    """Distinct keys, sorted, and how often each occurs; ``keys`` is emptied. A sort of the keys alone is several times faster than one of their places."""
     joined = np.concatenate(keys)
+    keys.clear()
     joined.sort()
     first = _runs(joined)
     return joined[first], np.diff(first, append=len(joined))
@@ -99,10 +102,18 @@ def _emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     if len(parts) == 1:
         return parts[0]
     keys, counts = (np.concatenate(c) for c in zip(*parts))
+    parts.clear()
     order = np.argsort(keys)
-    keys = keys[order]
+    keys, counts = keys[order], counts[order]
+    del order
     first = _runs(keys)
-    return keys[first], np.add.reduceat(counts[order], first)
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def _sent(counted: tuple[np.ndarray, np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Keys and counts in small batches: Spark holds a whole batch beside its heap."""
+    for a in range(0, len(counted[0]), STEP):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + STEP]) for c in counted], names=names)
 
 
 def _partial_counts(names: list[str], occurrences, limit: int = 1 << 21):
@@ -116,13 +127,16 @@ def _partial_counts(names: list[str], occurrences, limit: int = 1 << 21):
             raw.append(occurrences(*tokens(part.column("text"))))
             held += len(raw[-1])
             if held > limit:
-                parts, raw = [_emit([*parts, _counted(raw)])], []
+                parts.append(_counted(raw))
+                parts = [_emit(parts)]
                 held = len(parts[0][0])
                 if held > limit // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names=names)
-                    parts, held = [], 0
+                    yield from _sent(parts.pop(), names)
+                    held = 0
+        if raw:
+            parts.append(_counted(raw))
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _emit([*parts, _counted(raw)] if raw else parts)], names=names)
+            yield from _sent(_emit(parts), names)
 
     return run
 
@@ -392,27 +406,39 @@ def _write_counts(folder: str, level: int, width: int):
     """Keys and counts of a range; what the discounts take from its first and last context goes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _gather(batches)
-        if table is None:
+        own = (b for b in batches if b.num_rows)
+        head = next(own, None)
+        if head is None:
             return
-        k, c = (table.column(x).to_numpy() for x in ("k", "c"))
-        name = f"counts{level}-{table.column('part')[0].as_py()}"
-
-        def fill(part: str) -> None:
-            np.save(os.path.join(part, "k.npy"), k)
-            np.save(os.path.join(part, "c.npy"), c)
-
-        _write_folder(folder, name, fill)
-        p = k // width
-        edges = [p[0]] if p[0] == p[-1] else [p[0], p[-1]]
-        taken = [float((c[p == e] - DISCOUNT).sum()) for e in edges]
-        part = table.column("part")[0].as_py()
-        columns = [pa.array([part], pa.int32()), pa.array(k[:1]), pa.array([len(k)]), pa.array([edges], pa.list_(pa.int64())), pa.array([taken], pa.list_(pa.float64()))]
+        part, first = head.column("part")[0].as_py(), head.column("k")[0].as_py()
+        rows, taken = 0, {}  # of the first context and the last one so far
+
+        def fill(target: str) -> None:
+            nonlocal rows, taken
+            with open(os.path.join(target, "k"), "wb") as keys, open(os.path.join(target, "c"), "wb") as counts:
+                for batch in itertools.chain([head], own):
+                    k, c = (batch.column(x).to_numpy() for x in ("k", "c"))
+                    k.tofile(keys)
+                    c.tofile(counts)
+                    rows += len(k)
+                    p = k // width
+                    sums = {e: float((c[p == e] - DISCOUNT).sum()) for e in {first // width, int(p[-1])}}
+                    taken = {e: taken.get(e, 0.0) + t for e, t in sums.items()}
+
+        _write_folder(folder, f"counts{level}-{part}", fill)
+        columns = [pa.array([part], pa.int32()), pa.array([first]), pa.array([rows]), pa.array([list(taken)], pa.list_(pa.int64())), pa.array([list(taken.values())], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["part", "first", "rows", "edges", "taken"])
 
     return run
 
 
+def _stepwise(first: np.ndarray, n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, first context, behind the last) of pieces of ``n`` n-grams; a piece may end within a context."""
+    for a in range(0, n, STEP):
+        z = min(n, a + STEP)
+        yield a, z, int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, z, "left"))
+
+
 def _write_children(shared, level: int, edges: dict[int, float], longest: bool):
     """The trie's file of each range of counts."""
 
@@ -421,23 +447,30 @@ def _write_children(shared, level: int, edges: dict[int, float], longest: bool):
             for j in batch.column("id").to_pylist():
                 trie = _trie(shared.value)
                 folder, width = trie.model.folder, trie.model.width
-                k, c = (np.load(os.path.join(folder, f"counts{level}-{j}", f"{x}.npy"), mmap_mode="r") for x in "kc")
-                p, w = k // width, k % width
-                contexts, first, nth = np.unique(p, return_index=True, return_inverse=True)
-                taken = np.add.reduceat(c - DISCOUNT, first)
+                k, c = (np.asarray(np.memmap(os.path.join(folder, f"counts{level}-{j}", x), np.int64, "r")) for x in "kc")
+                first = _runs(k // width)
+                contexts = k[first] // width
+                taken = np.add.reduceat(c, first) - DISCOUNT * np.diff(first, append=len(k))
                 for e in (0, -1):  # these contexts may go on in other files
                     taken[e] = edges[int(contexts[e])]
-                n, _ = trie.facts(level - 1, contexts)
-                b = np.maximum((n - taken) / n, 1e-12)
-                suffix = w if level == 2 else trie.numbers(level - 1, trie.tails(level - 1, contexts)[nth], w)
-                lp = np.log10((c - DISCOUNT) / n[nth] + b[nth] * 10.0 ** trie.facts(level - 1, suffix)[1])
+                children, lp, back = np.empty(len(k), np.uint64), np.empty(len(k)), np.empty(len(contexts), np.uint16)
+                for a, z, lo, hi in _stepwise(first, len(k)):
+                    nth = np.searchsorted(first[lo:hi], np.arange(a, z), "right") - 1
+                    w = k[a:z] % width
+                    own = contexts[lo:hi]
+                    n, _ = trie.facts(level - 1, own)
+                    b = np.maximum((n - taken[lo:hi]) / n, 1e-12)
+                    suffix = w if level == 2 else trie.numbers(level - 1, trie.tails(level - 1, own)[nth], w)
+                    lp[a:z] = np.log10((c[a:z] - DISCOUNT) / n[nth] + b[nth] * 10.0 ** trie.facts(level - 1, suffix)[1])
+                    back[lo:hi] = _quantise(np.log10(b))
+                    children[a:z] = (lo + nth).astype(np.uint64) * np.uint64(width) + w.astype(np.uint64)
 
                 def fill(part: str) -> None:
                     EliasFano.build(contexts).save(part, "contexts")
-                    EliasFano.build(np.append(first[1:], len(p))).save(part, "pointers")
-                    EliasFano.build(nth.astype(np.uint64) * np.uint64(width) + w.astype(np.uint64)).save(part, "children")
+                    EliasFano.build(np.append(first[1:], len(k))).save(part, "pointers")
+                    EliasFano.build(children).save(part, "children")
                     np.save(os.path.join(part, "prob.npy"), _quantise(lp))
-                    np.save(os.path.join(part, "back.npy"), _quantise(np.log10(b)))
+                    np.save(os.path.join(part, "back.npy"), back)
                     if not longest:
                         np.save(os.path.join(part, "n.npy"), c)
                         np.save(os.path.join(part, "lp.npy"), lp)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tablescope.llm.eliasfano import EliasFano
+from tablescope.llm.eliasfano import STEP, EliasFano
 
 
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (1, 2**63), (5, 3), (63, 1000), (64, 2**40), (1000, 500), (5000, 2**64 - 1), (3000, 10**7)])
@@ -39,3 +39,10 @@ def test_long_runs_of_equal_upper_bits():
     asked = np.concatenate([v, v + np.uint64(1), v[7:] - np.uint64(1)])
     assert ef.successor(asked).tolist() == np.searchsorted(v, asked, "left").tolist()
     assert ((ef.find(asked) >= 0) == np.isin(asked, v)).all() and ef.at(ef.find(v)).tolist() == v.tolist()
+
+
+@pytest.mark.parametrize("n", [STEP - 1, STEP, STEP + 1, 2 * STEP + 77])
+def test_sequences_of_several_steps(n):
+    v = np.sort(np.random.default_rng(n).integers(0, 2**45, n, dtype=np.uint64))
+    ef = EliasFano.build(v)
+    assert np.array_equal(ef.at(np.arange(n)), v)

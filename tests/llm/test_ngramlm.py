@@ -1,13 +1,16 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablescope.llm import ngramlm as lm
+from tablescope.llm import eliasfano, ngramlm as lm
 
 from tests.conftest import SF001
 
@@ -167,3 +170,62 @@ def test_partial_counts_over_small_and_large_limits():
             assert keys == sorted(set(keys))
             total.update(dict(zip(keys, counts)))
         assert sorted(total.values()) == [5, 10, 20, 30]
+
+
+def _two_levels(folder, words, keys, counts):
+    """A model's first two levels, written in this process; the second from batches of 100 n-grams."""
+    rng = np.random.default_rng(2)
+    hashes = np.sort(rng.integers(-(2**63), 2**63 - 1, words))
+    often = rng.integers(10**6, 10**7, words)
+    model = lm.Model(str(folder), int(often.sum()), words)
+
+    def batches(values, n, name):
+        for a in range(0, len(values), n):
+            part = values[a : a + n]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array(part), pa.array((often if name == "h" else counts)[a : a + n])], names=["part", name, "c"])
+
+    for level, write, rows in ((1, lm._write_words(model.folder), batches(hashes, words, "h")), (2, lm._write_counts(model.folder, 2, words), batches(keys, 100, "k"))):
+        (made,) = [SimpleNamespace(**{n: made.column(n)[0].as_py() for n in made.schema.names}) for made in write(rows)]
+        if level == 2:
+            edges = dict(zip(made.edges, made.taken))
+            list(lm._write_children(SimpleNamespace(value=model), 2, edges, False)(iter([pa.RecordBatch.from_pydict({"id": [0]})])))
+        lm._add_level(model, [made])
+    return model, edges
+
+
+def test_files_written_in_steps_are_the_same(tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = 90
+    keys = np.unique(np.concatenate([rng.integers(0, words * words, 1500), np.arange(40 * words, 44 * words)]))  # some contexts go on over steps
+    counts = rng.integers(2, 50, len(keys))
+    files = {}
+    for step in (64, 1 << 17):
+        monkeypatch.setattr(lm, "STEP", step)
+        monkeypatch.setattr(eliasfano, "STEP", step)
+        folder = tmp_path / str(step)
+        folder.mkdir()
+        model, edges = _two_levels(folder, words, keys, counts)
+        files[step] = {f.name: f.read_bytes() for f in (folder / "level2-0").iterdir()}
+        context = keys // words
+        assert edges == {int(e): float((counts[context == e] - lm.DISCOUNT).sum()) for e in (context[0], context[-1])}
+        assert lm.Trie(model).numbers(2, context, keys % words).tolist() == list(range(len(keys)))
+    assert files[64] == files[1 << 17] and len(files[64]) == 16
+
+
+def test_writing_a_file_holds_no_second_copy_of_its_ngrams(tmp_path):
+    """A range of counts is not gathered, and its file is made in steps: few bytes an n-gram beside the file's own arrays."""
+    n, words = 1 << 20, 4000
+    keys = np.sort(np.random.default_rng(1).choice(words * words, n, replace=False))
+    counts = np.full(n, 3)
+    tracemalloc.start()
+    lm._trie(_two_levels(tmp_path, words, keys, counts)[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * n
+
+
+def test_counts_leave_a_task_in_small_batches():
+    texts = [" ".join(f"w{k}" for k in range(i, i + 50_000)) for i in range(0, 400_000, 50_000)]
+    out = list(lm._partial_counts(["h", "c"], lm._words)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    assert max(b.num_rows for b in out) <= lm.STEP
+    assert sum(b.num_rows for b in out) == 400_001 and sum(sum(b.column("c").to_pylist()) for b in out) == 400_008
