@@ -247,22 +247,24 @@ def value_frequencies(df: DataFrame, specs: list[ColumnSpec] | None = None) -> D
     Columns are unpivoted by value kind into ``(ord, value)`` rows (one scan
     per kind, reading only those columns), NULLs are dropped before the
     shuffle, and each kind is grouped on its own two-column key, which keeps
-    Spark's fixed-width fast hash map for numbers.  The grouping combines
+    Spark's fixed-width fast hash map for numbers.  Dates and local timestamps
+    are grouped as they are and only their distinct values made text.  The grouping combines
     map-side, so a hot value costs one row per task in the shuffle.  Nested,
     interval and map columns are left out (see ``_counts_only``).
     """
     specs = [s for s in (specs or column_specs(df)) if s.groupable and s.stat_class != "counts"]
     spark = _spark(df)
-    by_slot: dict[str, list] = {}
+    by_kind: dict[tuple[str, str], list] = {}
     for s in specs:
         slot, value = _slot_of(s)
-        by_slot.setdefault(slot, []).append(F.struct(F.lit(s.ordinal).alias("ord"), value.alias("v")))
+        late = isinstance(s.dtype, (T.DateType, T.TimestampNTZType))  # text of one value, and of no other, whatever the session
+        kind = (slot, s.dtype.typeName() if late else "")
+        by_kind.setdefault(kind, []).append(F.struct(F.lit(s.ordinal).alias("ord"), (col(s.name) if late else value).alias("v")))
     parts = []
-    for slot, t in _SLOTS:
-        if slot not in by_slot:
-            continue
+    for slot, late in sorted(by_kind, key=lambda k: ([n for n, _ in _SLOTS].index(k[0]), k[1])):
+        value = F.col("v").cast("string") if late else F.col("v")
         grouped = (
-            df.select(F.inline(F.array(*by_slot[slot])))
+            df.select(F.inline(F.array(*by_kind[slot, late])))
             .where(F.col("v").isNotNull())
             .groupBy("ord", "v")
             .agg(F.count(F.lit(1)).alias("freq"))
@@ -270,7 +272,7 @@ def value_frequencies(df: DataFrame, specs: list[ColumnSpec] | None = None) -> D
         parts.append(
             grouped.select(
                 "ord",
-                *[(F.col("v") if n == slot else _null(nt)).alias(n) for n, nt in _SLOTS],
+                *[(value if n == slot else _null(nt)).alias(n) for n, nt in _SLOTS],
                 "freq",
             )
         )

@@ -3,6 +3,7 @@
 import datetime as dt
 import decimal
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,3 +275,19 @@ def test_an_extreme_value_beside_a_null_plays_no_part(spark, far):
     assert got[("y", "c")] is None and got[("c", "c")] == 1.0
     strong = {(r.col1, r.col2) for r in correlate.strong_correlations(correlate.correlations(df)).collect()}
     assert ("x", "y") in strong
+
+
+def test_dates_and_local_timestamps_are_grouped_before_they_are_text(spark):
+    """One text for each distinct value, not for each row; years beyond four digits and NULLs included."""
+    df = spark.range(24).selectExpr(
+        "IF(id % 6 = 5, NULL, date_add(DATE'9999-12-30', CAST(id % 4 AS INT))) AS d",
+        "IF(id % 7 = 6, NULL, TIMESTAMP_NTZ'2020-03-29 02:30:00.000001' + make_dt_interval(0, 0, 0, id % 3)) AS n",
+        "IF(id % 2 = 0, '2020-03-29', 'x') AS s",
+    )
+    freq = pr.value_frequencies(df)
+    plan = freq._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in plan.splitlines() if "Generate" in x] and not [x for x in plan.splitlines() if "Generate" in x and "as string" in x]
+    want = Counter((k, v) for r in df.selectExpr("CAST(d AS STRING) AS d", "CAST(n AS STRING) AS n", "s").collect() for k, v in enumerate(r, 1) if v is not None)
+    assert freq.schema.simpleString() == "struct<ord:int,vi:bigint,vf:double,vs:string,vb:binary,freq:bigint>"
+    assert {(r.ord, r.vs): r.freq for r in freq.collect()} == want and {(r.vi, r.vf, r.vb) for r in freq.collect()} == {(None, None, None)}
+    assert [tuple(r)[2:] for r in pr.distinct_counts(df).collect()] == [(24, 4), (24, 3), (24, 2)]
